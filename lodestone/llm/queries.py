@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from lodestone.llm.language import op10_language
+from lodestone.llm.simhash import op4_simhash
 from lodestone.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op4_simhash": op4_simhash,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
