@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.language import op10_language
 from lodestone.llm.simhash import op4_simhash
 from lodestone.llm.toxicity import op2_toxicity
@@ -9,6 +10,7 @@ from lodestone.llm.toxicity import op2_toxicity
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
+    "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
