@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.language import op10_language
+from lodestone.llm.lz import op1_lz
 from lodestone.llm.packing import op7_packing
 from lodestone.llm.simhash import op4_simhash
 from lodestone.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_lz": op1_lz,
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op7_packing": op7_packing,
