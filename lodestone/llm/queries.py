@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.language import op10_language
+from lodestone.llm.licences import op6_licences
 from lodestone.llm.lz import op1_lz
 from lodestone.llm.packing import op7_packing
+from lodestone.llm.pii import op5_pii
 from lodestone.llm.simhash import op4_simhash
 from lodestone.llm.toxicity import op2_toxicity
 
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_lz": op1_lz,
     "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
+    "op6_licences": op6_licences,
     "op7_packing": op7_packing,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
