@@ -6,6 +6,7 @@ from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.language import op10_language
 from lodestone.llm.licences import op6_licences
 from lodestone.llm.lz import op1_lz
+from lodestone.llm.multi_index import op8_multi_index
 from lodestone.llm.packing import op7_packing
 from lodestone.llm.pii import op5_pii
 from lodestone.llm.simhash import op4_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_licences": op6_licences,
     "op7_packing": op7_packing,
+    "op8_multi_index": op8_multi_index,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
