@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm import warc
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.language import op10_language
 from lodestone.llm.licences import op6_licences
@@ -15,6 +16,7 @@ from lodestone.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_lz": op1_lz,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": warc.op3_warc,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
     "op6_licences": op6_licences,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE}
