@@ -58,6 +58,11 @@ def hash_order(*cols: str | Column) -> Column:
     return F.xxhash64(F.lit(20_240_617), *cols)
 
 
+def hash_share(*cols: str | Column) -> Column:
+    """A fixed pseudo-random number from 0 to 1 of a row, other than ``hash_order``."""
+    return F.pmod(F.xxhash64(F.lit(77_003), *cols), F.lit(1_000_003)) / 1_000_003.0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
