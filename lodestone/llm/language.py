@@ -5,8 +5,8 @@ vectors, each rolled by its distance from the end, and a text is the sum (bundle
 a language's training texts is its prototype; a text gets the language whose prototype has the largest cosine.
 Prototypes are centred: the mean of all prototypes, which carries what the languages share, is taken out.
 
-Only text is an input of a prediction. Fitting reads a bounded sample of labelled rows: at most ``max_docs`` texts
-of a language, at most ``max_chars`` characters of it, and the ``max_langs`` commonest languages.
+Only text is an input of a prediction. Fitting reads a bounded sample of labelled rows: about ``max_docs`` texts
+of a language (ids are hashed to a share of all), at most ``max_chars`` characters of it (or one text), and the ``max_langs`` commonest languages.
 
 Defined results: a null text or a text without a letter is ``und`` with score 0; a text shorter than an n-gram is
 padded with spaces, so every text with a letter gets a language; ties go to the language first in alphabetical
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hash_order, id_fold, table
+from lodestone.llm.shared import hash_order, hash_share, id_fold, table
 
 DIM = 1024
 N = 3
@@ -161,7 +161,7 @@ class LanguageModel:
             products = model.products()
             for batch in batches:
                 found, score_ = model.nearest(batch, products)
-                yield pd.DataFrame({"lang": found, "score": score_})
+                yield pd.DataFrame({"lang": pd.Series(found, dtype=object), "score": pd.Series(score_, dtype=float)})
 
         both = "__language_of_text"
         return df.withColumn(both, languages(F.col(text))).withColumns({lang: F.col(f"{both}.lang"), score: F.col(f"{both}.score")}).drop(both)
@@ -205,15 +205,14 @@ def fit_languages(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     if fold:
         known = known.where(F.coalesce(id_fold("doc_id", fold[0]) != fold[1], F.lit(False)))
-    ids = known.select("doc_id", "lang", hash_order("doc_id").alias("at"))
-    commonest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    few = ids.join(F.broadcast(commonest), "lang").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("at", "doc_id"))).where(F.col("k") <= max_docs).select("doc_id", F.col("lang").alias("of"), "k")
-    rows = known.join(few, (known.doc_id == few.doc_id) & (known.lang == few.of)).select("lang", "text", "k")
-    rows = rows.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("k", "text"))).where((F.col("upto") <= max_chars) | (F.col("k") == 1)).select("lang", "text")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
+    share = sizes.select("lang", (F.lit(float(max_docs)) / F.col("count")).alias("share"))
+    rows = known.join(F.broadcast(share), "lang").where(hash_share("doc_id") < F.col("share")).select("lang", "text", hash_order("doc_id").alias("k"))
+    rows = rows.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("k", "text"))).where((F.col("upto") <= max_chars) | (F.col("upto") == F.length("text"))).select("lang", "text")
 
     def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = bundled(pair for batch in batches for pair in zip(batch["lang"], batch["text"]))
-        yield pd.DataFrame({"lang": list(sums), "bundle": [v.tobytes() for v in sums.values()]})
+        yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "bundle": pd.Series([v.tobytes() for v in sums.values()], dtype=object)})
 
     total: dict[str, np.ndarray] = {}
     for r in rows.mapInPandas(sums_of, "lang string, bundle binary").collect():
