@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
@@ -38,7 +39,9 @@ SEED = 42
 PIVOTS = 24
 GROUP = 2_048
 SMALL = 12
-PIVOT_FINGERPRINTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, PIVOTS, dtype=np.uint64)
+#: Reference fingerprints, of one or two 64-bit words.
+PIVOT_FINGERPRINTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (PIVOTS, 2), dtype=np.uint64)
+KEY = ["t", "k", "p", "q"]
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -91,29 +94,32 @@ def block_masks(max_distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose words are the last axis."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
 def _pivot_table(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ PIVOT_FINGERPRINTS[None, :]).astype(np.int8)
+    return np.stack([_apart(fps, p[: fps.shape[1]]) for p in PIVOT_FINGERPRINTS], axis=1)
 
 
 def _small_groups(group: np.ndarray, fps: np.ndarray, most: int, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links within groups of at most ``most`` neighbouring rows."""
-    pivots, a, b = _pivot_table(fps), [], []
+    """Places of all linked pairs within groups of at most ``most`` neighbouring rows."""
+    pivots, a, b = _pivot_table(fps), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for gap in range(1, most):
         i = np.flatnonzero(group[gap:] == group[:-gap])
         if not len(i):
             break
-        near = np.abs(pivots[i] - pivots[i + gap]).max(axis=1) <= max_distance
-        i = i[near]
-        i = i[np.bitwise_count(fps[i] ^ fps[i + gap]) <= max_distance]
-        a.append(fps[i])
-        b.append(fps[i + gap])
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+        for k in range(0, PIVOTS, 8):
+            i = i[np.abs(pivots[i, k : k + 8] - pivots[i + gap, k : k + 8]).max(axis=1) <= max_distance]
+        i = i[_apart(fps[i], fps[i + gap]) <= max_distance]
+        a.append(i)
+        b.append(i + gap)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _large_group(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one group: sorted by the first pivot's coordinate, each row meets those in its reach."""
-    fps = np.unique(fps)
+    """Places of a spanning forest of one group's links: sorted by the first pivot's coordinate, each row meets those in its reach."""
     pivots = _pivot_table(fps)
     order = np.argsort(pivots[:, 0], kind="stable")
     fps, pivots = fps[order], pivots[order]
@@ -126,38 +132,41 @@ def _large_group(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.nda
             if len(j) < 64:
                 break
             j = j[np.abs(pivots[j, k] - pivots[i, k]) <= max_distance]
-        j = j[np.bitwise_count(fps[j] ^ fps[i]) <= max_distance]
+        j = j[_apart(fps[j], fps[i]) <= max_distance]
         if len(j):
             met = np.unique(np.r_[label[j], label[i]])
             label[np.isin(label, met)] = met[0]
     own = label != np.arange(len(fps))
-    return fps[own], fps[label[own]]
+    return order[own], order[label[own]]
 
 
-def links_of(batches: Iterator[pd.DataFrame], max_distance: int) -> Iterator[pd.DataFrame]:
-    """Links from rows sorted by group (columns t, k, p, q, fp); a group may span batches."""
+def links_of(batches: Iterator[pd.DataFrame], max_distance: int, words: list[str]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) from rows sorted by group (``KEY``), with a node and its fingerprint's words; a group may span batches."""
 
     def found(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        fps = part["fp"].to_numpy(np.int64).view(np.uint64)
-        key = part[["t", "k", "p", "q"]].to_numpy(np.int64)
+        fps = np.ascontiguousarray(part[words].to_numpy(np.int64)).view(np.uint64)
+        node = part["node"].to_numpy(np.int64)
+        key = part[KEY].to_numpy(np.int64)
         new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
         group, starts = np.cumsum(new), np.flatnonzero(new)
         size = np.diff(np.r_[starts, len(fps)])
-        small = (size <= SMALL)[group - 1] & (size > 1)[group - 1]
-        out = [_small_groups(group[small], fps[small], SMALL, max_distance)]
-        out += [_large_group(fps[s : s + n], max_distance) for s, n in zip(starts[size > SMALL], size[size > SMALL])]
-        for a, b in out:
+        small = np.flatnonzero(((size <= SMALL) & (size > 1))[group - 1])
+        if len(small):
+            a, b = _small_groups(group[small], fps[small], SMALL, max_distance)
+            if len(a):
+                yield pd.DataFrame({"a": node[small[a]], "b": node[small[b]]})
+        for s, n in zip(starts[size > SMALL], size[size > SMALL]):
+            a, b = _large_group(fps[s : s + n], max_distance)
             if len(a):
-                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+                yield pd.DataFrame({"a": node[s + a], "b": node[s + b]})
 
     held = None
     for batch in batches:
         if not len(batch):
             continue
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        last = held[["t", "k", "p", "q"]].iloc[-1]
-        open_ = (held[["t", "k", "p", "q"]] == last).all(axis=1).to_numpy()
-        at = len(held) - int(open_[::-1].cumprod().sum())
+        key = held[KEY].to_numpy(np.int64)
+        at = len(held) - int((key == key[-1]).all(axis=1)[::-1].cumprod().sum())
         if at:
             yield from found(held.iloc[:at])
             held = held.iloc[at:].reset_index(drop=True)
@@ -165,6 +174,20 @@ def links_of(batches: Iterator[pd.DataFrame], max_distance: int) -> Iterator[pd.
         yield from found(held)
 
 
+def linked(keyed: DataFrame, max_distance: int, words: list[str]) -> DataFrame:
+    """(a, b): links between nodes that share a key (columns t, k), node and fingerprint ``words``.
+
+    Keys with more than ``GROUP`` rows are cut into parts, and each pair of parts is a group.
+    """
+    sizes = keyed.groupBy("t", "k").count().where(F.col("count") > GROUP)
+    parts = F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1)).cast("long")
+    dealt = keyed.join(sizes, ["t", "k"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("t", "k", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "node", *words)
+    near = dealt.repartition(shuffle_partitions(keyed.sparkSession), *KEY).sortWithinPartitions(*KEY, "node")
+    return near.mapInPandas(lambda batches: links_of(batches, max_distance, words), "a bigint, b bigint").distinct()
+
+
 def link_fingerprints(fps: DataFrame, max_distance: int = 4, blocks: int = 6) -> DataFrame:
     """(a, b): links that connect all fingerprints (column ``fp``, distinct) within the distance.
 
@@ -172,14 +195,8 @@ def link_fingerprints(fps: DataFrame, max_distance: int = 4, blocks: int = 6) ->
     bits, enough for tens of millions of fingerprints; 8 make 70 keys of 32 bits, for billions. Links are the same.
     """
     masks = F.array(*[F.lit(m) for m in block_masks(max_distance, blocks)])
-    keyed = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select("fp", F.col("t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
-    sizes = keyed.groupBy("t", "k").count().where(F.col("count") > GROUP)
-    parts = F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1)).cast("long")
-    dealt = keyed.join(sizes, ["t", "k"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("t", "k", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "fp")
-    near = dealt.repartition(shuffle_partitions(fps.sparkSession), "t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q", "fp")
-    return near.mapInPandas(lambda batches: links_of(batches, max_distance), "a bigint, b bigint").distinct()
+    keyed = fps.select("fp", F.posexplode(masks).alias("t", "mask")).select(F.col("fp").alias("node"), "fp", F.col("t").cast("long").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k"))
+    return linked(keyed, max_distance, ["fp"])
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4, blocks: int = 6) -> DataFrame:
@@ -193,6 +210,58 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+# -- similarity of 0.8 and below: wide fingerprints and keys of sure bits ------------------------------------------
+#: A pair of similarity s differs in this share of bits, on average: the angle of its shingle sets, in half turns.
+def expected_share(similarity: float) -> float:
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+SURE_BITS = 8
+KEY_BITS = 3
+KEY_SETS = np.array(list(combinations(range(SURE_BITS), KEY_BITS)))
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int, list[int]]:
+    """Two words of a 128-bit SimHash, and keys: every three of its eight surest bits (places and values)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh3_128_digest
+    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    ones, n = np.zeros(128, np.int64), len(parts)
+    for s in range(0, n, 65_536):
+        h = np.frombuffer(b"".join(map(digest, parts[s : s + 65_536])), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = 2 * ones > n
+    a, b = np.packbits(bits, bitorder="little").view("<i8").tolist()
+    sure = np.sort(np.argsort(-np.abs(2 * ones - n), kind="stable")[:SURE_BITS])
+    code = sure * 2 + bits[sure]
+    return a, b, (code[KEY_SETS] @ np.array([1 << 16, 1 << 8, 1])).tolist()
+
+
+def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: that with the least id.
+
+    A link is a pair that shares a key of three of its surest bits and whose 128-bit fingerprints differ in at most
+    the share of bits that the similarity leads to expect. Pivot distances discard pairs before that. Rows with a null
+    id can't be referred to and stay; of rows of one id that stays, one stays.
+    """
+
+    @F.pandas_udf("f0 bigint, f1 bigint, keys array<bigint>")
+    def wide(batch: pd.Series) -> pd.DataFrame:
+        out = [wide_fingerprint(t, shingle) for t in batch]
+        return pd.DataFrame({"f0": pd.Series([x[0] for x in out], dtype="int64"), "f1": pd.Series([x[1] for x in out], dtype="int64"), "keys": pd.Series([x[2] for x in out], dtype=object)})
+
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), wide(F.col(text)).alias("w"))
+    rows = written(known.select("id", "w.f0", "w.f1", "w.keys"), "fingerprints")
+    own = rows.groupBy("f0", "f1").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    keyed = own.select("node", "f0", "f1", F.explode("keys").alias("k")).withColumn("t", F.lit(0).cast("long"))
+    roots = connected_components(linked(keyed, round(128 * expected_share(similarity)), ["f0", "f1"]))
+    gone = roots.where("node <> root").select("node")
+    kept = own.select("node").join(gone, "node", "left_anti").withColumnRenamed("node", "__kept")
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text)))
+    stay = docs.join(kept, F.col(id_col) == F.col("__kept")).drop("__kept").withColumn("__nth", first).where("__nth = 1").drop("__nth")
+    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
