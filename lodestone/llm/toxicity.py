@@ -7,8 +7,8 @@ both; how much shorter the toxic dictionary makes the windows (largest gain, gai
 gaining windows) is turned into a probability by a logistic calibration fitted on labelled texts that the
 dictionaries have not seen.
 
-Only text is an input of a score. Fitting reads a bounded sample of labelled rows: at most ``max_docs`` texts of
-each label and ``max_chars`` characters, in a fixed pseudo-random order of ids. Scoring reads whole texts.
+Only text is an input of a score. Fitting reads a bounded sample of labelled rows: about ``max_docs`` texts of
+each label (ids are hashed to a share of all) and at most ``max_chars`` characters. Scoring reads whole texts.
 
 Defined results: a null or empty text has no windows and scores the calibrated value of "no gain"; very long
 texts are scored in full, window by window; equal texts score equally; an empty table gives an empty table. Other
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hash_order, id_fold, table
+from lodestone.llm.shared import hash_order, hash_share, id_fold, table
 
 WINDOW_BYTES = 64
 STRIDE_BYTES = 48
@@ -204,7 +204,7 @@ def fit_texts(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> Toxic
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2_000, max_chars: int = 12_000_000, folds: int = 5) -> ToxicityModel:
-    """Fits on labelled rows outside fold 0 of ``folds`` (crc32 of the id): at most ``max_docs`` of each label, ``max_chars`` in all of a label.
+    """Fits on labelled rows outside fold 0 of ``folds`` (crc32 of the id): about ``max_docs`` of each label, ``max_chars`` in all of a label.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic. Rows with a null id, text or label are not learnt from. With
     ``folds`` = 0 every labelled row may be learnt from.
@@ -213,8 +213,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2_000, max_
     if folds:
         known = known.where(id_fold("doc_id", folds) != 0)
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    own = known.select("doc_id", "toxic", hash_order("doc_id").alias("at"))
-    few = own.withColumn("k", F.row_number().over(W.partitionBy("toxic").orderBy("at", "doc_id"))).where(F.col("k") <= max_docs)
+    share = F.when(F.col("toxic") == 1, max_docs / max(1, count.get(1, 0))).otherwise(max_docs / max(1, count.get(0, 0)))
+    few = known.where(hash_share("doc_id") < share).select("doc_id", "toxic", hash_order("doc_id").alias("k"))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
     rows = texts.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("toxic").orderBy("k", "text"))).where(F.col("upto") <= max_chars)
     found = sorted(rows.select("toxic", "k", "text").collect(), key=lambda r: (r["k"], r["text"]))
