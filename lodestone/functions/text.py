@@ -76,7 +76,7 @@ def strip_repeats(text: Column) -> Column:
 
 def suspicious_text(text: Column) -> Column:
     """No line with text, or such lines are shorter than 5 characters on average."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
     return (F.size(lines) == 0) | (total < 5 * F.size(lines))
 

@@ -13,7 +13,7 @@ BUDGET = 5_000
 
 def parse_heading_path(path: Column) -> Column:
     """A JSON array of headings, or headings between ' > '."""
-    plain = F.filter(F.transform(F.split(path, " > "), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(path, " > "), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(path.rlike(r"^\s*\["), F.from_json(path, "array<string>")).otherwise(plain)
 
 

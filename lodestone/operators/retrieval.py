@@ -21,6 +21,14 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", item: str = "chunk
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of rows: what matrix products shortlist is scored anew, row by row."""
+    if metric == "l2":
+        return 1 / (1 + np.sqrt(((a - b) ** 2).sum(axis=1)))
+    dot = (a * b).sum(axis=1)
+    return dot if metric == "ip" else dot / np.maximum(np.sqrt((a**2).sum(axis=1) * (b**2).sum(axis=1)), 1e-300)
+
+
 # -- dense ----------------------------------------------------------------------------------------------------------
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", query_block: int = 1_024, tenant: str | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, chunk_id, score) over vectors: exact, by matrix products of a block of queries and a batch of chunks.
@@ -54,18 +62,17 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str =
                     s = vectors @ v.T
                     if metric == "cosine":
                         s = s / np.maximum(np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-300)
-                s = np.round(s, 9)
                 if tenants is not None:
                     s[tenants[:, None] != batch[tenant].to_numpy()[None, :]] = -np.inf
                 if exclude_self:
                     s[ids[:, None] == own[None, :]] = -np.inf
                 kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                at, to = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-                order = np.lexsort((own[to], -s[at, to], at))
-                at, to = at[order], to[order]
+                at, to = np.nonzero((s >= kth[:, None] - 1e-5) & np.isfinite(s))
+                score = np.round(pair_scores(vectors[at], v[to], metric), 9)
+                order = np.lexsort((own[to], -score, at))
+                at, to, score = at[order], to[order], score[order]
                 keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-                at, to = at[keep], to[keep]
-                yield pd.DataFrame({"query_id": ids[at], "chunk_id": own[to], "score": s[at, to]})
+                yield pd.DataFrame({"query_id": ids[at[keep]], "chunk_id": own[to[keep]], "score": score[keep]})
 
         kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
         part = chunks.select("chunk_id", "v", *([tenant] if tenant else [])).mapInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
@@ -99,14 +106,15 @@ def bm25(terms: DataFrame, docs: DataFrame, item: str = "chunk_id", text: str =
     sizes = docs.select(item, length.alias("dl"))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    words = docs.select(item, length.alias("dl"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("term"))
-    hits = words.join(wanted, "term", "left_semi").groupBy("term", item).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = docs.select(item, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("term"))
+    # Lengths join the counted hits: carried through the explode they would be computed anew for every word.
+    hits = words.join(wanted, "term", "left_semi").groupBy("term", item).agg(F.count("*").alias("tf"))
     n = hits.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     weights = n.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = terms.join(weights, "term").join(hits, "term").groupBy("query_id", item).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("n_matched"))
+    met = terms.join(weights, "term").join(hits, "term").join(sizes, item).groupBy("query_id", item).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("n_matched"))
     return met.join(counts, "query_id")
 
 

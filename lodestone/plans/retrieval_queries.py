@@ -140,8 +140,8 @@ _OVERLAP = f"""ov AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, scor
   FROM (SELECT query_id, chunk_id, round(n_matched / n_terms, 9) AS score FROM a)) WHERE rank <= {K})"""
 
 
-def _overlap(spark, d):
-    scored = _bm25(spark, d).withColumn("score", F.round(F.col("n_matched") / F.col("n_terms"), 9))
+def _overlap(spark, d, base=None):
+    scored = (base or _bm25(spark, d)).withColumn("score", F.round(F.col("n_matched") / F.col("n_terms"), 9))
     return R.top_k(scored, K).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -149,8 +149,9 @@ _FUSED = f"""{_BM25}, {_OVERLAP}, f AS (SELECT query_id, chunk_id, round(sum(1 /
 fused AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score / best, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM f) WHERE rank <= {K})"""
 
 
-def _fused(spark, d):
-    return R.reciprocal_rank_fusion(_overlap(spark, d), R.bm25_search(_bm25(spark, d), K), K)
+def _fused(spark, d, base=None):
+    base = base or _bm25(spark, d)
+    return R.reciprocal_rank_fusion(_overlap(spark, d, base), R.bm25_search(base, K), K)
 
 
 @query("hybrid_rrf", f"WITH {_FUSED} SELECT * FROM fused")
@@ -163,8 +164,8 @@ _RERANKED = f"""{_FUSED}, rr AS (SELECT f.query_id, f.chunk_id, f.rank AS before
 reranked AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score, before FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM rr) WHERE rank <= 3)"""
 
 
-def _reranked(spark, d):
-    pairs = _fused(spark, d).join(passages(spark, d).withColumnRenamed("text", "question"), "query_id").join(documents(spark, d), "chunk_id")
+def _reranked(spark, d, base=None):
+    pairs = _fused(spark, d, base).join(passages(spark, d).withColumnRenamed("text", "question"), "query_id").join(documents(spark, d), "chunk_id")
     return R.rerank(pairs, R.term_overlap(F.col("question"), F.col("text")), 3)
 
 
@@ -189,7 +190,8 @@ _REPORT = "count(*) AS n_queries, round(avg(CAST(rank BETWEEN 1 AND 1 AS INT)),
 
 
 def rankings(spark, d):
-    modes = {"overlap": _overlap(spark, d), "sparse": R.bm25_search(_bm25(spark, d), K), "hybrid": _fused(spark, d), "rerank": _reranked(spark, d)}
+    base = _bm25(spark, d).persist()  # every mode ranks the same scores
+    modes = {"overlap": _overlap(spark, d, base), "sparse": R.bm25_search(base, K), "hybrid": _fused(spark, d, base), "rerank": _reranked(spark, d, base)}
     out = None
     for mode, r in modes.items():
         part = r.select(F.lit(mode).alias("mode"), "query_id", "rank", "chunk_id")

@@ -51,7 +51,7 @@ def sitemap_locations(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
 
 def robots_sitemaps(robots: Column) -> Column:
     """Sitemap lines of a robots file."""
-    return F.transform(F.regexp_extract_all(robots, F.lit(r"(?im)^sitemap:\s*(\S+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(robots, F.lit(r"(?im)^sitemap:\s*(\S+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def select_urls(urls: DataFrame, url_contains: str | None = None, cap: int = 500, source: str | None = None, order: str = "pos") -> DataFrame:
