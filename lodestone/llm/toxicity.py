@@ -37,6 +37,8 @@ BASE_BYTES = 16_000
 MAX_SEGMENTS = 120
 #: A segment marks a class if this many times commoner there.
 MARKING = 12
+#: ... and this sure of it, in standard errors.
+SURE = 5.0
 LEVEL = 6
 MIN_MATCH = 3
 FEATURES = 12
@@ -62,13 +64,13 @@ def _gram_hashes(data: bytes, n: int) -> np.ndarray:
 
 
 def without_copies(docs: list[bytes]) -> list[bytes]:
-    """The texts that share none of four minimum hashes of 13-byte grams with an earlier one: a copied text counts once."""
+    """The texts that share at most one of four minimum hashes of 24-byte grams with earlier ones: a copied text counts once."""
     seen: set[tuple[int, int]] = set()
     kept = []
     for b in docs:
-        h = _gram_hashes(b, 13)
+        h = _gram_hashes(b, 24)
         own = {(k, int((h * np.uint64(odd)).min())) for k, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))} if len(h) else {(-1, hash(b))}
-        if not own & seen:
+        if len(own & seen) < min(2, len(own)):
             kept.append(b)
         seen |= own
     return kept
@@ -80,9 +82,11 @@ def _doc_counts(docs: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _log_odds(c: np.ndarray, n: int, o: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """How much commoner among n own texts than among m others, and the same over its standard error."""
+    """How much commoner among n own texts than among m others, and the root of the likelihood ratio against equal rates."""
     lo = np.log((c + 0.5) / (n + 1)) - np.log((o + 0.5) / (m + 1))
-    return lo, lo / np.sqrt(1 / (c + 0.5) + 1 / (o + 0.5))
+    own, other = (c + o) * n / max(1, n + m), (c + o) * m / max(1, n + m)
+    ratio = c * np.log(np.maximum(c, 1e-9) / np.maximum(own, 1e-9)) + o * np.log(np.maximum(o, 1e-9) / np.maximum(other, 1e-9))
+    return lo, np.sqrt(np.maximum(2 * ratio, 0))
 
 
 def marking_segments(own: list[bytes], other: list[bytes], limit: int = MAX_SEGMENTS) -> list[bytes]:
@@ -96,7 +100,7 @@ def marking_segments(own: list[bytes], other: list[bytes], limit: int = MAX_SEGM
         k = np.minimum(np.searchsorted(v, u), max(0, len(v) - 1))
         o = np.where(v[k] == u, e[k], 0) if len(v) else np.zeros(len(u))
         lo, z = _log_odds(c, len(own), o, len(other))
-        grams = u[(z > 3.5) & (lo > np.log(MARKING)) & (c >= 4)]
+        grams = u[(z > SURE) & (lo > np.log(MARKING))]
         if not len(grams):
             continue
         for b in own:
@@ -115,7 +119,7 @@ def marking_segments(own: list[bytes], other: list[bytes], limit: int = MAX_SEGM
     lo, z = _log_odds(c, len(own), o, len(other))
     picked: list[bytes] = []
     for i in np.argsort(-z, kind="stable"):
-        if lo[i] > np.log(MARKING) and z[i] > 3.5 and not any(likely[i] in p or p in likely[i] for p in picked):
+        if lo[i] > np.log(MARKING) and z[i] > SURE and not any(likely[i] in p or p in likely[i] for p in picked):
             picked.append(likely[i])
         if len(picked) == limit:
             break
