@@ -211,9 +211,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
 
 
 # -- similarity of 0.8 and below: wide fingerprints and keys of sure bits ------------------------------------------
-#: A pair of similarity s differs in this share of bits, on average: the angle of its shingle sets, in half turns.
-def expected_share(similarity: float) -> float:
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def distance_at(similarity: float, bits: int = 128) -> int:
+    """Bits in which pairs of this similarity differ, at most: the mean and a standard deviation.
+
+    The mean is the angle between the shingle sets in half turns; five in six pairs at the bound itself, and nearly
+    all closer ones, are within.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
 SURE_BITS = 8
@@ -241,7 +246,7 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
     """``docs`` with one row of each class of near-duplicates: that with the least id.
 
     A link is a pair that shares a key of three of its surest bits and whose 128-bit fingerprints differ in at most
-    the share of bits that the similarity leads to expect. Pivot distances discard pairs before that. Rows with a null
+    as many bits as the similarity leads to expect. Pivot distances discard pairs before that. Rows with a null
     id can't be referred to and stay; of rows of one id that stays, one stays.
     """
 
@@ -254,7 +259,7 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
     rows = written(known.select("id", "w.f0", "w.f1", "w.keys"), "fingerprints")
     own = rows.groupBy("f0", "f1").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
     keyed = own.select("node", "f0", "f1", F.explode("keys").alias("k")).withColumn("t", F.lit(0).cast("long"))
-    roots = connected_components(linked(keyed, round(128 * expected_share(similarity)), ["f0", "f1"]))
+    roots = connected_components(linked(keyed, distance_at(similarity), ["f0", "f1"]))
     gone = roots.where("node <> root").select("node")
     kept = own.select("node").join(gone, "node", "left_anti").withColumnRenamed("node", "__kept")
     first = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text)))

@@ -84,6 +84,10 @@ def test_large_group_keeps_every_component():
     assert len(a) < len(x)
 
 
+def test_distance_grows_as_similarity_falls():
+    assert simhash.distance_at(1.0) == 0 and simhash.distance_at(0.8) == 23 < simhash.distance_at(0.5) < 64
+
+
 def test_wide_fingerprints_tell_copies_from_strangers():
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
@@ -92,7 +96,7 @@ def test_wide_fingerprints_tell_copies_from_strangers():
     far = rng.choices(words, k=300)
     a, b, c = (simhash.wide_fingerprint(" ".join(w), 5) for w in (base, close, far))
     apart = lambda p, q: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(p[:2], q[:2]))
-    limit = round(128 * simhash.expected_share(0.8))
+    limit = simhash.distance_at(0.8)
     assert apart(a, b) <= limit < apart(a, c) and set(a[2]) & set(b[2])
 
 
