@@ -43,9 +43,9 @@ def letter_vector(code: int) -> np.ndarray:
 
 
 def normalised(text: str | None) -> str:
-    """Lower-case words of letters, one space around each; empty if there is no letter."""
+    """Lower-case words, one space around each, without digits and signs; empty if there is no letter."""
     words = _BETWEEN.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+    return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
 def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
