@@ -257,7 +257,7 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), wide(F.col(text)).alias("w"))
     rows = written(known.select("id", "w.f0", "w.f1", "w.keys"), "fingerprints")
-    own = rows.groupBy("f0", "f1").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    own = rows.groupBy("f0", "f1").agg(F.min("id").alias("node"), F.min("keys").alias("keys"))
     keyed = own.select("node", "f0", "f1", F.explode("keys").alias("k")).withColumn("t", F.lit(0).cast("long"))
     roots = connected_components(linked(keyed, distance_at(similarity), ["f0", "f1"]))
     gone = roots.where("node <> root").select("node")
