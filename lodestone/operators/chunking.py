@@ -186,18 +186,31 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\x02"), "\x02"), lambda s: F.trim(s) != "")
 
 
-def sentence_groups(parts: Column, most: int = 4_000) -> Column:
-    """Sentences packed greedily into pieces of at most ``most`` characters, joined by spaces."""
+def sentence_groups(parts: Column, most: int = 4_000, joint: str = " ") -> Column:
+    """Sentences (or lines) packed greedily into pieces of at most ``most`` characters, unless one alone is longer."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def add(state: Column, s: Column) -> Column:
         fits = (state["now"] == "") | (F.length(state["now"]) + 1 + F.length(s) <= most)
-        longer = F.when(state["now"] == "", s).otherwise(F.concat(state["now"], F.lit(" "), s))
+        longer = F.when(state["now"] == "", s).otherwise(F.concat(state["now"], F.lit(joint), s))
         return F.when(fits, F.struct(state["done"].alias("done"), longer.alias("now"))).otherwise(F.struct(F.array_append(state["done"], state["now"]).alias("done"), s.alias("now")))
 
     return F.aggregate(parts, start, add, lambda state: F.when(state["now"] == "", state["done"]).otherwise(F.array_append(state["done"], state["now"])))
 
 
+def split_oversize(blocks: DataFrame, over: int = 5_000, lines: int = 3_000, most: int = 4_000, doc: str = "doc_id") -> DataFrame:
+    """``blocks`` with text of more than ``over`` characters cut: lines packed to ``lines`` characters, and pieces still over ``most`` by sentences.
+
+    Blocks are numbered anew within the document.
+    """
+    packed = sentence_groups(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), lines, "\n")
+    pieces = F.flatten(F.transform(packed, lambda p: F.when(F.length(p) > most, sentence_groups(sentences(p), most)).otherwise(F.array(p))))
+    large = (F.length("content") > over) & ~F.col("kind").isin("code", "heading")
+    cut = blocks.select("*", F.posexplode(F.when(large, pieces).otherwise(F.array("content"))).alias("__part", "__piece"))
+    idx = F.row_number().over(W.partitionBy(doc).orderBy("idx", "__part")) - 1
+    return cut.withColumn("idx", idx).withColumn("content", F.col("__piece")).drop("__part", "__piece")
+
+
 def merge_orphan_tables(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Pipe rows of as many columns as the table before them join it: (doc, run, content, n_blocks)."""
     lines = F.split("content", "\n")
@@ -214,5 +227,5 @@ def merge_orphan_tables(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def chunk_documents(docs: DataFrame, config: ChunkingConfig = DEFAULT, doc: str = "doc_id", markdown: str = "markdown") -> DataFrame:
     """Documents to merged chunks."""
-    blocks = with_tokens(section_blocks(docs.select(F.col(doc).alias("doc_id"), F.col(markdown).alias("markdown"))))
+    blocks = with_tokens(split_oversize(section_blocks(docs.select(F.col(doc).alias("doc_id"), F.col(markdown).alias("markdown")))))
     return merge_tiny(pack(blocks, config), config)

@@ -15,7 +15,9 @@ from lodestone.operators import observability as O
 from lodestone.operators import registry as G
 from lodestone.operators.slots import embed
 from lodestone.plans.common import BLOCKS, KIND, lit, markdown_docs, query, sql_tokens, sql_word_count, table
-from lodestone.streaming.ingest import job_progress
+from lodestone.sources.golden import parse_eval_queries
+from lodestone.sources.ingest import pages_to_documents
+from lodestone.streaming.ingest import job_progress, new_folder, stream_ingest, stream_progress
 
 # -- chunking -------------------------------------------------------------------------------------------------------
 _LINES = f"lines AS (SELECT doc_id, content, idx - 1 AS idx, {sql_tokens('content')} AS tokens FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -258,9 +260,13 @@ _REG = "reg AS (SELECT doc_id, source AS tenant_id, CASE doc_id % 4 WHEN 0 THEN
 
 
 def job_events(spark, d):
+    return as_job_events(table(spark, d, "events"))
+
+
+def as_job_events(events):
     t = F.col("event_type")
     status = F.when(t == "signup", "queued").when(t.isin("view", "click"), "processing").when(t == "purchase", "complete").otherwise("failed")
-    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", status.alias("status"), F.when(t == "error", F.concat(F.lit("error "), "event_id")).alias("error"), F.get_json_object("props", "$.k").cast("int").alias("pct"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", status.alias("status"), F.when(t == "error", F.concat(F.lit("error "), "event_id")).alias("error"), F.get_json_object("props", "$.k").cast("int").alias("pct"))
 
 
 def registered_docs(spark, d):
@@ -428,3 +434,40 @@ def stage_durations(spark, d):
 @query("job_progress", f"WITH {_EVENTS} SELECT job_id, arg_max(status, seq) AS status, max(pct) AS progress_pct, count(*) AS n_events FROM ev GROUP BY job_id")
 def job_progress_(spark, d):
     return job_progress(job_events(spark, d))
+
+
+# -- golden sets and streams ----------------------------------------------------------------------------------------
+@query(
+    "load_eval_queries",
+    "SELECT item_id, text AS query, CASE WHEN item_id % 2 = 0 THEN 'topic' ELSE 'Unknown' END AS expected_topic, 'concept' AS expected_content_type, CASE WHEN item_id % 3 = 0 THEN 'a,b' ELSE '' END AS acceptable_documents, '' AS acceptable_headings, 'medium' AS difficulty, 'Concept' AS category FROM benchmark",
+)
+def load_eval_queries(spark, d):
+    fields = F.struct(F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, "topic").alias("expected_topic"), F.when(F.col("item_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("acceptable_documents"))
+    found = parse_eval_queries(table(spark, d, "benchmark").select("item_id", F.to_json(fields).alias("record")))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("acceptable_documents", "acceptable_headings")})
+
+
+@query("split_oversize")
+def split_oversize(spark, d):
+    """Whole documents as one block each, cut at lines and sentences."""
+    rows = table(spark, d, "documents").select("doc_id", F.lit(0).alias("idx"), F.col("text").alias("content"), F.lit("text").alias("kind"))
+    return K.split_oversize(rows).select("doc_id", "idx", F.length("content").alias("chars"))
+
+
+@query("stream_ingest")
+def stream_ingest_(spark, d):
+    """Pages as a stream, cleaned, chunked, embedded and upserted; the chunk table afterwards."""
+    target, mark = new_folder(spark, "chunks"), new_folder(spark, "mark")
+
+    def documents(pages):
+        return pages_to_documents(pages).select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("tenant_id"), F.col("page_id").alias("doc_id"), "url", "markdown")
+
+    stream_ingest(spark, f"{d}/pages.parque[t]", table(spark, d, "pages").schema, target, mark, prepare=documents).awaitTermination()
+    return spark.read.parquet(target).select("tenant_id", "doc_id", "chunk_id", "tokens", "content_type")
+
+
+@query("stream_job_progress", f"WITH {_EVENTS} SELECT job_id, arg_max(status, seq) AS status, max(pct) AS progress_pct, count(*) AS n_events FROM ev GROUP BY job_id")
+def stream_job_progress(spark, d):
+    target, mark = new_folder(spark, "progress"), new_folder(spark, "mark")
+    stream_progress(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, target, mark, as_job_events).awaitTermination()
+    return spark.read.parquet(target)

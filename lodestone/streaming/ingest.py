@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from lodestone.operators import cleaning, registry
 from lodestone.operators.chunking import chunk_documents, chunk_id
@@ -40,12 +44,29 @@ def ingest_batch(docs: DataFrame, target: str) -> None:
     write_by_tenant(new, target)
 
 
-def stream_ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files_per_batch: int = 10) -> StreamingQuery:
-    """Ingests what is new in a folder of Parquet files and stops; the checkpoint says where to resume."""
+def stream_ingest(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, files_per_batch: int = 10, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Ingests what is new in a folder of Parquet files and stops; the checkpoint says where to resume.
+
+    ``prepare`` makes documents (tenant_id, doc_id, url, markdown) of a batch that holds something else.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(df, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(prepare(df) if prepare else df, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_progress(events: DataFrame) -> DataFrame:
     """Latest status and highest progress of each job, for batch tables and for streams in update mode."""
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("pct").alias("progress_pct"), F.count("*").alias("n_events"))
+
+
+def stream_progress(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Keeps the table of job progress up to date with what is new in a folder of events, and stops."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    progress = job_progress(prepare(stream) if prepare else stream)
+    write = lambda df, _: df.write.mode("overwrite").parquet(target)
+    return progress.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder that the cluster shares."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -175,6 +175,23 @@ def test_truncation(spark):
     assert got.endswith("w [TRUNCATED]") and len(got.split()) == 1539 and one(spark, tokens) == 2000
 
 
+def test_oversize_blocks_are_cut(spark):
+    line = "A sentence of some words. " * 60
+    rows = [(1, 0, "short", "text"), (1, 1, "\n".join([line] * 4), "text"), (1, 2, "```" + "x" * 6000 + "```", "code"), (2, 0, "word " * 1200 + ". End.", "text")]
+    got = K.split_oversize(spark.createDataFrame(rows, "doc_id int, idx int, content string, kind string")).orderBy("doc_id", "idx").collect()
+    assert [r["idx"] for r in got if r["doc_id"] == 1] == [0, 1, 2, 3, 4, 5][: len([r for r in got if r["doc_id"] == 1])]
+    assert got[0]["content"] == "short" and any(len(r["content"]) > 6000 and r["kind"] == "code" for r in got)
+    assert all(len(r["content"]) <= 4000 for r in got if r["kind"] == "text" and r["doc_id"] == 1)
+
+
+def test_golden_sets(spark, tmp_path):
+    from lodestone.sources.golden import load_eval_queries
+
+    (tmp_path / "g.json").write_text(json.dumps([{"query": "a", "difficulty": "hard"}, {"query": "b", "acceptable_documents": ["d"]}]))
+    got = {r["query"]: r for r in load_eval_queries(spark, str(tmp_path / "g.json")).collect()}
+    assert got["a"]["difficulty"] == "hard" and got["b"]["difficulty"] == "medium" and got["a"]["acceptable_documents"] == [] and got["b"]["category"] == "Concept"
+
+
 def test_orphan_tables(spark):
     rows = [(1, 0, "|a|b|\n|---|---|\n|1|2|"), (1, 1, "|3|4|\n|5|6|"), (1, 2, "|x|\n|y|"), (1, 3, "text")]
     got = K.merge_orphan_tables(spark.createDataFrame(rows, "doc_id int, idx int, content string")).orderBy("run").collect()
