@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.language import UNKNOWN, fit_languages
+from lodestone.llm.language import fit_likeness
 from lodestone.llm.packing import pack
 from lodestone.llm.pii import default_key, pseudonymise
 from lodestone.llm.shared import bounded_batches, new_path, table, written_at
@@ -16,8 +16,6 @@ from lodestone.llm.toxicity import fit_toxicity
 
 #: Documents at least this likely toxic go. Toxic texts are one in ten, so this is already many times the usual likelihood.
 TOXIC = 0.3
-#: Documents whose nearest language is at least this far off (half of 1 + cosine) go.
-FOREIGN = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +25,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter or unlike every language of the corpus."""
+    """Rejects documents without a letter or unlike every language of the corpus, by bars that its own documents set."""
     bounded_batches(spark)
-    model = fit_languages(docs, fold=None)
-    found = model.predict(docs, lang="__language", score="__likeness")
-    return found.where((F.col("__language") != UNKNOWN) & (F.col("__likeness") > FOREIGN)).drop("__language", "__likeness")
+    return docs.where(~fit_likeness(docs).unlike("text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

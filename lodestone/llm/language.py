@@ -17,12 +17,13 @@ whatever their names, pass through unchanged.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -197,18 +198,19 @@ def fit_texts(pairs: list[tuple[str, str]]) -> LanguageModel:
     return fit_sums(langs, np.stack([sums[k] for k in langs]) if langs else np.zeros((0, DIM)))
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = (4, 2)) -> LanguageModel:
-    """Learns from text and non-null lang of rows outside the held-out fold (crc32 of the id modulo ``fold[0]`` is ``fold[1]``).
-
-    Workers bundle the sample and send one vector for each task and language.
-    """
+def learnt(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = (4, 2)) -> DataFrame:
+    """(lang, text): the bounded sample to learn from, of rows outside the held-out fold (crc32 of the id modulo ``fold[0]`` is ``fold[1]``)."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     if fold:
         known = known.where(F.coalesce(id_fold("doc_id", fold[0]) != fold[1], F.lit(False)))
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     share = sizes.select("lang", (F.lit(float(max_docs)) / F.col("count")).alias("share"))
     rows = known.join(F.broadcast(share), "lang").where(hash_share("doc_id") < F.col("share")).select("lang", "text", hash_order("doc_id").alias("k"))
-    rows = rows.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("k", "text"))).where((F.col("upto") <= max_chars) | (F.col("upto") == F.length("text"))).select("lang", "text")
+    return rows.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("k", "text"))).where((F.col("upto") <= max_chars) | (F.col("upto") == F.length("text"))).select("lang", "text")
+
+
+def language_sums(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and the sums of their bundles. Workers bundle the sample and send one vector for each task and language."""
 
     def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = bundled(pair for batch in batches for pair in zip(batch["lang"], batch["text"]))
@@ -218,7 +220,119 @@ def fit_languages(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000
     for r in rows.mapInPandas(sums_of, "lang string, bundle binary").collect():
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["bundle"])
     langs = sorted(total)
-    return fit_sums(langs, np.stack([total[k] for k in langs]) if langs else np.zeros((0, DIM)))
+    return langs, np.stack([total[k] for k in langs]) if langs else np.zeros((0, DIM))
+
+
+def fit_languages(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = (4, 2)) -> LanguageModel:
+    """Learns from text and non-null lang of rows of the sample ``learnt``."""
+    return fit_sums(*language_sums(learnt(docs, max_docs, max_chars, max_langs, fold)))
+
+
+# -- texts unlike every language ------------------------------------------------------------------------------------
+#: Numbers of n-grams from which a bar of its own holds; shorter texts than the first can't be told from a language's.
+SIZES = (16, 64, 256, 1024)
+#: A bar is this quantile of the learnt texts' likeness, times the slack.
+LOW, SLACK = 0.01, 0.75
+#: Fewer learnt texts than this set no bar.
+MIN_TEXTS = 30
+
+
+def likeness(product: np.ndarray, n: float) -> np.ndarray:
+    """Mean cosine of a text's n-grams with fixed unit vectors; unlike a bundle's cosine it doesn't grow with the text."""
+    return product / (n * np.sqrt(DIM))
+
+
+def calibration(texts: Iterator[tuple[str, str]], langs: list[str], sums: np.ndarray) -> Iterator[tuple[str, int, float]]:
+    """(language, place in ``SIZES``, likeness) of learnt texts and excerpts of them, to their language without the text itself."""
+    norms = np.linalg.norm(sums, axis=1)
+    products, at = Products(sums / np.maximum(norms[:, None], 1e-12)), {k: i for i, k in enumerate(langs)}
+    for lang, text in texts:
+        if lang not in at or (own := grams_of(text)) is None:
+            continue
+        i, (grams, count) = at[lang], own
+        length, size = np.sqrt(float((count.astype(float) ** 2).sum())), norms[at[lang]]
+        rest = size**2 - 2 * size * products.of(grams, count.astype(np.float32))[i] / length + DIM
+        if rest < DIM / 2:
+            continue  # The only text of its language.
+        words = normalised(text)
+        for k, n in enumerate(SIZES):
+            if len(words) - N + 1 < n:
+                break
+            upto = len(words) if k + 1 == len(SIZES) or len(words) - N + 1 < SIZES[k + 1] else n + N - 1
+            start = zlib.crc32(words[:64].encode()) % (len(words) - upto + 1)
+            if (part := grams_of(words[start : start + upto])) is None:
+                continue
+            g, c = part
+            shared = np.searchsorted(grams, g)
+            known = grams[np.minimum(shared, len(grams) - 1)] == g
+            itself = DIM * float((c[known] * count[shared[known]]).sum()) / length
+            product = (size * products.of(g, c.astype(np.float32))[i] - itself) / np.sqrt(rest)
+            yield lang, k, float(likeness(product, float(c.sum())))
+
+
+@dataclass(frozen=True)
+class Likeness:
+    """Languages' unit prototypes, not centred, and for each the least likeness of a text of each size that is still its own."""
+
+    langs: tuple[str, ...]
+    prototypes: np.ndarray
+    bars: np.ndarray
+
+    def unlike_texts(self, texts: Iterator[str | None], products: Products | None = None) -> list[bool]:
+        """Whether a text has no letter or is below every language's bar. Texts too short to tell aren't."""
+        products, out = products or Products(self.prototypes), []
+        for text in texts:
+            own = grams_of(text)
+            if own is None or not self.langs:
+                out.append(True)
+                continue
+            grams, count = own
+            n = int(count.sum())
+            k = int(np.searchsorted(SIZES, n, side="right")) - 1
+            out.append(k >= 0 and bool((likeness(products.of(grams, count.astype(np.float32)), n) < self.bars[:, k]).all()))
+        return out
+
+    def unlike(self, text: str = "text") -> Column:
+        model = self
+
+        @F.pandas_udf("boolean")
+        def foreign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            products = Products(model.prototypes)
+            for batch in batches:
+                yield pd.Series(model.unlike_texts(batch, products), dtype=bool)
+
+        return foreign(F.col(text))
+
+
+def bars_of(langs: list[str], quantiles: dict[tuple[str, int], tuple[float, int]]) -> np.ndarray:
+    """Bars from (quantile, texts) by language and size; a language with few texts takes the least of the others'."""
+    bars = np.full((len(langs), len(SIZES)), np.nan)
+    for i, lang in enumerate(langs):
+        for k in range(len(SIZES)):
+            low, n = quantiles.get((lang, k), (0.0, 0))
+            if n >= MIN_TEXTS:
+                bars[i, k] = SLACK * low
+    for k in range(len(SIZES)):
+        known = bars[~np.isnan(bars[:, k]), k]
+        bars[np.isnan(bars[:, k]), k] = known.min() if len(known) else -np.inf
+    return bars
+
+
+def fit_likeness(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = None) -> Likeness:
+    """Learns the languages of ``docs`` and, from the same sample, how unlike its language a text may be.
+
+    Nothing of a text is collected: workers send sums, and a quantile for each language and size.
+    """
+    rows = learnt(docs, max_docs, max_chars, max_langs, fold)
+    langs, sums = language_sums(rows)
+
+    def likenesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(calibration((pair for batch in batches for pair in zip(batch["lang"], batch["text"])), langs, sums))
+        yield pd.DataFrame({"lang": pd.Series([x[0] for x in found], dtype=object), "k": pd.Series([x[1] for x in found], dtype="int32"), "x": pd.Series([x[2] for x in found], dtype=float)})
+
+    each = rows.mapInPandas(likenesses, "lang string, k int, x double").groupBy("lang", "k").agg(F.percentile_approx("x", LOW, 10_000).alias("low"), F.count("*").alias("n"))
+    bars = bars_of(langs, {(r["lang"], r["k"]): (r["low"], r["n"]) for r in each.collect()} if langs else {})
+    return Likeness(tuple(langs), sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), bars)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,26 @@ def test_stages(spark, folder, tmp_path):
     assert pieces.groupby("doc_id")["length"].sum().to_dict() == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in after.items()}
 
 
+def test_foreign_and_random_texts_go(spark):
+    """Two languages are learnt; a text of neither goes, whatever its words, and both languages' own stay."""
+    rng = random.Random(13)
+    syllables = {"aa": ["ta", "ro", "mi", "ne", "su", "ka", "lo", "vi"], "bb": ["gry", "sten", "orv", "lunk", "eff", "dwi", "psa", "umb"], "xx": ["zhe", "qi", "xou", "yang", "jia", "hww", "cik", "fzo"]}
+
+    def said(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 4))) for _ in range(n))
+
+    rows = [(k, said(lang, rng.choice([8, 30, 120, 400])), lang) for k, lang in enumerate(["aa", "bb"] * 150)]
+    foreign = [(1000 + k, said("xx", rng.choice([30, 120, 400])), None) for k in range(40)]
+    noise = [(2000 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(80)), None) for k in range(40)]
+    rows += [*foreign, *noise, (3000, "日本語の文章です。" * 20, None), (3001, "12 34", "aa"), (3002, None, "aa"), (3003, "taro", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, "")
+    kept = [r["doc_id"] for r in got.collect()]
+    assert got.columns == docs.columns and len(kept) == len(set(kept))
+    assert not [i for i in kept if 1000 <= i < 3003] and 3003 in kept
+    assert len([i for i in kept if i < 1000]) >= 297
+
+
 def test_private_data_goes(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id = 320")
     new = corpus_pipeline.pseudonyms(spark, docs, folder).first()
