@@ -201,34 +201,51 @@ FORMS: tuple[tuple[str, str, Callable[[Feistel, str], str | None]], ...] = (
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-. ]\d{3}[-. ]\d{4})(?![\d@])", _phone),
 )
 _ANY = re.compile("|".join(f"(?P<f{k}>{pattern})" for k, (_, pattern, _) in enumerate(FORMS)))
+#: Each form alone, and what must not follow it.
+_FORM = [re.compile(pattern) for _, pattern, _ in FORMS]
+_AFTER = [re.compile(m[0] if (m := re.search(r"\(\?![^()]*\)$", pattern)) else "") for _, pattern, _ in FORMS]
 _HINT = re.compile(r"[0-9@]|(?i:token|key|secret|password) = \"")
 
 
+def _valid_at(line: str, start: int, first: int, feistel: Feistel) -> tuple[int, str, str] | None:
+    """(end, kind, pseudonym) of a valid value at ``start``: of the first form from ``first`` on, its longest valid end."""
+    for k in range(first, len(FORMS)):
+        if (m := _FORM[k].match(line, start)) is None:
+            continue
+        for end in range(m.end(), start, -1):
+            # A shorter end must be one that the form could have where it stands.
+            if end < m.end() and not (_AFTER[k].match(line, end) and _FORM[k].fullmatch(line, start, end)):
+                continue
+            if (new := FORMS[k][2](feistel, line[start:end])) is not None:
+                return end, FORMS[k][0], new
+    return None
+
+
+def _replaced(line: str, feistel: Feistel, found: dict[str, int]) -> str:
+    """``line`` with its valid values replaced. A candidate that isn't valid hides nothing: search goes on one character past its start."""
+    out, done, at = [], 0, 0
+    while (m := _ANY.search(line, at)) is not None:
+        valid = _valid_at(line, m.start(), int(m.lastgroup[1:]), feistel)
+        if valid is None:
+            at = m.start() + 1
+            continue
+        end, kind, new = valid
+        out += [line[done : m.start()], new]
+        found[kind] += 1
+        done = at = end
+    return "".join([*out, line[done:]])
+
+
 def pseudonymised(text: str | None, feistel: Feistel) -> tuple[str | None, dict[str, int]]:
     """The text with every valid value replaced, and how many of each kind."""
     found = dict.fromkeys(KINDS, 0)
     if not text or _HINT.search(text) is None:
         return text, found
 
-    def replaced(m: re.Match) -> str:
-        kind, _, permute = FORMS[int(m.lastgroup[1:])]
-        new = permute(feistel, m[0])
-        if new is None:
-            # Not valid as this form: later forms may still take it or a part of it.
-            for k in range(int(m.lastgroup[1:]) + 1, len(FORMS)):
-                other = re.fullmatch(FORMS[k][1], m[0])
-                if other and (new := FORMS[k][2](feistel, m[0])) is not None:
-                    kind = FORMS[k][0]
-                    break
-            else:
-                return m[0]
-        found[kind] += 1
-        return new
-
     lines = text.split("\n")
     for k, line in enumerate(lines):
         if _HINT.search(line):
-            lines[k] = _ANY.sub(replaced, line)
+            lines[k] = _replaced(line, feistel, found)
     return "\n".join(lines), found
 
 

@@ -179,6 +179,25 @@ def test_cards_map_to_cards_and_back(n):
     assert len(moved) == 15 and f.back(int(moved), 10**15, "card") == n
 
 
+def test_invalid_candidates_hide_no_valid_value():
+    f = pii.Feistel(b"k")
+    for line, kind, value in (
+        ("pay AT61 1904 3002 3457 3201 EUR now", "iban", "AT61 1904 3002 3457 3201"),
+        ("AT61 1904 3002 3457 3201 2024", "iban", "AT61 1904 3002 3457 3201"),
+        ("XX12 AT61 1904 3002 3457 3201", "iban", "AT61 1904 3002 3457 3201"),
+        ("order 2024 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("order 2024 2025 4111 1111 1111 1111, 99/99/2001", "card", "4111 1111 1111 1111"),
+        ("AB12 3456 7890 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ):
+        new, found = pii.pseudonymised(line, f)
+        before, after = line.split(value)
+        assert value not in new and new.startswith(before) and new.endswith(after) and len(new) == len(line)
+        assert found == dict.fromkeys(pii.KINDS, 0) | {kind: 1}
+        assert pii.pseudonymised(value, f)[0] == new[len(before) : len(line) - len(after)]
+    for line in ("4111 1111 1111 1112 3", "1.2.3.999", "666-12-1234", "AT61 1904 3002 3457 3202 EUR", "31/02/2001"):
+        assert pii.pseudonymised(line, f) == (line, dict.fromkeys(pii.KINDS, 0))
+
+
 # -- licences -------------------------------------------------------------------------------------------------------
 def test_licences_by_family_and_unknown():
     rng = random.Random(6)
