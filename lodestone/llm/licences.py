@@ -94,7 +94,9 @@ MAX_WORDS = 64
 BITS = 18
 CONFIRM = 0.5
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?:])\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: A licence tag that means the same as the SPDX one.
+_TAG = re.compile(r"(?i)(?<![\w-])licen[cs]e:\s+(?=\w)")
 
 
 def words_of(paragraph: str) -> list[str]:
@@ -107,27 +109,36 @@ def grams(words: list[str]) -> list[int]:
     return sorted({digest(" ".join(words[i : i + n])) & mask for n in (1, 2, 3) for i in range(len(words) - n + 1)})
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, str]]:
-    """(start, text) of the pieces that may be licence paragraphs."""
+def paragraphs(text: str) -> Iterator[tuple[int, str, bool]]:
+    """(start, text, whether it is joined) of the pieces that may be licence paragraphs: sentences with an anchor, alone and with their neighbours."""
     at = 0
     for line in text.split("\n"):
         low = line.lower()
         if any(a in low for a in ANCHORS):
-            start = 0
-            for m in [*_SENTENCE.finditer(line), None]:
-                piece = line[start : m.start() if m else len(line)]
-                if any(a in piece.lower() for a in ANCHORS):
-                    marks = list(_WORD.finditer(piece))
-                    for k in range(0, max(1, len(marks)), MAX_WORDS // 2):
-                        own = marks[k : k + MAX_WORDS]
-                        if own:
-                            yield at + start + own[0].start(), piece[own[0].start() : own[-1].end()]
-                        if k + MAX_WORDS >= len(marks):
-                            break
-                start = m.end() if m else 0
+            cuts = [(m.start(), m.end()) for m in _SENTENCE.finditer(line)]
+            pieces = list(zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(line)]))
+            joined = set()
+            for i, (start, end) in enumerate(pieces):
+                if any(a in line[start:end].lower() for a in ANCHORS):
+                    yield from ((at + s, piece, False) for s, piece in _windows(line, start, end))
+                    before, after = pieces[max(0, i - 1)][0], pieces[min(len(pieces) - 1, i + 1)][1]
+                    joined |= {(before, end), (start, after), (before, after)} - {(start, end)}
+            for start, end in sorted(joined):
+                yield from ((at + s, piece, True) for s, piece in _windows(line, start, end))
         at += len(line) + 1
 
 
+def _windows(line: str, start: int, end: int) -> Iterator[tuple[int, str]]:
+    """(start, text) of overlapping windows of ``MAX_WORDS`` words between two places of a line."""
+    marks = list(_WORD.finditer(line, start, end))
+    for k in range(0, max(1, len(marks)), MAX_WORDS // 2):
+        own = marks[k : k + MAX_WORDS]
+        if own:
+            yield own[0].start(), line[own[0].start() : own[-1].end()]
+        if k + MAX_WORDS >= len(marks):
+            break
+
+
 _PAIRS = {f: [(set(zip(w, w[1:])), len(w)) for t in TEMPLATES[f] for w in (words_of(t),)] for f in FAMILIES}
 
 
@@ -155,7 +166,7 @@ class LicenceModel:
 
     def classify(self, paragraph: str) -> tuple[str, float]:
         """(family, unknown or none; its probability) of a paragraph."""
-        words = words_of(paragraph)
+        words = words_of(_TAG.sub("SPDX-License-Identifier: ", paragraph))
         p = self.probabilities(words)
         best = int(p[:-1].argmax())
         if p[-1] >= p[best]:
@@ -167,12 +178,19 @@ class LicenceModel:
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(start, end, class, probability) of the paragraphs that aren't none, in order."""
-        out = []
-        for start, piece in paragraphs(text or ""):
+        known, joins, unknown = [], [], []
+        for start, piece, joined in paragraphs(text or ""):
             found, p = self.classify(piece)
-            if found != NONE:
-                out.append((start, start + len(piece), found, p))
-        return out
+            if found not in (NONE, UNKNOWN):
+                (joins if joined else known).append((start, start + len(piece), found, p))
+            elif found == UNKNOWN and not joined:
+                unknown.append((start, start + len(piece), found, p))
+        # Sentences that stand alone count as they are; neighbours only where none does, the likeliest first.
+        for part in (sorted(joins, key=lambda x: (-x[3], x[1] - x[0], x[0])), unknown):
+            for x in part:
+                if not any(a < x[1] and x[0] < b and c != UNKNOWN for a, b, c, _ in known):
+                    known.append(x)
+        return sorted(known)
 
     def scan_column(self, df: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
         """``df`` with an array of (start, end, class, probability)."""
@@ -253,7 +271,7 @@ def fit_licences(docs: DataFrame, text: str = "text", max_docs: int = 300, max_p
     for r in few.orderBy("at", "text").limit(max_docs).collect():
         for line in (r["text"] or "").split("\n"):
             piece = " ".join(line.split()[:MAX_WORDS])
-            if piece and not any(confirmed(f, words_of(s)) >= CONFIRM for s in _SENTENCE.split(piece) for f in FAMILIES if any(a in s.lower() for a in ANCHORS)):
+            if piece and not any(confirmed(f, words_of(_TAG.sub("SPDX-License-Identifier: ", s))) >= CONFIRM for _, s, _ in paragraphs(piece) for f in FAMILIES):
                 ordinary.append(piece)
     return fit_paragraphs(ordinary[:max_paragraphs])
 

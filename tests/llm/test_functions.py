@@ -214,6 +214,26 @@ def test_licences_by_family_and_unknown():
     assert text[a:b] == "Released under the MIT License"
 
 
+def test_every_template_is_found_as_a_line():
+    rng = random.Random(6)
+    model = licences.fit_paragraphs([invented(rng, 20) for _ in range(400)])
+    for family, templates in licences.TEMPLATES.items():
+        for t in templates:
+            for text in (t, f"ta romi\n{t}\nSuka lo.", f"Suka lo. {t} Vi ne."):
+                found = model.scan(text)
+                assert {c for *_, c, _ in found} - {licences.UNKNOWN} == {family}, (text, found)
+                assert all(b - a > 0 and text[a:b] in text for a, b, _, _ in found)
+    for line, family in (("License: MIT", "mit"), ("license: Apache-2.0", "apache"), ("# SPDX-License-Identifier: MIT", "mit")):
+        assert [c for *_, c, _ in model.scan(line)] == [family]
+
+
+def test_licences_side_by_side_all_count():
+    rng = random.Random(6)
+    model = licences.fit_paragraphs([invented(rng, 20) for _ in range(400)])
+    line = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [c for *_, c, _ in model.scan(line)] == ["mit", "apache"]
+
+
 # -- packing --------------------------------------------------------------------------------------------------------
 def test_combinations_fill_the_window():
     got = packing.combinations_filling(8, 3)
