@@ -93,6 +93,30 @@ def test_survivors_are_one_of_each_class(spark):
     assert simhash.near_duplicate_survivors(docs_of(spark, [])).count() == 0
 
 
+def test_survivors_are_those_of_exact_similarity(spark, monkeypatch):
+    """Pairs on both sides of 0.8, lines repeated in different texts, and a crowd of near copies, against brute force."""
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for _ in range(120):
+        base = rng.choices(words, k=rng.choice([12, 60, 150, 400]))
+        texts.append(" ".join(base))
+        n = len(base) - 4
+        for share in rng.sample([0.74, 0.78, 0.79, 0.8, 0.81, 0.82, 0.86], 2):
+            texts.append(" ".join(base[: round(n * 2 * share / (1 + share)) + 4] + rng.choices(words, k=n - round(n * 2 * share / (1 + share)))))
+    line = " ".join(rng.choices(words, k=12))
+    texts += [" ".join([*rng.choices(words, k=100), *[line] * 30]) for _ in range(40)]
+    crowd = rng.choices(words, k=100)
+    texts += [" ".join([*crowd[:k], "new", *crowd[k + 1 :]]) for k in range(60)]
+    monkeypatch.setattr(simhash, "GROUP", 24)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 100
+    want = sorted({*components(len(texts), pairs)})
+    got = simhash.near_duplicate_survivors(docs_of(spark, enumerate(texts)))
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == want
+
+
 def test_toxicity_and_language_pass_rows_through(spark, rows):
     table = docs_of(spark, rows)
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)] + [(None, 1, 1), (3, 1, None)], "doc_id bigint, quality int, toxic int")
