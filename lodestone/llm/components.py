@@ -27,11 +27,11 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", made: list[str] | None = None) -> DataFrame:
     """(node, root) for every node that has a link to another one; root is the least node of its component.
 
     Null ends and links of a node to itself are left out; repeated links and both directions are fine; an empty
-    table gives an empty table.
+    table gives an empty table. The result is a table in the shared folder; its path is appended to ``made``.
     """
     spark = links.sparkSession
     now = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
@@ -48,4 +48,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         path = new
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    if made is not None:
+        made.append(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

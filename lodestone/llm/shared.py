@@ -47,6 +47,28 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys with over this share of all rows are hot; there are fewer of them than its inverse.
+HOT_SHARE = 1e-4
+
+
+def joined_evenly(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``one``, which has one row of each key; no task takes all rows of a hot key.
+
+    Hot keys' rows of ``one`` are sent to every task: ten thousand at most, whatever the size of ``rows``.
+    """
+    hot = written(rows.groupBy(key).count().where(F.col("count") > max(1_000, int(rows.count() * HOT_SHARE))).select(key), "hot")
+    few = F.broadcast(one.join(F.broadcast(hot), key))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(one, key))
+
+
 def id_fold(id_col: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds`` (null ids: null)."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -29,18 +29,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.shared import shuffle_partitions, table, written
+from lodestone.llm.shared import joined_evenly, new_path, shuffle_partitions, table, written_at
 
 SEED = 42
 PIVOTS = 24
 GROUP = 2_048
 SMALL = 12
-#: Reference fingerprints, of one or two 64-bit words.
-PIVOT_FINGERPRINTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (PIVOTS, 2), dtype=np.uint64)
+#: Reference fingerprints.
+PIVOT_FINGERPRINTS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, (PIVOTS, 1), dtype=np.uint64)
 KEY = ["t", "k", "p", "q"]
 
 
@@ -201,210 +200,14 @@ def link_fingerprints(fps: DataFrame, max_distance: int = 4, blocks: int = 6) ->
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4, blocks: int = 6) -> DataFrame:
     """(``id_col``, fp, component_id): every row's fingerprint and the least id that its links reach."""
-    rows = written(docs.select(F.col(id_col).alias("id"), fingerprints(text, shingle).alias("fp")), "fingerprints")
+    made = [new_path(docs.sparkSession, name) for name in ("fingerprints", "classes")]
+    rows = written_at(docs.select(F.col(id_col).alias("id"), fingerprints(text, shingle).alias("fp")), made[0])
     own = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(link_fingerprints(own.select("fp"), max_distance, blocks))
-    member = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = connected_components(link_fingerprints(own.select("fp"), max_distance, blocks), made=made)
+    member = written_at(own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), made[1])
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-# -- similarity of 0.8 and below: wide fingerprints and keys of sure bits ------------------------------------------
-def distance_at(similarity: float, bits: int = 128) -> int:
-    """Bits in which pairs of this similarity differ, at most: the mean and a standard deviation.
-
-    The mean is the angle between the shingle sets in half turns; five in six pairs at the bound itself, and nearly
-    all closer ones, are within.
-    """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
-
-
-SURE_BITS = 8
-KEY_BITS = 3
-KEY_SETS = np.array(list(combinations(range(SURE_BITS), KEY_BITS)))
-
-
-def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int, list[int]]:
-    """Two words of a 128-bit SimHash, and keys: every three of its eight surest bits (places and values)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh3_128_digest
-    parts = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    ones, n = np.zeros(128, np.int64), len(parts)
-    for s in range(0, n, 65_536):
-        h = np.frombuffer(b"".join(map(digest, parts[s : s + 65_536])), np.uint8).reshape(-1, 16)
-        ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = 2 * ones > n
-    a, b = np.packbits(bits, bitorder="little").view("<i8").tolist()
-    sure = np.sort(np.argsort(-np.abs(2 * ones - n), kind="stable")[:SURE_BITS])
-    code = sure * 2 + bits[sure]
-    return a, b, (code[KEY_SETS] @ np.array([1 << 16, 1 << 8, 1])).tolist()
-
-
-#: Buckets of a sketch: how many of a set's hashes fall into each, 255 at most.
-BUCKETS = 32
-SKETCH = [f"s{k}" for k in range(BUCKETS // 8)]
-#: Shingles in at least this many texts of the sample are common; they come last in the order of shingles.
-COMMON, SAMPLE, MOST_COMMON = 3, 8_000, 200_000
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a text without a word has one of its own."""
-    h = np.unique(shingle_hashes(text, shingle))
-    return h if len(h) else np.zeros(1, np.uint64)
-
-
-def sketch_of(h: np.ndarray) -> np.ndarray:
-    """Bucket counts. Two sketches differ by no more than the sets do, so a large difference rules a pair out for certain."""
-    return np.minimum(np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
-
-
-def similar(a: int, b: int, shared: int, similarity: float) -> bool:
-    return shared >= similarity * (a + b - shared) - 1e-9
-
-
-def first_shingles(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """Of a set in a fixed order, rare shingles first, so many that sets of the similarity share one of them."""
-    if len(common):
-        known = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        h = np.concatenate([h[~known], h[known]])
-    return h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
-
-
-def candidate_pairs(batches: Iterator[pd.DataFrame], similarity: float, crossing: bool) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of rows of one group (``KEY``) that sizes and sketches don't rule out; a group may span batches.
-
-    Groups of more than ``SMALL`` rows give a spanning forest of these pairs; with ``crossing`` they give, instead,
-    all pairs whose roots differ, and smaller groups give none.
-    """
-
-    def found(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        key, node, n = part[KEY].to_numpy(np.int64), part["node"].to_numpy(np.int64), part["n"].to_numpy(np.int64)
-        sketch = np.ascontiguousarray(part[SKETCH].to_numpy(np.int64)).view(np.uint8).reshape(len(part), BUCKETS).astype(np.int16)
-        root = part["root"].to_numpy(np.int64)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-        ends = np.r_[starts[1:], len(part)]
-        apart = (1 - similarity) / (1 + similarity)
-
-        def near(i: int, j: np.ndarray) -> np.ndarray:
-            j = j[(np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (node[j] != node[i])]
-            return j[np.abs(sketch[j] - sketch[i]).sum(axis=1) <= apart * (n[i] + n[j]) + 1e-6]
-
-        a, b = [], []
-        for s, e in zip(starts, ends):
-            if e - s < 2 or (crossing and e - s <= SMALL):
-                continue
-            label = np.arange(e - s)
-            for i in range(s, e - 1):
-                j = np.arange(i + 1, e)
-                if crossing:
-                    j = near(i, j[root[j] != root[i]])
-                elif e - s <= SMALL:
-                    j = near(i, j)
-                else:
-                    j = near(i, j[label[j - s] != label[i - s]])
-                    _, one = np.unique(label[j - s], return_index=True)
-                    j = j[one]
-                    if len(j):
-                        label[np.isin(label, np.r_[label[j - s], label[i - s]])] = label[i - s]
-                a.append(np.full(len(j), node[i]))
-                b.append(node[j])
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    held = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        key = held[KEY].to_numpy(np.int64)
-        at = len(held) - int((key == key[-1]).all(axis=1)[::-1].cumprod().sum())
-        if at:
-            yield from found(held.iloc[:at])
-            held = held.iloc[at:].reset_index(drop=True)
-    if held is not None:
-        yield from found(held)
-
-
-def similar_links(keyed: DataFrame, crowded: DataFrame, sets: DataFrame, similarity: float, crossing: bool) -> DataFrame:
-    """(a, b): the candidate pairs of ``keyed`` whose sets of hashes have the similarity, verified on the sets themselves.
-
-    ``crowded``: k and count of large groups. Those beyond ``GROUP`` are at most a row for that many rows, so they are broadcast.
-    """
-    sizes = F.broadcast(crowded.where(F.col("count") > GROUP))
-    parts = F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1)).cast("long")
-    dealt = keyed.join(sizes, "k", "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("t", "k", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "node", "n", "root", *SKETCH)
-    near = dealt.repartition(shuffle_partitions(keyed.sparkSession), *KEY).sortWithinPartitions(*KEY, "node")
-    pairs = near.mapInPandas(lambda batches: candidate_pairs(batches, similarity, crossing), "a bigint, b bigint").distinct()
-
-    @F.pandas_udf("boolean")
-    def verified(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            out.append(similar(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True)), similarity))
-        return pd.Series(out, dtype=bool)
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    return both.where(verified("x", "y")).select("a", "b")
-
-
-def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates: that with the least id.
-
-    A link is a pair whose sets of distinct shingles have a Jaccard similarity of ``similarity`` or more, exactly.
-    Candidates share one of the first shingles of their sets (``first_shingles``), which every such pair does; sizes
-    and sketches rule pairs out for certain; the rest are compared set by set. Large groups are gone through twice:
-    a spanning forest first, then every pair that the links found so far don't connect. Rows with a null id can't be
-    referred to and stay; of rows of one id that stays, one stays.
-    """
-
-    @F.pandas_udf("binary")
-    def hashed(batch: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).tobytes() for t in batch], dtype=object)
-
-    # Equal sets are one node, named by the hash of the set. Sets are larger than texts: they are hashed twice, not kept twice.
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), hashed(F.col(text)).alias("h"))
-    rows = written(known.select("id", F.xxhash64("h").alias("node")), "nodes-of-ids")
-    sets = written(known.select(F.xxhash64("h").alias("node"), "h").groupBy("node").agg(F.first("h").alias("h")), "nodes")
-    total = max(1, sets.count())
-
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"k": np.concatenate([np.frombuffer(h, np.int64) for h in batch["h"]] or [np.zeros(0, np.int64)])})
-
-    taken = sets.where(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(1_000_003)) < 1_000_003.0 * SAMPLE / total).select("h")
-    often = taken.mapInPandas(words_of, "k bigint").groupBy("k").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "k").limit(MOST_COMMON)
-    common = np.sort(np.array([r["k"] for r in often.select("k").collect()], np.int64).view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s in range(0, len(batch), 256):
-                part = batch.iloc[s : s + 256]
-                each = [np.frombuffer(h, np.uint64) for h in part["h"]]
-                first = [first_shingles(h, sent.value, similarity).view(np.int64) for h in each]
-                times = [len(f) for f in first]
-                sketch = np.repeat(np.stack([sketch_of(h) for h in each]).view(np.int64), times, axis=0)
-                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), times), "n": np.repeat([len(h) for h in each], times), "k": np.concatenate(first)} | {c: sketch[:, i] for i, c in enumerate(SKETCH)})
-
-    columns = "node bigint, n bigint, k bigint, " + ", ".join(f"{c} bigint" for c in SKETCH)
-    keyed = sets.mapInPandas(keys, columns).withColumn("t", F.lit(0).cast("long"))
-    crowded = written(keyed.groupBy("k").count().where(F.col("count") > min(SMALL, GROUP)), "crowded")
-    links = written(similar_links(keyed.withColumn("root", F.col("node")), crowded, sets, similarity, False), "similar")
-    roots = connected_components(links)
-    rest = keyed.join(crowded.select("k"), "k").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    links = links.unionByName(similar_links(rest, crowded, sets, similarity, True))
-    roots = connected_components(links)
-    named = written(rows.distinct().join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "classes")
-    kept = named.groupBy("root").agg(F.min("id").alias("__kept")).select("__kept").distinct()
-    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text)))
-    stay = docs.join(kept, F.col(id_col) == F.col("__kept")).drop("__kept").withColumn("__nth", first).where("__nth = 1").drop("__nth")
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    classes = joined_evenly(member.select("fp", "root"), least, "root").select("fp", "component_id")
+    return joined_evenly(rows, classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, language, licences, lz, multi_index, packing, pii, simhash, toxicity, warc
+from lodestone.llm import bpe, language, licences, lz, multi_index, near_duplicates, packing, pii, simhash, toxicity, warc
 
 ALPHABET = ["a", "b", "the", "ing", " ", "  ", "\n", "'s", "'ll", "1", "23", "é", "日本", "!", "..", "\t", "\xa0", "'", "tion", "<|endoftext|>", "<|", "ß", "😀", "Σ", "\x1c"]
 
@@ -84,20 +84,29 @@ def test_large_group_keeps_every_component():
     assert len(a) < len(x)
 
 
-def test_distance_grows_as_similarity_falls():
-    assert simhash.distance_at(1.0) == 0 and simhash.distance_at(0.8) == 23 < simhash.distance_at(0.5) < 64
-
-
-def test_wide_fingerprints_tell_copies_from_strangers():
-    rng = random.Random(4)
-    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
-    base = rng.choices(words, k=300)
-    close = base[:150] + ["changed"] + base[151:]
-    far = rng.choices(words, k=300)
-    a, b, c = (simhash.wide_fingerprint(" ".join(w), 5) for w in (base, close, far))
-    apart = lambda p, q: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(p[:2], q[:2]))
-    limit = simhash.distance_at(0.8)
-    assert apart(a, b) <= limit < apart(a, c) and set(a[2]) & set(b[2])
+def test_reach_covers_pairs_at_the_similarity():
+    """Fingerprints of sets of similarity 0.8 are within reach, whatever the sizes, and strangers aren't."""
+    rng = np.random.default_rng(4)
+    for n in (4, 5, 8, 9, 30, 100, 1000):
+        far = 0
+        for _ in range(200):
+            shared = rng.integers(0, 2**64, n, dtype=np.uint64)
+            more = rng.integers(0, 2**64, n // 4, dtype=np.uint64)
+            a, b = near_duplicates.simhash_of(shared).view(np.uint64), near_duplicates.simhash_of(np.r_[shared, more]).view(np.uint64)
+            far += np.bitwise_count(a ^ b).sum() > near_duplicates.reach(np.array([n]), 0.8)[0]
+        assert far == 0
+    strangers = [near_duplicates.simhash_of(rng.integers(0, 2**64, 300, dtype=np.uint64)).view(np.uint64) for _ in range(60)]
+    assert all(np.bitwise_count(x ^ y).sum() > near_duplicates.reach(np.array([300]), 0.8)[0] for k, x in enumerate(strangers) for y in strangers[:k])
+
+
+def test_pairs_at_the_similarity_share_a_band():
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(1500):
+        shared = rng.integers(0, 2**64, 160, dtype=np.uint64)
+        a, b = (near_duplicates.band_keys(np.r_[shared, rng.integers(0, 2**64, 20, dtype=np.uint64)]) for _ in "ab")
+        missed += not {*a} & {*b}
+    assert missed <= 4
 
 
 # -- toxicity and language ------------------------------------------------------------------------------------------

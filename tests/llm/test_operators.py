@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, language, licences, lz, multi_index, packing, pii, simhash, toxicity, warc
+from lodestone.llm import bpe, language, licences, lz, multi_index, near_duplicates, packing, pii, simhash, toxicity, warc
 from lodestone.llm.components import connected_components
 from tests.llm.test_functions import brute_fingerprint, components
 
@@ -87,10 +87,10 @@ def test_survivors_are_one_of_each_class(spark):
     texts = [" ".join(rng.choices(words, k=200)) for _ in range(30)]
     near = [" ".join(["new", *t.split()[1:]]) for t in texts[:10]]
     table = docs_of(spark, [*enumerate(texts), *((100 + k, t) for k, t in enumerate(near)), (200, texts[0]), (3, texts[3]), (None, texts[1]), (300, None), (301, "")])
-    got = simhash.near_duplicate_survivors(table)
+    got = near_duplicates.near_duplicate_survivors(table)
     assert got.columns == table.columns
     assert sorted(r["doc_id"] for r in got.where("doc_id is not null").select("doc_id").collect()) == [*range(30), 300] and got.where("doc_id is null").count() == 1
-    assert simhash.near_duplicate_survivors(docs_of(spark, [])).count() == 0
+    assert near_duplicates.near_duplicate_survivors(docs_of(spark, [])).count() == 0
 
 
 def test_survivors_are_those_of_exact_similarity(spark, monkeypatch):
@@ -108,12 +108,12 @@ def test_survivors_are_those_of_exact_similarity(spark, monkeypatch):
     texts += [" ".join([*rng.choices(words, k=100), *[line] * 30]) for _ in range(40)]
     crowd = rng.choices(words, k=100)
     texts += [" ".join([*crowd[:k], "new", *crowd[k + 1 :]]) for k in range(60)]
-    monkeypatch.setattr(simhash, "GROUP", 24)
+    monkeypatch.setattr(near_duplicates, "GROUP", 24)
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
     assert len(pairs) > 100
     want = sorted({*components(len(texts), pairs)})
-    got = simhash.near_duplicate_survivors(docs_of(spark, enumerate(texts)))
+    got = near_duplicates.near_duplicate_survivors(docs_of(spark, enumerate(texts)))
     assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == want
 
 
