@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.language import fit_likeness
+from lodestone.llm.near_duplicates import near_duplicate_survivors
 from lodestone.llm.packing import pack
 from lodestone.llm.pii import default_key, pseudonymise
 from lodestone.llm.shared import bounded_batches, new_path, table, written_at
-from lodestone.llm.simhash import near_duplicate_survivors
 from lodestone.llm.toxicity import fit_toxicity
 
 #: Documents at least this likely toxic go. Toxic texts are one in ten, so this is already many times the usual likelihood.
