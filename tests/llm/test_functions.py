@@ -1,6 +1,7 @@
 """The operators' plain functions against brute force."""
 
 import random
+import time
 from array import array
 
 import numpy as np
@@ -158,10 +159,11 @@ def test_language_defined_results():
 
 
 # -- PII ------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("size", [1, 2, 7, 100, 101, 997, pii.DAYS])
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100, 101, 997, pii.RING + 1, pii.DAYS])
 def test_feistel_is_a_permutation(size):
     f = pii.Feistel(b"k")
     moved = [f.moved(x, size, "t") for x in range(size)]
+    assert size in (1, 10_001, pii.DAYS) or all(y != x for x, y in enumerate(moved))
     assert sorted(moved) == list(range(size)) and all(f.back(y, size, "t") == x for x, y in enumerate(moved))
 
 
@@ -188,6 +190,57 @@ def test_cards_map_to_cards_and_back(n):
     assert len(moved) == 15 and f.back(int(moved), 10**15, "card") == n
 
 
+@pytest.mark.parametrize("alphabet", [pii.DIGITS, pii.HEX, pii.LETTERS])
+@pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 100, 512, 10_000])
+def test_values_of_any_length_are_permuted_whole(alphabet, n):
+    """No position keeps its character more often than chance has it, and the way back gives the value."""
+    f, rng = pii.Feistel(b"k"), random.Random(n)
+    s = "".join(rng.choices(alphabet, k=n))
+    new = f.text(s, alphabet, "secret")
+    assert len(new) == n and new != s and set(new) <= set(alphabet) and f.text(new, alphabet, "secret", back=True) == s
+    if n >= 512:
+        p = 1 / len(alphabet)
+        for half in (slice(0, n // 2), slice(n // 2, n)):
+            same = sum(a == b for a, b in zip(s[half], new[half]))
+            assert same <= n / 2 * p + 5 * (n / 2 * p * (1 - p)) ** 0.5
+        other = f.text(s[:-1] + alphabet[alphabet.index(s[-1]) - 1], alphabet, "secret")
+        assert sum(a == b for a, b in zip(new, other)) < n * (p + 0.1)
+
+
+def test_long_lines_take_time_in_proportion():
+    f, rng = pii.Feistel(b"k"), random.Random(3)
+    for line in ("a b" * 330_000, "ab" * 500_000, "9" * 1_000_000, "a@" * 500_000, "." * 500_000 + "@" + "a." * 200_000 + "b", "token=" * 160_000, "".join(rng.choices("0123456789abcdef", k=1_000_000))):
+        began = time.process_time()
+        pii.pseudonymised(line, f)
+        assert time.process_time() - began < 8
+
+
+@pytest.mark.parametrize(
+    "line,value",
+    [
+        ('{"password": "abcdefgh1"}', "abcdefgh1"),
+        ('password="hunter2hunter2"', "hunter2hunter2"),
+        ("api_key: sk-12345abcdef", "sk-12345abcdef"),
+        ("apiKey=abcd1234efgh", "abcd1234efgh"),
+        ("client_secret: 'zz9-zz9-zz9'", "zz9-zz9-zz9"),
+        ('token = "abcdefghij"', "abcdefghij"),
+        ("mail m\u00fcller.\u017ei\u017eka@ex.org now", "m\u00fcller.\u017ei\u017eka"),
+        ("mail .a.bcd@x.com.", "a.bcd"),
+    ],
+)
+def test_secrets_and_names_in_their_forms(line, value):
+    new, found = pii.pseudonymised(line, pii.Feistel(b"k"))
+    before, after = line.split(value)
+    assert sum(found.values()) == 1 and new.startswith(before) and new.endswith(after) and len(new) == len(line)
+    assert not [1 for a, b in zip(value, new[len(before) :]) if a == b and a.isalnum() and ord(a) > 127]
+    assert value not in new
+
+
+def test_prose_about_keys_stays():
+    for line in ("the key: something else", '"key": "Backspace"', "monkey: bananas123", "a token: short1", "Password: required by the site"):
+        assert pii.pseudonymised(line, pii.Feistel(b"k")) == (line, dict.fromkeys(pii.KINDS, 0))
+
+
 def test_invalid_candidates_hide_no_valid_value():
     f = pii.Feistel(b"k")
     for line, kind, value in (

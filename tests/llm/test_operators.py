@@ -143,6 +143,31 @@ def test_pseudonyms_column(spark):
     assert new != "a.b9@x.example.org" and got[4]["text"] == f"again {new}" and got[2]["text"] is None and got[3]["text"] == ""
     assert got[1]["pii_found"]["email"] == got[1]["pii_found"]["ip"] == 1
     assert pii.pseudonymise(docs_of(spark, []), b"k").count() == 0
+    clash = table.withColumn("pseudonymised", F.lit(1)).withColumn("PII_found", F.lit(2))
+    done = pii.pseudonymise(clash, b"k", found=None)
+    assert done.columns == clash.columns and done.first()["PII_found"] == 2 and done.first()["pseudonymised"] == 1
+
+
+def test_the_key_is_the_sessions_own(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    drawn = pii.session_key(spark)
+    assert drawn == pii.session_key(spark) and len(spark.conf.get(pii.KEY_SETTING)) == 64
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) != drawn
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark) == pii.session_key(spark) != drawn
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_query_replaces_every_planted_value(spark, tmp_path):
+    """op5_pii itself, on a folder: what it returns is what the plain function gives for each text."""
+    texts = [(1, "card 4041894974608795 token: abc123def456"), (2, "nothing"), (3, None), (4, "x" * 50_000 + " 1999-12-31")]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in pii.op5_pii(spark, str(tmp_path)).collect()}
+    f = pii.Feistel(pii.session_key(spark))
+    for i, t in texts:
+        new, found = pii.pseudonymised(t, f)
+        assert got[i]["text"] == new and {k: got[i][f"n_{k}"] for k in pii.KINDS} == found
 
 
 def test_licence_column(spark):
