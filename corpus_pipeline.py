@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.language import fit_likeness
 from lodestone.llm.near_duplicates import near_duplicate_survivors
 from lodestone.llm.packing import pack
-from lodestone.llm.pii import default_key, pseudonymise
+from lodestone.llm.pii import session_key, pseudonymise
 from lodestone.llm.shared import bounded_batches, new_path, table, written_at
 from lodestone.llm.toxicity import fit_toxicity
 
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms of the same format."""
     bounded_batches(spark)
-    done = pseudonymise(docs, default_key(spark), found=None)
+    done = pseudonymise(docs, session_key(spark), found=None)
     return done.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else done
 
 
