@@ -6,12 +6,13 @@ a language's training texts is its prototype; a text gets the language whose pro
 Prototypes are centred: the mean of all prototypes, which carries what the languages share, is taken out.
 
 Only text is an input of a prediction. Fitting reads a bounded sample of labelled rows: about ``max_docs`` texts
-of a language (ids are hashed to a share of all), at most ``max_chars`` characters of it (or one text), and the ``max_langs`` commonest languages.
+of a language (ids are hashed to a share of all) and at most ``max_chars`` characters of it, texts over a twentieth of
+that last (one text at least). Every language with a learnable text can be predicted; the model holds a vector for each.
 
 Defined results: a null text or a text without a letter is ``und`` with score 0; a text shorter than an n-gram is
 padded with spaces, so every text with a letter gets a language; ties go to the language first in alphabetical
-order; with nothing to learn from every text is ``und``; an empty table gives an empty table. Columns of the input,
-whatever their names, pass through unchanged.
+order; with nothing to learn from every text is ``und``; an empty table gives an empty table. The output columns
+replace those of their names; other columns of the input pass through unchanged.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hash_order, hash_share, id_fold, table
+from lodestone.llm.shared import hash_order, hash_share, id_fold, shuffle_partitions, table, unused_name
 
 DIM = 1024
 N = 3
 SEED = 20_240_617
 UNKNOWN = "und"
+#: Texts that are bundled together, and n-grams of them at a time.
+TOGETHER, BLOCK = 128, 2_048
+#: Vectors of n-grams that a worker keeps, of ``DIM`` bytes each.
+KEPT_VECTORS = 48_000
 #: Memory for the inner products that a worker keeps.
 KEPT_BYTES = 64_000_000
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -62,10 +67,12 @@ def grams_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
 
 
 class Binder:
-    """Binds packed n-grams into their vectors; keeps the letters' vectors, each rolled by its distance from the end."""
+    """Binds packed n-grams into their vectors and bundles these; keeps the letters' vectors, each rolled by its
+    distance from the end, and the n-grams' vectors."""
 
     def __init__(self) -> None:
         self.letters: dict[int, np.ndarray] = {}
+        self.codes, self.kept = np.zeros(0, np.uint64), np.zeros((0, DIM), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -81,6 +88,34 @@ class Binder:
             v *= np.stack([self.letter(c)[k] for c in codes.tolist()])[at]
         return v
 
+    def bundles(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A bundle for each text's sorted distinct n-grams and counts: block by block, counts times vectors."""
+        total = np.zeros((len(texts), DIM))
+        grams = np.unique(np.concatenate([g for g, _ in texts])) if texts else np.zeros(0, np.uint64)
+        for s in range(0, len(grams), BLOCK):
+            part = grams[s : s + BLOCK]
+            counts = np.zeros((len(texts), len(part)), np.float32)
+            for k, (g, c) in enumerate(texts):
+                a, b = np.searchsorted(g, part[[0, -1]], side="left")
+                b += b < len(g) and g[b] == part[-1]
+                counts[k, np.searchsorted(part, g[a:b])] = c[a:b]
+            total += counts @ self.known(part).astype(np.float32)
+        return total
+
+    def known(self, grams: np.ndarray) -> np.ndarray:
+        """``vectors``, looked up among those kept."""
+        at = np.searchsorted(self.codes, grams)
+        have = self.codes[np.minimum(at, len(self.codes) - 1)] == grams if len(self.codes) else np.zeros(len(grams), bool)
+        if not have.all():
+            if len(self.codes) + len(grams) > KEPT_VECTORS:
+                self.codes, self.kept, have = self.codes[:0], self.kept[:0], np.zeros(len(grams), bool)
+            new = grams[~have]
+            codes, kept = np.r_[self.codes, new], np.concatenate([self.kept, self.vectors(new)])
+            order = np.argsort(codes, kind="stable")
+            self.codes, self.kept = codes[order], kept[order]
+            at = np.searchsorted(self.codes, grams)
+        return self.kept[at]
+
     def bundle(self, grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Weighted sum of the n-grams' vectors."""
         total = np.zeros(DIM)
@@ -127,31 +162,21 @@ class LanguageModel:
     prototypes: np.ndarray
     shared: np.ndarray
 
-    def nearest(self, texts: Iterator[str | None], products: Products) -> tuple[list[str], list[float]]:
-        """The nearest prototype by cosine.
-
-        A bundle's inner products are sums of its n-grams' products; its length is that of orthogonal n-gram
-        vectors, which random vectors of this dimension are to within a few hundredths.
-        """
-        found, score = [], []
-        for text in texts:
-            lang, cosine = UNKNOWN, -1.0
-            if self.langs and (own := grams_of(text)) is not None:
-                grams, count = own
-                product = products.of(grams, count.astype(np.float32))
-                square = DIM * float((count.astype(float) ** 2).sum())
-                cosines = product[:-1] / np.sqrt(max(square - product[-1] ** 2, square / DIM))
-                best = int(cosines.argmax())
-                lang, cosine = self.langs[best], float(np.clip(cosines[best], -1, 1))
-            found.append(lang)
-            score.append((1 + cosine) / 2)
+    def nearest(self, texts: list[str | None], binder: Binder) -> tuple[list[str], list[float]]:
+        """The nearest prototype by cosine of each text's bundle, centred as the prototypes are."""
+        found, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        own = [(k, g) for k, t in enumerate(texts) if self.langs and (g := grams_of(t)) is not None]
+        for s in range(0, len(own), TOGETHER):
+            part = own[s : s + TOGETHER]
+            bundles = binder.bundles([g for _, g in part])
+            bundles -= (bundles @ self.shared)[:, None] * self.shared
+            cosines = bundles @ self.prototypes.T / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-12)
+            for (k, _), best, row in zip(part, cosines.argmax(axis=1).tolist(), cosines):
+                found[k], score[k] = self.langs[best], (1 + float(np.clip(row[best], -1, 1))) / 2
         return found, score
 
-    def products(self) -> Products:
-        return Products(np.vstack([self.prototypes, self.shared[None, :]]))
-
     def predict_texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        return self.nearest(texts, self.products())
+        return self.nearest(texts, Binder())
 
     def predict(self, df: DataFrame, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
         """``df`` with the language and its score, half of 1 + cosine."""
@@ -159,12 +184,12 @@ class LanguageModel:
 
         @F.pandas_udf("lang string, score double")
         def languages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            products = model.products()
+            binder = Binder()
             for batch in batches:
-                found, score_ = model.nearest(batch, products)
+                found, score_ = model.nearest(list(batch), binder)
                 yield pd.DataFrame({"lang": pd.Series(found, dtype=object), "score": pd.Series(score_, dtype=float)})
 
-        both = "__language_of_text"
+        both = unused_name(df, "language_of_text")
         return df.withColumn(both, languages(F.col(text))).withColumns({lang: F.col(f"{both}.lang"), score: F.col(f"{both}.score")}).drop(both)
 
 
@@ -198,34 +223,40 @@ def fit_texts(pairs: list[tuple[str, str]]) -> LanguageModel:
     return fit_sums(langs, np.stack([sums[k] for k in langs]) if langs else np.zeros((0, DIM)))
 
 
-def learnt(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = (4, 2)) -> DataFrame:
+def learnt(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, fold: tuple[int, int] | None = (4, 2)) -> DataFrame:
     """(lang, text): the bounded sample to learn from, of rows outside the held-out fold (crc32 of the id modulo ``fold[0]`` is ``fold[1]``)."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     if fold:
         known = known.where(F.coalesce(id_fold("doc_id", fold[0]) != fold[1], F.lit(False)))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    share = sizes.select("lang", (F.lit(float(max_docs)) / F.col("count")).alias("share"))
+    share = known.groupBy("lang").count().select("lang", (F.lit(float(max_docs)) / F.col("count")).alias("share"))
     rows = known.join(F.broadcast(share), "lang").where(hash_share("doc_id") < F.col("share")).select("lang", "text", hash_order("doc_id").alias("k"))
-    return rows.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("k", "text"))).where((F.col("upto") <= max_chars) | (F.col("upto") == F.length("text"))).select("lang", "text")
+    n, order = F.length("text"), W.partitionBy("lang").orderBy(F.length("text") > max_chars // 20, "k", "text")
+    return rows.withColumn("upto", F.sum(n).over(order)).where((F.col("upto") <= max_chars) | (F.col("upto") == n)).select("lang", "text")
 
 
 def language_sums(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the sums of their bundles. Workers bundle the sample and send one vector for each task and language."""
+    """Languages and the sums of their bundles. Workers bundle the sample and add up; one vector for each language comes to the driver."""
 
     def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = bundled(pair for batch in batches for pair in zip(batch["lang"], batch["text"]))
         yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "bundle": pd.Series([v.tobytes() for v in sums.values()], dtype=object)})
 
-    total: dict[str, np.ndarray] = {}
-    for r in rows.mapInPandas(sums_of, "lang string, bundle binary").collect():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["bundle"])
-    langs = sorted(total)
-    return langs, np.stack([total[k] for k in langs]) if langs else np.zeros((0, DIM))
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch["lang"], batch["bundle"]):
+                total[lang] = total.get(lang, 0) + np.frombuffer(v)
+        yield pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "bundle": pd.Series([v.tobytes() for v in total.values()], dtype=object)})
+
+    schema = "lang string, bundle binary"
+    each = rows.mapInPandas(sums_of, schema).repartition(shuffle_partitions(rows.sparkSession), "lang").sortWithinPartitions("lang", "bundle")
+    found = sorted(((r["lang"], np.frombuffer(r["bundle"])) for r in each.mapInPandas(added, schema).collect()), key=lambda x: x[0])
+    return [k for k, _ in found], np.stack([v for _, v in found]) if found else np.zeros((0, DIM))
 
 
-def fit_languages(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = (4, 2)) -> LanguageModel:
+def fit_languages(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, fold: tuple[int, int] | None = (4, 2)) -> LanguageModel:
     """Learns from text and non-null lang of rows of the sample ``learnt``."""
-    return fit_sums(*language_sums(learnt(docs, max_docs, max_chars, max_langs, fold)))
+    return fit_sums(*language_sums(learnt(docs, max_docs, max_chars, fold)))
 
 
 # -- texts unlike every language ------------------------------------------------------------------------------------
@@ -318,12 +349,12 @@ def bars_of(langs: list[str], quantiles: dict[tuple[str, int], tuple[float, int]
     return bars
 
 
-def fit_likeness(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, max_langs: int = 500, fold: tuple[int, int] | None = None) -> Likeness:
+def fit_likeness(docs: DataFrame, max_docs: int = 1_500, max_chars: int = 8_000_000, fold: tuple[int, int] | None = None) -> Likeness:
     """Learns the languages of ``docs`` and, from the same sample, how unlike its language a text may be.
 
     Nothing of a text is collected: workers send sums, and a quantile for each language and size.
     """
-    rows = learnt(docs, max_docs, max_chars, max_langs, fold)
+    rows = learnt(docs, max_docs, max_chars, fold)
     langs, sums = language_sums(rows)
 
     def likenesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

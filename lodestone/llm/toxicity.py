@@ -1,23 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both hold the same base of
-ordinary text at the same offsets; each adds the byte segments that mark its own class, so the only reason for a
-window to compress differently with the two is class-bearing content. Every window of a text is compressed with
+Two zstandard dictionaries are trained by zstandard itself: one on windows of ordinary texts, and one on passages of
+toxic texts, those around byte n-grams that are commoner among toxic than among ordinary texts. The toxic one stands
+behind a copy of the ordinary one, at the same offsets from a window, so common text compresses alike with both
+and a window's two lengths differ by what the toxic passages add. Every window of a text is compressed with
 both; how much shorter the toxic dictionary makes the windows (largest gain, gains over a margin, share of
 gaining windows) is turned into a probability by a logistic calibration fitted on labelled texts that the
 dictionaries have not seen.
 
 Only text is an input of a score. Fitting reads a bounded sample of labelled rows: about ``max_docs`` texts of
-each label (ids are hashed to a share of all) and at most ``max_chars`` characters. Scoring reads whole texts.
+each label (ids are hashed to a share of all) and at most ``max_chars`` characters of a label, texts over a
+twentieth of that last (one text at least). Ids with both labels aren't learnt from. Scoring reads whole texts.
 
 Defined results: a null or empty text has no windows and scores the calibrated value of "no gain"; very long
-texts are scored in full, window by window; equal texts score equally; an empty table gives an empty table. Other
-columns of the input, whatever their names, pass through unchanged.
+texts are scored in full, window by window; equal texts score equally; an empty table gives an empty table. The
+output column replaces one of its name; other columns of the input pass through unchanged.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +35,15 @@ from lodestone.llm.shared import hash_order, hash_share, id_fold, table
 WINDOW_BYTES = 64
 STRIDE_BYTES = 48
 GRAMS = (5, 7)
-BASE_BYTES = 16_000
-MAX_SEGMENTS = 120
-#: A segment marks a class if this many times commoner there.
-MARKING = 12
+#: Sizes of the two trained dictionaries, and the most windows or passages to train one on.
+ORDINARY_BYTES, TOXIC_BYTES = 16_000, 1_536
+MAX_SAMPLES = 20_000
+#: An n-gram marks a class if this many times commoner there ...
+MARKING = 4
 #: ... and this sure of it, in standard errors.
-SURE = 5.0
+SURE = 3.5
+#: A passage: a run of marking n-grams, cut at so many bytes, and so many bytes on either side.
+RUN_BYTES, AROUND = 24, 2
 LEVEL = 6
 MIN_MATCH = 3
 FEATURES = 12
@@ -89,9 +94,9 @@ def _log_odds(c: np.ndarray, n: int, o: np.ndarray, m: int) -> tuple[np.ndarray,
     return lo, np.sqrt(np.maximum(2 * ratio, 0))
 
 
-def marking_segments(own: list[bytes], other: list[bytes], limit: int = MAX_SEGMENTS) -> list[bytes]:
-    """Byte segments that mark ``own`` texts: runs of n-grams with high log-odds, the surest first, none inside another."""
-    runs: Counter[bytes] = Counter()
+def marking_passages(own: list[bytes], other: list[bytes]) -> list[bytes]:
+    """The passages of ``own`` texts around runs of n-grams with high log-odds against ``other`` texts, in a fixed order."""
+    found: list[bytes] = []
     for n in GRAMS:
         u, c = _doc_counts(own, n)
         v, e = _doc_counts(other, n)
@@ -108,22 +113,23 @@ def marking_segments(own: list[bytes], other: list[bytes], limit: int = MAX_SEGM
             k = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
             edge = np.flatnonzero(np.diff(np.r_[0, (grams[k] == h).astype(np.int8), 0]))
             padded = b" " + b + b" "
-            for s, e_ in zip(edge[::2], edge[1::2]):
-                runs[padded[s : min(e_ + n - 1, s + 24)]] += 1
-    likely = [s for s, _ in runs.most_common(5 * limit)]
-    own_p, other_p = [b" " + b + b" " for b in own], [b" " + b + b" " for b in other]
-    c = np.array([sum(s in b for b in own_p) for s in likely])
-    o = np.array([sum(s in b for b in other_p) for s in likely])
-    if not likely:
-        return []
-    lo, z = _log_odds(c, len(own), o, len(other))
-    picked: list[bytes] = []
-    for i in np.argsort(-z, kind="stable"):
-        if lo[i] > np.log(MARKING) and z[i] > SURE and not any(likely[i] in p or p in likely[i] for p in picked):
-            picked.append(likely[i])
-        if len(picked) == limit:
-            break
-    return picked
+            found += [padded[max(0, s - AROUND) : min(e_ + n - 1, s + RUN_BYTES) + AROUND] for s, e_ in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    return _some(found)
+
+
+def _some(samples: list[bytes]) -> list[bytes]:
+    """The samples in an order of their hashes, ``MAX_SAMPLES`` at most."""
+    return sorted(samples, key=lambda x: (zlib.crc32(x), x))[:MAX_SAMPLES]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; of too few to train on, the samples themselves."""
+    if len(samples) >= 8 and sum(map(len, samples)) > 2 * size:
+        try:
+            return zstandard.train_dictionary(size, samples, k=32, d=6, dict_id=1, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            pass  # All too much alike to train on.
+    return b"".join(dict.fromkeys(samples))[:size]
 
 
 def _compressor(dictionary: bytes):
@@ -194,11 +200,9 @@ def fit_texts(toxic: list[str], ordinary: list[str], odds: float = 1.0) -> Toxic
     """
     t, o = without_copies([_bytes(x) for x in toxic]), without_copies([_bytes(x) for x in ordinary])
     t_fit, o_fit, t_cal, o_cal = t[::2], o[::2], t[1::2] or t, o[1::2] or o
-    marks, plain = marking_segments(t_fit, o_fit), marking_segments(o_fit, t_fit)
-    ends = b"".join(reversed(marks)), b"".join(reversed(plain))
-    size = max(map(len, ends))
-    base = b"\n".join(b[len(b) // 3 :][:100] for b in o_fit)[:BASE_BYTES]
-    model = ToxicityModel(base + ends[0].rjust(size, b"\0"), base + ends[1].rjust(size, b"\0"), ())
+    ordinary_dictionary = trained(_some([w for b in o_fit for w in windows(b)]), ORDINARY_BYTES)
+    toxic_dictionary = trained(marking_passages(t_fit, o_fit), TOXIC_BYTES)
+    model = ToxicityModel(ordinary_dictionary + toxic_dictionary, ordinary_dictionary + b"\0" * len(toxic_dictionary), ())
     gains = model.gains()
     x = np.stack([features(gains(b)) for b in (*t_cal, *o_cal)]) if t_cal or o_cal else np.zeros((1, FEATURES))
     y = np.r_[np.ones(len(t_cal)), np.zeros(len(o_cal))] if t_cal or o_cal else np.zeros(1)
@@ -213,14 +217,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 2_000, max_
     ``docs``: doc_id, text; ``labels``: doc_id, toxic. Rows with a null id, text or label are not learnt from. With
     ``folds`` = 0 every labelled row may be learnt from.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null").where(F.col("toxic").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     if folds:
         known = known.where(id_fold("doc_id", folds) != 0)
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, max_docs / max(1, count.get(1, 0))).otherwise(max_docs / max(1, count.get(0, 0)))
     few = known.where(hash_share("doc_id") < share).select("doc_id", "toxic", hash_order("doc_id").alias("k"))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    rows = texts.withColumn("upto", F.sum(F.length("text")).over(W.partitionBy("toxic").orderBy("k", "text"))).where(F.col("upto") <= max_chars)
+    n, order = F.length("text"), W.partitionBy("toxic").orderBy(F.length("text") > max_chars // 20, "k", "text")
+    rows = texts.withColumn("upto", F.sum(n).over(order)).where((F.col("upto") <= max_chars) | (F.col("upto") == n))
     found = sorted(rows.select("toxic", "k", "text").collect(), key=lambda r: (r["k"], r["text"]))
     return fit_texts([r["text"] for r in found if r["toxic"]], [r["text"] for r in found if not r["toxic"]], count.get(1, 0) / max(1, count.get(0, 0)))
 

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -142,12 +143,60 @@ def test_toxicity_without_labels_still_scores():
     assert len(toxicity.fit_texts([], []).score_texts(["x", None])) == 2
 
 
-def test_language_products_equal_bundles():
-    texts = [("aa", "tara lomi nera"), ("bb", "øyvi kjøss på"), ("aa", "nemi rota")]
-    model = language.fit_texts(texts)
-    grams, count = language.grams_of("Tara på kjøss, tara!")
-    bundle = language.Binder().bundle(grams, count.astype(np.float32))
-    assert model.products().of(grams, count.astype(np.float32))[:-1] == pytest.approx(model.prototypes @ bundle, rel=1e-3, abs=1e-2)
+def test_toxicity_scores_are_those_of_the_stored_parts():
+    """Scores against compression by new compressors over the two dictionaries and the features written out."""
+    rng = random.Random(15)
+    bad = ["gruzzle", "skavort", "blimpox"]
+    toxic = [invented(rng, 120, rng.choices(bad, k=5)) for _ in range(120)]
+    plain = [invented(rng, 120) for _ in range(120)]
+    model = toxicity.fit_texts(toxic, plain)
+    assert model.toxic[: toxicity.ORDINARY_BYTES] == model.ordinary[: toxicity.ORDINARY_BYTES] and len(model.toxic) == len(model.ordinary)
+    assert any(w.encode() in model.toxic and w.encode() not in model.ordinary for w in bad)
+    params = zstandard.ZstdCompressionParameters.from_level(6, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(dictionary, data):
+        raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=raw, compression_params=params).compress(data))
+
+    for text in (toxic[0], plain[0], "Gruzzle!", "", invented(rng, 900, bad)):
+        b = text.lower().encode()
+        cuts = [b[i : i + 64] for i in range(0, max(1, len(b) - 16), 48)] if b else []
+        gain = sorted((size(model.ordinary, w) - size(model.toxic, w) for w in cuts), reverse=True)
+        n = len(gain)
+        x = [0.0] * 11 + [1.0]
+        if n:
+            over = lambda k: sum(g >= k for g in gain)
+            root = n**0.5
+            x = [min(gain[min(k, n - 1)], 12) for k in (0, 1, 3)] + [sum(max(g - k, 0) for g in gain) / root for k in (2, 4)]
+            x += [over(4) / n * 10, *(np.log1p(over(k)) for k in (5, 6, 7)), over(6) / n * 10, np.log(n), 1.0]
+        want = 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))
+        assert model.score_texts([text])[0] == pytest.approx(want)
+
+
+def test_language_scores_are_cosines_of_bundles():
+    """Predictions against bundles added up n-gram by n-gram."""
+    rng = random.Random(16)
+    pairs = [("aa", "tara lomi nera"), ("bb", "øyvi kjøss på"), ("aa", "nemi rota"), ("cc", "zzyx qwrt zzq")]
+    model = language.fit_texts(pairs)
+    texts = ["Tara på kjøss, tara!", "a", "zz", "日本 tara", "lomi " * 3_000, *(invented(rng, k) for k in range(1, 300))]
+    found, score = model.predict_texts(texts)
+    for text, lang, s in list(zip(texts, found, score))[:30]:
+        words = language.normalised(text)
+        bundle = np.zeros(language.DIM)
+        for k in range(len(words) - 2):
+            v = np.ones(language.DIM)
+            for back, c in enumerate(reversed(words[k : k + 3])):
+                v *= np.roll(language.letter_vector(ord(c)), back)
+            bundle += v
+        bundle -= (bundle @ model.shared) * model.shared
+        cosine = model.prototypes @ bundle / np.linalg.norm(bundle)
+        assert model.langs[int(cosine.argmax())] == lang and s == pytest.approx((1 + cosine.max()) / 2, abs=1e-6)
+
+
+def test_ties_between_languages_go_to_the_first():
+    model = language.fit_texts([("bb", "tara lomi"), ("aa", "tara lomi")])
+    assert model.predict_texts(["tara"])[0] == ["aa"]
 
 
 def test_language_defined_results():

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, language, licences, lz, multi_index, near_duplicates, packing, pii, simhash, toxicity, warc
 from lodestone.llm.components import connected_components
-from tests.llm.test_functions import brute_fingerprint, components
+from tests.llm.test_functions import brute_fingerprint, components, invented
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, id string, bucket int, fp string, key string"
 
@@ -128,6 +128,34 @@ def test_toxicity_and_language_pass_rows_through(spark, rows):
     assert toxicity.fit_toxicity(empty, labels.limit(0)).score(empty).count() == language.fit_languages(empty).predict(empty).count() == 0
 
 
+def test_every_language_can_be_predicted_and_giant_texts_come_last(spark):
+    """More languages than any bound on their number would allow, and one text longer than all that a language may learn from."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(600):
+        letters = [chr(0x4E00 + 7 * k + j) for j in range(7)]
+        rows.append((k * 4 + 1, " ".join("".join(rng.choices(letters, k=4)) for _ in range(12)), f"l{k:03d}"))
+    rows += [(9_001, "qzq " * 4_000, "l000")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit_languages(docs, max_chars=4_000, fold=None)
+    assert len(model.langs) == 600
+    assert [r["lang_pred"] for r in model.predict(docs.where("doc_id < 9000")).orderBy("doc_id").collect()] == [f"l{k:03d}" for k in range(600)]
+    few = [(k, invented(rng, 60, ["gruzzle"] * 5 if k % 2 else ()), k % 2) for k in range(80)] + [(900, "gruzzle " * 9_000, 1)]
+    table = spark.createDataFrame([x[:2] for x in few], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in few] + [(2, 1), (5, 1)], "doc_id bigint, toxic int")
+    scores = toxicity.fit_toxicity(table, labels, max_chars=60_000).score_texts([few[41][1], few[40][1]])
+    assert scores[0] > 0.5 > scores[1]
+
+
+def test_predictions_of_the_query(spark, tmp_path, rows):
+    """op10_language itself: what the plain function gives for each text."""
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = language.op10_language(spark, str(tmp_path)).collect()
+    model = language.fit_languages(docs_of(spark, rows))
+    want = [(i, zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else None, *(x[0] for x in model.predict_texts([t]))) for i, t in rows]
+    assert sorted(str((a, b, c, round(d, 5))) for a, b, c, d in want) == sorted(str((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 5))) for r in got)
+
+
 def test_held_out_rows_are_not_learnt_from(spark, rows):
     table = docs_of(spark, rows)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
