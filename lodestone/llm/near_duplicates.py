@@ -5,12 +5,12 @@ A document is the set of its distinct shingles' hashes. Of each different set th
 this similarity differ in some 40 of 256 bits, so no keys of fingerprint bits meet all pairs, as they do for a few
 bits. A pair at 0.8 misses all keys once in 4,500 times, a closer one more rarely.) Within a key's group pivot
 distance tables and sizes discard pairs, then the distance itself, both at a bound that one pair in some ten
-thousand at the similarity exceeds; what survives is verified by the two sets, so every link is a true one.
+thousand at the similarity exceeds. What survives links sets into clusters. Each cluster's sets then meet in one
+task, which counts what every two of them share, exactly, so every link is a true one.
 
-Groups are gone through in rounds. In the first ones each row meets its group's leaders only and joins the first in
-reach, so a group of n copies costs n links; the last one looks at every pair that verified links don't yet connect.
-Keys with more than ``GROUP`` rows are dealt into parts, of which the first rows meet again as a group of their own,
-and so on; the last round deals all pairs of parts.
+Tasks give spanning forests, not pairs, so a group of n copies costs n rows. Keys and clusters too large for a task
+are dealt into parts. Their parts are linked first, each by itself; then rows outside the group's largest class meet
+all of its parts, and each other, which is every pair that is not linked yet.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
@@ -31,9 +31,10 @@ BITS = 256
 WORDS = [f"w{k}" for k in range(BITS // 64)]
 BANDS, ROWS = 16, 4
 PIVOTS = 16
-GROUP = 1_024
-#: Rounds of leaders before the round of all pairs.
-LEADER_ROUNDS = 2
+#: Rows of a part, and shingles of a part of a cluster. Groups of up to ``SMALL`` rows give all their pairs.
+GROUP, SHINGLES, SMALL = 1_024, 1_000_000, 12
+#: Shingles that this many sets of a group have are counted by a product of matrices, of so many columns at a time.
+COMMON, COLUMNS = 16, 2_048
 #: Standard deviations over the mean distance of a pair at the similarity.
 REACH = 4.0
 _RANDOM = np.random.Generator(np.random.PCG64(SEED))
@@ -101,35 +102,77 @@ class Near:
         return near & (np.bitwise_count(self.fps[i] ^ self.fps[j]).sum(axis=1, dtype=np.int16) <= most)
 
 
-def leader_pairs(starts: np.ndarray, near: Near, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of (leader, row): in every group the first row leads, rows in its reach join it, of the rest the first leads, and so on.
+def _joined(label: np.ndarray, linked: np.ndarray) -> None:
+    """Gives all rows that bear a label of the ``linked`` rows the least of these labels."""
+    met = np.unique(label[linked])
+    label[np.isin(label, met)] = met[0]
 
-    Pairs of one root, which are connected already, are left out. All groups go through a step together.
-    """
-    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(root)]))
-    left, a, b = np.arange(len(root)), [], []
-    while len(left):
-        first = np.flatnonzero(np.r_[True, group[left][1:] != group[left][:-1]])
-        lead = np.repeat(left[first], np.diff(np.r_[first, len(left)]))
-        joins = (lead == left) | (root[lead] == root[left]) | near(lead, left)
-        new = joins & (root[lead] != root[left])
-        a.append(lead[new])
-        b.append(left[new])
-        left = left[~joins]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def crossing_pairs(starts: np.ndarray, near: Near, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs within groups that have different roots and are in reach."""
+
+def reach_pairs(starts: np.ndarray, near: Near, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs within reach that connect, in each group, all that pairs within reach connect; not those of one root."""
     n = len(root)
-    end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
-    at = np.arange(n)
-    # Step by step: each row with the row ``gap`` behind it, as long as any group is that long.
-    for gap in range(1, int((end - at).max(initial=1))):
+    size = np.diff(np.r_[starts, n])
+    end = np.repeat(starts + size, size)
+    at = np.flatnonzero(np.repeat(size <= SMALL, size))
+    for gap in range(1, SMALL):
         at = at[at + gap < end[at]]
         i = at[root[at] != root[at + gap]]
         i = i[near(i, i + gap)]
         yield i, i + gap
+    for s, k in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        label = np.unique(root[s : s + k], return_inverse=True)[1]
+        a, b = [], []
+        for i in range(k - 1):
+            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            if not len(j):
+                continue
+            j = j[near(np.full(len(j), s + i), s + j)]
+            if len(j):
+                j = j[np.unique(label[j], return_index=True)[1]]
+                a += [s + i] * len(j)
+                b += (s + j).tolist()
+                _joined(label, np.r_[i, j])
+        yield np.array(a, np.int64), np.array(b, np.int64)
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two sets share."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(h) for h in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.zeros((n, n), np.float32)
+    common = np.flatnonzero(often >= COMMON)
+    place = np.full(len(often), -1)
+    place[common] = np.arange(len(common))
+    for s in range(0, len(common), COLUMNS):
+        at = np.flatnonzero((place[column] >= s) & (place[column] < s + COLUMNS))
+        has = np.zeros((n, min(COLUMNS, len(common) - s)), np.float32)
+        has[row[at], place[column[at]] - s] = 1
+        shared += has @ has.T
+    few = np.flatnonzero((often[column] > 1) & (often[column] < COMMON))
+    few = few[np.argsort(column[few], kind="stable")]
+    row, column = row[few], column[few]
+    for gap in range(1, COMMON - 1):
+        i = np.flatnonzero(column[gap:] == column[:-gap])
+        if not len(i):
+            break
+        np.add.at(shared, (row[i], row[i + gap]), 1)
+        np.add.at(shared, (row[i + gap], row[i]), 1)
+    return shared
+
+
+def similar_classes(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first one that links of the similarity connect it to."""
+    size = np.array([len(h) for h in sets], np.float32)
+    shared = shared_counts(sets)
+    linked = shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-4
+    np.fill_diagonal(linked, True)
+    label, before = np.arange(len(sets), dtype=np.int32), None
+    while before is None or (label != before).any():
+        before = label
+        label = np.stack([label[row].min() for row in linked])
+        label = label[label]
+    return label
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
@@ -148,73 +191,75 @@ def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.Data
         yield held
 
 
-def _candidates(rows: DataFrame, key: list[str], similarity: float, crossing: bool) -> DataFrame:
-    """Distinct (a, b), a < b: candidate pairs of rows that agree on ``key``."""
+def linked_in_reach(rows: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """Distinct (a, b): nodes within reach of each other, enough to connect all such rows that agree on ``key``."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _groups(batches, key):
             node, root = part["node"].to_numpy(np.int64), part["root"].to_numpy(np.int64)
             k = part[key].to_numpy(np.int64)
             starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
-            near = Near(part, similarity)
-            found, held = crossing_pairs(starts, near, root) if crossing else iter([leader_pairs(starts, near, root)]), []
-            while (x := next(found, None)) is not None or held:
-                held += [x] if x is not None else []
-                if x is None or sum(len(i) for i, _ in held) >= 100_000:
-                    i, j = (np.concatenate(z) for z in zip(*held))
-                    held = []
-                    yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
-
-    near = rows.repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "at")
+            i, j = (np.concatenate(z) for z in zip(*reach_pairs(starts, Near(part, similarity), root)))
+            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    near = rows.repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
     return near.mapInPandas(pairs, "a bigint, b bigint").distinct()
 
 
-ROW = ["k", "node", "n", "root", *WORDS]
+def linked_in_fact(rows: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """Distinct (a, b): nodes that links of the similarity connect among rows that agree on ``key``, each with the first of its class."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _groups(batches, key):
+            node, k = part["node"].to_numpy(np.int64), part[key].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
+            for s, e in zip(starts, np.r_[starts[1:], len(node)]):
+                first = similar_classes([np.frombuffer(h, np.uint64) for h in part["h"].iloc[s:e]], similarity)
+                own = np.flatnonzero(first != np.arange(e - s))
+                if len(own):
+                    yield pd.DataFrame({"a": node[s + first[own]], "b": node[s + own]})
+
+    near = rows.repartition(shuffle_partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "node")
+    return near.mapInPandas(pairs, "a bigint, b bigint").distinct()
 
 
-def leader_candidates(met: DataFrame, similarity: float, round_: int) -> DataFrame:
-    """Pairs of leaders and rows of each key, from rows with the size of their key (``count``)."""
-    order = F.xxhash64("node", F.lit(round_))
-    level, levels, depth = met.select(*ROW, "count"), [], 0
-    most = met.agg(F.max("count")).first()[0] or 0
-    while True:
-        parts = F.ceil(F.col("count") / GROUP).cast("long")
-        dealt = level.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(round_), F.lit(depth)), F.col("parts")))
-        levels.append(dealt.select(*ROW, F.lit(depth).cast("long").alias("depth"), "part", order.alias("at")))
-        most = -(-most // GROUP)
-        if most <= 1:
-            break
-        first = dealt.where("parts > 1").withColumn("at", order).groupBy("k", "part").agg(F.min(F.struct("at", *ROW[1:], F.col("parts").alias("count"))).alias("x"))
-        level, depth = first.select("k", *[f"x.{c}" for c in [*ROW[1:], "count"]]), depth + 1
-    rows = levels[0]
+def in_parts(rows: DataFrame, group: str, parts: Column) -> tuple[DataFrame, list[str]]:
+    """Rows of each ``group`` dealt into ``parts``; the first row of each part meets the others' again at a deeper level, and so on."""
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(0)), F.col("parts"))).withColumn("depth", F.lit(0))
+    levels, others = [dealt], ["node", *(c for c in rows.columns if c not in (group, "node"))]
+    most = dealt.agg(F.max("parts")).first()[0] or 1
+    while most > 1:
+        first = levels[-1].where("parts > 1").groupBy(group, "part").agg(F.min(F.struct(*others, F.col("parts").alias("of"))).alias("x"))
+        depth, most = len(levels), -(-most // GROUP)
+        first = first.select(group, *[F.col(f"x.{c}").alias(c) for c in others], F.ceil(F.col("x.of") / GROUP).cast("long").alias("parts"))
+        levels.append(first.withColumn("part", F.pmod(F.xxhash64("node", F.lit(depth)), F.col("parts"))).withColumn("depth", F.lit(depth)))
+    every = levels[0]
     for more in levels[1:]:
-        rows = rows.unionByName(more)
-    return _candidates(rows, ["k", "depth", "part"], similarity, False)
+        every = every.unionByName(more)
+    return every.withColumn("depth", F.col("depth").cast("long")).drop("parts"), [group, "depth", "part"]
 
 
-def crossing_candidates(met: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of rows of a key with different roots."""
-    parts = F.ceil(F.col("count") / GROUP).cast("long")
-    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = dealt.select(*ROW, F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), F.col("node").alias("at"))
-    return _candidates(rows, ["k", "p", "q"], similarity, True)
+def crossing(rows: DataFrame, group: str, size: Column) -> tuple[DataFrame, list[str]]:
+    """Rows of each ``group`` dealt so that every two of different roots meet: the largest root's rows once for each part of the others.
 
+    ``size``: of a row, as a share of what a part may hold. Groups of one root are left out.
+    """
+    by_root = rows.groupBy(group, "root").agg(F.sum(size).alias("s")).groupBy(group).agg(F.max(F.struct("s", "root")).alias("most"), F.sum("s").alias("all"), F.count("*").alias("n"))
+    stats = by_root.where("n > 1").select(group, F.col("most.root").alias("largest"), F.greatest(F.ceil("most.s"), F.lit(1)).cast("long").alias("p_n"), F.greatest(F.ceil(F.col("all") - F.col("most.s")), F.lit(1)).cast("long").alias("q_n"))
+    met = rows.join(stats, group)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(1)), F.col(n))
+    large, small = met.where("root = largest"), met.where("root <> largest")
+    out = large.withColumn("p", own("p_n")).withColumn("q", F.explode(upto("q_n")))
+    out = out.unionByName(small.withColumn("q", own("q_n")).withColumn("p", F.explode(upto("p_n"))))
+    two = small.where("q_n > 1").withColumn("x", own("q_n")).withColumn("y", F.explode(upto("q_n")))
+    two = two.withColumn("p", -1 - F.least("x", "y")).withColumn("q", F.greatest("x", "y")).drop("x", "y")
+    return out.unionByName(two).select(*rows.columns, "p", "q"), [group, "p", "q"]
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets (node, h) have the similarity."""
-
-    @F.pandas_udf("boolean")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(shared >= similarity * (len(p) + len(q) - shared) - 1e-9)
-        return pd.Series(out, dtype=bool)
 
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
-    return both.where(similar("x", "y")).select("a", "b")
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``root``: what ``roots`` says of the node, itself if nothing."""
+    return rows.drop("root").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,21 +300,32 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
     keyed = nodes.select("node", "of", "n", *WORDS, F.explode("bands").alias("k"))
     crowded = kept(keyed.groupBy("k").count().where("count > 1"), "crowded")
     met = kept(keyed.join(crowded, "k"), "met")
-    # Only texts that share a key with another one are needed again.
-    again = kept(met.groupBy("node").agg(F.first("of").alias("of")).select("node", "of.id", "of.th"), "again")
-    texts = known.select(*name, F.col(text).alias("text")).join(again, ["id", "th"]).groupBy("node").agg(F.first("text", ignorenulls=True).alias("text"))
-    sets = kept(texts.select("node", hashed("text").alias("h")), "sets")
-
-    now, links, roots = met.withColumn("root", F.col("node")), None, None
-    for round_ in range(LEADER_ROUNDS + 1):
-        if round_:
-            now = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            open_ = now.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("k")
-            now = kept(now.join(open_, "k", "left_semi"), "open")
-        pairs = leader_candidates(now, similarity, round_) if round_ < LEADER_ROUNDS else crossing_candidates(now, similarity)
-        new = kept(verified(pairs, sets, similarity), "similar")
-        links = new if links is None else links.unionByName(new)
-        roots = connected_components(links, made=made)
+
+    # Clusters: what is within reach, part by part of each key, then across the parts of the keys that have several.
+    columns, alone = ["k", "node", "root", "n", *WORDS], F.col("node").alias("root")
+    parts = F.ceil(F.col("count") / GROUP).cast("long")
+    dealt, key = in_parts(met.select("k", "node", alone, "n", *WORDS, "count"), "k", parts)
+    near = kept(linked_in_reach(dealt, key, similarity), "near")
+    clusters = connected_components(near, made=made)
+    hot = kept(with_roots(met.where(F.col("count") > GROUP).drop("of"), clusters).select(*columns), "hot-keys")
+    dealt, key = crossing(hot, "k", F.lit(1 / GROUP))
+    clusters = connected_components(near.unionByName(kept(linked_in_reach(dealt, key, similarity), "near")), made=made)
+    clusters = clusters.select("node", F.col("root").alias("cluster"))
+    clusters = kept(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct()), "clusters")
+
+    # Only texts in clusters are needed again. Their sets meet cluster by cluster, then across the parts of large ones.
+    again = kept(nodes.join(clusters, "node").select("node", "of.id", "of.th", "cluster", "n"), "again")
+    texts = known.select(*name, F.col(text).alias("text")).join(again, ["id", "th"]).groupBy("node", "cluster", "n").agg(F.first("text", ignorenulls=True).alias("text"))
+    sets = kept(texts.select("cluster", "node", alone, "n", hashed("text").alias("h")), "sets")
+    share = F.greatest(F.lit(1 / GROUP), F.col("n") / SHINGLES)
+    large = kept(sets.groupBy("cluster").agg(F.ceil(F.sum(share)).cast("long").alias("parts")), "cluster-parts")
+    dealt = sets.join(large, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    links = kept(linked_in_fact(dealt, ["cluster", "part"], similarity), "similar")
+    roots = connected_components(links, made=made)
+    across = kept(with_roots(sets.join(large.where("parts > 1"), "cluster").drop("parts"), roots), "large-clusters")
+    dealt, key = crossing(across, "cluster", share)
+    links = links.unionByName(kept(linked_in_fact(dealt, key, similarity), "similar"))
+    roots = connected_components(links, made=made)
 
     member = rows.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     classes = kept(joined_evenly(rows.select("id", "th", "node"), kept(member, "members"), "node").groupBy("root", "id", "th").count(), "classes")

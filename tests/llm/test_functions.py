@@ -5,6 +5,7 @@ import time
 from array import array
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -101,6 +102,33 @@ def test_reach_covers_pairs_at_the_similarity():
     assert all(np.bitwise_count(x ^ y).sum() > near_duplicates.reach(np.array([300]), 0.8)[0] for k, x in enumerate(strangers) for y in strangers[:k])
 
 
+def test_shared_counts_and_classes_of_sets():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 120, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.random(120) < 0.9], rng.integers(0, 2**64, k % 30, dtype=np.uint64), rng.integers(0, 40, k % 7, dtype=np.uint64)]) for k in range(90)]
+    sets += [np.zeros(1, np.uint64), np.unique(rng.integers(0, 2**64, 50, dtype=np.uint64))]
+    got = near_duplicates.shared_counts(sets)
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got[off] == want[off]).all()
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * want[a, b] >= 8 * (len(sets[a]) + len(sets[b]) - want[a, b])]
+    assert 10 < len(pairs) and near_duplicates.similar_classes(sets, 0.8).tolist() == components(len(sets), pairs)
+
+
+def test_reach_pairs_connect_all_in_reach():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    sets = [np.r_[base[: 200 - k], rng.integers(0, 2**64, k, dtype=np.uint64)] for k in rng.integers(0, 110, 70).tolist()]
+    rows = pd.DataFrame({"n": 200} | {c: v for c, v in zip(near_duplicates.WORDS, np.stack([near_duplicates.simhash_of(h) for h in sets]).T)}, index=range(70))
+    near = near_duplicates.Near(rows, 0.8)
+    every = [(a, b) for a in range(70) for b in range(a) if near(np.array([a]), np.array([b]))[0]]
+    for starts in ([0], [0, 5, 16, 17]):
+        ends = [*starts[1:], 70]
+        got = [(a, b) for i, j in near_duplicates.reach_pairs(np.array(starts), near, np.arange(70)) for a, b in zip(i.tolist(), j.tolist())]
+        within = [(a, b) for a, b in every if any(s <= b and a < e for s, e in zip(starts, ends))]
+        assert components(70, got) == components(70, within)
+
+
 def test_pairs_at_the_similarity_share_a_band():
     rng = np.random.default_rng(5)
     missed = 0
@@ -310,39 +338,92 @@ def test_invalid_candidates_hide_no_valid_value():
 
 
 # -- licences -------------------------------------------------------------------------------------------------------
-def test_licences_by_family_and_unknown():
+@pytest.fixture(scope="module")
+def scanner():
     rng = random.Random(6)
-    model = licences.fit_paragraphs([invented(rng, 20) for _ in range(400)])
-    at = lambda t: [c for _, _, c, _ in model.scan(t)]
-    assert at("Ta romi.\nReleased under the MIT License. Suka lo") == ["mit"]
-    assert at("vi ne Licensed under the Apache License, Version 2.0. ka") == ["apache"]
-    assert at("This work is licensed under the GNU General Public License, version 3.") == ["gpl"]
-    assert at("Licensed under CC BY-NC 4.0.") == ["cc-by-nc"]
-    assert at("Licensed under the Foo License of our own making") in (["unknown"], [])
-    assert at("") == at(None) == at("Nothing here, no word of it.") == []
+    return licences.fit_paragraphs([invented(rng, 20) for _ in range(400)])
+
+
+def families(model, text):
+    return [c for *_, c, _ in model.scan(text)]
+
+
+def test_licences_by_family(scanner):
+    assert families(scanner, "Ta romi.\nReleased under the MIT License. Suka lo") == ["mit"]
+    assert families(scanner, "vi ne Licensed under the Apache License, Version 2.0. ka") == ["apache"]
+    assert families(scanner, "This work is licensed under the GNU General Public License, version 3.") == ["gpl"]
+    assert families(scanner, "Licensed under CC BY-NC 4.0.") == ["cc-by-nc"]
+    assert families(scanner, "") == families(scanner, None) == families(scanner, "Nothing here, no word of it.") == []
     text = "x\nReleased under the MIT License. y"
-    a, b, *_ = model.scan(text)[0]
+    a, b, *_ = scanner.scan(text)[0]
     assert text[a:b] == "Released under the MIT License"
 
 
-def test_every_template_is_found_as_a_line():
-    rng = random.Random(6)
-    model = licences.fit_paragraphs([invented(rng, 20) for _ in range(400)])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Licensed under the Foo License of our own making",
+        "This program is made available under the terms of the Eclipse Public License 2.0",
+        "You may redistribute this work under the Frobnicate Public License, version 2",
+        "Released under the WTFPL License.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+)
+def test_licences_of_no_family_are_unknown(scanner, text):
+    assert families(scanner, text) == ["unknown"]
+    assert families(scanner, f"Tara lomi nera.\n\n{text}\n\nNemi rota suka.") == ["unknown"]
+
+
+def test_wrapped_notices_are_one_paragraph(scanner):
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+"""
+    assert families(scanner, f"Tara lomi.\n\n{gpl}\nNemi rota.") == ["gpl"]
+    warranty = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    assert families(scanner, warranty) == ["mit"]
+
+
+def test_every_template_is_found_as_a_line(scanner):
     for family, templates in licences.TEMPLATES.items():
         for t in templates:
             for text in (t, f"ta romi\n{t}\nSuka lo.", f"Suka lo. {t} Vi ne."):
-                found = model.scan(text)
+                found = scanner.scan(text)
                 assert {c for *_, c, _ in found} - {licences.UNKNOWN} == {family}, (text, found)
                 assert all(b - a > 0 and text[a:b] in text for a, b, _, _ in found)
     for line, family in (("License: MIT", "mit"), ("license: Apache-2.0", "apache"), ("# SPDX-License-Identifier: MIT", "mit")):
-        assert [c for *_, c, _ in model.scan(line)] == [family]
-
-
-def test_licences_side_by_side_all_count():
-    rng = random.Random(6)
-    model = licences.fit_paragraphs([invented(rng, 20) for _ in range(400)])
-    line = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
-    assert [c for *_, c, _ in model.scan(line)] == ["mit", "apache"]
+        assert families(scanner, line) == [family]
+
+
+def test_licences_side_by_side_all_count(scanner):
+    assert families(scanner, "Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["mit", "apache"]
+
+
+def test_licence_probabilities_are_those_of_single_segments(scanner):
+    """Class probabilities by cumulative sums against the regression written out for each segment's n-grams."""
+    rng = random.Random(18)
+    text = f"{invented(rng, 70)}.\n\nReleased under the MIT License. {invented(rng, 9)}!\n{invented(rng, 30)}"
+    words = licences.words_of(text)
+    h = licences.Words().hashes(words)
+    starts = np.array([m.start() for m in licences._WORD.finditer(text)])
+    segments = licences.segments_of(text, starts)
+    got = scanner.probabilities(h, segments)
+    for (a, b), row in zip(segments.tolist(), got):
+        g = np.concatenate(licences.grams_at(licences.Words().hashes(words[a:b])))
+        z = (scanner.bias + scanner.weights[g].sum(axis=0, dtype=float) / np.sqrt(len(g))) / scanner.temperature
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert row == pytest.approx(want, abs=1e-5)
+    covered = {k for a, b in segments.tolist() for k in range(a, b)}
+    assert covered == set(range(len(words))) and (segments[:, 1] - segments[:, 0] <= licences.MAX_WORDS).all()
+
+
+def test_very_long_texts_are_scanned_whole(scanner):
+    rng = random.Random(19)
+    text = invented(rng, 60_000) + "\nReleased under the MIT License.\n" + invented(rng, 60_000)
+    assert families(scanner, text) == ["mit"]
 
 
 # -- packing --------------------------------------------------------------------------------------------------------

@@ -202,6 +202,8 @@ def test_licence_column(spark):
     table = docs_of(spark, [(1, "x\nReleased under the MIT License."), (2, None), (3, ""), *((k, "tara lomi nera " * 5) for k in range(4, 20))])
     got = {r["doc_id"]: [x["class"] for x in r["licences"]] for r in licences.fit_licences(table).scan_column(table).collect()}
     assert got[1] == ["mit"] and all(v == [] for k, v in got.items() if k != 1)
+    empty = table.limit(0)
+    assert licences.fit_licences(empty).scan_column(empty).count() == 0
 
 
 def test_packing(spark, rows):
