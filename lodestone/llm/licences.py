@@ -1,19 +1,21 @@
 """Licence scans by a trained paragraph classifier.
 
-A text is cut into paragraphs: lines, cut at sentence ends into pieces of at most ``MAX_WORDS`` words; neighbours in
-a line are also looked at together. A multinomial logistic regression over hashed word 1-, 2- and 3-grams gives
-each licence family and the class "none" a probability. It is trained on the fixed templates below, varied (cut,
-words dropped, case changed, set among ordinary words), against paragraphs of a bounded sample of the corpus.
-A held-out part of these sets the temperature of the probabilities and the bar under which a licence-like
-paragraph is ``unknown``. A prediction stands only if a template of that family shares enough word pairs with the
-paragraph; otherwise the paragraph is ``unknown`` too.
-
-Every template sentence has one of ``ANCHORS``; without an anchor no template can confirm a paragraph, so such
-texts are "none" at once.
+A text is cut into paragraphs at blank lines, and a paragraph, line ends counting as spaces, into the segments that
+are classified: its sentences, up to three neighbouring ones together, its lines, and windows of ``WINDOWS`` words of
+what is longer. A multinomial logistic regression over hashed word 1-, 2- and 3-grams gives each segment a
+probability of every licence family, of ``unknown`` (the language of licences, but of none of the families) and of
+``none``. It is trained on the fixed templates below, varied (cut, words dropped, set among ordinary words), on
+licence sentences with invented names for unknown, and on ordinary paragraphs of the corpus. Examples that were not
+trained on, the unknown ones with wordings and names of their own, set the temperature of the probabilities, the bar
+from which a segment that no template confirms is an unknown licence, and the bar under which a family is too unsure.
+
+A family stands only if one of its templates confirms it: the segment must share half of the template's word pairs (or
+half of its own, with a long template), and pairs that only this family has. Otherwise it is unknown. Of
+segments that overlap, the one counts that shares most with its template, then the likelier, then the shorter.
 
 Defined results: null and empty texts have no licence; very long texts are read whole; equal texts get equal
-results; ties between families go to the one first in alphabetical order; an empty table gives an empty table.
-Other columns pass through unchanged, whatever their names.
+results; ties between families go to the one first in alphabetical order; an empty table gives an empty table. The
+output column replaces one of its name; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hash_order, hash_share, table
+from lodestone.llm.shared import hash_share, table
 
 #: The phrases by which licence families are known.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -42,11 +45,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Licensed under the Apache License, Version 2.0.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
         "Released under the BSD License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
@@ -68,7 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.', "Released under the ISC License."),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
@@ -77,6 +82,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
@@ -85,112 +91,240 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved. No part of this work may be reproduced or distributed without prior written permission of the copyright holder.", "All rights reserved.", "Copyright (c) 2024. All rights reserved.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal."),
 }
-#: Parts of words of which every template has one.
-ANCHORS = ("licen", "permission", "redistribut", "copyright", "rights reserved", "public domain", "proprietary", "cc0")
+#: Sentences of licences of no family above, to train and to calibrate ``unknown``; {} is an invented name, # a number.
+UNKNOWN_FIT = (
+    "Licensed under the {} License.",
+    "Released under the {} License, version #.",
+    "This program and the accompanying materials are made available under the terms of the {} Public License #.#.",
+    "You may redistribute and modify this work under the terms of the {} License.",
+    "This project is licensed under the terms of the {} license.",
+    "Permission is granted to anyone to use this software under the {} Public License, version #.",
+    "License: {}",
+    "SPDX-License-Identifier: {}-#.#",
+    "Distributed under the {} {} License, see the accompanying file for the terms.",
+    "Use of this source code is governed by the {} licence that can be found in the LICENSE file.",
+    "This work is licensed under the {} Open Licence #.#.",
+    "Copying and distribution of this file, with or without modification, are permitted under the {} License of our own making.",
+    "You can redistribute it and/or modify it under the {} Public License, version #.",
+    "The {} License applies to all copies and derivative works.",
+)
+UNKNOWN_HELD = (
+    "Made available under the {} Licence, version #.#.",
+    "Licensed under the {} Foundation License.",
+    "The terms of the {} Public License v# apply to this software.",
+    "Redistribution is permitted under the {} Public License, version #.",
+    "Available under the {} license terms.",
+    "SPDX-License-Identifier: {}",
+)
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = tuple(sorted(TEMPLATES))
-CLASSES = (*FAMILIES, NONE)
+CLASSES = (*FAMILIES, UNKNOWN, NONE)
 MAX_WORDS = 64
-BITS = 18
+#: Words of the windows, which overlap by half, of segments that are longer.
+WINDOWS = (16, MAX_WORDS)
+#: Bits of the table in which n-grams are looked up; of two that fall together the weightier is kept.
+BITS = 22
 CONFIRM = 0.5
+#: A segment that a template confirms need only be likelier licence-like than not.
+LIKELY = 0.5
+#: Share of ordinary segments that may pass for licence-like when the bar is set.
+MISTAKEN = 0.001
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_NUMBER = re.compile(r"\d+")
+_LINE, _SENTENCE = re.compile(r"\n"), re.compile(r"[.!?](?=\s)")
+_BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
 #: A licence tag that means the same as the SPDX one.
 _TAG = re.compile(r"(?i)(?<![\w-])licen[cs]e:\s+(?=\w)")
+_SHIFT = np.uint64(64 - BITS)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def numbered(words: list[str]) -> list[str]:
+    """Words with every number as 0."""
+    return [_NUMBER.sub("0", w) for w in words]
 
 
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
-
-
-def grams(words: list[str]) -> list[int]:
-    """Hashed word 1-, 2- and 3-grams."""
-    digest, mask = xxhash.xxh32_intdigest, (1 << BITS) - 1
-    return sorted({digest(" ".join(words[i : i + n])) & mask for n in (1, 2, 3) for i in range(len(words) - n + 1)})
-
-
-def paragraphs(text: str) -> Iterator[tuple[int, str, bool]]:
-    """(start, text, whether it is joined) of the pieces that may be licence paragraphs: sentences with an anchor, alone and with their neighbours."""
-    at = 0
-    for line in text.split("\n"):
-        low = line.lower()
-        if any(a in low for a in ANCHORS):
-            cuts = [(m.start(), m.end()) for m in _SENTENCE.finditer(line)]
-            pieces = list(zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(line)]))
-            joined = set()
-            for i, (start, end) in enumerate(pieces):
-                if any(a in line[start:end].lower() for a in ANCHORS):
-                    yield from ((at + s, piece, False) for s, piece in _windows(line, start, end))
-                    before, after = pieces[max(0, i - 1)][0], pieces[min(len(pieces) - 1, i + 1)][1]
-                    joined |= {(before, end), (start, after), (before, after)} - {(start, end)}
-            for start, end in sorted(joined):
-                yield from ((at + s, piece, True) for s, piece in _windows(line, start, end))
-        at += len(line) + 1
-
-
-def _windows(line: str, start: int, end: int) -> Iterator[tuple[int, str]]:
-    """(start, text) of overlapping windows of ``MAX_WORDS`` words between two places of a line."""
-    marks = list(_WORD.finditer(line, start, end))
-    for k in range(0, max(1, len(marks)), MAX_WORDS // 2):
-        own = marks[k : k + MAX_WORDS]
-        if own:
-            yield own[0].start(), line[own[0].start() : own[-1].end()]
-        if k + MAX_WORDS >= len(marks):
-            break
-
-
-_PAIRS = {f: [(set(zip(w, w[1:])), len(w)) for t in TEMPLATES[f] for w in (words_of(t),)] for f in FAMILIES}
-
-
-def confirmed(family: str, words: list[str]) -> float:
-    """The largest share of a template's word pairs that the paragraph has, or of the paragraph's that a long template has."""
-    own = set(zip(words, words[1:]))
-    best = 0.0
-    for pairs, _ in _PAIRS[family]:
-        shared = len(own & pairs)
-        best = max(best, shared / max(1, len(pairs)), shared / max(6, len(own)))
+    """Lower-case words with every number as 0."""
+    return numbered(_WORD.findall(_TAG.sub("SPDX-License-Identifier: ", paragraph).lower()))
+
+
+class Words(dict):
+    """Hashes of lower-case words, with every number as 0, kept for the next time."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(_NUMBER.sub("0", word))
+        return h
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        if len(self) > 200_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def grams_at(h: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the 1-, 2- and 3-grams that start at each word."""
+    out, now = [], np.zeros(0, np.uint64)
+    for n in range(3):
+        now = h[: max(0, len(h) - n)] * _ODD[n] if n == 0 else (now[: max(0, len(h) - n)] ^ (h[n:] >> np.uint64(7))) * _ODD[n]
+        out.append((now ^ (now >> np.uint64(29))) * _ODD[0])
+    return out
+
+
+def segments_of(text: str, starts: np.ndarray) -> np.ndarray:
+    """(first word, word behind the last) of the segments of a text whose words start at ``starts``, distinct and in order."""
+    n = len(starts)
+
+    def cuts(pattern: re.Pattern) -> np.ndarray:
+        return np.searchsorted(starts, np.fromiter((m.end() for m in pattern.finditer(text)), np.int64))
+
+    blank, sentence, line = cuts(_BLANK), cuts(_SENTENCE), cuts(_LINE)
+    paragraphs = np.unique(np.r_[0, blank, n])
+    ends = np.unique(np.r_[paragraphs, sentence])
+    found = []
+    last = paragraphs[np.searchsorted(paragraphs, ends[:-1], side="right")]
+    for k in (1, 2, 3):
+        pair = np.stack([ends[:-k], ends[k:]], axis=1)
+        found.append(pair[pair[:, 1] <= last[: len(pair)]])
+    lines = np.unique(np.r_[0, line, n])
+    found.append(np.stack([lines[:-1], lines[1:]], axis=1))
+    every, sentences = np.concatenate(found), found[0]
+    size = every[:, 1] - every[:, 0]
+    out = [every[(size > 0) & (size <= MAX_WORDS)]]
+    for w in WINDOWS:
+        long_ = sentences[sentences[:, 1] - sentences[:, 0] > w]
+        times = -(-(long_[:, 1] - long_[:, 0] - w // 2) // (w // 2))
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at = np.repeat(long_[:, 0], times) + nth * (w // 2)
+        out.append(np.stack([at, np.minimum(at + w, np.repeat(long_[:, 1], times))], axis=1))
+    code = np.unique(np.concatenate([x[:, 0] << 32 | x[:, 1] for x in out]))
+    return np.stack([code >> 32, code & 0xFFFFFFFF], axis=1)
+
+
+def pairs_of(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:]))
+
+
+_PAIRS = {f: [pairs_of(words_of(t)) for t in TEMPLATES[f]] for f in FAMILIES}
+_SHARED = {f: {p for g in FAMILIES if g != f for pairs in _PAIRS[g] for p in pairs} for f in FAMILIES}
+#: Of each template, all its word pairs and those that no other family has.
+_OWN = {f: [(pairs, pairs - _SHARED[f]) for pairs in _PAIRS[f]] for f in FAMILIES}
+
+
+def confirmed(family: str, words: list[str]) -> int:
+    """How many word pairs the segment shares with a template of the family that confirms it; 0 if none does."""
+    have, best = pairs_of(words), 0
+    for pairs, own in _OWN[family]:
+        shared, proper = len(have & pairs), len(have & own)
+        enough = shared >= CONFIRM * len(pairs) or (len(pairs) > 12 and shared >= max(6, CONFIRM * len(have)))
+        if enough and proper >= (1 if len(pairs) > 12 else max(1, CONFIRM * len(own))):
+            best = max(best, shared)
     return best
 
 
+def _grams_of(segments: np.ndarray) -> np.ndarray:
+    size = segments[:, 1] - segments[:, 0]
+    return size + np.maximum(size - 1, 0) + np.maximum(size - 2, 0)
+
+
+def _sums(values: list[np.ndarray], segments: np.ndarray) -> np.ndarray:
+    """Sums over each segment of the values of the 1-, 2- and 3-grams that lie in it, from running sums."""
+    total = 0
+    for n, v in enumerate(values):
+        upto = np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0, dtype=float)])
+        end = np.maximum(segments[:, 1] - n, segments[:, 0])
+        total = total + upto[np.minimum(end, len(v))] - upto[np.minimum(segments[:, 0], len(v))]
+    return total
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
 @dataclass(frozen=True)
 class LicenceModel:
+    #: Hashes of n-grams met in training, behind a first one that stands for all others, and a row of weights for each.
+    met: np.ndarray
     weights: np.ndarray
+    #: What a segment of words never met is taken for.
+    bias: np.ndarray
     temperature: float
-    bar: float
-
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        g = grams(words)
-        z = self.weights[g].sum(axis=0) / np.sqrt(max(1, len(g))) / self.temperature if g else np.eye(len(CLASSES))[-1]
-        e = np.exp(z - z.max())
-        return e / e.sum()
-
-    def classify(self, paragraph: str) -> tuple[str, float]:
-        """(family, unknown or none; its probability) of a paragraph."""
-        words = words_of(_TAG.sub("SPDX-License-Identifier: ", paragraph))
-        p = self.probabilities(words)
-        best = int(p[:-1].argmax())
-        if p[-1] >= p[best]:
-            return NONE, float(p[-1])
-        family = FAMILIES[best]
-        if p[best] < self.bar or confirmed(family, words) < CONFIRM:
-            return UNKNOWN, float(1 - p[-1])
-        return family, float(p[best])
-
-    def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(start, end, class, probability) of the paragraphs that aren't none, in order."""
-        known, joins, unknown = [], [], []
-        for start, piece, joined in paragraphs(text or ""):
-            found, p = self.classify(piece)
-            if found not in (NONE, UNKNOWN):
-                (joins if joined else known).append((start, start + len(piece), found, p))
-            elif found == UNKNOWN and not joined:
-                unknown.append((start, start + len(piece), found, p))
-        # Sentences that stand alone count as they are; neighbours only where none does, the likeliest first.
-        for part in (sorted(joins, key=lambda x: (-x[3], x[1] - x[0], x[0])), unknown):
-            for x in part:
-                if not any(a < x[1] and x[0] < b and c != UNKNOWN for a, b, c, _ in known):
-                    known.append(x)
-        return sorted(known)
+    #: Least probability of being licence-like of an unknown licence, and least share of it that is a family's.
+    licence_bar: float
+    family_bar: float
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The row of weights at each place of the table."""
+        table = np.zeros(1 << BITS, np.int32)
+        order = np.argsort(np.abs(self.weights).sum(axis=1), kind="stable")
+        table[(self.met[order] >> _SHIFT).astype(np.int64)] = order
+        return table
+
+    def rows(self, h: np.ndarray) -> list[np.ndarray]:
+        """The rows of weights of a text's 1-, 2- and 3-grams, by its words' hashes."""
+        found = []
+        for grams in grams_at(h):
+            row = self.table[(grams >> _SHIFT).astype(np.int64)]
+            found.append(np.where(self.met[row] == grams, row, 0))
+        return found
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "evidence")}
+
+    @cached_property
+    def evidence(self) -> np.ndarray:
+        """The most that a row of weights adds to a licence class against none, if it adds to any."""
+        return np.maximum((self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1), 0).astype(float)
+
+    def may_be(self, rows: list[np.ndarray], segments: np.ndarray) -> np.ndarray:
+        """Whether a segment can be likelier licence-like than not, by a bound: all its evidence for licences at once, none against."""
+        total = _sums([self.evidence[r] for r in rows], segments)
+        most = ((self.bias[:-1] - self.bias[-1]).max() + total / np.sqrt(np.maximum(_grams_of(segments), 1))) / self.temperature
+        return (len(CLASSES) - 1) * np.exp(np.minimum(most, 50)) >= LIKELY / (1 - LIKELY) * 0.999
+
+    def probabilities(self, rows: list[np.ndarray], segments: np.ndarray) -> np.ndarray:
+        """A row of class probabilities for each segment of a text whose n-grams have these ``rows`` of weights."""
+        z = _sums([self.weights[r] for r in rows], segments)
+        return _softmax((self.bias + z / np.sqrt(np.maximum(_grams_of(segments), 1))[:, None]) / self.temperature)
+
+    def scan(self, text: str | None, kept: Words | None = None) -> list[tuple[int, int, str, float]]:
+        """(start, end, class, probability) of the segments that aren't none, in order and without overlap."""
+        low = (text or "").lower()
+        if len(low) != len(text or ""):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        low = _TAG.sub(lambda m: "spdx:".ljust(len(m[0])), low)
+        marks = [(*m.span(), m[0]) for m in _WORD.finditer(low)]
+        if not marks:
+            return []
+        spans = np.array([m[:2] for m in marks], np.int64)
+        words = ["spdx-license-identifier" if w == "spdx" else w for _, _, w in marks]
+        h, segments = (Words() if kept is None else kept).hashes(words), segments_of(low, spans[:, 0])
+        rows = self.rows(h)
+        segments = segments[self.may_be(rows, segments)]
+        found = []
+        for s in range(0, len(segments), 4_096):
+            part = segments[s : s + 4_096]
+            base, upto = int(part[:, 0].min()), int(part[:, 1].max())
+            p = self.probabilities([r[base:upto] for r in rows], part - base)
+            for k in np.flatnonzero(1 - p[:, -1] >= LIKELY).tolist():
+                a, b = part[k].tolist()
+                best = int(p[k, :-2].argmax())
+                like = float(1 - p[k, -1])
+                shared = confirmed(FAMILIES[best], numbered(words[a:b])) if p[k, best] >= self.family_bar * like else 0
+                if not shared and like < self.licence_bar:
+                    continue
+                found.append((-shared, -float(p[k, best]) if shared else -like, b - a, a, b, best if shared else -1))
+        taken, out = np.zeros(len(words), bool), []
+        for shared, p_, _, a, b, best in sorted(found):
+            if taken[a:b].any():
+                continue
+            if shared:
+                a, b = _trimmed(FAMILIES[best], words, a, b)
+            taken[a:b] = True
+            out.append((int(spans[a, 0]), int(spans[b - 1, 1]), FAMILIES[best] if shared else UNKNOWN, -p_))
+        return sorted(out)
 
     def scan_column(self, df: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
         """``df`` with an array of (start, end, class, probability)."""
@@ -198,12 +332,21 @@ class LicenceModel:
 
         @F.pandas_udf("array<struct<start: int, end: int, class: string, probability: double>>")
         def licences(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            kept = Words()
             for batch in batches:
-                yield pd.Series([[{"start": a, "end": b, "class": c, "probability": p} for a, b, c, p in model.scan(t)] for t in batch], dtype=object)
+                yield pd.Series([[{"start": a, "end": b, "class": c, "probability": p} for a, b, c, p in model.scan(t, kept)] for t in batch], dtype=object)
 
         return df.withColumn(out, licences(F.col(text)))
 
 
+def _trimmed(family: str, words: list[str], a: int, b: int) -> tuple[int, int]:
+    """The part of a segment from the first to the last word pair that it shares with its best template."""
+    own = numbered(words[a:b])
+    best = max((pairs for pairs, _ in _OWN[family]), key=lambda pairs: len(pairs & pairs_of(own)))
+    at = [a + k for k, pair in enumerate(zip(own, own[1:])) if pair in best]
+    return at[0], at[-1] + 2
+
+
 def varied(template: str, filler: list[str], rng: random.Random) -> list[str]:
     """Words of a template as texts may have it."""
     words = words_of(template)
@@ -211,69 +354,106 @@ def varied(template: str, filler: list[str], rng: random.Random) -> list[str]:
         n = rng.randint(max(6, len(words) // 2), len(words))
         s = rng.randint(0, len(words) - n)
         words = words[s : s + n]
-    words = [w for w in words if rng.random() > 0.06] or words
-    words = [re.sub(r"\d", lambda _: str(rng.randint(1, 9)), w) if rng.random() < 0.3 else w for w in words]
+    if len(words) > 6:
+        words = [w for w in words if rng.random() > 0.06]
     before, after = (rng.choices(filler, k=rng.choice((0, 0, 1, 3, 10))) if filler else [] for _ in "ab")
     return before + words + after
 
 
+def invented_name(rng: random.Random) -> str:
+    return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + rng.choice(["", "x", "n", "pl", "soft"])
+
+
+def named(sentence: str, rng: random.Random) -> str:
+    """A sentence with invented names and numbers."""
+    return re.sub(r"\{\}", lambda _: invented_name(rng), sentence).replace("#", str(rng.randint(1, 9)))
+
+
 def fit_paragraphs(ordinary: list[str], seed: int = 7, each: int = 60, epochs: int = 12) -> LicenceModel:
-    """Trains on varied templates against ordinary paragraphs; every fifth example calibrates."""
-    rng = random.Random(seed)
+    """Trains on varied templates and named sentences against ordinary paragraphs; every fifth example, and sentences of other wordings, calibrate."""
+    rng, kept = random.Random(seed), Words()
     plain = [w for w in map(words_of, ordinary) if w]
-    filler = [w for words in plain[:400] for w in words if not any(a in w for a in ANCHORS)][:4000]
-    x = [(grams(varied(t, filler, rng)), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(each)]
+    legal = {w for f in FAMILIES for t in TEMPLATES[f] for w in words_of(t)}
+    filler = [w for words in plain for w in words if w not in legal]
+    unknown, none = len(FAMILIES), len(FAMILIES) + 1
+
+    def example(words: list[str]) -> np.ndarray:
+        return np.concatenate(grams_at(kept.hashes(words[: 2 * MAX_WORDS])))
+
+    x = [(example(varied(t, filler, rng)), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(each)]
+    x += [(example(varied(named(t, rng), filler, rng)), unknown) for t in UNKNOWN_FIT for _ in range(3 * each)]
     # Licence words out of their order tell nothing of a family.
     loose = [w for f in FAMILIES for t in TEMPLATES[f] for w in words_of(t)]
     mixed = [rng.choices(loose, k=rng.randint(1, 6)) + rng.choices(filler or loose, k=rng.randint(0, 12)) for _ in range(12 * each)]
-    x += [(grams(w[:MAX_WORDS]), len(FAMILIES)) for w in plain + mixed]
+    strange = [[invented_name(rng) for _ in range(rng.randint(1, 12))] for _ in range(12 * each)]
+    # Nor does one word again and again, or a single one that a template has too.
+    again = [[rng.choice(filler or loose)] * rng.randint(2, MAX_WORDS) for _ in range(12 * each)] + [[w] for w in sorted(legal)] * 4
+    x += [(example(w), none) for w in plain + mixed + strange + again]
     rng.shuffle(x)
     fit, held = [e for k, e in enumerate(x) if k % 5], [e for k, e in enumerate(x) if k % 5 == 0]
+    held += [(example(varied(named(t, rng), filler, rng)), unknown) for t in UNKNOWN_HELD for _ in range(each)]
     n = len(CLASSES)
-    weights, square = np.zeros((1 << BITS, n), np.float32), np.full((1 << BITS, n), 1e-6, np.float32)
+    met = np.unique(np.concatenate([[np.uint64(0)], *(g for g, _ in fit)]))
+    fit = [(np.searchsorted(met, g), y) for g, y in fit]
+    weights, square = np.zeros((len(met), n), np.float32), np.full((len(met), n), 1e-6, np.float32)
+    bias, bias_square = np.zeros(n), np.full(n, 1e-6)
     for _ in range(epochs):
         for g, y in fit:
-            if not g:
-                continue
             scale = 1 / np.sqrt(len(g))
-            z = weights[g].sum(axis=0) * scale
-            e = np.exp(z - z.max())
-            d = e / e.sum()
+            d = _softmax(bias + weights[g].sum(axis=0) * scale)
             d[y] -= 1
+            bias_square += d**2
+            bias -= 0.2 * d / np.sqrt(bias_square)
             step = (d * scale).astype(np.float32)
             square[g] += step**2
             weights[g] -= 0.2 * step / np.sqrt(square[g])
         rng.shuffle(fit)
-    used = [(weights[g].sum(axis=0) / np.sqrt(len(g)), y) for g, y in held if g]
-    z, y = np.array([a for a, _ in used]), np.array([b for _, b in used])
+    at = [np.minimum(np.searchsorted(met, g), len(met) - 1) for g, _ in held]
+    z, y = np.array([bias + (weights[k] * (met[k] == g)[:, None]).sum(axis=0) / np.sqrt(len(g)) for k, (g, _) in zip(at, held)]), np.array([y for _, y in held])
 
     def loss(t: float) -> float:
-        s = z / t
-        s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+        return float(-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean())
 
     temperature = min((0.5, 0.7, 1, 1.4, 2, 2.8, 4), key=loss)
-    s = np.exp(z / temperature - (z / temperature).max(axis=1, keepdims=True))
-    p = s / s.sum(axis=1, keepdims=True)
-    best = p[:, :-1].argmax(axis=1)
-    right = p[best == y, best[best == y]]
-    return LicenceModel(weights, temperature, float(np.clip(np.quantile(right, 0.02), 0.3, 0.8)) if len(right) else 0.5)
+    p = _softmax(z / temperature)
+    like = 1 - p[:, -1]
+    share = p[:, :-2].max(axis=1) / np.maximum(like, 1e-12)
+    # A text has many ordinary segments for each of a licence, so few of them may pass.
+    licence_bar = float(np.clip(np.quantile(like[y == none], 1 - MISTAKEN), 0.5, 0.95)) if (y == none).any() else 0.5
+    family_bar = _between(share[(y == unknown) & (like >= licence_bar)], share[(y < unknown) & (like >= licence_bar)])
+    weights[0] = 0
+    return LicenceModel(met, weights, bias, temperature, licence_bar, family_bar)
+
+
+def _between(low: np.ndarray, high: np.ndarray) -> float:
+    """The bar that puts fewest of both on the wrong side, each counted by its share; the highest such."""
+    if not len(low) or not len(high):
+        return 0.5
+    at = np.unique(np.r_[low, high, 0.5])
+    wrong = [(low >= t).mean() + (high < t).mean() for t in at]
+    best = float(at[len(at) - 1 - int(np.argmin(wrong[::-1]))])
+    return min(max(best, 1e-3), 1 - 1e-3)
 
 
 def fit_licences(docs: DataFrame, text: str = "text", max_docs: int = 300, max_paragraphs: int = 4_000) -> LicenceModel:
-    """Ordinary paragraphs come from about ``max_docs`` texts (ids are hashed to a share of all), ``max_paragraphs`` at most.
+    """Ordinary paragraphs are pieces of up to ``MAX_WORDS`` words from the lines of about ``max_docs`` texts, read whole.
 
-    Paragraphs that a template confirms are left out of the ordinary ones.
+    Ids are hashed to a share of all texts; tasks cut them, and ``max_paragraphs`` pieces at most, those with the
+    least hashes, come to the driver. Pieces that a template confirms are left out.
     """
     n = max(1, docs.count())
-    few = docs.where(hash_share("doc_id") < 2 * max_docs / n).select("doc_id", F.col(text).alias("text"), hash_order("doc_id").alias("at"))
-    ordinary: list[str] = []
-    for r in few.orderBy("at", "text").limit(max_docs).collect():
-        for line in (r["text"] or "").split("\n"):
-            piece = " ".join(line.split()[:MAX_WORDS])
-            if piece and not any(confirmed(f, words_of(_TAG.sub("SPDX-License-Identifier: ", s))) >= CONFIRM for _, s, _ in paragraphs(piece) for f in FAMILIES):
-                ordinary.append(piece)
-    return fit_paragraphs(ordinary[:max_paragraphs])
+
+    @F.pandas_udf("array<string>")
+    def pieces(batch: pd.Series) -> pd.Series:
+        out = []
+        for t in batch:
+            words = [line.split() for line in (t or "").split("\n")]
+            out.append([" ".join(w[k : k + MAX_WORDS]) for w in words for k in range(0, len(w), MAX_WORDS)])
+        return pd.Series(out, dtype=object)
+
+    few = docs.where(hash_share("doc_id") < 2 * max_docs / n).select(F.explode(pieces(F.col(text))).alias("piece")).distinct()
+    found = [r["piece"] for r in few.orderBy(F.xxhash64("piece"), "piece").limit(max_paragraphs).collect()]
+    return fit_paragraphs([p for p in found if not any(confirmed(f, words_of(s)) for s in (p, *re.split(r"(?<=[.!?])\s+", p)) for f in FAMILIES)])
 
 
 def op6_licences(spark, sf_dir: str) -> DataFrame:

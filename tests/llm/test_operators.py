@@ -276,3 +276,18 @@ def test_archives_against_sql(spark):
     assert [tuple(str(v) for v in r) for r in got] == [tuple(str(v) for v in r) for r in want]
     odd = spark.createDataFrame([(None, None, None), (1, "u", "t"), (1, "u", "t")], "page_id bigint, url string, html string")
     assert warc.archived(odd).count() == 3 and warc.archived(odd.limit(0)).count() == 0
+
+
+def test_licences_of_the_query(spark, tmp_path):
+    """op6_licences itself: families, spans and probabilities are those of a scan of each text."""
+    texts = [(1, "x\nReleased under the MIT License."), (2, None), (3, ""), (4, "Licensed under the Foo License, version 2."), (5, "All rights reserved. Licensed under CC BY 4.0."), *((k, "tara lomi nera " * 5) for k in range(6, 20))]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in licences.op6_licences(spark, str(tmp_path)).collect()}
+    model = licences.fit_licences(docs_of(spark, texts))
+    for i, t in texts:
+        found = model.scan(t)
+        known = sorted({c for *_, c, _ in found if c != "unknown"})
+        assert got[i]["families"] == ",".join(known) and got[i]["n_paragraphs"] == len(found)
+        assert got[i]["spans"] == " ".join(f"{a}:{b}:{c}" for a, b, c, _ in found)
+        assert got[i]["licence"] in (known or (["unknown"] if found else ["none"]))
+    assert [got[i]["licence"] for i in (1, 2, 3, 4, 6)] == ["mit", "none", "none", "unknown", "none"] and got[5]["families"] == "cc-by,proprietary"
