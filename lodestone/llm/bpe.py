@@ -23,6 +23,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -194,9 +195,9 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "
 
         def whole() -> pd.DataFrame:
             ids: list[int] = []
-            for k in dict.fromkeys(x[0] for x in leaves):
-                own = [(p, np.frombuffer(b, "<u4").tolist()) for s, p, b in leaves if s == k]
-                ids += own[0][1] if k % 2 else bpe.tree([(p, i, bpe.open_start(p)) for p, i in own])
+            for k, own in groupby(leaves, key=lambda x: x[0]):
+                part = [(p, np.frombuffer(b, "<u4").tolist()) for _, p, b in own]
+                ids += part[0][1] if k % 2 else bpe.tree([(p, i, bpe.open_start(p)) for p, i in part])
             return pd.DataFrame({"id": pd.array([now[0]] * now[2], "Int64"), "text": "".join(x[1] for x in leaves), "ids": [ids_bytes(ids)] * now[2]})
 
         for batch in batches:

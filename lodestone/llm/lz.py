@@ -27,6 +27,8 @@ from lodestone.llm.shared import shuffle_partitions, table
 
 SKETCH = 128
 HEX = 8
+#: Sort before all ids, and behind all heads of texts (seven bytes).
+NULL, MOST = -(1 << 70), 1 << 60
 
 
 def parse(text: str, phrases: set[str] | None = None) -> tuple[set[str], str]:
@@ -90,36 +92,45 @@ def spliced_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """Fingerprints of every text, of its edited text and of the next text, and their likenesses.
 
     The edited text replaces the last third (floor) of the characters by the first as many of the next document's,
-    in descending order of id (equal ids: descending text; after the last comes the first). One shuffle of the texts:
-    ids are dealt into ranges of about equal count, and the first rows of a range also go, as donors only, to the
-    range before it.
+    in descending order of id (equal ids: descending text; null ids last; after the last comes the first). One
+    shuffle of the texts: rows are dealt into ranges of about equal count, and the first row of a range also goes, as
+    a donor only, to the range before it. Ids with more rows than a range has are cut by the first bytes of their texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = rows.select("id")
+    rows = rows.withColumn("head", F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")).withColumn("hash", F.xxhash64("text"))
     n = 6 * shuffle_partitions(spark)
-    edges = sorted(set(ids.where("id is not null").approxQuantile("id", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    # Bucket 0 has the largest ids; null ids are last of all.
-    bounds = [int(e) for e in edges]
-
-    def bucket_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([len(bounds) + 1 if pd.isna(i) else len(bounds) - bisect_left(bounds, int(i)) for i in batch], dtype="int64")
-
-    bucket = F.pandas_udf(bucket_of, "bigint")
-    firsts = ids.withColumn("bucket", bucket("id")).groupBy("bucket").agg(F.max("id").alias("first")).orderBy("bucket").collect()
-    order = [r["bucket"] for r in firsts]
-    lends = {r["first"]: order[k - 1] for k, r in enumerate(firsts)}  # first id of a bucket -> the bucket before it
+    ids, total = rows.select("id"), rows.count()
+    edges = [(int(e), MOST) for e in ids.where("id is not null").approxQuantile("id", [k / n for k in range(1, n)], 1 / (4 * n))] if n > 1 else []
+    # Fewer than n ids can have over an nth of all rows.
+    hot = ids.groupBy("id").count().where(F.col("count") > max(2, total // n)).select(F.col("id").alias("hot"), "count")
+    cuts = F.percentile_approx("head", F.array(*[F.lit(k / n) for k in range(1, n)])) if n > 1 else F.array()
+    for r in rows.join(F.broadcast(hot), F.col("id").eqNullSafe(F.col("hot"))).groupBy("id").agg(cuts.alias("cuts")).collect():
+        edges += [(NULL if r["id"] is None else r["id"], c) for c in r["cuts"]]
+    bounds = sorted({*edges, (NULL, MOST)})
+
+    def place(i: object, head: int) -> int:
+        """Ranges in descending order; null ids are last of all."""
+        return len(bounds) - bisect_left(bounds, (NULL if pd.isna(i) else int(i), int(head)))
+
+    @F.pandas_udf("bigint")
+    def range_of(id_: pd.Series, head: pd.Series) -> pd.Series:
+        return pd.Series([place(i, h) for i, h in zip(id_.astype("Int64"), head)], dtype="int64")
+
+    first = F.max(F.struct(F.col("id").isNotNull(), "id", "text", "hash")).alias("x")
+    firsts = rows.withColumn("range", range_of("id", "head")).groupBy("range").agg(first).select("range", "x.id", "x.hash").orderBy("range").collect()
+    lends: dict[tuple, int] = {}
+    for k, r in enumerate(firsts):
+        lends[r["id"], r["hash"]] = firsts[k - 1]["range"]  # the first row of a range goes to the range before it
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = pd.array(batch["id"], "Int64")
-            at = next(bucket_of([batch["id"]])).to_numpy()
-            donor = np.array([(None if i is pd.NA else int(i)) in lends for i in own], bool)
-            yield pd.DataFrame({"bucket": at, "donor": False, "id": own, "text": batch["text"]})
+            own = batch["id"].astype("Int64")
+            names = [(None if i is pd.NA else int(i), int(h)) for i, h in zip(own, batch["hash"])]
+            yield pd.DataFrame({"bucket": [place(i, h) for i, h in zip(own, batch["head"])], "donor": False, "id": own, "text": batch["text"]})
+            donor = np.array([x in lends for x in names], bool)
             if donor.any():
-                to = [lends[None if i is pd.NA else int(i)] for i in own[donor]]
-                yield pd.DataFrame({"bucket": np.array(to, "int64"), "donor": True, "id": own[donor], "text": batch["text"][donor]})
+                yield pd.DataFrame({"bucket": [lends[x] for x in names if x in lends], "donor": True, "id": own[donor], "text": batch["text"][donor]})
 
     def edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: list[tuple] = []
@@ -134,6 +145,8 @@ def spliced_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
         for batch in batches:
             for b, donor, i, t in zip(batch["bucket"], batch["donor"], batch["id"].astype("Int64"), batch["text"]):
+                if donor and (held is None or held[0] != b):
+                    continue  # A donor's copy.
                 head, rest = parse(t[: len(t) - len(t) // 3])
                 whole, end = parse(rest + t[len(t) - len(t) // 3 :], set(head))
                 own = signature(whole, end)

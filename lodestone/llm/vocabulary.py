@@ -22,12 +22,21 @@ def _bytes_of_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def ranks(path: str, end_of_word: str = "") -> tuple[dict[bytes, int], dict[str, int]]:
-    """(byte string -> id, added token -> id) of a tokenizers JSON file."""
+    """(byte string -> id, added token -> id) of a tokenizers JSON file whose ids follow the order of its merges.
+
+    Ids then say which merge comes first, as the encoder needs; another file is refused.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab, last = spec["model"]["vocab"], -1
+    for m in spec["model"]["merges"]:
+        made = vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1)
+        if made <= last:
+            raise ValueError(f"{path}: ids don't follow the merges")
+        last = made
     letters, out = _bytes_of_letters(), {}
-    for token, i in spec["model"]["vocab"].items():
+    for token, i in vocab.items():
         if token in added:
             continue
         ends = bool(end_of_word) and token.endswith(end_of_word)

@@ -36,11 +36,13 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import new_path, shuffle_partitions, table, written
+from lodestone.llm.shared import joined_evenly, new_path, remove, shuffle_partitions, table, written, written_at
 
 REVISIT_BYTES = 1_000
 BLOCK_LINES = 256
 LEVEL = 3
+#: Pages have no date of capture.
+DATE = "1970-01-01T00:00:00Z"
 CAPTURE = "key string, page_id bigint, file string, offset bigint, length bigint"
 _URL = re.compile(r"(?is)\A[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
 
@@ -60,36 +62,50 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
+#: The HTTP head of a page; pages come without the one they were sent with.
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+
+
+def member(head: list[str], block: bytes) -> bytes:
+    """A WARC record as a gzip member."""
+    lines = ["WARC/1.1", *head, f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
+
+
+def warcinfo(name: str) -> bytes:
+    """The record that an archive file begins with."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return member(head, b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n")
+
+
 def record(page: dict, payload: bytes) -> bytes:
-    """A WARC record as a gzip member. A revisit holds no payload but its digest and size."""
+    """A page's record: an HTTP response with its payload. A revisit holds the HTTP head only, and the payload's digest and size."""
     digest = hashlib.sha1(payload).hexdigest()
     revisit = page["record_type"] == "revisit"
     head = [
-        "WARC/1.1",
         f"WARC-Type: {page['record_type']}",
         f"WARC-Record-ID: {record_id(page['page_id'])}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', page['url'] or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Bytes: {len(payload)}",
         f"X-Page-ID: {'' if page['page_id'] is None else page['page_id']}",
+        "Content-Type: application/http; msgtype=response",
     ]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(page['refers_to'])}", f"X-Refers-To-Page-ID: {page['refers_to']}"]
-    body = b"" if revisit else payload
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", LEVEL, mtime=0)
+    return member(head, HTTP_HEAD.format(len(payload)).encode() + (b"" if revisit else payload))
 
 
-def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
-    """(headers, block) of a record; the block's size is checked."""
-    head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
+def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(headers, payload) of a page's record, of a revisit nothing; the block's size is checked."""
+    head, _, rest = gzip.decompress(data).partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
     size = int(headers["Content-Length"])
     if version != "WARC/1.1" or rest[size:] != b"\r\n\r\n":
         raise ValueError("a broken record")
-    return headers, rest[:size]
+    return headers, rest[:size].partition(b"\r\n\r\n")[2]
 
 
 class Store:
@@ -113,14 +129,18 @@ class Store:
 
 
 def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, record_type, refers_to: which record each page becomes."""
+    """page_id, url, html, record_type, refers_to: which record each page becomes.
+
+    What meets by digest are ids of large payloads, without their html; revisits then meet their pages by id and digest.
+    """
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html"))
-    large = F.col("bytes") >= REVISIT_BYTES
-    # Only payloads met more than once can have revisits; what is joined is a row for each of them.
-    least = p.where(large).groupBy("digest", "bytes").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    typed = p.join(least, ["digest", "bytes"], "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
-    return typed.select("page_id", "url", "html", F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("revisit"), F.col("response")).alias("refers_to"))
+    p = p.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1("html")))
+    large = p.where("digest is not null").select("page_id", "digest")
+    response = large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
+    revisit = joined_evenly(large, response, "digest").where(~F.col("page_id").eqNullSafe(F.col("response"))).distinct()
+    revisit = written(revisit.select(F.col("page_id").alias("i"), F.col("digest").alias("d"), "response"), "revisits")
+    typed = p.join(revisit, F.col("page_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    return typed.select("page_id", "url", "html", F.when(F.col("response").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("response").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -133,7 +153,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for i, url, html, kind, to in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], batch["record_type"], batch["refers_to"].astype("Int64")):
                 page = {"page_id": None if i is pd.NA else int(i), "url": url if isinstance(url, str) else None, "record_type": kind, "refers_to": None if to is pd.NA else int(to)}
                 data = record(page, html.encode())
-                out = store.create(name) if out is None else out
+                if out is None:
+                    out, first = store.create(name), warcinfo(name)
+                    out.write(first)
+                    offset = len(first)
                 out.write(data)
                 rows.append((reversed_host_key(page["url"]), page["page_id"], name, offset, len(data)))
                 offset += len(data)
@@ -190,7 +213,10 @@ def write_index(captures: DataFrame, folder: str) -> list[tuple]:
 
     order = ["key", "page_id", "file", "offset"]
     ranged = captures.repartitionByRange(shuffle_partitions(captures.sparkSession), *order).sortWithinPartitions(*order)
-    return sorted(tuple(r) for r in written(ranged.mapInPandas(part, PART), "index").collect())
+    path = new_path(captures.sparkSession, "index")
+    parts = sorted(tuple(r) for r in written_at(ranged.mapInPandas(part, PART), path).collect())
+    remove(captures.sparkSession, path)
+    return parts
 
 
 class Index:

@@ -523,7 +523,8 @@ def test_reversed_host_keys(url, key):
 
 def test_warc_records_come_back():
     page = {"page_id": 7, "url": "http://a.b/\r\nx", "record_type": "response", "refers_to": None}
-    headers, block = warc.parsed(warc.record(page, "é\r\n\r\n".encode()))
-    assert block == "é\r\n\r\n".encode() and headers["X-Page-ID"] == "7"
-    headers, block = warc.parsed(warc.record(page | {"record_type": "revisit", "refers_to": 9}, b"x" * 2000))
-    assert block == b"" and headers["X-Refers-To-Page-ID"] == "9" and headers["X-Payload-Bytes"] == "2000"
+    headers, payload = warc.parsed(warc.record(page, "é\r\n\r\n".encode()))
+    assert payload == "é\r\n\r\n".encode() and headers["X-Page-ID"] == "7" and headers["Content-Type"].startswith("application/http")
+    headers, payload = warc.parsed(warc.record(page | {"record_type": "revisit", "refers_to": 9}, b"x" * 2000))
+    assert payload == b"" and headers["X-Refers-To-Page-ID"] == "9" and headers["X-Payload-Bytes"] == "2000"
+    assert warc.parsed(warc.warcinfo("a.warc.gz"))[0]["WARC-Type"] == "warcinfo"

@@ -1,7 +1,9 @@
 """The operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import json
 import random
+import time
 import zlib
 
 import duckdb
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, language, licences, lz, multi_index, near_duplicates, packing, pii, simhash, toxicity, warc
+from lodestone.llm import bpe, language, licences, lz, multi_index, near_duplicates, packing, pii, simhash, toxicity, vocabulary, warc
 from lodestone.llm.components import connected_components
 from tests.llm.test_functions import brute_fingerprint, components, invented
 
@@ -240,6 +242,28 @@ def test_bpe_columns(spark, rows):
     assert bpe.encode_texts(docs_of(spark, []), path).count() == 0
 
 
+def test_many_added_tokens_take_time_in_proportion(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "ab<|endoftext|>" * 16_000
+    began = time.time()
+    got = bpe.encode_texts(docs_of(spark, [(1, text)]), path).first()
+    assert time.time() - began < 30 and bytes(got["ids"]) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_vocabularies_out_of_merge_order_are_refused(tmp_path):
+    spec = {"added_tokens": [], "model": {"vocab": {"a": 0, "b": 1, "c": 2, "bc": 3, "ab": 4}, "merges": ["a b", "b c"]}}
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        vocabulary.ranks(str(tmp_path / "v.json"))
+
+
+def test_fingerprints_of_hot_ids(spark):
+    """Half of the rows without an id and a third under one id are dealt out, and each still meets the next in order."""
+    rng = random.Random(20)
+    rows = [(None, "".join(rng.choices("ab ", k=30))) for _ in range(150)] + [(7, "".join(rng.choices("ab ", k=30))) for _ in range(100)] + [(k, "xyz" * k) for k in range(20, 60)] + [(None, "same")] * 30
+    test_fingerprints_with_next(spark, rows)
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16))
