@@ -6,9 +6,14 @@ folder. A query walks the centroid pairs in order of summed squared distance, wi
 distances of both halves, until the visited cells hold ``share`` of all rows (and enough for the answer); rows in
 visited cells are scored exactly, in double precision on the original vectors.
 
-Codebooks are fitted on a bounded sample (about ``sample`` rows, ids hashed to a share of all); every row is indexed.
-Cells are dealt into blocks of about ``BLOCK`` rows, a cell larger than that into several, and queries into blocks
-of ``QUERY_BLOCK``; each task scores one block of rows for one block of queries and keeps the best of each query.
+Codebooks are fitted on a bounded sample (at most ``sample`` rows, those with the least hashed ids); every row is
+indexed. Their size grows with the rows, so that a cell holds about ``CELL_ROWS``. Where ``share`` isn't given it is
+measured: rows of the sample are looked up among the others, and the share is what they must visit to reach
+``recall`` of their true neighbours; that is little for vectors in clusters and over half for random ones.
+
+Cells are dealt into blocks of about ``BLOCK`` rows, a cell larger than that into several, and queries, neighbours
+together, into blocks of ``QUERY_BLOCK``; a block of rows is sent to the blocks of queries that visit it, and each
+task scores one block of rows for one block of queries and keeps the best of each query.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the commonest
 length, take no part; nor do rows with a null id. A query isn't a candidate of its own: rows of its id are left
@@ -28,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import hash_share, table, written
+from lodestone.llm.shared import hash_order, hash_share, new_path, remove, shuffle_partitions, table, written, written_at
 
-CODEWORDS = 32
-SHARE = 0.55
+#: Rows of a cell for which codebooks are sized, and their least and largest size.
+CELL_ROWS, CODEWORDS = 8, (16, 256)
 BLOCK = 1_024
 QUERY_BLOCK = 2_048
 SAMPLE = 20_000
+#: Queries on which the share is measured, the part of their true neighbours to reach, and room for what the sample misses.
+ASKED, RECALL, ROOM = 256, 0.95, 1.1
 
 
 def usable(vector: str) -> Column:
@@ -119,8 +126,34 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     return query_ids[at[keep]], ids[to[keep]], exact[keep]
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, codewords: int = CODEWORDS, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def measured_share(index: MultiIndex, u: np.ndarray, k: int, recall: float) -> float:
+    """The share of rows that searches among the unit vectors ``u`` must visit to find ``recall`` of their ``k`` nearest others."""
+    if len(u) <= k + 1:
+        return 1.0
+    asked = np.random.default_rng(2).permutation(len(u))[:ASKED]
+    near = u[asked] @ u.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    cells = index.cells(u)
+    counts = np.bincount(cells, minlength=len(index.first) * len(index.second))
+    sums = index.sums(u[asked])
+    need = []
+    for row, own in zip(sums, best):
+        order = np.argsort(row, kind="stable")
+        upto, place = np.cumsum(counts[order]), np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        need += upto[place[cells[own]]].tolist()
+    return float(np.quantile(need, recall)) / len(u)
+
+
+def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = 5, codewords: int | None = None, share: float | None = None, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, ``id_col``, score): for each row of ``queries`` its ``k`` nearest rows of ``df``."""
+    made: list[str] = []
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        made.append(new_path(df.sparkSession, name))
+        return written_at(rows, made[-1])
+
     clean = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null").where(usable("v"))
     asked = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null").where(usable("v"))
     sizes = clean.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -129,9 +162,10 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
         return df.sparkSession.createDataFrame([], out)
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     clean, asked = clean.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    taken = clean.where(hash_share("id") < 1.2 * sample / n).select("v").limit(sample).collect()
-    u = unit(np.array([r["v"] for r in taken] or [r["v"] for r in clean.select("v").limit(codewords).collect()], float))
+    taken = clean.where(hash_share("id") < 1.2 * sample / n + 1e-3).select("v", hash_order("id").alias("at")).orderBy("at", "v").limit(sample).collect()
+    u = unit(np.array([r["v"] for r in taken] or [r["v"] for r in clean.orderBy(hash_order("id"), "v").select("v").limit(CODEWORDS[0]).collect()], float))
     h = max(1, dim // 2)
+    codewords = codewords or int(np.clip(np.sqrt(n / CELL_ROWS), *CODEWORDS))
     index = MultiIndex(kmeans(u[:, :h], codewords), kmeans(u[:, h:], codewords) if dim > 1 else np.zeros((1, 0)))
     cells_n = len(index.first) * len(index.second)
 
@@ -139,7 +173,8 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
     def cell_of(batch: pd.Series) -> pd.Series:
         return pd.Series(index.cells(np.stack(batch.to_numpy())) if len(batch) else [], dtype="int32")
 
-    rows = written(clean.withColumn("cell", cell_of("v")), "multi-index")
+    share = share or min(1.0, ROOM * measured_share(index, u, k, recall))
+    rows = kept(clean.withColumn("cell", cell_of("v")), "multi-index")
     counts = np.zeros(cells_n, np.int64)
     for r in rows.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
@@ -159,24 +194,36 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
             if not len(batch):
                 continue
             x = np.stack(batch["v"].to_numpy()).astype(float)
-            for i, v, a, b in zip(batch["id"], batch["v"], *index.halves(x)):
+            for i, v, to, a, b in zip(batch["id"], batch["v"], batch["query_block"], *index.halves(x)):
                 # Rows of the query's own id don't count: one more cell than enough for them.
                 visited = traverse(a, b, counts, enough)
                 limit = max(a[c // len(b)] + b[c % len(b)] for c in visited)
                 blocks = sorted({int(first_block[c] + p) for c in visited if counts[c] for p in range(parts[c])})
-                yield pd.DataFrame({"query_id": i, "q": [v] * len(blocks), "reach": limit, "block": np.array(blocks, "int64")})
+                yield pd.DataFrame({"query_id": i, "q": [v] * len(blocks), "reach": limit, "block": np.array(blocks, "int64"), "query_block": to})
+
+    single = asked.groupBy("id").agg(F.min("v").alias("v")).withColumn("cell", cell_of("v"))
+    # Queries of neighbouring cells go to the same block; a cell with many is dealt over several.
+    asked_counts = np.zeros(cells_n, np.int64)
+    single = kept(single.repartition(shuffle_partitions(df.sparkSession), "id"), "queries")
+    for r in single.groupBy("cell").count().collect():
+        asked_counts[r["cell"]] = r["count"]
+    before = np.cumsum(asked_counts) - asked_counts
+
+    @F.pandas_udf("bigint")
+    def query_block_of(cell: pd.Series, at: pd.Series) -> pd.Series:
+        c = cell.to_numpy()
+        return pd.Series((before[c] + at.to_numpy() % np.maximum(asked_counts[c], 1)) // QUERY_BLOCK, dtype="int64")
 
-    single = asked.groupBy("id").agg(F.min("v").alias("v"))
-    n_queries = single.count()
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    wanted = single.mapInPandas(reached, "query_id bigint, q array<double>, reach double, block bigint").withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    placed = single.withColumn("query_block", query_block_of("cell", at)).select("id", "v", "query_block")
+    wanted = kept(placed.mapInPandas(reached, "query_id bigint, q array<double>, reach double, block bigint, query_block bigint"), "wanted")
 
     @F.pandas_udf("bigint")
     def block_of(cell: pd.Series, part: pd.Series) -> pd.Series:
         c = cell.to_numpy()
         return pd.Series(first_block[c] + part.to_numpy() % parts[c], dtype="int64")
 
-    dealt = rows.withColumn("block", block_of("cell", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")))
+    dealt = rows.withColumn("block", block_of("cell", at)).join(wanted.select("block", F.col("query_block").alias("to")).distinct(), "block")
 
     def scored(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, "int64"), "id": np.zeros(0, "int64"), "score": np.zeros(0)})
@@ -192,9 +239,12 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
         a, b, s_ = (np.concatenate(z) for z in zip(*parts_))
         return pd.DataFrame({"query_id": a, "id": b, "score": s_})
 
-    near = dealt.groupBy("block", "query_block").cogroup(wanted.groupBy("block", "query_block")).applyInPandas(scored, "query_id bigint, id bigint, score double")
+    near = dealt.groupBy("block", "to").cogroup(wanted.groupBy("block", "query_block")).applyInPandas(scored, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    found = written(near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score"), "nearest")
+    for path in made:
+        remove(df.sparkSession, path)
+    return found
 
 
 def op8_multi_index(spark, sf_dir: str) -> DataFrame:

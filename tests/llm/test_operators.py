@@ -283,6 +283,18 @@ def test_nearest_against_brute_force(spark):
     approx = multi_index.nearest(table, queries).collect()
     same = {(r["query_id"], r["vec_id"]) for r in got} & {(r["query_id"], r["vec_id"]) for r in approx}
     assert len(same) >= 0.9 * len(got)
+    # Vectors in clusters need a small part of the rows.
+    centres = rng.normal(size=(40, 16))
+    crowd = np.concatenate([c + 0.05 * rng.normal(size=(50, 16)) for c in centres])
+    u = multi_index.unit(crowd)
+    index = multi_index.MultiIndex(multi_index.kmeans(u[:, :8], 16), multi_index.kmeans(u[:, 8:], 16))
+    assert multi_index.measured_share(index, u, 5, 0.95) < 0.1 < multi_index.measured_share(index, multi_index.unit(rng.normal(size=(2000, 16))), 5, 0.95)
+    clustered = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(crowd)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in multi_index.nearest(clustered, clustered.where("vec_id % 50 = 0")).collect()}
+    near = u @ u.T
+    np.fill_diagonal(near, -9)
+    want = {(q, int(i)) for q in range(0, 2000, 50) for i in np.argsort(-near[q])[:5]}
+    assert len(got & want) >= 0.9 * len(want)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (50, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in multi_index.nearest(few, few).orderBy("query_id").collect()] == [(0, 50), (50, 0)]
     assert multi_index.nearest(few.limit(0), few.limit(0)).count() == 0
