@@ -315,7 +315,7 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
 
     # Only texts in clusters are needed again. Their sets meet cluster by cluster, then across the parts of large ones.
     again = kept(nodes.join(clusters, "node").select("node", "of.id", "of.th", "cluster", "n"), "again")
-    texts = known.select(*name, F.col(text).alias("text")).join(again, ["id", "th"]).groupBy("node", "cluster", "n").agg(F.first("text", ignorenulls=True).alias("text"))
+    texts = known.select(*name, F.col(text).alias("text")).join(again.hint("merge"), ["id", "th"]).groupBy("node", "cluster", "n").agg(F.first("text", ignorenulls=True).alias("text"))
     sets = kept(texts.select("cluster", "node", alone, "n", hashed("text").alias("h")), "sets")
     share = F.greatest(F.lit(1 / GROUP), F.col("n") / SHINGLES)
     large = kept(sets.groupBy("cluster").agg(F.ceil(F.sum(share)).cast("long").alias("parts")), "cluster-parts")
@@ -336,9 +336,9 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
     for path in made:
         remove(spark, path)
 
-    # The texts meet ids and hashes only; Spark sends these to every task where they are small, by the size of their files.
+    # The texts meet ids and hashes only, in a shuffle whatever their number, so the plan is one at every size.
     same = (F.col(id_col) == F.col(as_text["id"])) & (name[1] == F.col(as_text["th"]))
-    stay = docs.join(gone, same, "left_anti")
+    stay = docs.join(gone.hint("merge"), same, "left_anti")
     if repeated.isEmpty():
         return stay
     row = F.struct(*[F.col(c) for c in docs.columns])
