@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Words are Unicode letters, digits and underscores; Java's own ``\w`` knows only ASCII.
 WORD = r"[\p{L}\p{N}_]+"
+#: Fixed value: what a line of a log holds.
+TIMESTAMP = r"\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}"
+#: Fixed value: a link, the first group being its text.
 LINK = r"\[([^\]]+)\]\([^)]+\)"
 #: (pattern, replacement) in order; ``$1`` is a group.
 HTML_RULES: tuple[tuple[str, str], ...] = (
@@ -64,14 +67,14 @@ def markdown_from_html(html: Column) -> Column:
 
 
 def promote_headings(markdown: Column) -> Column:
-    """A line of bold text alone (3 to 79 characters, no closing punctuation inside) before a blank line or the end becomes a heading."""
-    return F.regexp_replace(markdown, r"(?m)^\*\*(?=[^*\n]{3,79}\*\*[ \t]*$)([^*\n]*[^*\n.,:;!?])\*\*[ \t]*(?=\n[ \t]*(?:\n|\z)|\z)", "## $1")
+    """A line of bold text alone (3 to 79 characters, not ending in ``. , ; :``) before a blank line or the end becomes a heading."""
+    return F.regexp_replace(markdown, r"(?m)^\*\*(?=[^*\n]{3,79}\*\*[ \t]*$)([^*\n]*[^*\n.,:;])\*\*[ \t]*(?=\n[ \t]*(?:\n|\z)|\z)", "## $1")
 
 
 def strip_repeats(text: Column) -> Column:
     """Without zero-width characters; phrases of 3 to 11 words that stand twice in a row stand once."""
     clean = F.translate(text, "​‌‍﻿­", "")
-    return F.regexp_replace(clean, r"(?i)\b(\w+(?:\s+\w+){2,10})\s+\1\b", "$1")
+    return F.regexp_replace(clean, r"(?U)\b(\w+(?:\s+\w+){2,10})\s+\1\b", "$1")
 
 
 def suspicious_text(text: Column) -> Column:
@@ -82,9 +85,9 @@ def suspicious_text(text: Column) -> Column:
 
 
 def looks_like_log(text: Column) -> Column:
-    """Over 40 % of lines hold a timestamp."""
+    """Over 40 % of lines hold a full timestamp, date and time to the second."""
     lines = F.split(text, "\n")
-    stamped = F.size(F.filter(lines, lambda x: x.rlike(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\d{2}:\d{2}:\d{2}")))
+    stamped = F.size(F.filter(lines, lambda x: x.rlike(TIMESTAMP)))
     return stamped * 10 > F.size(lines) * 4
 
 

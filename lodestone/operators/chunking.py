@@ -177,9 +177,13 @@ def chunk_id(url: Column, index: Column) -> Column:
     return F.format_string("%s_chunk_%03d", F.md5(url), index)
 
 
-def embedding_text(title: Column, path: Column, text: Column) -> Column:
-    """The text under a line with the title and the heading path."""
-    return F.concat(F.lit("["), F.concat_ws(" > ", title, F.array_join(path, " > ")), F.lit("]\n"), text)
+def embedding_text(title: Column, path: Column, text: Column, prepared: Column | None = None) -> Column:
+    """The text under a line with the title and the heading path; for chunks that were prepared, what that made."""
+    head = F.concat(F.lit("["), F.concat_ws(" > ", title, F.array_join(path, " > ")), F.lit("]\n"), text)
+    if prepared is None:
+        return head
+    section = F.when(F.size(path) > 0, F.concat(F.lit(" | Section: "), F.array_join(path, " > "))).otherwise("")
+    return F.coalesce(F.nullif(prepared, F.lit("")), F.concat(F.lit("Document: "), title, section, F.lit("\n\n"), text))
 
 
 def sentences(text: Column) -> Column:

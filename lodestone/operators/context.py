@@ -20,17 +20,18 @@ def parse_heading_path(path: Column) -> Column:
 def context_rows(ranked: DataFrame, budget: int = BUDGET, least: float = 0.0) -> DataFrame:
     """(query_id, rank, chunk_id, tokens, disposition): in rank order, chunks that fit are included, others excluded.
 
-    A later chunk may fit where an earlier one didn't. A copy of an included text is a duplicate. The fold runs over
+    Chunks that score under ``least`` are excluded. A later chunk may fit where an earlier one didn't. A copy of an
+    included text is a duplicate. The fold runs over
     one query's ranked chunks, at most a few dozen.
     """
-    row = F.struct("rank", "chunk_id", token_estimate(F.col("text")).alias("tokens"), F.sha2(F.trim("text"), 256).alias("digest"))
-    own = ranked.where(F.col("score") >= least).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
+    row = F.struct("rank", "chunk_id", token_estimate(F.col("text")).alias("tokens"), F.sha2(F.trim("text"), 256).alias("digest"), (F.coalesce(F.col("score"), F.lit(0.0)) < least).alias("low"))
+    own = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
     out = "array<struct<rank: int, tokens: int, disposition: string>>"
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("seen"), F.array().cast(out).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        copy = F.array_contains(state["seen"], x["digest"])
-        fits = ~copy & (state["used"] + x["tokens"] <= budget)
+        copy = ~x["low"] & F.array_contains(state["seen"], x["digest"])
+        fits = ~x["low"] & ~copy & (state["used"] + x["tokens"] <= budget)
         what = F.when(copy, "duplicate").when(fits, "included").otherwise("excluded")
         entry = F.struct(x["rank"].cast("int").alias("rank"), x["tokens"].alias("tokens"), what.alias("disposition"))
         return F.struct(

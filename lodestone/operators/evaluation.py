@@ -48,12 +48,49 @@ def report(results: DataFrame, *by: str) -> DataFrame:
     )
 
 
+#: Groups of up to this many values are ranked whole; of larger ones the values this close to the percentile, as a share.
+WHOLE, CLOSE = 10_000, 0.001
+
+
+def at_shares(df: DataFrame, value: str, shares: dict[str, tuple[float, Column]], by: list[str]) -> DataFrame:
+    """``by`` and, for each share, the sorted values' elements at its place and the next one, as (low, high).
+
+    ``shares``: name -> (number of a percentile, place from 0 as a Column of ``n``). Exact, but no group is sorted: an
+    approximate percentile on either side bounds the values that are ranked, and those below are only counted.
+    """
+    percent = [min(1.0, max(0.0, p + d)) for p, _ in shares.values() for d in (-CLOSE, CLOSE)]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__v", F.array(*map(F.lit, percent)), 10_000).alias("__b"))
+    met = rows.join(F.broadcast(stats), by) if by else rows.crossJoin(F.broadcast(stats))
+    whole, out = F.col("n") <= WHOLE, stats.drop("__b")
+    for k, (name, (_, place)) in enumerate(shares.items()):
+        low, high = F.col("__b")[2 * k], F.col("__b")[2 * k + 1]
+        below = met.groupBy(*by).agg(F.count_if(~whole & (F.col("__v") < low)).alias("__below"), F.min(F.when(~whole & (F.col("__v") > high), F.col("__v"))).alias("__next"))
+        near = met.where(whole | F.col("__v").between(low, high))
+        near = (near.join(F.broadcast(below), by) if by else near.crossJoin(F.broadcast(below))).withColumn("__k", F.row_number().over(W.partitionBy(*by).orderBy("__v")) - 1 + F.col("__below"))
+        at = near.groupBy(*by).agg(F.max(F.when(F.col("__k") == place, F.col("__v"))).alias("low"), F.max(F.when(F.col("__k") == place + 1, F.col("__v"))).alias("high"), F.first("__next").alias("next"))
+        at = at.select(*by, F.struct("low", F.coalesce("high", "next").alias("high")).alias(name))
+        out = out.join(at, by) if by else out.crossJoin(at)
+    return out
+
+
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """Percentiles as the sorted values' element at int(n * p), not interpolated: rows are ranked, not gathered."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumns({"__k": F.row_number().over(w.orderBy(value)) - 1, "__n": F.count("*").over(w)})
-    at = {k: F.max(F.when(F.col("__k") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col(value))).alias(k) for k, p in shares.items()}
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), *at.values())
+    """Percentiles as the sorted values' element at int(n * p), not interpolated."""
+    at = at_shares(df, value, {k: (p, F.least(F.floor(F.col("n") * p), F.col("n") - 1)) for k, p in shares.items()}, list(by))
+    mean = df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
+    both = mean.join(at.drop("n"), list(by), "left") if by else mean.crossJoin(at.drop("n"))
+    return both.select(*by, "n", "mean", *[F.col(f"{k}.low").alias(k) for k in shares])
+
+
+def interpolated(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """Percentiles at (n - 1) * p, between two values in proportion."""
+    at = at_shares(df, value, {k: (p, F.floor((F.col("n") - 1) * p)) for k, p in shares.items()}, list(by))
+
+    def between(k: str, p: float) -> Column:
+        part = (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+        return (F.col(f"{k}.low") + F.when(part > 0, part * (F.col(f"{k}.high") - F.col(f"{k}.low"))).otherwise(0.0)).alias(k)
+
+    return at.select(*by, *[between(k, p) for k, p in shares.items()])
 
 
 def group_metrics(results: DataFrame, *columns: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.evaluation import interpolated
+
 #: Fixed values, USD: an embedding token, 1000 rerank tokens, and 1000 input and output tokens by provider.
 EMBEDDING, RERANK = 2e-8, 1.5e-5
 RATES = {"gemini": (0.000075, 0.0003), "groq": (0.00005, 0.00008)}
@@ -51,4 +53,6 @@ def log_summary(log: DataFrame, n: int = 100) -> DataFrame:
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
-    return events.groupBy("event").agg(F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"), F.round(F.percentile("duration_ms", 0.5), 4).alias("p50_ms"), F.round(F.percentile("duration_ms", 0.95), 4).alias("p95_ms"))
+    means = events.groupBy("event").agg(F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"))
+    at = interpolated(events, "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, "event")
+    return means.join(at.select("event", F.round("p50_ms", 4).alias("p50_ms"), F.round("p95_ms", 4).alias("p95_ms")), "event", "left")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,57 +28,57 @@ def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 # -- dense ----------------------------------------------------------------------------------------------------------
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", query_block: int = 1_024, tenant: str | None = None, exclude_self: bool = False) -> DataFrame:
-    """(query_id, rank, chunk_id, score) over vectors: exact, by matrix products of a block of queries and a batch of chunks.
+#: Queries and chunks that meet in one task.
+QUERY_BLOCK, CHUNK_BLOCK = 1_024, 4_096
+
+
+def _blocks(rows: DataFrame, item: str, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a block of about ``size`` rows within its group ``t``, and the number of blocks of each group."""
+    parts = rows.groupBy("t").agg(F.ceil(F.count("*") / size).cast("int").alias(f"{name}s"))
+    dealt = rows.join(F.broadcast(parts), "t").withColumn(name, F.pmod(F.xxhash64(item), F.col(f"{name}s")).cast("int"))
+    return dealt.drop(f"{name}s"), parts
+
+
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "cosine", query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK, tenant: str | None = None, exclude_self: bool = False) -> DataFrame:
+    """(query_id, rank, chunk_id, score) over vectors: exact, by matrix products of a block of queries and a block of chunks.
 
     ``queries``: query_id, qv[, tenant]; ``chunks``: chunk_id, v[, tenant]. ``metric``: cosine, ip, or l2 (score
-    1 / (1 + distance)). Queries are cut into blocks; each block meets every batch of chunks once and keeps k of a
-    query from each, so what is shuffled is k rows for each query and batch, and no row for each pair.
+    1 / (1 + distance)). Every block of queries meets every block of chunks (of its tenant only) in a task and keeps k
+    of a query from each; what is shuffled behind that is k rows for each query and block, and no row for each pair.
+    Nothing is collected. Null vectors take no part.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    q = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = q.where(F.col("__block") == b).select("query_id", "qv", *([F.col(tenant)] if tenant else [])).collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows])
-        vectors = np.array([r["qv"] for r in rows], float)
-        tenants = np.array([r[tenant] for r in rows], object) if tenant else None
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, vectors=vectors, tenants=tenants) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                v = np.stack(batch["v"].to_numpy()).astype(float)
-                own = batch["chunk_id"].to_numpy()
-                if metric == "l2":
-                    d = (vectors**2).sum(axis=1)[:, None] - 2 * vectors @ v.T + (v**2).sum(axis=1)[None, :]
-                    s = 1 / (1 + np.sqrt(np.maximum(d, 0)))
-                else:
-                    s = vectors @ v.T
-                    if metric == "cosine":
-                        s = s / np.maximum(np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-300)
-                if tenants is not None:
-                    s[tenants[:, None] != batch[tenant].to_numpy()[None, :]] = -np.inf
-                if exclude_self:
-                    s[ids[:, None] == own[None, :]] = -np.inf
-                kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                at, to = np.nonzero((s >= kth[:, None] - 1e-5) & np.isfinite(s))
-                score = np.round(pair_scores(vectors[at], v[to], metric), 9)
-                order = np.lexsort((own[to], -score, at))
-                at, to, score = at[order], to[order], score[order]
-                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-                yield pd.DataFrame({"query_id": ids[at[keep]], "chunk_id": own[to[keep]], "score": score[keep]})
-
-        kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-        part = chunks.select("chunk_id", "v", *([tenant] if tenant else [])).mapInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-        out = queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-    return top_k(out, k).select("query_id", "rank", "chunk_id", "score")
+    group = F.col(tenant) if tenant else F.lit(0)
+    q, q_parts = _blocks(queries.where("qv is not null").select(group.alias("t"), "query_id", "qv"), "query_id", query_block, "qb")
+    c, c_parts = _blocks(chunks.where("v is not null").select(group.alias("t"), "chunk_id", "v"), "chunk_id", chunk_block, "cb")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = q.join(F.broadcast(c_parts), "t").withColumn("cb", F.explode(upto("cbs"))).drop("cbs")
+    held = c.join(F.broadcast(q_parts), "t").withColumn("qb", F.explode(upto("qbs"))).drop("qbs")
+    kinds = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": left["query_id"][:0], "chunk_id": right["chunk_id"][:0], "score": np.zeros(0)})
+        ids, own = left["query_id"].to_numpy(), right["chunk_id"].to_numpy()
+        vectors, v = np.stack(left["qv"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()).astype(float)
+        if metric == "l2":
+            d = (vectors**2).sum(axis=1)[:, None] - 2 * vectors @ v.T + (v**2).sum(axis=1)[None, :]
+            s = 1 / (1 + np.sqrt(np.maximum(d, 0)))
+        else:
+            s = vectors @ v.T
+            if metric == "cosine":
+                s = s / np.maximum(np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :], 1e-300)
+        if exclude_self:
+            s[ids[:, None] == own[None, :]] = -np.inf
+        kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
+        at, to = np.nonzero((s >= kth[:, None] - 1e-5) & np.isfinite(s))
+        score = np.round(pair_scores(vectors[at], v[to], metric), 9)
+        order = np.lexsort((own[to], -score, at))
+        at, to, score = at[order], to[order], score[order]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return pd.DataFrame({"query_id": ids[at[keep]], "chunk_id": own[to[keep]], "score": score[keep]})
+
+    met = asked.groupBy("t", "qb", "cb").cogroup(held.groupBy("t", "qb", "cb")).applyInPandas(best, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return top_k(met, k).select("query_id", "rank", "chunk_id", "score")
 
 
 # -- keywords -------------------------------------------------------------------------------------------------------
@@ -96,16 +94,23 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)))).alias("term"))
 
 
-def bm25(terms: DataFrame, docs: DataFrame, item: str = "chunk_id", text: str = "text", stemmed=None) -> DataFrame:
+#: Distinct query terms that are sent to every task, some 100 MB; more of them meet the documents' words in a shuffle.
+MOST_TERMS = 2_000_000
+
+
+def bm25(terms: DataFrame, docs: DataFrame, item: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, item, score, n_matched, n_terms): BM25 of every document that holds a query term.
 
-    Only the query terms' postings are counted: documents' words meet the distinct terms before anything is
-    shuffled by term. Statistics are over all documents.
+    Only the query terms' postings are counted: documents' words meet the distinct terms where they are read, and
+    are counted by document before anything is shuffled by term. Statistics are over all documents. Terms and texts
+    that were stemmed alike (``slots.stemmed``) are matched by their stems.
     """
     length = F.size(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
     sizes = docs.select(item, length.alias("dl"))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
+    if wanted.count() <= MOST_TERMS:
+        wanted = F.broadcast(wanted)
     words = docs.select(item, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("term"))
     # Lengths join the counted hits: carried through the explode they would be computed anew for every word.
     hits = words.join(wanted, "term", "left_semi").groupBy("term", item).agg(F.count("*").alias("tf"))
@@ -129,8 +134,9 @@ def bm25_search(scored: DataFrame, k: int = 5, item: str = "chunk_id") -> DataFr
 # -- fusion and reranking -------------------------------------------------------------------------------------------
 def reciprocal_rank_fusion(dense: DataFrame, sparse: DataFrame, k: int = 5) -> DataFrame:
     """Both rankings' 1 / (60 + rank) summed, the best ``k`` a query, scores divided by the best one."""
-    both = dense.select("query_id", "chunk_id", "rank").unionByName(sparse.select("query_id", "chunk_id", "rank"))
-    summed = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (RRF + F.col("rank"))), 9).alias("score"))
+    one, two = (r.select("query_id", "chunk_id", F.col("rank").alias(name)) for r, name in ((dense, "r1"), (sparse, "r2")))
+    part = lambda r: F.coalesce(1 / (RRF + F.col(r)), F.lit(0.0))
+    summed = one.join(two, ["query_id", "chunk_id"], "full").select("query_id", "chunk_id", F.round(part("r1") + part("r2"), 9).alias("score"))
     best = F.max("score").over(W.partitionBy("query_id"))
     return top_k(summed, k).withColumn("score", F.round(F.col("score") / best, 6)).select("query_id", "rank", "chunk_id", "score")
 

@@ -11,8 +11,8 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +21,22 @@ BATCH = 100
 RETRIES = 3
 
 
+@lru_cache(maxsize=200_000)
+def _place(word: str, dim: int) -> tuple[int, int]:
+    """A word's place in a vector and its sign, by two bytes of its md5."""
+    d = hashlib.md5(word.encode()).digest()
+    return d[0] % dim, 1 if d[1] < 128 else -1
+
+
 def hashed_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:
-    """Unit vectors of hashed word counts."""
+    """Vectors of signed word counts, hashed into ``dim`` places."""
     out = []
     for t in texts:
-        v = np.zeros(dim)
+        v = [0.0] * dim
         for w in re.findall(r"\w+", t.lower()):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-            v[h % dim] += 1 if h >> 63 else -1
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
+            at, sign = _place(w, dim)
+            v[at] += sign
+        out.append(v)
     return out
 
 

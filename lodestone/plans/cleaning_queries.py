@@ -49,7 +49,7 @@ def sitemap_urls(spark, d):
 @query(
     "select_urls",
     rf"""WITH u AS (SELECT page_id AS pos, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS url FROM pages),
-k AS (SELECT * FROM u WHERE NOT regexp_matches(lower(url), '\.({"|".join(I.SKIPPED_EXTENSIONS)})$') AND contains(lower(url), '/en/')),
+k AS (SELECT * FROM u WHERE NOT regexp_matches(lower(url), '\.(pdf|png|jpg|jpeg|gif|svg|webp|ico|zip|tar|gz|xml|json|csv|xlsx|docx|mp3|mp4|avi|mov|woff|woff2|ttf|eot)$') AND contains(lower(url), '/en/')),
 f AS (SELECT *, row_number() OVER (PARTITION BY host, url ORDER BY pos) AS n FROM k)
 SELECT pos, host, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY pos) AS c FROM f WHERE n = 1) WHERE c <= 50""",
 )
@@ -58,7 +58,12 @@ def select_urls(spark, d):
     return I.select_urls(urls, "/en/", cap=50, source="host")
 
 
-@query("promote_headings")
+@query(
+    "promote_headings",
+    f"""WITH {MD}, b AS (SELECT doc_id, string_split(regexp_replace(markdown, '(?m)^# (.{{3,70}})$', '**\\1**' || chr(10), 'g'), chr(10)) AS l FROM md),
+x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n, l FROM b)
+SELECT doc_id, string_agg(CASE WHEN regexp_matches(line, '^\\*\\*[^*]{{2,78}}[^*.,:;]\\*\\*[ \t]*$') AND (i = n OR trim(l[i + 1], ' ' || chr(9)) = '') THEN '## ' || regexp_extract(line, '^\\*\\*([^*]+)\\*\\*', 1) ELSE line END, chr(10) ORDER BY i) AS markdown FROM x GROUP BY doc_id""",
+)
 def promote_headings(spark, d):
     bold = F.regexp_replace("markdown", r"(?m)^# (.{3,70})$", "**$1**\n")
     return markdown_docs(spark, d).select("doc_id", T.promote_headings(bold).alias("markdown"))
@@ -66,7 +71,7 @@ def promote_headings(spark, d):
 
 @query("strip_repeats")
 def strip_repeats(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(T.strip_repeats(F.col("text"))).alias("chars"), F.length("text").alias("chars_before"))
+    return table(spark, d, "documents").select("doc_id", T.strip_repeats(F.col("text")).alias("text"), F.length("text").alias("chars_before"))
 
 
 @query(
@@ -80,7 +85,7 @@ def text_quality_flags(spark, d):
 
 @query(
     "log_file_flag",
-    r"""SELECT event_id, len(list_filter(l, lambda x: regexp_matches(x, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\d{2}:\d{2}:\d{2}'))) * 10 > len(l) * 4 AS is_log
+    r"""SELECT event_id, len(list_filter(l, lambda x: regexp_matches(x, '\d{4}-\d{2}-\d{2}[\sT]\d{2}:\d{2}:\d{2}'))) * 10 > len(l) * 4 AS is_log
 FROM (SELECT event_id, string_split(strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || event_type || chr(10) || CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M:%S') ELSE props END, chr(10)) AS l FROM events)""",
 )
 def log_file_flag(spark, d):

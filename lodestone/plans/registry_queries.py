@@ -13,7 +13,9 @@ from lodestone.operators import chunking as K
 from lodestone.operators import context as X
 from lodestone.operators import observability as O
 from lodestone.operators import registry as G
+from lodestone.operators import retrieval as R
 from lodestone.operators.slots import embed
+from lodestone.plans import retrieval_queries as Q
 from lodestone.plans.common import BLOCKS, KIND, lit, markdown_docs, query, sql_tokens, sql_word_count, table
 from lodestone.sources.golden import parse_eval_queries
 from lodestone.sources.ingest import pages_to_documents
@@ -157,28 +159,33 @@ def union_visual_chunks(spark, d):
     return text.unionByName(visual, allowMissingColumns=True)
 
 
-@query("embed_chunks")
+@query(
+    "embed_chunks",
+    f"""WITH {Q._vectors_sql("dv", "doc_id", "(SELECT DISTINCT doc_id, text FROM documents)")}
+SELECT doc_id, CASE WHEN full_ THEN 64 END AS dim, NOT full_ AS failed, CASE WHEN full_ THEN md5(array_to_string(list_transform(coalesce(v, list_transform(range(64), lambda k: 0.0)), lambda x: CAST(x AS INT)), ',')) END AS digest
+FROM (SELECT doc_id, coalesce(regexp_matches(text, '[^ \\t\\n\\r]'), false) AS full_ FROM documents) LEFT JOIN dv ON id = doc_id""",
+)
 def embed_chunks(spark, d):
-    return embed(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dim"), F.col("embedding").isNull().alias("failed"))
+    done = embed(table(spark, d, "documents").select("doc_id", "text"))
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return done.select("doc_id", size.alias("dim"), F.col("embedding").isNull().alias("failed"), F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int")), ",")).alias("digest"))
 
 
 # -- context --------------------------------------------------------------------------------------------------------
-_RANKED = "ranked AS (SELECT label AS query_id, CAST(row_number() OVER (PARTITION BY label ORDER BY doc_id) AS INT) AS rank, doc_id AS chunk_id, text FROM (SELECT doc_id % 20 AS label, doc_id, text FROM documents WHERE doc_id < 400))".replace(" WHERE doc_id < 400", " QUALIFY row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) <= 40")
+# The forty best documents of every passage by keywords.
+BEST = 40
+_RANKED = f"{Q._BM25}, ranked AS (SELECT query_id, rank, chunk_id, text, score FROM sparse0 JOIN documents ON doc_id = chunk_id WHERE rank <= {BEST})"
 
 
 def ranked(spark, d):
-    """Forty documents for each of twenty queries, by id."""
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("doc_id"))
-    rows = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("query_id"), "doc_id", "text", F.lit(1.0).alias("score")).withColumn("rank", rank)
-    return rows.where("rank <= 40").withColumnRenamed("doc_id", "chunk_id")
+    best = R.bm25_search(Q._bm25(spark, d), BEST).select("query_id", "rank", "chunk_id", "score")
+    return best.join(Q.documents(spark, d), "chunk_id")
 
 
-_CONTEXT = f"""{_RANKED}, t AS (SELECT *, {sql_tokens('text')} AS tokens, sha256(trim(text)) AS h FROM ranked),
-fold AS (SELECT query_id, rank, chunk_id, tokens, CASE WHEN tokens <= 5000 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 5000 THEN [h] ELSE [] END AS seen, CASE WHEN tokens <= 5000 THEN 'included' ELSE 'excluded' END AS disposition FROM t WHERE rank = 1
-  UNION ALL SELECT t.query_id, t.rank, t.chunk_id, t.tokens, CASE WHEN NOT list_contains(seen, h) AND used + t.tokens <= 5000 THEN used + t.tokens ELSE used END, CASE WHEN NOT list_contains(seen, h) AND used + t.tokens <= 5000 THEN list_append(seen, h) ELSE seen END,
-    CASE WHEN list_contains(seen, h) THEN 'duplicate' WHEN used + t.tokens <= 5000 THEN 'included' ELSE 'excluded' END FROM fold f JOIN t ON t.query_id = f.query_id AND t.rank = f.rank + 1)"""
+_CONTEXT = f"""{_RANKED}, tk AS (SELECT *, {sql_tokens('text')} AS tokens, sha256(trim(text)) AS h FROM ranked),
+fold AS (SELECT query_id, rank, chunk_id, tokens, CASE WHEN tokens <= 5000 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 5000 THEN [h] ELSE [] END AS seen, CASE WHEN tokens <= 5000 THEN 'included' ELSE 'excluded' END AS disposition FROM tk WHERE rank = 1
+  UNION ALL SELECT tk.query_id, tk.rank, tk.chunk_id, tk.tokens, CASE WHEN NOT list_contains(seen, h) AND used + tk.tokens <= 5000 THEN used + tk.tokens ELSE used END, CASE WHEN NOT list_contains(seen, h) AND used + tk.tokens <= 5000 THEN list_append(seen, h) ELSE seen END,
+    CASE WHEN list_contains(seen, h) THEN 'duplicate' WHEN used + tk.tokens <= 5000 THEN 'included' ELSE 'excluded' END FROM fold f JOIN tk ON tk.query_id = f.query_id AND tk.rank = f.rank + 1)"""
 
 
 @query("context_window", f"WITH RECURSIVE {_CONTEXT} SELECT query_id, rank, chunk_id, tokens, disposition FROM fold")
@@ -186,7 +193,7 @@ def context_window(spark, d):
     return X.context_rows(ranked(spark, d)).select("query_id", "rank", "chunk_id", "tokens", "disposition")
 
 
-@query("empty_context", f"WITH RECURSIVE {_CONTEXT.replace('5000', '20')}, n AS (SELECT query_id, count(*) FILTER (disposition = 'included') AS included, count(*) FILTER (disposition = 'excluded') AS excluded FROM fold GROUP BY query_id) SELECT query_id, included, excluded, printf('all %d chunks exceed the budget', excluded) AS message FROM n WHERE included = 0 AND excluded > 0")
+@query("empty_context", f"WITH RECURSIVE {_CONTEXT.replace('5000', '20')}, sums AS (SELECT query_id, count(*) FILTER (disposition = 'included') AS included, count(*) FILTER (disposition = 'excluded') AS excluded FROM fold GROUP BY query_id) SELECT query_id, included, excluded, printf('all %d chunks exceed the budget', excluded) AS message FROM sums WHERE included = 0 AND excluded > 0")
 def empty_context(spark, d):
     return X.empty_contexts(X.context_rows(ranked(spark, d), budget=20))
 

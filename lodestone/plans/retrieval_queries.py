@@ -10,10 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.tenants import tenant_guard
+from lodestone.functions import text as T
 from lodestone.functions.text import WORD, has_sublist, identifier_tokens
 from lodestone.operators import evaluation as E
 from lodestone.operators import retrieval as R
-from lodestone.plans.common import lit, query, table
+from lodestone.operators.slots import embed
+from lodestone.plans.common import lit, query, settled, table
 
 K = 5
 
@@ -102,7 +104,8 @@ n AS (SELECT term, count(*) AS n FROM p GROUP BY term), nt AS (SELECT query_id,
 b AS (SELECT query_id, chunk_id, round(sum(greatest({R.IDF_FLOOR}, ln((n_docs - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score, count(*) AS n_matched
   FROM t JOIN p USING (term) JOIN n USING (term) JOIN dl USING (chunk_id), st GROUP BY query_id, chunk_id),
 a AS (SELECT b.*, n_terms, n_matched = n_terms AS every, bool_or(n_matched = n_terms) OVER (PARTITION BY query_id) AS has_all FROM b JOIN nt USING (query_id)),
-sparse AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score, fallback_used FROM (SELECT query_id, chunk_id, score, NOT has_all AS fallback_used, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM a WHERE every OR NOT has_all) WHERE rank <= {K} AND score > 0)"""
+sparse0 AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score, fallback_used FROM (SELECT query_id, chunk_id, score, NOT has_all AS fallback_used, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM a WHERE every OR NOT has_all) WHERE score > 0),
+sparse AS (SELECT * FROM sparse0 WHERE rank <= {K})"""
 
 
 @query("inverted_index", f"WITH {_POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
@@ -135,52 +138,92 @@ def sparse_topk(spark, d):
     return s.select("query_id", F.lit("sparse").alias("mode"), "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-# A second ranking of the passages for fusion: share of the passage's words that a document has.
-_OVERLAP = f"""ov AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-  FROM (SELECT query_id, chunk_id, round(n_matched / n_terms, 9) AS score FROM a)) WHERE rank <= {K})"""
+# The dense list: texts and passages as vectors of hashed word counts, the default encoder's.
+def _vectors_sql(name: str, item: str, table_: str) -> str:
+    two = lambda at: f"16 * (strpos('0123456789abcdef', substr(h, {at}, 1)) - 1) + strpos('0123456789abcdef', substr(h, {at + 1}, 1)) - 1"
+    return f"""{name} AS (SELECT id, list_transform(range(64), lambda k: CAST(coalesce(m[k], 0) AS DOUBLE)) AS v FROM (SELECT id, map_from_entries(list((p, c))) AS m FROM (
+  SELECT id, p, sum(s) AS c FROM (SELECT id, CAST(({two(1)}) % 64 AS BIGINT) AS p, CASE WHEN {two(3)} < 128 THEN 1 ELSE -1 END AS s FROM (SELECT {item} AS id, md5(unnest(regexp_extract_all(lower(text), {lit(WORD)}))) AS h FROM {table_})) GROUP BY id, p) GROUP BY id))"""
 
 
-def _overlap(spark, d, base=None):
-    scored = (base or _bm25(spark, d)).withColumn("score", F.round(F.col("n_matched") / F.col("n_terms"), 9))
-    return R.top_k(scored, K).select("query_id", "rank", "chunk_id", "score")
+_DENSE = f"""{_vectors_sql("dv", "doc_id", "documents")}, {_vectors_sql("pv", "item_id", "benchmark")},
+dense0 AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.id AS query_id, c.id AS chunk_id, round(list_dot_product(q.v, c.v) / greatest(sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v)), 1e-300), 9) AS score FROM pv q CROSS JOIN dv c)) WHERE rank <= {4 * K}),
+dense AS (SELECT * FROM dense0 WHERE rank <= {K})"""
 
 
-_FUSED = f"""{_BM25}, {_OVERLAP}, f AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, rank, chunk_id FROM ov UNION ALL SELECT query_id, rank, chunk_id FROM sparse) GROUP BY ALL),
-fused AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score / best, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM f) WHERE rank <= {K})"""
+def _embedded(spark, d):
+    """(passages, documents) with vectors; texts without a word have none."""
+    words = F.size(T.words(F.col("text"))) > 0
+    q = embed(passages(spark, d).where(words)).select("query_id", F.col("embedding").alias("qv"))
+    return q, embed(documents(spark, d).where(words)).select("chunk_id", F.col("embedding").alias("v"))
 
 
-def _fused(spark, d, base=None):
-    base = base or _bm25(spark, d)
-    return R.reciprocal_rank_fusion(_overlap(spark, d, base), R.bm25_search(base, K), K)
+def _dense(spark, d, k=K):
+    return R.dense_top_k(*_embedded(spark, d), k)
+
+
+@query("dense_text_topk", f"WITH {_DENSE} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM dense")
+def dense_text_topk(spark, d):
+    return _dense(spark, d).withColumn("score", F.round("score", 6))
+
+
+def _fused_sql(name: str, dense: str, sparse: str, k: int) -> str:
+    return f"""{name}0 AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT query_id, rank, chunk_id FROM {dense} UNION ALL SELECT query_id, rank, chunk_id FROM {sparse}) GROUP BY ALL),
+{name} AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score / best, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM {name}0) WHERE rank <= {k})"""
+
+
+_FUSED = f"{_BM25}, {_DENSE}, sparse4 AS (SELECT * FROM sparse0 WHERE rank <= {4 * K}), {_fused_sql('fused', 'dense', 'sparse', K)}, {_fused_sql('wide', 'dense0', 'sparse4', 4 * K)}"
+
+
+def _lists(spark, d):
+    """Dense and keyword rankings, four times as long as what is asked for: a reranker chooses among them."""
+    return _dense(spark, d, 4 * K), R.bm25_search(_bm25(spark, d), 4 * K)
 
 
 @query("hybrid_rrf", f"WITH {_FUSED} SELECT * FROM fused")
 def hybrid_rrf(spark, d):
-    return _fused(spark, d)
+    return R.reciprocal_rank_fusion(_dense(spark, d), R.bm25_search(_bm25(spark, d), K), K)
 
 
 _QW, _TW = f"regexp_extract_all(lower(q.text), {lit(WORD)})", f"regexp_extract_all(lower(x.text), {lit(WORD)})"
-_RERANKED = f"""{_FUSED}, rr AS (SELECT f.query_id, f.chunk_id, f.rank AS before, round(len(list_intersect(list_distinct({_QW}), {_TW})) / len(list_distinct({_QW})), 6) AS score FROM fused f JOIN benchmark q ON q.item_id = f.query_id JOIN documents x ON x.doc_id = f.chunk_id),
-reranked AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score, before FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM rr) WHERE rank <= 3)"""
+_RERANKED = f"""{_FUSED}, rr AS (SELECT f.query_id, f.chunk_id, f.rank AS before, round(len(list_intersect(list_distinct({_QW}), {_TW})) / len(list_distinct({_QW})), 6) AS score FROM wide f JOIN benchmark q ON q.item_id = f.query_id JOIN documents x ON x.doc_id = f.chunk_id),
+reranked AS (SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, score, before FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM rr) WHERE rank <= {K})"""
 
 
-def _reranked(spark, d, base=None):
-    pairs = _fused(spark, d, base).join(passages(spark, d).withColumnRenamed("text", "question"), "query_id").join(documents(spark, d), "chunk_id")
-    return R.rerank(pairs, R.term_overlap(F.col("question"), F.col("text")), 3)
+def _candidates(spark, d):
+    """What either list has of each query, with both ranks, whether the document holds the passage, and their shared words."""
+    dense, sparse = (r.select("query_id", "chunk_id", F.col("rank").alias(n)) for r, n in zip(_lists(spark, d), ("dense", "sparse")))
+    met = dense.join(sparse, ["query_id", "chunk_id"], "full").join(passages(spark, d).withColumnRenamed("text", "passage"), "query_id").join(documents(spark, d), "chunk_id")
+    kind = F.when(F.contains("text", "passage"), E.EXACT).otherwise(E.NO)
+    return settled(met.select("query_id", "chunk_id", "dense", "sparse", kind.alias("match_type"), R.term_overlap(F.col("passage"), F.col("text")).alias("overlap")))
+
+
+def _list(found, name, k=K):
+    return found.where(F.col(name) <= k).select("query_id", "chunk_id", F.col(name).alias("rank"))
+
+
+def _wide(found):
+    """The fused ranking that a reranker chooses from, four times as long as its choice."""
+    return R.reciprocal_rank_fusion(_list(found, "dense", 4 * K), _list(found, "sparse", 4 * K), 4 * K)
+
+
+def _reranked(found):
+    return R.rerank(_wide(found).join(found.select("query_id", "chunk_id", "overlap"), ["query_id", "chunk_id"]), F.col("overlap"), K)
 
 
 @query("rerank_topk", f"WITH {_RERANKED} SELECT * FROM reranked")
 def rerank_topk(spark, d):
-    return _reranked(spark, d)
+    return _reranked(_candidates(spark, d))
 
 
-@query("compare_rankings", f"WITH {_RERANKED} SELECT f.query_id, f.chunk_id, f.rank AS rank_before, r.rank AS rank_after, f.rank - r.rank AS gain FROM fused f LEFT JOIN reranked r USING (query_id, chunk_id)")
+@query("compare_rankings", f"WITH {_RERANKED} SELECT coalesce(f.query_id, r.query_id) AS query_id, coalesce(f.chunk_id, r.chunk_id) AS chunk_id, f.rank AS rank_before, r.rank AS rank_after, f.rank - r.rank AS gain FROM wide f FULL JOIN reranked r ON f.query_id = r.query_id AND f.chunk_id = r.chunk_id")
 def compare_rankings(spark, d):
-    return R.compare(_fused(spark, d), _reranked(spark, d))
+    found = _candidates(spark, d)
+    return R.compare(_wide(found), _reranked(found))
 
 
 # -- evaluation -----------------------------------------------------------------------------------------------------
-_HITS = f"""{_RERANKED}, modes AS (SELECT 'overlap' AS mode, query_id, rank, chunk_id FROM ov UNION ALL SELECT 'sparse', query_id, rank, chunk_id FROM sparse UNION ALL SELECT 'hybrid', query_id, rank, chunk_id FROM fused UNION ALL SELECT 'rerank', query_id, rank, chunk_id FROM reranked),
+_HITS = f"""{_RERANKED}, modes AS (SELECT 'dense' AS mode, query_id, rank, chunk_id FROM dense UNION ALL SELECT 'sparse', query_id, rank, chunk_id FROM sparse UNION ALL SELECT 'hybrid', query_id, rank, chunk_id FROM fused UNION ALL SELECT 'rerank', query_id, rank, chunk_id FROM reranked),
 hits AS (SELECT mode, query_id, rank, chunk_id, contains(x.text, q.text) AS hit FROM modes m JOIN benchmark q ON q.item_id = m.query_id JOIN documents x ON x.doc_id = m.chunk_id),
 ranks AS (SELECT mode, item_id AS query_id, coalesce(min(CASE WHEN hit THEN rank END), -1) AS rank FROM (SELECT DISTINCT mode FROM modes) CROSS JOIN benchmark LEFT JOIN hits ON hits.mode = mode AND hits.query_id = item_id GROUP BY ALL)""".replace(
     "FROM (SELECT DISTINCT mode FROM modes) CROSS JOIN benchmark LEFT JOIN hits ON hits.mode = mode AND hits.query_id = item_id GROUP BY ALL",
@@ -189,14 +232,10 @@ ranks AS (SELECT mode, item_id AS query_id, coalesce(min(CASE WHEN hit THEN rank
 _REPORT = "count(*) AS n_queries, round(avg(CAST(rank BETWEEN 1 AND 1 AS INT)), 6) AS hit_at_1, round(avg(CAST(rank BETWEEN 1 AND 3 AS INT)), 6) AS hit_at_3, round(avg(CAST(rank BETWEEN 1 AND 5 AS INT)), 6) AS hit_at_5, round(avg(CASE WHEN rank > 0 THEN 1 / rank ELSE 0.0 END), 6) AS mrr"
 
 
-def rankings(spark, d):
-    base = _bm25(spark, d).persist()  # every mode ranks the same scores
-    modes = {"overlap": _overlap(spark, d, base), "sparse": R.bm25_search(base, K), "hybrid": _fused(spark, d, base), "rerank": _reranked(spark, d, base)}
-    out = None
-    for mode, r in modes.items():
-        part = r.select(F.lit(mode).alias("mode"), "query_id", "rank", "chunk_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+def modes(found):
+    """The four modes' rankings from the candidates."""
+    dense, sparse = _list(found, "dense"), _list(found, "sparse")
+    return {"dense": dense, "sparse": sparse, "hybrid": R.reciprocal_rank_fusion(dense, sparse, K), "rerank": _reranked(found)}
 
 
 def _matches(spark, d, ranked):
@@ -204,10 +243,19 @@ def _matches(spark, d, ranked):
     return pairs.withColumn("match_type", F.when(F.contains("text", "passage"), E.EXACT).otherwise(E.NO))
 
 
-def _ranks(spark, d):
-    ranked = rankings(spark, d)
-    asked = passages(spark, d).select("query_id").crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in ("overlap", "sparse", "hybrid", "rerank")], "mode string")))
-    return E.query_ranks(_matches(spark, d, ranked).select("mode", "query_id", "rank", "match_type"), asked, ("mode", "query_id"))
+def _ranks(spark, d, ranked):
+    return E.query_ranks(_matches(spark, d, ranked).select("query_id", "rank", "match_type"), passages(spark, d))
+
+
+def _mode_ranks(spark, d):
+    """The rank of each query's first hit in each mode: (mode, query_id, rank, hit1, hit3, hit5)."""
+    own, found, out = ["rank", "hit1", "hit3", "hit5"], _candidates(spark, d), passages(spark, d).select("query_id")
+    ranked = modes(found)
+    for mode, r in ranked.items():
+        met = r.select("query_id", "chunk_id", "rank").join(found.select("query_id", "chunk_id", "match_type"), ["query_id", "chunk_id"])
+        out = out.join(E.query_ranks(met, passages(spark, d)).select("query_id", F.struct(*own).alias(mode)), "query_id")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("of")) for m in ranked])).alias("x")
+    return out.select("query_id", each).select("x.mode", "query_id", "x.of.*")
 
 
 @query("entry", f"WITH {_HITS} SELECT query_id, rank, chunk_id, hit FROM hits WHERE mode = 'sparse'")
@@ -219,18 +267,18 @@ def entry(spark, d):
 
 @query("query_ranks", f"WITH {_HITS} SELECT mode, query_id, rank FROM ranks")
 def query_ranks(spark, d):
-    return _ranks(spark, d).select("mode", "query_id", "rank")
+    return _mode_ranks(spark, d).select("mode", "query_id", "rank")
 
 
 @query("ablation", f"WITH {_HITS} SELECT mode, {_REPORT} FROM ranks GROUP BY mode")
 def ablation(spark, d):
-    return E.report(_ranks(spark, d), "mode")
+    return E.report(_mode_ranks(spark, d), "mode")
 
 
 @query("eval_report", f"WITH {_HITS} SELECT {_REPORT} FROM ranks WHERE mode = 'sparse'")
 def eval_report(spark, d):
     s = R.bm25_search(_bm25(spark, d), K)
-    return E.report(E.query_ranks(_matches(spark, d, s).select("query_id", "rank", "match_type"), passages(spark, d)))
+    return E.report(_ranks(spark, d, s))
 
 
 _GROUPS = "CASE WHEN length(text) < 150 THEN 'easy' WHEN length(text) < 250 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN contains(text, chr(10)) THEN 'lines' ELSE 'line' END AS category"
@@ -247,13 +295,13 @@ def _grouped(spark, d):
 )
 def eval_by_group(spark, d):
     s = R.bm25_search(_bm25(spark, d), K)
-    results = E.query_ranks(_matches(spark, d, s).select("query_id", "rank", "match_type"), passages(spark, d)).join(_grouped(spark, d), "query_id")
+    results = _ranks(spark, d, s).join(_grouped(spark, d), "query_id")
     return E.group_metrics(results, "difficulty", "category")
 
 
 @query("rerank_regressions", f"WITH {_HITS} SELECT a.query_id, a.rank AS pre, b.rank AS post, b.rank - a.rank AS delta, b.rank IS NULL AS fell_off FROM (SELECT * FROM ranks WHERE mode = 'sparse' AND rank > 0) a LEFT JOIN (SELECT * FROM ranks WHERE mode = 'rerank' AND rank > 0) b USING (query_id) WHERE b.rank IS NULL OR b.rank > a.rank")
 def rerank_regressions(spark, d):
-    r = _ranks(spark, d)
+    r = _mode_ranks(spark, d)
     return E.rerank_regressions(r.where("mode = 'sparse'"), r.where("mode = 'rerank'"))
 
 
@@ -266,7 +314,7 @@ def evidence_report(spark, d):
 @query("review_sample")
 def review_sample(spark, d):
     s = R.bm25_search(_bm25(spark, d), K)
-    results = E.query_ranks(_matches(spark, d, s).select("query_id", "rank", "match_type"), passages(spark, d))
+    results = _ranks(spark, d, s)
     return E.review_sample(results).select("query_id", "best_match", "rank", "nth")
 
 

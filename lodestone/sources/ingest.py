@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import markdown_from_html, word_count
 
 #: Extensions of files that aren't pages.
-SKIPPED_EXTENSIONS = ("pdf", "zip", "tar", "gz", "rar", "7z", "exe", "dmg", "jpg", "jpeg", "png", "gif", "svg", "webp", "ico", "mp3", "mp4", "avi", "mov", "css", "js", "json", "woff", "woff2")
+SKIPPED_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "zip", "tar", "gz", "xml", "json", "csv", "xlsx", "docx", "mp3", "mp4", "avi", "mov", "woff", "woff2", "ttf", "eot")
 MIN_PAGE_WORDS, MIN_CHARS, MAX_CHARS, MAX_UPLOAD, MAX_CHUNKS = 30, 50, 1_500_000, 20 * 1024 * 1024, 2_000
 
 
@@ -80,11 +80,11 @@ def gates(docs: DataFrame, chars: Column, extension: Column, size: Column, tenan
 
 
 def page_failures(results: DataFrame, source: str = "source", failed: str = "failed", reason: str = "reason", order: str = "page_id") -> DataFrame:
-    """Per source: total, indexed, failed, and the first two reasons joined by '; '."""
-    bad = F.col(failed)
-    first_two = W.partitionBy(source, failed).orderBy(order)
-    ranked = results.withColumn("__n", F.row_number().over(first_two))
-    reasons = F.array_sort(F.collect_list(F.when(bad & (F.col("__n") <= 2), F.struct(F.col("__n").alias("n"), F.col(reason).alias("r")))))
-    return ranked.groupBy(source).agg(
-        F.count("*").alias("total"), F.count_if(~bad).alias("indexed"), F.count_if(bad).alias("failed"), F.array_join(F.transform(reasons, lambda x: x["r"]), "; ").alias("reasons")
-    )
+    """Per source: total, indexed, failed, and the first two reasons joined by '; '. Sources are aggregated before they are shuffled."""
+    bad, row = F.col(failed), F.struct(F.col(order).alias("at"), F.col(reason).alias("r"))
+    first = F.min(F.when(bad, row))
+    counts = results.groupBy(source).agg(F.count("*").alias("total"), F.count_if(~bad).alias("indexed"), F.count_if(bad).alias("failed"), first.alias("__first"))
+    rest = results.join(counts.where("failed > 1").select(source, "__first"), source).where(bad & (row > F.col("__first")))
+    second = rest.groupBy(source).agg(F.min(row).alias("__second"))
+    reasons = F.array_compact(F.array(F.col("__first.r"), F.col("__second.r")))
+    return counts.join(second, source, "left").select(source, "total", "indexed", "failed", F.array_join(reasons, "; ").alias("reasons"))

@@ -10,38 +10,66 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lodestone.functions.text import normalised_hash
 from lodestone.operators import cleaning, registry
 from lodestone.operators.chunking import chunk_documents, chunk_id
 from lodestone.operators.slots import embed
 from lodestone.sources.sinks import upserted, write_by_tenant
 
 
-def chunks_of(docs: DataFrame) -> DataFrame:
-    """(tenant_id, doc_id, url, markdown) to embedded chunks."""
-    cleaned = cleaning.cleaned_or_raw(cleaning.rebuilt(cleaning.clean(docs.select("doc_id", "markdown"))))
+def chunks_of(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, doc_id, url, markdown) to embedded chunks. ``known``: block counts of earlier documents."""
+    cleaned = cleaning.cleaned_or_raw(cleaning.rebuilt(cleaning.clean(docs.select("doc_id", "markdown"), known=known)))
     merged = chunk_documents(cleaned.select("doc_id", F.col("text").alias("markdown")))
     rows = merged.join(docs.select("doc_id", "tenant_id", "url"), "doc_id")
     return embed(rows.withColumn("chunk_id", chunk_id(F.col("url"), F.col("chunk_index"))))
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path) if there else None
+
+
 def ingest_batch(docs: DataFrame, target: str) -> None:
     """Adds the documents of one batch to the chunk table; a repeated batch changes nothing.
 
-    Texts that a tenant already has are skipped, chunks of re-ingested documents replaced, and only partitions of
-    the batch's tenants rewritten. Writers of a table must be single.
+    Beside the chunks (``target``) two tables are kept: which texts each tenant has (``target``-documents: tenant_id,
+    doc_id, content_hash) and in how many documents each block stands (``target``-blocks). Texts that a tenant already has
+    are skipped, and boilerplate is judged by the documents of all batches so far. A batch of new documents is appended;
+    only where documents come again with another text (or a batch that failed comes again) the partitions of their
+    tenants are rewritten, from a copy beside them. Writers of a table must be single. Documents are known by doc_id.
     """
     spark = docs.sparkSession
-    fresh = registry.deduplicated(docs, text="markdown")
-    new = chunks_of(fresh)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        tenants = fresh.select("tenant_id").distinct()
-        old = spark.read.schema(new.schema).parquet(target).join(tenants, "tenant_id", "left_semi").select(*new.columns)
-        new = upserted(old, new, ["tenant_id", "chunk_id"], replaced="doc_id")
-        # The partitions that are rewritten are also read: cut the plan from them.
-        new = new.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
-        new.count()
-    write_by_tenant(new, target)
+    texts, blocks = _stored(spark, f"{target}-documents"), _stored(spark, f"{target}-blocks")
+    staged = lambda df, name: _staged(df, f"{target}-staged/{name}-{uuid.uuid4().hex}")
+    # Each document's latest text is the one that counts.
+    have = None if texts is None else texts.groupBy("tenant_id", "doc_id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+    fresh = staged(registry.deduplicated(docs, have, text="markdown"), "documents")
+    if fresh.isEmpty():
+        return
+    new = staged(chunks_of(fresh, blocks), "chunks")
+    old = _stored(spark, target)
+    if old is None:
+        write_by_tenant(new, target)
+    else:
+        old = spark.read.schema(new.schema).parquet(target)
+        again = old.select("doc_id").distinct().join(fresh.select("doc_id"), "doc_id", "left_semi")
+        tenants = staged(old.join(again, "doc_id", "left_semi").select("tenant_id").distinct(), "tenants")
+        if not tenants.isEmpty():
+            rest = old.join(tenants, "tenant_id", "left_semi").select(*new.columns)
+            write_by_tenant(staged(upserted(rest, new.join(tenants, "tenant_id", "left_semi").select(*new.columns), ["tenant_id", "chunk_id"], replaced="doc_id"), "rewritten"), target)
+        new.join(tenants, "tenant_id", "left_anti").select(*new.columns).write.mode("append").partitionBy("tenant_id").parquet(target)
+    counts = cleaning.document_counts(cleaning.parse_blocks(fresh.select("doc_id", "markdown")).withColumn("block_hash", normalised_hash(F.col("content"))))
+    counts.write.mode("append").parquet(f"{target}-blocks")
+    batch = F.lit(1 + (0 if texts is None else texts.agg(F.max("batch")).first()[0] or 0)).cast("bigint")
+    fresh.select("tenant_id", "doc_id", "content_hash", batch.alias("batch")).write.mode("append").parquet(f"{target}-documents")
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written beside the target, so that it is computed once and can replace what it was read from."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, files_per_batch: int = 10, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

@@ -86,7 +86,7 @@ def test_promoted_headings(spark):
 def test_repeats_and_flags(spark):
     assert one(spark, T.strip_repeats(F.lit("so the old line the old line ends​"))) == "so the old line ends"
     assert one(spark, T.suspicious_text(F.lit("a\nb\n\n"))) and not one(spark, T.suspicious_text(F.lit("long enough")))
-    assert one(spark, T.looks_like_log(F.lit("2024-01-01 10:00 x\n10:00:00 y\nz"))) and not one(spark, T.looks_like_log(F.lit("a\nb 10:00:00\nc")))
+    assert one(spark, T.looks_like_log(F.lit("2024-01-01 10:00:07 x\n2024-01-01T10:00:08 y\nz"))) and not one(spark, T.looks_like_log(F.lit("a\nb 10:00:00\nc")))
 
 
 # -- cleaning -------------------------------------------------------------------------------------------------------
@@ -222,7 +222,7 @@ def test_rerank_without_scores_keeps_order(spark):
 def test_dense_blocks_agree(spark):
     v = spark.createDataFrame([(k, [math.sin(k), math.cos(k), k % 3 - 1.0]) for k in range(60)], "chunk_id bigint, v array<double>")
     q = v.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
-    a, b = (sorted(map(tuple, R.dense_top_k(q, v, 4, query_block=n).collect())) for n in (1000, 2))
+    a, b = (sorted(map(tuple, R.dense_top_k(q, v, 4, query_block=n, chunk_block=3 * n).collect())) for n in (1000, 2))
     assert a == b and len(a) == 4 * q.count() and R.dense_top_k(q, v.limit(0), 4).count() == 0 and R.dense_top_k(q.limit(0), v, 4).count() == 0
 
 
@@ -315,6 +315,62 @@ def test_streamed_ingestion_equals_batch(spark, tmp_path):
     assert spark.read.parquet(out).count() == len(got)
 
 
+def test_batches_know_what_came_before(spark, tmp_path):
+    """A tenant's text comes once, whatever the batch; boilerplate is judged by all batches; new texts replace old ones."""
+    from lodestone.streaming.ingest import ingest_batch
+
+    schema = "tenant_id string, doc_id bigint, url string, markdown string"
+    page = lambda k, n=20: f"# Title {k}\n\n" + f"word{k} and some more text here. " * n + "\n\n[home](http://h) [news](http://n)"
+    first = [("t1", k, f"http://h/{k}", page(k)) for k in range(12)]
+    out = str(tmp_path / "chunks")
+    ingest_batch(spark.createDataFrame(first, schema), out)
+    before = {(r["doc_id"], r["chunk_id"]) for r in spark.read.parquet(out).collect()}
+    assert {i for i, _ in before} == set(range(12)) and not any("[home]" in r["text"] for r in spark.read.parquet(out).collect())
+    # The same texts under other ids, and the batch itself again: nothing. Another tenant may have them.
+    ingest_batch(spark.createDataFrame([("t1", 100 + k, u, m) for _, k, u, m in first[:3]], schema), out)
+    ingest_batch(spark.createDataFrame(first, schema), out)
+    assert {(r["doc_id"], r["chunk_id"]) for r in spark.read.parquet(out).collect()} == before
+    ingest_batch(spark.createDataFrame([("t2", 200, "http://h/200", page(0)), ("t1", 5, "http://h/5", page(77)), ("t1", 13, "http://h/13", page(13))], schema), out)
+    after = spark.read.parquet(out).collect()
+    assert {(r["tenant_id"], r["doc_id"]) for r in after} == {("t1", k) for k in [*range(12), 13]} | {("t2", 200)}
+    assert all("word77" in r["text"] for r in after if r["doc_id"] == 5) and not any("[home]" in r["text"] for r in after)
+    assert len(after) == len({(r["tenant_id"], r["chunk_id"]) for r in after})
+
+
+def test_strip_repeats_against_plain_expressions(spark):
+    import re
+
+    texts = ["the process ran the process ran well", "The process ran the process ran", "one two one two", "über den Fluß gehen über den Fluß gehen", "a\u200bb a b c a b c", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(T.strip_repeats(F.col("t"))).collect()]
+    plain = lambda t: re.sub(r"\b(\w+(?:\s+\w+){2,10})\s+\1\b", r"\1", re.sub("[\u200b\u200c\u200d\ufeff\u00ad]", "", t))
+    assert got == [None if t is None else plain(t) for t in texts]
+
+
+def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
+    import numpy as np
+    from lodestone.operators import evaluation as E
+
+    monkeypatch.setattr(E, "WHOLE", 100)
+    rng = np.random.default_rng(1)
+    values = {"a": rng.lognormal(3, 1, 5_000).round(1), "b": np.repeat(7.0, 2_000), "c": rng.random(40), "d": rng.integers(0, 4, 3_000).astype(float)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double")
+    shares = {"p50": 0.5, "p95": 0.95, "p100": 1.0}
+    near = {r["g"]: r for r in E.nearest_rank(df, "v", shares, "g").collect()}
+    between = {r["g"]: r for r in E.interpolated(df, "v", shares, "g").collect()}
+    for g, vs in values.items():
+        s = np.sort(vs)
+        for k, p in shares.items():
+            assert near[g][k] == s[min(len(s) - 1, int(len(s) * p))], (g, k)
+            assert abs(between[g][k] - np.percentile(vs, 100 * p)) < 1e-9, (g, k)
+
+
+def test_low_scores_are_excluded_not_lost(spark):
+    rows = [(1, 1, "a", "one two", 0.9), (1, 2, "b", "three", 0.1), (2, 1, "c", "four", 0.2)]
+    got = X.context_rows(spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, text string, score double"), least=0.5)
+    assert {(r["chunk_id"], r["disposition"]) for r in got.collect()} == {("a", "included"), ("b", "excluded"), ("c", "excluded")}
+    assert [r["query_id"] for r in X.empty_contexts(got).collect()] == [2]
+
+
 def test_streamed_job_progress(spark, tmp_path):
     from lodestone.streaming.ingest import job_progress
 
