@@ -64,6 +64,7 @@ def joined_evenly(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
 
     Hot keys' rows of ``one`` are sent to every task: ten thousand at most, whatever the size of ``rows``.
     """
+    plain_unions(rows.sparkSession)
     hot = written(rows.groupBy(key).count().where(F.col("count") > max(1_000, int(rows.count() * HOT_SHARE))).select(key), "hot")
     few = F.broadcast(one.join(F.broadcast(hot), key))
     return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(one, key))
@@ -103,7 +104,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions don't keep their sides' partitioning: partitions that adaptive execution coalesced differently on the two
+    sides would be taken for equal ones (Spark 4.1)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder, for operators in Python: see ``bounded_batches``."""
+    """A table of the folder, for operators in Python: see ``bounded_batches`` and ``plain_unions``."""
     bounded_batches(spark)
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
