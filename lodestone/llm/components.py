@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Every round is two aggregations and two joins over the links; it is written to the shared folder before the next
-one reads it, so lineage stays short and a lost executor costs one round at most. Nothing is collected.
+one reads it, so lineage stays short and a lost executor costs one round at most. Nothing is collected. The links of a
+node with many of them meet its least neighbour in a sort-merge join, whose hot partitions adaptive execution splits.
 """
 
 from __future__ import annotations
