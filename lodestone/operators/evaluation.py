@@ -125,7 +125,7 @@ def evidence(queries: DataFrame, matches: DataFrame) -> DataFrame:
 
 def review_sample(results: DataFrame, n: int = 5, seed: int = 0) -> DataFrame:
     """Up to ``n`` queries of each best match, the same ones on every run."""
-    order = F.xxhash64(F.lit(seed), "query_id")
+    order = F.md5(F.concat_ws(":", F.lit(seed), "query_id"))
     return results.withColumn("nth", F.row_number().over(W.partitionBy("best_match").orderBy(order, "query_id"))).where(F.col("nth") <= n)
 
 

@@ -80,13 +80,19 @@ def generate(prompts: Column, model: Callable[[str], str] | None = None) -> Colu
 
 
 def rewritten(query: Column, history: Column, model: Callable[[str, str], str] | None = None) -> Column:
-    """A stand-alone query from a follow-up; the query itself where the model gives nothing."""
+    """A stand-alone query from a follow-up; the query itself where the model fails or gives nothing."""
     if model is None:
         return query
 
+    def tried(q: str | None, h: str | None) -> str | None:
+        try:
+            return model(q, h)
+        except Exception:  # noqa: BLE001 - a model may fail in any way; the query then stands
+            return None
+
     @F.pandas_udf("string")
     def rewrite(q: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([model(a, b) for a, b in zip(q, h)], dtype=object)
+        return pd.Series([tried(a, b) for a, b in zip(q, h)], dtype=object)
 
     return F.coalesce(F.nullif(F.trim(rewrite(query, history)), F.lit("")), query)
 
@@ -107,6 +113,32 @@ def judged(context: Column, answer: Column, model: Callable[[str, str], str] | N
     return judge(context, answer)
 
 
+def token_counts(text: Column, count: Callable[[list[str]], list[int]]) -> Column:
+    """Exact token counts by a tokenizer, given as a callable over texts; null texts have none."""
+
+    @F.pandas_udf("int")
+    def counted(batch: pd.Series) -> pd.Series:
+        return pd.Series(count(["" if t is None else t for t in batch]), dtype="int32")
+
+    return F.when(text.isNotNull(), counted(text))
+
+
+def bpe_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Counts by a tokenizers file, opened once by each worker."""
+
+    def count(texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+
+    return count
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 _STEPS = (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""))
 
 

@@ -35,7 +35,10 @@ def scan_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.col("source").alias("url"), F.col("lang").alias("title"), F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query("sitemap_urls")
+@query(
+    "sitemap_urls",
+    "SELECT host, shard, CAST(row_number() OVER (PARTITION BY host, shard ORDER BY page_id) - 1 AS INT) AS pos, trim(url) AS loc, ends_with(trim(url), '.xml') AS is_sitemap FROM (SELECT page_id, url, regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host, CAST(page_id // 100 AS INT) AS shard FROM pages)",
+)
 def sitemap_urls(spark, d):
     """A sitemap for each host of ``pages``, built and read back."""
     host = F.parse_url("url", F.lit("HOST"))

@@ -14,7 +14,7 @@ from lodestone.operators import context as X
 from lodestone.operators import observability as O
 from lodestone.operators import registry as G
 from lodestone.operators import retrieval as R
-from lodestone.operators.slots import embed
+from lodestone.operators.slots import embed, rewritten
 from lodestone.plans import retrieval_queries as Q
 from lodestone.plans.common import BLOCKS, KIND, lit, markdown_docs, query, sql_tokens, sql_word_count, table
 from lodestone.sources.golden import parse_eval_queries
@@ -220,6 +220,19 @@ def history_window(spark, d):
     return X.history(table(spark, d, "conversations")).select("conv_id", "turn", "history")
 
 
+@query("rewritten_queries", f"SELECT conv_id, turn, CASE WHEN history = '' THEN text ELSE text || ' | ' || split_part(history, chr(10), 1) END AS query FROM (SELECT *, {_HISTORY.format(n=6)} AS history FROM conversations) WHERE role = 'user'")
+def rewritten_queries(spark, d):
+    """Follow-ups with the first line of what was said before; without a history the model fails and the query stands."""
+
+    def with_history(q, h):
+        if not h:
+            raise ValueError("no history")
+        return None if q is None else f"{q} | {h.splitlines()[0]}"
+
+    turns = X.history(table(spark, d, "conversations")).where("role = 'user'")
+    return turns.select("conv_id", "turn", rewritten(F.col("text"), F.col("history"), with_history).alias("query"))
+
+
 @query("build_prompts", f"WITH h AS (SELECT conv_id, turn, role, text, {_HISTORY.format(n=5)} AS past FROM conversations) SELECT conv_id, turn, 'Answer from the context only. If it doesn''t hold the answer, say so. Cite sources by their headers.' || CASE WHEN past <> '' THEN chr(10) || chr(10) || 'Conversation:' || chr(10) || past ELSE '' END || chr(10) || chr(10) || 'Context:' || chr(10) || role || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM h WHERE role = 'user'")
 def build_prompts(spark, d):
     t = X.history(table(spark, d, "conversations"), 5).where("role = 'user'")

@@ -311,7 +311,10 @@ def evidence_report(spark, d):
     return E.evidence(passages(spark, d), _matches(spark, d, s))
 
 
-@query("review_sample")
+@query(
+    "review_sample",
+    f"WITH {_HITS}, m AS (SELECT query_id, CASE WHEN rank > 0 THEN 'Exact Match' ELSE 'No Match' END AS best_match, CAST(rank AS INT) AS rank FROM ranks WHERE mode = 'sparse') SELECT query_id, best_match, rank, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY best_match ORDER BY md5('0:' || query_id), query_id) AS nth FROM m) WHERE nth <= 5",
+)
 def review_sample(spark, d):
     s = R.bm25_search(_bm25(spark, d), K)
     results = _ranks(spark, d, s)

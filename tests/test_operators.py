@@ -364,6 +364,17 @@ def test_percentiles_of_large_groups_are_exact(spark, monkeypatch):
             assert abs(between[g][k] - np.percentile(vs, 100 * p)) < 1e-9, (g, k)
 
 
+def test_token_counts_by_a_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["one two three", "", None, "supercalifragilistic " * 50]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", slots.token_counts(F.col("t"), slots.bpe_counter(path)).alias("n")).orderBy("k").collect()
+    library = Tokenizer.from_file(path)
+    assert [r["n"] for r in got] == [None if t is None else len(library.encode(t).ids) for t in texts]
+
+
 def test_low_scores_are_excluded_not_lost(spark):
     rows = [(1, 1, "a", "one two", 0.9), (1, 2, "b", "three", 0.1), (2, 1, "c", "four", 0.2)]
     got = X.context_rows(spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, text string, score double"), least=0.5)
