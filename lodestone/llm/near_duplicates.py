@@ -31,8 +31,8 @@ BITS = 256
 WORDS = [f"w{k}" for k in range(BITS // 64)]
 BANDS, ROWS = 16, 4
 PIVOTS = 16
-#: Rows of a part, and shingles of a part of a cluster. Groups of up to ``SMALL`` rows give all their pairs.
-GROUP, SHINGLES, SMALL = 1_024, 1_000_000, 12
+#: Rows of a part of a key, rows and shingles of a part of a cluster. Groups of up to ``SMALL`` rows give all their pairs.
+GROUP, MEMBERS, SHINGLES, SMALL = 2_048, 1_024, 400_000, 12
 #: Shingles that this many sets of a group have are counted by a product of matrices, of so many columns at a time.
 COMMON, COLUMNS = 16, 2_048
 #: Standard deviations over the mean distance of a pair at the similarity.
@@ -308,8 +308,9 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
     near = kept(linked_in_reach(dealt, key, similarity), "near")
     clusters = connected_components(near, made=made)
     hot = kept(with_roots(met.where(F.col("count") > GROUP).drop("of"), clusters).select(*columns), "hot-keys")
-    dealt, key = crossing(hot, "k", F.lit(1 / GROUP))
-    clusters = connected_components(near.unionByName(kept(linked_in_reach(dealt, key, similarity), "near")), made=made)
+    if not hot.isEmpty():
+        dealt, key = crossing(hot, "k", F.lit(1 / GROUP))
+        clusters = connected_components(near.unionByName(kept(linked_in_reach(dealt, key, similarity), "near")), made=made)
     clusters = clusters.select("node", F.col("root").alias("cluster"))
     clusters = kept(clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct()), "clusters")
 
@@ -317,15 +318,16 @@ def near_duplicate_survivors(docs: DataFrame, id_col: str = "doc_id", text: str
     again = kept(nodes.join(clusters, "node").select("node", "of.id", "of.th", "cluster", "n"), "again")
     texts = known.select(*name, F.col(text).alias("text")).join(again.hint("merge"), ["id", "th"]).groupBy("node", "cluster", "n").agg(F.first("text", ignorenulls=True).alias("text"))
     sets = kept(texts.select("cluster", "node", alone, "n", hashed("text").alias("h")), "sets")
-    share = F.greatest(F.lit(1 / GROUP), F.col("n") / SHINGLES)
+    share = F.greatest(F.lit(1 / MEMBERS), F.col("n") / SHINGLES)
     large = kept(sets.groupBy("cluster").agg(F.ceil(F.sum(share)).cast("long").alias("parts")), "cluster-parts")
     dealt = sets.join(large, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     links = kept(linked_in_fact(dealt, ["cluster", "part"], similarity), "similar")
     roots = connected_components(links, made=made)
     across = kept(with_roots(sets.join(large.where("parts > 1"), "cluster").drop("parts"), roots), "large-clusters")
-    dealt, key = crossing(across, "cluster", share)
-    links = links.unionByName(kept(linked_in_fact(dealt, key, similarity), "similar"))
-    roots = connected_components(links, made=made)
+    if not across.isEmpty():
+        dealt, key = crossing(across, "cluster", share)
+        links = links.unionByName(kept(linked_in_fact(dealt, key, similarity), "similar"))
+        roots = connected_components(links, made=made)
 
     member = rows.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     classes = kept(joined_evenly(rows.select("id", "th", "node"), kept(member, "members"), "node").groupBy("root", "id", "th").count(), "classes")

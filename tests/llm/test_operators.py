@@ -111,6 +111,7 @@ def test_survivors_are_those_of_exact_similarity(spark, monkeypatch):
     crowd = rng.choices(words, k=100)
     texts += [" ".join([*crowd[:k], "new", *crowd[k + 1 :]]) for k in range(60)]
     monkeypatch.setattr(near_duplicates, "GROUP", 24)
+    monkeypatch.setattr(near_duplicates, "MEMBERS", 24)
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
     assert len(pairs) > 100
