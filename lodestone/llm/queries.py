@@ -10,8 +10,10 @@ from lodestone.llm.lz import op1_lz
 from lodestone.llm.multi_index import op8_multi_index
 from lodestone.llm.packing import op7_packing
 from lodestone.llm.pii import op5_pii
+from lodestone.llm.runs import op12_runs
 from lodestone.llm.simhash import op4_simhash
 from lodestone.llm.toxicity import op2_toxicity
+from lodestone.llm.two_fit import op11_two_fit
 
 QUERIES = {
     "op1_lz": op1_lz,
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op11_two_fit": op11_two_fit,
+    "op12_runs": op12_runs,
 }
 ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE}
