@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import warc
+from lodestone.llm import merkle, warc
 from lodestone.llm.bpe import op9_bpe
 from lodestone.llm.language import op10_language
 from lodestone.llm.licences import op6_licences
@@ -28,5 +28,6 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_two_fit": op11_two_fit,
     "op12_runs": op12_runs,
+    "op13_merkle": merkle.op13_merkle,
 }
-ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op13_merkle": merkle.ORACLE}

@@ -54,7 +54,7 @@ def test_op2(spark, folder):
 
 def test_op3(spark, folder):
     got = rows(spark, folder, "op3_warc", "page_id")
-    assert len(got) == 30 and set(ORACLES) == {"op3_warc"}
+    assert len(got) == 30 and set(ORACLES) == {"op3_warc", "op13_merkle"}
     for i, r in got.items():
         payload = ("y" * 1_200 if i % 5 == 0 else f"<p>{i}</p>").encode()
         again = i % 5 == 0 and i != 25
