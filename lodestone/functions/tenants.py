@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Tenants that stand for none: only where all tenants are allowed do they see anything.
+GLOBAL_TENANTS = ("", "ALL", "*")
+
 
 def tenant_guard(column: str, tenant: str | None, allow_global: bool = False) -> Column:
     """Rows that a tenant may see: its own; all with ``allow_global`` and no tenant; none without either."""
-    if tenant in (None, "", "ALL", "*"):
+    if tenant is None or tenant in GLOBAL_TENANTS:
         return F.lit(bool(allow_global))
     return F.col(column) == tenant
 

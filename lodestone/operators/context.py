@@ -26,22 +26,21 @@ def context_rows(ranked: DataFrame, budget: int = BUDGET, least: float = 0.0) ->
     """
     row = F.struct("rank", "chunk_id", token_estimate(F.col("text")).alias("tokens"), F.sha2(F.trim("text"), 256).alias("digest"), (F.coalesce(F.col("score"), F.lit(0.0)) < least).alias("low"))
     own = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    out = "array<struct<rank: int, tokens: int, disposition: string>>"
+    out = f"array<struct<rank: int, chunk_id: {dict(ranked.dtypes)['chunk_id']}, tokens: int, disposition: string>>"
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("seen"), F.array().cast(out).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         copy = ~x["low"] & F.array_contains(state["seen"], x["digest"])
         fits = ~x["low"] & ~copy & (state["used"] + x["tokens"] <= budget)
         what = F.when(copy, "duplicate").when(fits, "included").otherwise("excluded")
-        entry = F.struct(x["rank"].cast("int").alias("rank"), x["tokens"].alias("tokens"), what.alias("disposition"))
+        entry = F.struct(x["rank"].cast("int").alias("rank"), x["chunk_id"].alias("chunk_id"), x["tokens"].alias("tokens"), what.alias("disposition"))
         return F.struct(
             F.when(fits, state["used"] + x["tokens"]).otherwise(state["used"]).alias("used"),
             F.when(fits, F.array_append(state["seen"], x["digest"])).otherwise(state["seen"]).alias("seen"),
             F.array_append(state["out"], entry).alias("out"),
         )
 
-    folded = own.select("query_id", F.explode(F.aggregate("c", start, step, lambda s: s["out"])).alias("e")).select("query_id", "e.*")
-    return ranked.select("query_id", "rank", "chunk_id").join(folded, ["query_id", "rank"])
+    return own.select("query_id", F.explode(F.aggregate("c", start, step, lambda s: s["out"])).alias("e")).select("query_id", "e.*")
 
 
 def cited(url: Column, path: Column, text: Column) -> Column:

@@ -19,7 +19,8 @@ from lodestone.plans import retrieval_queries as Q
 from lodestone.plans.common import BLOCKS, KIND, lit, markdown_docs, query, sql_tokens, sql_word_count, table
 from lodestone.sources.golden import parse_eval_queries
 from lodestone.sources.ingest import pages_to_documents
-from lodestone.streaming.ingest import job_progress, new_folder, stream_ingest, stream_progress
+from lodestone.sources.store import new_folder
+from lodestone.streaming.ingest import job_progress, stream_ingest, stream_progress
 
 # -- chunking -------------------------------------------------------------------------------------------------------
 _LINES = f"lines AS (SELECT doc_id, content, idx - 1 AS idx, {sql_tokens('content')} AS tokens FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -178,7 +179,7 @@ _RANKED = f"{Q._BM25}, ranked AS (SELECT query_id, rank, chunk_id, text, score F
 
 
 def ranked(spark, d):
-    best = R.bm25_search(Q._bm25(spark, d), BEST).select("query_id", "rank", "chunk_id", "score")
+    best = Q.sparse(spark, d, BEST).select("query_id", "rank", "chunk_id", "score")
     return best.join(Q.documents(spark, d), "chunk_id")
 
 

@@ -15,7 +15,9 @@ from lodestone.functions.text import WORD, has_sublist, identifier_tokens
 from lodestone.operators import evaluation as E
 from lodestone.operators import retrieval as R
 from lodestone.operators.slots import embed
-from lodestone.plans.common import lit, query, settled, table
+from lodestone.operators.keyword_index import KeywordIndex, clauses_of
+from lodestone.plans.common import lit, query, table
+from lodestone.sources.store import files_key, new_folder, settled, shared_folder
 
 K = 5
 
@@ -118,6 +120,20 @@ def query_terms(spark, d):
     return R.query_terms(passages(spark, d))
 
 
+def keyword_index(spark, d):
+    """The stored index over a folder's documents: built once, then read as long as their files stay the same."""
+    key = files_key(spark, f"{d}/documents.parquet")
+    index = KeywordIndex(f"{shared_folder(spark)}/keyword-index-{key}")
+    if not index.commits(spark):
+        index.update(documents(spark, d), tenant="tenant_id")
+    return index
+
+
+def sparse(spark, d, k=K):
+    """The best ``k`` documents of each passage, from the stored index."""
+    return keyword_index(spark, d).search(passages(spark, d), k, allow_global=True, phrases=False)
+
+
 def _bm25(spark, d):
     return R.bm25(R.query_terms(passages(spark, d)), documents(spark, d))
 
@@ -129,15 +145,81 @@ def bm25_and(spark, d):
 
 @query("bm25_fallback", f"WITH {_BM25} SELECT query_id, rank, chunk_id, round(score, 6) AS score, fallback_used FROM sparse")
 def bm25_fallback(spark, d):
-    return R.bm25_search(_bm25(spark, d), K).withColumn("score", F.round("score", 6))
+    return sparse(spark, d, K).withColumn("score", F.round("score", 6))
 
 
 @query("sparse_topk", f"WITH {_BM25} SELECT query_id, 'sparse' AS mode, rank, chunk_id, round(score, 6) AS score FROM sparse")
 def sparse_topk(spark, d):
-    s = R.bm25_search(_bm25(spark, d), K)
+    s = sparse(spark, d, K)
     return s.select("query_id", F.lit("sparse").alias("mode"), "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _search_sql(clauses: str, tenant: str = "NULL", phrases: bool = False) -> str:
+    """SQL of the search over the view ``c`` (doc_id, words, tenant, whose words stand between blanks) and clauses (query_id, clause, tenant)."""
+    return f"""q AS ({clauses}), ws AS (SELECT chunk_id, tenant, len(w) AS dl, ' ' || array_to_string(w, '  ') || ' ' AS s FROM c), st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM ws),
+tfs AS (SELECT clause, chunk_id, tenant, dl, (length(s) - length(replace(s, ' ' || replace(clause, ' ', '  ') || ' ', ''))) // (length(replace(clause, ' ', '  ')) + 2) AS tf FROM (SELECT DISTINCT clause FROM q) JOIN ws ON contains(s, ' ' || replace(clause, ' ', '  ') || ' ')),
+n AS (SELECT clause, count(*) AS n FROM tfs GROUP BY clause), nc AS (SELECT query_id, count(*) AS n_clauses FROM q GROUP BY query_id),
+b AS (SELECT query_id, chunk_id, round(sum(greatest({R.IDF_FLOOR}, ln((n_docs - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score, count(*) AS n_matched
+  FROM q JOIN tfs USING (clause) JOIN n USING (clause), st WHERE q.tenant IS NULL OR q.tenant = tfs.tenant GROUP BY query_id, chunk_id),
+a AS (SELECT b.*, n_matched = n_clauses AS every, bool_or(n_matched = n_clauses) OVER (PARTITION BY query_id) AS has_all FROM b JOIN nc USING (query_id))
+SELECT query_id, CAST(rank AS INT) AS rank, chunk_id, round(score, 6) AS score, fallback_used FROM (SELECT query_id, chunk_id, score, NOT has_all AS fallback_used, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM a WHERE every OR NOT has_all) WHERE rank <= {K} AND score > 0"""
+
+
+_WORDS_OF = f"regexp_extract_all(lower(text), {lit(WORD)})"
+_PLAIN = r"regexp_replace(lower(text), '[^\p{L}\p{N}_\s?&+-]', ' ', 'g')"
+_HELD_DOCS = f"c AS (SELECT doc_id AS chunk_id, source AS tenant, {_WORDS_OF} AS w FROM documents)"
+
+
+@query(
+    "sparse_topk_tenant",
+    "WITH " + _HELD_DOCS + ", " + _search_sql(f"SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all({_PLAIN}, {lit(WORD)}))) AS clause, 'src' || item_id % 22 AS tenant FROM benchmark"),
+)
+def sparse_topk_tenant(spark, d):
+    """Each passage searched by one tenant (two of the 22 have no document), by the statistics of all."""
+    asked = passages(spark, d).withColumn("tenant", F.concat(F.lit("src"), F.col("query_id") % 22))
+    return keyword_index(spark, d).search(asked, K, tenant="tenant", phrases=False).withColumn("score", F.round("score", 6))
+
+
+#: Passages as queries with two phrases: their first two words and their last three, joined by hyphens, and a single word.
+_HYPHENS = f"SELECT item_id AS query_id, w[1] || '-' || w[2] || ' ' || w[4] || ' ' || w[-3] || '-' || w[-2] || '-' || w[-1] AS text FROM (SELECT item_id, {_WORDS_OF} AS w FROM benchmark)"
+
+
+def _hyphenated(spark, d):
+    w = T.words(F.col("text"))
+    parts = [F.concat_ws("-", F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(2))), F.try_element_at(w, F.lit(4)), F.concat_ws("-", *[F.try_element_at(w, F.lit(k)) for k in (-3, -2, -1)])]
+    return passages(spark, d).select("query_id", F.concat_ws(" ", *parts).alias("text"))
+
+
+@query(
+    "phrase_topk",
+    f"WITH {_HELD_DOCS}, h AS ({_HYPHENS}), "
+    + _search_sql(f"SELECT DISTINCT query_id, array_to_string(regexp_extract_all(part, {lit(WORD)}), ' ') AS clause, NULL AS tenant FROM (SELECT query_id, unnest(string_split_regex({_PLAIN}, '\\s+')) AS part FROM h) WHERE len(regexp_extract_all(part, {lit(WORD)})) > 0"),
+)
+def phrase_topk(spark, d):
+    """Queries in which words joined by hyphens must stand in a row."""
+    return keyword_index(spark, d).search(_hyphenated(spark, d), K, allow_global=True).withColumn("score", F.round("score", 6))
+
+
+@query("phrase_clauses", f"WITH h AS ({_HYPHENS}) SELECT DISTINCT query_id, array_to_string(regexp_extract_all(part, {lit(WORD)}), ' ') AS clause FROM (SELECT query_id, unnest(string_split_regex({_PLAIN}, '\\s+')) AS part FROM h) WHERE len(regexp_extract_all(part, {lit(WORD)})) > 0")
+def phrase_clauses(spark, d):
+    return clauses_of(_hyphenated(spark, d)).select("query_id", F.array_join("words", " ").alias("clause"))
+
+
+_REVISED = "SELECT doc_id, CASE WHEN source IN ('src3', 'src4') THEN 'revised ' || lang || ' ' || text ELSE text END AS text FROM documents WHERE source <> 'src5'"
+
+
+@query("keyword_index_update", f"WITH p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS_OF}) AS term FROM ({_REVISED})) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
+def keyword_index_update(spark, d):
+    """An index over all documents after two sources came again with other texts and a third was deleted."""
+    index = KeywordIndex(new_folder(spark, "keyword-index"))
+    docs = documents(spark, d)
+    index.update(docs, tenant="tenant_id")
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    again = docs.where(F.col("tenant_id").isin("src3", "src4")).join(lang, "chunk_id").withColumn("text", F.concat(F.lit("revised "), "lang", F.lit(" "), "text"))
+    index.update(again, docs.where("tenant_id = 'src5'"), tenant="tenant_id")
+    return index.terms(spark)
+
+
 # The dense list: texts and passages as vectors of hashed word counts, the default encoder's.
 def _vectors_sql(name: str, item: str, table_: str) -> str:
     two = lambda at: f"16 * (strpos('0123456789abcdef', substr(h, {at}, 1)) - 1) + strpos('0123456789abcdef', substr(h, {at + 1}, 1)) - 1"
@@ -177,12 +259,12 @@ _FUSED = f"{_BM25}, {_DENSE}, sparse4 AS (SELECT * FROM sparse0 WHERE rank <= {4
 
 def _lists(spark, d):
     """Dense and keyword rankings, four times as long as what is asked for: a reranker chooses among them."""
-    return _dense(spark, d, 4 * K), R.bm25_search(_bm25(spark, d), 4 * K)
+    return _dense(spark, d, 4 * K), sparse(spark, d, 4 * K)
 
 
 @query("hybrid_rrf", f"WITH {_FUSED} SELECT * FROM fused")
 def hybrid_rrf(spark, d):
-    return R.reciprocal_rank_fusion(_dense(spark, d), R.bm25_search(_bm25(spark, d), K), K)
+    return R.reciprocal_rank_fusion(_dense(spark, d), sparse(spark, d, K), K)
 
 
 _QW, _TW = f"regexp_extract_all(lower(q.text), {lit(WORD)})", f"regexp_extract_all(lower(x.text), {lit(WORD)})"
@@ -261,7 +343,7 @@ def _mode_ranks(spark, d):
 @query("entry", f"WITH {_HITS} SELECT query_id, rank, chunk_id, hit FROM hits WHERE mode = 'sparse'")
 def entry(spark, d):
     """BM25 over all documents for every benchmark passage, and whether the document holds it."""
-    s = R.bm25_search(_bm25(spark, d), K).select("query_id", "rank", "chunk_id")
+    s = sparse(spark, d, K).select("query_id", "rank", "chunk_id")
     return _matches(spark, d, s).select("query_id", "rank", "chunk_id", (F.col("match_type") == E.EXACT).alias("hit"))
 
 
@@ -277,7 +359,7 @@ def ablation(spark, d):
 
 @query("eval_report", f"WITH {_HITS} SELECT {_REPORT} FROM ranks WHERE mode = 'sparse'")
 def eval_report(spark, d):
-    s = R.bm25_search(_bm25(spark, d), K)
+    s = sparse(spark, d, K)
     return E.report(_ranks(spark, d, s))
 
 
@@ -294,7 +376,7 @@ def _grouped(spark, d):
     f"WITH {_HITS}, g AS (SELECT r.*, {_GROUPS} FROM ranks r JOIN benchmark ON item_id = query_id WHERE mode = 'sparse') SELECT 'difficulty' AS dimension, difficulty AS value, {_REPORT} FROM g GROUP BY difficulty UNION ALL SELECT 'category', category, {_REPORT} FROM g GROUP BY category UNION ALL SELECT 'all', 'all', {_REPORT} FROM g",
 )
 def eval_by_group(spark, d):
-    s = R.bm25_search(_bm25(spark, d), K)
+    s = sparse(spark, d, K)
     results = _ranks(spark, d, s).join(_grouped(spark, d), "query_id")
     return E.group_metrics(results, "difficulty", "category")
 
@@ -307,7 +389,7 @@ def rerank_regressions(spark, d):
 
 @query("evidence_report", f"WITH {_HITS} SELECT item_id AS query_id, chunk_id, CASE WHEN hit THEN 'Exact Match' ELSE 'No Match' END AS match_type FROM benchmark LEFT JOIN (SELECT * FROM hits WHERE mode = 'sparse' AND rank = 1) h ON h.query_id = item_id")
 def evidence_report(spark, d):
-    s = R.bm25_search(_bm25(spark, d), K)
+    s = sparse(spark, d, K)
     return E.evidence(passages(spark, d), _matches(spark, d, s))
 
 
@@ -316,7 +398,7 @@ def evidence_report(spark, d):
     f"WITH {_HITS}, m AS (SELECT query_id, CASE WHEN rank > 0 THEN 'Exact Match' ELSE 'No Match' END AS best_match, CAST(rank AS INT) AS rank FROM ranks WHERE mode = 'sparse') SELECT query_id, best_match, rank, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY best_match ORDER BY md5('0:' || query_id), query_id) AS nth FROM m) WHERE nth <= 5",
 )
 def review_sample(spark, d):
-    s = R.bm25_search(_bm25(spark, d), K)
+    s = sparse(spark, d, K)
     results = _ranks(spark, d, s)
     return E.review_sample(results).select("query_id", "best_match", "rank", "nth")
 

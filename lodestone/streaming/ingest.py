@@ -92,9 +92,3 @@ def stream_progress(spark: SparkSession, source: str, schema: str | StructType,
     progress = job_progress(prepare(stream) if prepare else stream)
     write = lambda df, _: df.write.mode("overwrite").parquet(target)
     return progress.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the folder that the cluster shares."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
