@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import token_estimate
-from lodestone.operators.cleaning import block_array, block_type
+from lodestone.operators.cleaning import block_array
 
 
 @dataclass(frozen=True)
@@ -33,30 +33,81 @@ def heading_level(line: Column) -> Column:
     return F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
 
 
-def section_blocks(docs: DataFrame, doc: str = "doc_id", markdown: str = "markdown") -> DataFrame:
-    """(doc, idx, content, kind, level, sec_idx, heading_path): blocks with their section.
+def chunk_block_type(content: Column) -> Column:
+    """code, heading, table (a pipe row and a separator row), list or text."""
+    lines = F.transform(F.split(content, "\n"), lambda x: F.trim(x))
+    table = F.exists(lines, is_pipe_row) & F.exists(lines, lambda x: x.rlike(r"^\|[-| :]+\|$"))
+    return F.when(content.startswith("```"), "code").when(content.startswith("#"), "heading").when(table, "table").when(content.rlike(r"^(?:[-*] |\d+\.\s)"), "list").otherwise("text")
 
-    A heading of level L starts a section and closes all open headings of L and deeper. The open heading of level
-    k is the last one of that level since the last heading above it.
+
+def is_pipe_row(line: Column) -> Column:
+    return line.startswith("|") & line.endswith("|")
+
+
+def _typed(content: Column) -> Column:
+    """What the fold looks at: a block's kind, heading and columns, and whether it is rows of a table without their header."""
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = F.filter(lines, is_pipe_row)
+    kind = chunk_block_type(content)
+    orphan = ~kind.isin("code", "heading", "table") & (F.size(rows) >= 2) & (F.size(rows) * 5 >= F.size(lines) * 4)
+    columns = F.regexp_count(F.when(kind == "table", F.get(lines, F.lit(0))).otherwise(F.get(rows, F.lit(0))), F.lit(r"\|"))
+    level = F.when(kind == "heading", heading_level(content)).otherwise(0)
+    return F.struct(content.alias("content"), kind.alias("kind"), level.alias("level"), F.trim(F.regexp_replace(content, r"^#{1,6}\s+|\s*#+$", "")).alias("title"), F.coalesce(columns, F.lit(0)).alias("columns"), orphan.alias("orphan"))
+
+
+#: Blocks of one section, as the fold gives them.
+SECTION = "array<struct<sec_idx: int, blocks: array<struct<idx: int, content: string, kind: string, level: int, heading_path: array<string>, char_start: bigint, n_merged: int>>>>"
+
+
+def fold_blocks(blocks: list[dict]) -> list[dict]:
+    """Sections of one document's blocks, in order.
+
+    A heading of level L starts a section and closes all open headings of L and deeper. Pipe rows of as many columns as
+    the table before them in their section join it.
+    """
+    out: list[dict] = [{"sec_idx": 0, "blocks": []}]
+    stack: list[tuple[int, str]] = []
+    columns, at, idx = -1, 0, 0
+    for b in blocks:
+        if b["level"]:
+            stack = [x for x in stack if x[0] < b["level"]] + [(b["level"], b["title"])]
+            out.append({"sec_idx": len(out), "blocks": []})
+        own = out[-1]["blocks"]
+        if b["orphan"] and own and own[-1]["kind"] == "table" and columns == b["columns"]:
+            own[-1]["content"] += "\n" + b["content"]
+            own[-1]["n_merged"] += 1
+        else:
+            own.append({"idx": idx, "content": b["content"], "kind": b["kind"], "level": b["level"], "heading_path": [x[1] for x in stack], "char_start": at, "n_merged": 0})
+            columns, idx = b["columns"], idx + 1
+        at += len(b["content"]) + 2
+    return [s for s in out if s["blocks"]]
+
+
+def sections_of(blocks: Column) -> Column:
+    """Array of sections of an array of block texts: one fold in the document's row, without a shuffle or a sort."""
+
+    @F.pandas_udf(SECTION)
+    def folded(batch: pd.Series) -> pd.Series:
+        return pd.Series([fold_blocks([] if x is None else list(x)) for x in batch], dtype=object)
+
+    return folded(F.transform(blocks, _typed))
+
+
+def section_blocks(docs: DataFrame, doc: str = "doc_id", markdown: str = "markdown", split: bool = False) -> DataFrame:
+    """(doc, sec_idx, idx, content, kind, level, heading_path, char_start, n_merged): blocks with their section.
+
+    With ``split``, text blocks over 5,000 characters are cut first.
     """
-    blocks = docs.select(doc, F.posexplode(block_array(F.col(markdown))).alias("idx", "content"))
-    kind = block_type(F.col("content"))
-    blocks = blocks.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", heading_level(F.col("content"))).otherwise(0))
-    upto = W.partitionBy(doc).orderBy("idx")
-    title = F.trim(F.regexp_replace("content", r"^#{1,6}\s+|\s*#+$", ""))
-    blocks = blocks.withColumn("sec_idx", F.sum((F.col("level") > 0).cast("int")).over(upto))
-    for k in range(1, 7):
-        above = F.sum(((F.col("level") > 0) & (F.col("level") < k)).cast("int")).over(upto)
-        blocks = blocks.withColumn(f"__above{k}", above)
-        open_ = F.last(F.when(F.col("level") == k, title), ignorenulls=True).over(W.partitionBy(doc, f"__above{k}").orderBy("idx"))
-        blocks = blocks.withColumn(f"__h{k}", open_)
-    path = F.array_compact(F.array(*[F.col(f"__h{k}") for k in range(1, 7)]))
-    return blocks.withColumn("heading_path", path).drop(*[f"__above{k}" for k in range(1, 7)], *[f"__h{k}" for k in range(1, 7)])
+    blocks = block_array(F.col(markdown))
+    sections = docs.select(doc, F.explode(sections_of(cut_blocks(blocks) if split else blocks)).alias("s"))
+    return sections.select(doc, "s.sec_idx", F.explode("s.blocks").alias("b")).select(doc, "sec_idx", "b.*")
 
 
 def with_tokens(blocks: DataFrame, tokens: Column | None = None) -> DataFrame:
     """Token counts (a column provider; the default is the estimate) and the place of each block in characters."""
     counted = blocks.withColumn("tokens", token_estimate(F.col("content")) if tokens is None else tokens)
+    if "char_start" in blocks.columns:
+        return counted
     before = W.partitionBy("doc_id").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     return counted.withColumn("char_start", F.coalesce(F.sum(F.length("content") + 2).over(before), F.lit(0)))
 
@@ -89,13 +140,18 @@ def pack(blocks: DataFrame, config: ChunkingConfig = DEFAULT, keys: tuple[str, .
     One row a section is gathered (a section is part of one document) and its greedy fold runs in an Arrow batch.
     """
 
+    row = F.struct("idx", "content", "kind", "tokens", "heading_path", "char_start")
+    return pack_sections(blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("b")), config, keys)
+
+
+def pack_sections(sections: DataFrame, config: ChunkingConfig = DEFAULT, keys: tuple[str, ...] = ("doc_id", "sec_idx")) -> DataFrame:
+    """As ``pack``, of rows that hold a section's blocks in order: (keys, b)."""
+
     @F.pandas_udf("array<struct<first: int, last: int, tokens: int>>")
     def ranges(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for tokens, structured in batches:
             yield pd.Series([[{"first": a, "last": b, "tokens": t} for a, b, t in pack_ranges(list(x), list(y), config)] for x, y in zip(tokens, structured)], dtype=object)
 
-    row = F.struct("idx", "content", "kind", "tokens", "heading_path", "char_start")
-    sections = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("b"))
     sections = sections.withColumn("r", ranges(F.transform("b", lambda x: x["tokens"]), F.transform("b", lambda x: x["kind"].isin("code", "table"))))
     chunks = sections.select(*keys, "b", F.posexplode("r").alias("chunk_in_section", "r"))
     own = F.slice("b", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1)
@@ -202,13 +258,23 @@ def sentence_groups(parts: Column, most: int = 4_000, joint: str = " ") -> Colum
     return F.aggregate(parts, start, add, lambda state: F.when(state["now"] == "", state["done"]).otherwise(F.array_append(state["done"], state["now"])))
 
 
+def _pieces(content: Column, lines: int, most: int) -> Column:
+    packed = sentence_groups(F.filter(F.split(content, "\n"), lambda x: F.trim(x) != ""), lines, "\n")
+    return F.flatten(F.transform(packed, lambda p: F.when(F.length(p) > most, sentence_groups(sentences(p), most)).otherwise(F.array(p))))
+
+
+def cut_blocks(blocks: Column, over: int = 5_000, lines: int = 3_000, most: int = 4_000) -> Column:
+    """An array of block texts with those of ``split_oversize`` cut, in the row."""
+    large = lambda b: (F.length(b) > over) & ~chunk_block_type(b).isin("code", "heading")
+    return F.flatten(F.transform(blocks, lambda b: F.when(large(b), _pieces(b, lines, most)).otherwise(F.array(b))))
+
+
 def split_oversize(blocks: DataFrame, over: int = 5_000, lines: int = 3_000, most: int = 4_000, doc: str = "doc_id") -> DataFrame:
     """``blocks`` with text of more than ``over`` characters cut: lines packed to ``lines`` characters, and pieces still over ``most`` by sentences.
 
     Blocks are numbered anew within the document.
     """
-    packed = sentence_groups(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), lines, "\n")
-    pieces = F.flatten(F.transform(packed, lambda p: F.when(F.length(p) > most, sentence_groups(sentences(p), most)).otherwise(F.array(p))))
+    pieces = _pieces(F.col("content"), lines, most)
     large = (F.length("content") > over) & ~F.col("kind").isin("code", "heading")
     cut = blocks.select("*", F.posexplode(F.when(large, pieces).otherwise(F.array("content"))).alias("__part", "__piece"))
     idx = F.row_number().over(W.partitionBy(doc).orderBy("idx", "__part")) - 1
@@ -216,20 +282,23 @@ def split_oversize(blocks: DataFrame, over: int = 5_000, lines: int = 3_000, mos
 
 
 def merge_orphan_tables(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Pipe rows of as many columns as the table before them join it: (doc, run, content, n_blocks)."""
-    lines = F.split("content", "\n")
-    piped = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*\|.*\|\s*$")))
-    columns = F.size(F.split(F.trim(lines[0]), r"\|")) - 2
-    table = (piped >= 2) & (piped * 5 >= F.size(lines) * 4)
-    order = W.partitionBy(doc).orderBy("idx")
-    b = blocks.withColumns({"__table": table, "__columns": columns})
-    joins = F.col("__table") & F.lag("__table", 1, False).over(order) & (F.col("__columns") == F.lag("__columns").over(order)) & ~F.col("content").rlike(r"\|\s*:?-{3,}")
-    b = b.withColumn("__new", (~F.coalesce(joins, F.lit(False))).cast("int")).withColumn("run", F.sum("__new").over(order))
-    rows = F.array_sort(F.collect_list(F.struct("idx", "content")))
-    return b.groupBy(doc, "run").agg(F.array_join(F.transform(rows, lambda x: x["content"]), "\n").alias("content"), F.count("*").alias("n_blocks"))
-
-
-def chunk_documents(docs: DataFrame, config: ChunkingConfig = DEFAULT, doc: str = "doc_id", markdown: str = "markdown") -> DataFrame:
-    """Documents to merged chunks."""
-    blocks = with_tokens(split_oversize(section_blocks(docs.select(F.col(doc).alias("doc_id"), F.col(markdown).alias("markdown")))))
-    return merge_tiny(pack(blocks, config), config)
+    """(doc, run, content, n_blocks) of block rows (doc, idx, content): pipe rows of as many columns as the table before them join it.
+
+    A table has a separator row. Rows are two or more and make up four fifths of the block's lines with text.
+    """
+    own = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "content"))).alias("b"))
+    sections = own.select(doc, F.explode(sections_of(F.transform("b", lambda x: x["content"]))).alias("s"))
+    rows = sections.select(doc, F.explode("s.blocks").alias("b"))
+    return rows.select(doc, (F.col("b.idx") + 1).cast("bigint").alias("run"), "b.content", (F.col("b.n_merged") + 1).cast("bigint").alias("n_blocks"))
+
+
+def chunk_documents(docs: DataFrame, config: ChunkingConfig = DEFAULT, doc: str = "doc_id", markdown: str = "markdown", tokens: Callable[[Column], Column] = token_estimate) -> DataFrame:
+    """Documents to merged chunks. ``tokens``: a column provider of token counts.
+
+    Sections are made and packed in the document's row; only a document's chunks are shuffled, to be merged.
+    """
+    folded = sections_of(cut_blocks(block_array(F.col(markdown))))
+    sections = docs.select(F.col(doc).alias("doc_id"), F.explode(folded).alias("s"))
+    block = lambda b: F.struct(b["idx"].alias("idx"), b["content"].alias("content"), b["kind"].alias("kind"), tokens(b["content"]).alias("tokens"), b["heading_path"].alias("heading_path"), b["char_start"].alias("char_start"))
+    rows = sections.select("doc_id", "s.sec_idx", F.transform("s.blocks", block).alias("b"))
+    return merge_tiny(pack_sections(rows, config), config)

@@ -129,12 +129,6 @@ def sentence_pack(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(parts).alias("n"), F.array_max(F.transform(parts, lambda x: F.length(x))).alias("longest"))
 
 
-@query("merge_orphan_tables")
-def merge_orphan_tables(spark, d):
-    lines = table(spark, d, "documents").where(F.contains("text", F.lit(" | "))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "content"))
-    return K.merge_orphan_tables(lines).select("doc_id", "run", "n_blocks")
-
-
 @query("merge_tiny_chunks")
 def merge_tiny_chunks(spark, d):
     return K.chunk_documents(markdown_docs(spark, d)).select("doc_id", "chunk_index", "total_chunks", "tokens", "content_type", "tiny_merged")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions.html import markdown_with_structure
 from lodestone.functions.text import markdown_from_html, word_count
 
 #: Extensions of files that aren't pages.
@@ -28,10 +29,13 @@ def route(source: Column, content_type: Column | None = None) -> Column:
     )
 
 
-def pages_to_documents(pages: DataFrame, min_words: int = MIN_PAGE_WORDS) -> DataFrame:
-    """(page_id, url, title, markdown, word_count) of pages with enough words; the title falls back to the URL."""
+def pages_to_documents(pages: DataFrame, min_words: int = MIN_PAGE_WORDS, structure: bool = False) -> DataFrame:
+    """(page_id, url, title, markdown, word_count) of pages with enough words; the title falls back to the URL.
+
+    With ``structure``, tables, code and bold text are kept, at the price of a pass through Python workers.
+    """
     title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    docs = pages.select("page_id", "url", F.coalesce(title, "url").alias("title"), markdown_from_html(F.col("html")).alias("markdown"))
+    docs = pages.select("page_id", "url", F.coalesce(title, "url").alias("title"), (markdown_with_structure if structure else markdown_from_html)(F.col("html")).alias("markdown"))
     return docs.withColumn("word_count", word_count(F.col("markdown"))).where(F.col("word_count") >= min_words)
 
 
