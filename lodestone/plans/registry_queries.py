@@ -16,11 +16,12 @@ from lodestone.operators import registry as G
 from lodestone.operators import retrieval as R
 from lodestone.operators.slots import embed, rewritten
 from lodestone.plans import retrieval_queries as Q
-from lodestone.plans.common import BLOCKS, KIND, lit, markdown_docs, query, sql_tokens, sql_word_count, table
+from lodestone.plans.common import BLOCKS, HASH, KIND, MD, lit, markdown_docs, query, sql_tokens, sql_word_count, table
 from lodestone.sources.golden import parse_eval_queries
 from lodestone.sources.ingest import pages_to_documents
+from lodestone.sources.segments import Segments
 from lodestone.sources.store import new_folder
-from lodestone.streaming.ingest import job_progress, stream_ingest, stream_progress
+from lodestone.streaming.ingest import block_counts, chunk_store, ingest_batch, job_progress, stored_chunks, stream_ingest, stream_progress
 
 # -- chunking -------------------------------------------------------------------------------------------------------
 _LINES = f"lines AS (SELECT doc_id, content, idx - 1 AS idx, {sql_tokens('content')} AS tokens FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -469,16 +470,62 @@ def split_oversize(spark, d):
     return K.split_oversize(rows).select("doc_id", "idx", F.length("content").alias("chars"))
 
 
+def _page_documents(pages):
+    return pages_to_documents(pages).select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("tenant_id"), F.col("page_id").alias("doc_id"), "url", "markdown")
+
+
+def _ingested(spark, d):
+    """A store with all pages, read as a stream."""
+    target, mark = new_folder(spark, "chunks"), new_folder(spark, "mark")
+    stream_ingest(spark, f"{d}/pages.parque[t]", table(spark, d, "pages").schema, target, mark, prepare=_page_documents).awaitTermination()
+    return target
+
+
 @query("stream_ingest")
 def stream_ingest_(spark, d):
-    """Pages as a stream, cleaned, chunked, embedded and upserted; the chunk table afterwards."""
-    target, mark = new_folder(spark, "chunks"), new_folder(spark, "mark")
+    """Pages as a stream, cleaned, chunked, embedded and stored; the chunks afterwards, with their texts and vectors."""
+    chunks = stored_chunks(spark, _ingested(spark, d))
+    return chunks.select("tenant_id", "doc_id", "chunk_id", "tokens", "content_type", "text", F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int")), ",")).alias("vector_digest"))
+
+
+_FIRST = "SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM md0 QUALIFY row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1), markdown ORDER BY doc_id) = 1"
+_REVISED = f"{MD.replace('md AS (', 'md0 AS (', 1)}, md AS (SELECT doc_id, url, title, host, CASE WHEN contains(host, '.org') THEN markdown || chr(10) || chr(10) || 'Revised page.' ELSE markdown END AS markdown FROM ({_FIRST}) WHERE NOT contains(host, '.net'))"
 
-    def documents(pages):
-        return pages_to_documents(pages).select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("tenant_id"), F.col("page_id").alias("doc_id"), "url", "markdown")
 
-    stream_ingest(spark, f"{d}/pages.parque[t]", table(spark, d, "pages").schema, target, mark, prepare=documents).awaitTermination()
-    return spark.read.parquet(target).select("tenant_id", "doc_id", "chunk_id", "tokens", "content_type")
+def _revised(spark, d):
+    """The store after pages of one kind of hosts came again with another text, twice, and those of another kind were deleted."""
+    target = _ingested(spark, d)
+    docs = _page_documents(table(spark, d, "pages"))
+    of = lambda part: docs.where(F.contains("tenant_id", F.lit(part)))
+    ingest_batch(of(".org").withColumn("markdown", F.concat("markdown", F.lit("\n\nDraft."))), target)
+    ingest_batch(of(".org").withColumn("markdown", F.concat("markdown", F.lit("\n\nRevised page."))), target, deleted=of(".net"))
+    return target
+
+
+@query("ingest_retractions", f"WITH {BLOCKS.replace(MD, _REVISED)} SELECT {HASH} AS block_hash, count(DISTINCT doc_id) AS n FROM blocks GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM md")
+def ingest_retractions(spark, d):
+    """In how many documents each block stands after changes and deletions, from signed counts."""
+    return block_counts(spark, _revised(spark, d))
+
+
+@query("ingest_documents", f"WITH {_REVISED} SELECT host AS tenant_id, doc_id, sha256(markdown) AS content_hash FROM md")
+def ingest_documents(spark, d):
+    """Which texts the store holds after changes and deletions."""
+    return chunk_store(_revised(spark, d)).read(spark, "documents").select("tenant_id", "doc_id", "content_hash")
+
+
+@query(
+    "vector_log",
+    "SELECT label AS tenant_id, vec_id AS chunk_id, round(CASE WHEN label = 3 THEN -embedding[1] ELSE embedding[1] END, 6) AS x, CASE WHEN label = 3 THEN 2 ELSE 1 END AS version FROM embeddings WHERE label <> 4",
+)
+def vector_log(spark, d):
+    """Vectors upserted into a log-structured table: one tenant's come again, another's are deleted, then segments are compacted."""
+    log = Segments(new_folder(spark, "vectors"), ("tenant_id", "chunk_id"))
+    v = table(spark, d, "embeddings").select(F.col("label").alias("tenant_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding")[0].alias("x"), F.lit(1).alias("version"))
+    log.upsert("vectors", v)
+    log.upsert("vectors", v.where("tenant_id = 3").withColumns({"x": -F.col("x"), "version": F.lit(2)}), deleted=v.where("tenant_id = 4"))
+    log.compact(spark)
+    return log.read(spark, "vectors").withColumn("x", F.round("x", 6))
 
 
 @query("stream_job_progress", f"WITH {_EVENTS} SELECT job_id, arg_max(status, seq) AS status, max(pct) AS progress_pct, count(*) AS n_events FROM ev GROUP BY job_id")

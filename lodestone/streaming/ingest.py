@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,62 +13,94 @@ from lodestone.functions.text import normalised_hash
 from lodestone.operators import cleaning, registry
 from lodestone.operators.chunking import chunk_documents, chunk_id
 from lodestone.operators.slots import embed
-from lodestone.sources.sinks import upserted, write_by_tenant
+from lodestone.sources.segments import Segments, ddl
+from lodestone.sources.store import remove
 
 
 def chunks_of(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(tenant_id, doc_id, url, markdown) to embedded chunks. ``known``: block counts of earlier documents."""
-    cleaned = cleaning.cleaned_or_raw(cleaning.rebuilt(cleaning.clean(docs.select("doc_id", "markdown"), known=known)))
-    merged = chunk_documents(cleaned.select("doc_id", F.col("text").alias("markdown")))
-    rows = merged.join(docs.select("doc_id", "tenant_id", "url"), "doc_id")
+    own = docs.withColumn("__key", F.to_json(F.struct("tenant_id", "doc_id")))
+    cleaned = cleaning.cleaned_or_raw(cleaning.rebuilt(cleaning.clean(own.select("__key", "markdown"), doc="__key", known=known), doc="__key"))
+    merged = chunk_documents(cleaned.select("__key", F.col("text").alias("markdown")), doc="__key").withColumnRenamed("doc_id", "__key")
+    rows = merged.join(own.select("__key", "doc_id", "tenant_id", "url"), "__key").drop("__key")
     return embed(rows.withColumn("chunk_id", chunk_id(F.col("url"), F.col("chunk_index"))))
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.parquet(path) if there else None
+#: What a document is known by; one log holds the chunks, the documents' hashes and the block counts.
+KEYS = ("tenant_id", "doc_id")
 
 
-def ingest_batch(docs: DataFrame, target: str) -> None:
-    """Adds the documents of one batch to the chunk table; a repeated batch changes nothing.
+def chunk_store(target: str) -> Segments:
+    return Segments(target, KEYS)
 
-    Beside the chunks (``target``) two tables are kept: which texts each tenant has (``target``-documents: tenant_id,
-    doc_id, content_hash) and in how many documents each block stands (``target``-blocks). Texts that a tenant already has
-    are skipped, and boilerplate is judged by the documents of all batches so far. A batch of new documents is appended;
-    only where documents come again with another text (or a batch that failed comes again) the partitions of their
-    tenants are rewritten, from a copy beside them. Writers of a table must be single. Documents are known by doc_id.
+
+def stored_chunks(spark: SparkSession, target: str) -> DataFrame | None:
+    """The chunks of all documents as they are now."""
+    return chunk_store(target).read(spark, "chunks")
+
+
+def block_counts(spark: SparkSession, target: str) -> DataFrame | None:
+    """(block_hash, n): how many documents hold a block now; the null hash counts documents."""
+    rows = chunk_store(target).rows(spark, "counts")
+    return None if rows is None else rows.groupBy("block_hash").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def _counted(docs: DataFrame, sign: int) -> DataFrame:
+    """Signed counts of documents (blocks): of each block, and of the documents themselves under a null hash."""
+    blocks = docs.select(F.explode("blocks").alias("block_hash")).groupBy("block_hash").agg(F.count("*").alias("n"))
+    every = docs.agg(F.count("*").alias("n")).select(F.lit(None).cast("string").alias("block_hash"), "n")
+    return blocks.unionByName(every).select("block_hash", (F.col("n") * sign).alias("n"))
+
+
+def ingest_batch(docs: DataFrame, target: str, deleted: DataFrame | None = None, stream: str = "", batch: int = -1) -> None:
+    """Adds the documents of one batch to the store at ``target`` and deletes those of ``deleted`` (tenant_id, doc_id).
+
+    Texts that a tenant already has are skipped. A document that comes with another text, or is deleted, is retracted:
+    its chunks die by one key, and its blocks are subtracted from the counts that boilerplate is judged by, so counts
+    always are those of the documents as they are. Chunks, documents and counts are committed by one record, written
+    last; a batch that failed before it, or that comes again (``stream``, ``batch``), changes nothing more. Earlier
+    documents are looked up by their key's partitions and narrow columns; their texts aren't read.
+
+    Of rows of one document in a batch one stays, by its text's hash. Null tenants and ids are keys like others.
     """
     spark = docs.sparkSession
-    texts, blocks = _stored(spark, f"{target}-documents"), _stored(spark, f"{target}-blocks")
-    staged = lambda df, name: _staged(df, f"{target}-staged/{name}-{uuid.uuid4().hex}")
-    # Each document's latest text is the one that counts.
-    have = None if texts is None else texts.groupBy("tenant_id", "doc_id").agg(F.max_by("content_hash", "batch").alias("content_hash"))
-    fresh = staged(registry.deduplicated(docs, have, text="markdown"), "documents")
-    if fresh.isEmpty():
+    store = chunk_store(target)
+    if stream and store.has(spark, stream, batch):
+        return
+    segment = store.next(spark)
+    have = store.read(spark, "documents")
+    one = docs.groupBy(*KEYS).agg(F.max_by(F.struct("url", "markdown"), F.coalesce(F.sha2("markdown", 256), F.lit(""))).alias("x")).select(*KEYS, "x.url", "x.markdown")
+    fresh = registry.deduplicated(one, None if have is None else have.select("tenant_id", "content_hash"), text="markdown")
+    blocks = F.array_distinct(F.transform(cleaning.block_array(F.col("markdown")), normalised_hash))
+    fresh = store.write("fresh", fresh.withColumn("blocks", F.coalesce(blocks, F.array().cast("array<string>"))), segment, bucketed=False)
+    leaving = fresh.select(*KEYS) if deleted is None else fresh.select(*KEYS).unionByName(deleted.select(*KEYS)).distinct()
+    old = store.read(spark, "documents", near=leaving)
+    if old is not None:
+        old, left = old.alias("old"), leaving.select(*[F.col(k).alias(f"__{k}") for k in KEYS])
+        same = F.col("old.tenant_id").eqNullSafe(F.col("__tenant_id")) & F.col("old.doc_id").eqNullSafe(F.col("__doc_id"))
+        old = store.write("retracted", old.join(left, same, "left_semi"), segment, bucketed=False)
+    if fresh.isEmpty() and (old is None or old.isEmpty()):
         return
-    new = staged(chunks_of(fresh, blocks), "chunks")
-    old = _stored(spark, target)
-    if old is None:
-        write_by_tenant(new, target)
-    else:
-        old = spark.read.schema(new.schema).parquet(target)
-        again = old.select("doc_id").distinct().join(fresh.select("doc_id"), "doc_id", "left_semi")
-        tenants = staged(old.join(again, "doc_id", "left_semi").select("tenant_id").distinct(), "tenants")
-        if not tenants.isEmpty():
-            rest = old.join(tenants, "tenant_id", "left_semi").select(*new.columns)
-            write_by_tenant(staged(upserted(rest, new.join(tenants, "tenant_id", "left_semi").select(*new.columns), ["tenant_id", "chunk_id"], replaced="doc_id"), "rewritten"), target)
-        new.join(tenants, "tenant_id", "left_anti").select(*new.columns).write.mode("append").partitionBy("tenant_id").parquet(target)
-    counts = cleaning.document_counts(cleaning.parse_blocks(fresh.select("doc_id", "markdown")).withColumn("block_hash", normalised_hash(F.col("content"))))
-    counts.write.mode("append").parquet(f"{target}-blocks")
-    batch = F.lit(1 + (0 if texts is None else texts.agg(F.max("batch")).first()[0] or 0)).cast("bigint")
-    fresh.select("tenant_id", "doc_id", "content_hash", batch.alias("batch")).write.mode("append").parquet(f"{target}-documents")
-
-
-def _staged(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written beside the target, so that it is computed once and can replace what it was read from."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    change = _counted(fresh, 1) if old is None else _counted(fresh, 1).unionByName(_counted(old, -1))
+    known = store.rows(spark, "counts")
+    if old is not None:
+        known = known.select("block_hash", "n").unionByName(_counted(old, -1))
+    chunks = store.write("chunks", chunks_of(fresh, known), segment)
+    documents = store.write("documents", fresh.select(*KEYS, "content_hash", "blocks"), segment)
+    counts = store.write("counts", change, segment, bucketed=False)
+    tables = {"chunks": ddl(chunks), "documents": ddl(documents), "counts": ddl(counts)}
+    if old is not None:
+        tables["gone"] = ddl(store.write("gone", old.select(*KEYS), segment, bucketed=False))
+    store.commit(spark, segment, tables, stream, batch)
+    for name in ("fresh", "retracted"):
+        remove(spark, f"{target}/{name}/segment={segment}")
+
+
+def compact(spark: SparkSession, target: str) -> None:
+    """One segment in place of many; the files of the old ones are deleted."""
+    store = chunk_store(target)
+    store.compact(spark, {"counts": ("block_hash", "n")})
+    store.vacuum(spark)
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, files_per_batch: int = 10, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -78,7 +109,7 @@ def stream_ingest(spark: SparkSession, source: str, schema: str | StructType, ta
     ``prepare`` makes documents (tenant_id, doc_id, url, markdown) of a batch that holds something else.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(prepare(df) if prepare else df, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, n: ingest_batch(prepare(df) if prepare else df, target, stream=checkpoint, batch=n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_progress(events: DataFrame) -> DataFrame:

@@ -301,7 +301,7 @@ def test_upserts(spark):
 
 
 def test_streamed_ingestion_equals_batch(spark, tmp_path):
-    from lodestone.streaming.ingest import chunks_of, stream_ingest
+    from lodestone.streaming.ingest import chunks_of, stored_chunks, stream_ingest
 
     rows = [(f"t{k % 2}", k, f"http://h/{k}", f"# Title {k}\n\n" + f"word{k} and some more text here. " * 20) for k in range(6)]
     schema = "tenant_id string, doc_id bigint, url string, markdown string"
@@ -309,29 +309,29 @@ def test_streamed_ingestion_equals_batch(spark, tmp_path):
     for k in range(0, 6, 3):
         spark.createDataFrame(rows[k : k + 3], schema).coalesce(1).write.mode("append").parquet(src)
         stream_ingest(spark, src, schema, out, mark).awaitTermination()
-    got = {(r["tenant_id"], r["chunk_id"]) for r in spark.read.parquet(out).collect()}
+    got = {(r["tenant_id"], r["chunk_id"]) for r in stored_chunks(spark, out).collect()}
     assert got == {(r["tenant_id"], r["chunk_id"]) for r in chunks_of(spark.createDataFrame(rows, schema)).collect()} and len(got) >= 6
     stream_ingest(spark, src, schema, out, mark).awaitTermination()
-    assert spark.read.parquet(out).count() == len(got)
+    assert stored_chunks(spark, out).count() == len(got)
 
 
 def test_batches_know_what_came_before(spark, tmp_path):
     """A tenant's text comes once, whatever the batch; boilerplate is judged by all batches; new texts replace old ones."""
-    from lodestone.streaming.ingest import ingest_batch
+    from lodestone.streaming.ingest import ingest_batch, stored_chunks
 
     schema = "tenant_id string, doc_id bigint, url string, markdown string"
     page = lambda k, n=20: f"# Title {k}\n\n" + f"word{k} and some more text here. " * n + "\n\n[home](http://h) [news](http://n)"
     first = [("t1", k, f"http://h/{k}", page(k)) for k in range(12)]
     out = str(tmp_path / "chunks")
     ingest_batch(spark.createDataFrame(first, schema), out)
-    before = {(r["doc_id"], r["chunk_id"]) for r in spark.read.parquet(out).collect()}
-    assert {i for i, _ in before} == set(range(12)) and not any("[home]" in r["text"] for r in spark.read.parquet(out).collect())
+    before = {(r["doc_id"], r["chunk_id"]) for r in stored_chunks(spark, out).collect()}
+    assert {i for i, _ in before} == set(range(12)) and not any("[home]" in r["text"] for r in stored_chunks(spark, out).collect())
     # The same texts under other ids, and the batch itself again: nothing. Another tenant may have them.
     ingest_batch(spark.createDataFrame([("t1", 100 + k, u, m) for _, k, u, m in first[:3]], schema), out)
     ingest_batch(spark.createDataFrame(first, schema), out)
-    assert {(r["doc_id"], r["chunk_id"]) for r in spark.read.parquet(out).collect()} == before
+    assert {(r["doc_id"], r["chunk_id"]) for r in stored_chunks(spark, out).collect()} == before
     ingest_batch(spark.createDataFrame([("t2", 200, "http://h/200", page(0)), ("t1", 5, "http://h/5", page(77)), ("t1", 13, "http://h/13", page(13))], schema), out)
-    after = spark.read.parquet(out).collect()
+    after = stored_chunks(spark, out).collect()
     assert {(r["tenant_id"], r["doc_id"]) for r in after} == {("t1", k) for k in [*range(12), 13]} | {("t2", 200)}
     assert all("word77" in r["text"] for r in after if r["doc_id"] == 5) and not any("[home]" in r["text"] for r in after)
     assert len(after) == len({(r["tenant_id"], r["chunk_id"]) for r in after})
