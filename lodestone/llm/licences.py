@@ -131,8 +131,8 @@ LIKELY = 0.5
 MISTAKEN = 0.001
 _WORD = re.compile(r"[^\W_]+(?:[-.][^\W_]+)*")
 _NUMBER = re.compile(r"\d+")
-_LINE, _SENTENCE = re.compile(r"\n"), re.compile(r"[.!?](?=\s)")
-_BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
+#: The end of a line or of a sentence.
+_CUT = re.compile(r"\n|[.!?](?=\s)")
 #: A licence tag that means the same as the SPDX one.
 _TAG = re.compile(r"(?i)(?<![\w-])licen[cs]e:\s+(?=\w)")
 _SHIFT = np.uint64(64 - BITS)
@@ -171,22 +171,38 @@ def grams_at(h: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def segments_of(text: str, starts: np.ndarray) -> np.ndarray:
-    """(first word, word behind the last) of the segments of a text whose words start at ``starts``, distinct and in order."""
-    n = len(starts)
-
-    def cuts(pattern: re.Pattern) -> np.ndarray:
-        return np.searchsorted(starts, np.fromiter((m.end() for m in pattern.finditer(text)), np.int64))
-
-    blank, sentence, line = cuts(_BLANK), cuts(_SENTENCE), cuts(_LINE)
-    paragraphs = np.unique(np.r_[0, blank, n])
-    ends = np.unique(np.r_[paragraphs, sentence])
+def words_and_cuts(low: str) -> tuple[list[str], tuple[list[int], list[int], list[int]]]:
+    """The words of a lower-case text, and how many stand before each blank line, end of a sentence and end of a line."""
+    words: list[str] = []
+    blank, sentence, line = [], [], []
+    at, newline = 0, -1
+    for m in _CUT.finditer(low):
+        words += _WORD.findall(low, at, m.end())
+        at = m.end()
+        if m[0] != "\n":
+            sentence.append(len(words))
+            continue
+        line.append(len(words))
+        if newline >= 0 and not low[newline:at].strip():
+            blank.append(len(words))
+        newline = at
+    return words + _WORD.findall(low, at), (blank, sentence, line)
+
+
+def _distinct(places: list[int]) -> np.ndarray:
+    return np.array(sorted(set(places)), np.int64)
+
+
+def segments_of(n: int, blank: list[int], sentence: list[int], line: list[int]) -> np.ndarray:
+    """(first word, word behind the last) of the segments of a text of ``n`` words, distinct and in order."""
+    paragraphs = _distinct([0, *blank, n])
+    ends = _distinct([0, *blank, *sentence, n])
     found = []
     last = paragraphs[np.searchsorted(paragraphs, ends[:-1], side="right")]
     for k in (1, 2, 3):
         pair = np.stack([ends[:-k], ends[k:]], axis=1)
         found.append(pair[pair[:, 1] <= last[: len(pair)]])
-    lines = np.unique(np.r_[0, line, n])
+    lines = _distinct([0, *line, n])
     found.append(np.stack([lines[:-1], lines[1:]], axis=1))
     every, sentences = np.concatenate(found), found[0]
     size = every[:, 1] - every[:, 0]
@@ -275,11 +291,11 @@ class LicenceModel:
 
     @cached_property
     def evidence(self) -> np.ndarray:
-        """The most that a row of weights adds to a licence class against none, if it adds to any."""
-        return np.maximum((self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1), 0).astype(float)
+        """What a row of weights adds at most to a licence class against none; less than nothing where it speaks against all."""
+        return (self.weights[:, :-1] - self.weights[:, -1:]).max(axis=1).astype(float)
 
     def may_be(self, rows: list[np.ndarray], segments: np.ndarray) -> np.ndarray:
-        """Whether a segment can be likelier licence-like than not, by a bound: all its evidence for licences at once, none against."""
+        """Whether a segment can be likelier licence-like than not, by a bound: each n-gram's evidence for the class it favours."""
         total = _sums([self.evidence[r] for r in rows], segments)
         most = ((self.bias[:-1] - self.bias[-1]).max() + total / np.sqrt(np.maximum(_grams_of(segments), 1))) / self.temperature
         return (len(CLASSES) - 1) * np.exp(np.minimum(most, 50)) >= LIKELY / (1 - LIKELY) * 0.999
@@ -294,14 +310,15 @@ class LicenceModel:
         low = (text or "").lower()
         if len(low) != len(text or ""):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        low = _TAG.sub(lambda m: "spdx:".ljust(len(m[0])), low)
-        marks = [(*m.span(), m[0]) for m in _WORD.finditer(low)]
-        if not marks:
+        if "licen" in low:
+            low = _TAG.sub(lambda m: "spdx:".ljust(len(m[0])), low)
+        words, cuts = words_and_cuts(low)
+        if not words:
             return []
-        spans = np.array([m[:2] for m in marks], np.int64)
-        words = ["spdx-license-identifier" if w == "spdx" else w for _, _, w in marks]
-        h, segments = (Words() if kept is None else kept).hashes(words), segments_of(low, spans[:, 0])
-        rows = self.rows(h)
+        if "spdx" in low:
+            words = ["spdx-license-identifier" if w == "spdx" else w for w in words]
+        rows = self.rows((Words() if kept is None else kept).hashes(words))
+        segments = segments_of(len(words), *cuts)
         segments = segments[self.may_be(rows, segments)]
         found = []
         for s in range(0, len(segments), 4_096):
@@ -316,14 +333,16 @@ class LicenceModel:
                 if not shared and like < self.licence_bar:
                     continue
                 found.append((-shared, -float(p[k, best]) if shared else -like, b - a, a, b, best if shared else -1))
-        taken, out = np.zeros(len(words), bool), []
+        if not found:
+            return []
+        spans, taken, out = [m.span() for m in _WORD.finditer(low)], np.zeros(len(words), bool), []
         for shared, p_, _, a, b, best in sorted(found):
             if taken[a:b].any():
                 continue
             if shared:
                 a, b = _trimmed(FAMILIES[best], words, a, b)
             taken[a:b] = True
-            out.append((int(spans[a, 0]), int(spans[b - 1, 1]), FAMILIES[best] if shared else UNKNOWN, -p_))
+            out.append((spans[a][0], spans[b - 1][1], FAMILIES[best] if shared else UNKNOWN, -p_))
         return sorted(out)
 
     def scan_column(self, df: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
