@@ -21,7 +21,7 @@ from lodestone.sources.golden import parse_eval_queries
 from lodestone.sources.ingest import pages_to_documents
 from lodestone.sources.segments import Segments
 from lodestone.sources.store import new_folder
-from lodestone.streaming.ingest import block_counts, chunk_store, ingest_batch, job_progress, stored_chunks, stream_ingest, stream_progress
+from lodestone.streaming.ingest import block_counts, chunk_store, ingest_batch, job_progress, stream_ingest, stream_progress
 
 # -- chunking -------------------------------------------------------------------------------------------------------
 _LINES = f"lines AS (SELECT doc_id, content, idx - 1 AS idx, {sql_tokens('content')} AS tokens FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -484,7 +484,7 @@ def _ingested(spark, d):
 @query("stream_ingest")
 def stream_ingest_(spark, d):
     """Pages as a stream, cleaned, chunked, embedded and stored; the chunks afterwards, with their texts and vectors."""
-    chunks = stored_chunks(spark, _ingested(spark, d))
+    chunks = chunk_store(_ingested(spark, d)).read(spark, "chunks")
     return chunks.select("tenant_id", "doc_id", "chunk_id", "tokens", "content_type", "text", F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int")), ",")).alias("vector_digest"))
 
 
