@@ -91,6 +91,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved. No part of this work may be reproduced or distributed without prior written permission of the copyright holder.", "All rights reserved.", "Copyright (c) 2024. All rights reserved.", "Confidential and proprietary. Unauthorized copying of this file is strictly prohibited."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal."),
 }
+#: Sentences of known licences that are of no family above; what they share with a family's tells nothing of it.
+OTHERS = (
+    "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "Released under the Artistic License 2.0.",
+    "The Artistic License 2.0",
+    "Distributed under the Boost Software License, Version 1.0.",
+    'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY.',
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "Released under the zlib License.",
+)
 #: Sentences of licences of no family above, to train and to calibrate ``unknown``; {} is an invented name, # a number.
 UNKNOWN_FIT = (
     "Licensed under the {} License.",
@@ -222,16 +238,22 @@ def pairs_of(words: list[str]) -> set[tuple[str, str]]:
 
 
 _PAIRS = {f: [pairs_of(words_of(t)) for t in TEMPLATES[f]] for f in FAMILIES}
-_SHARED = {f: {p for g in FAMILIES if g != f for pairs in _PAIRS[g] for p in pairs} for f in FAMILIES}
+_SHARED = {f: {p for g in FAMILIES if g != f for pairs in _PAIRS[g] for p in pairs} | {p for t in OTHERS for p in pairs_of(words_of(t))} for f in FAMILIES}
 #: Of each template, all its word pairs and those that no other family has.
 _OWN = {f: [(pairs, pairs - _SHARED[f]) for pairs in _PAIRS[f]] for f in FAMILIES}
 
 
 def confirmed(family: str, words: list[str]) -> int:
-    """How many word pairs the segment shares with a template of the family that confirms it; 0 if none does."""
+    """How many word pairs the segment shares with a template of the family that confirms it; 0 if none does.
+
+    Between the first and the last of them, no more pairs may contradict the template than agree with it.
+    """
     have, best = pairs_of(words), 0
     for pairs, own in _OWN[family]:
         shared, proper = len(have & pairs), len(have & own)
+        at = [k for k, pair in enumerate(zip(words, words[1:])) if pair in pairs]
+        if not at or 2 * len(at) < at[-1] - at[0] + 1:
+            continue
         enough = shared >= CONFIRM * len(pairs) or (len(pairs) > 12 and shared >= max(6, CONFIRM * len(have)))
         if enough and proper >= (1 if len(pairs) > 12 else max(1, CONFIRM * len(own))):
             best = max(best, shared)
@@ -401,6 +423,7 @@ def fit_paragraphs(ordinary: list[str], seed: int = 7, each: int = 60, epochs: i
 
     x = [(example(varied(t, filler, rng)), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(each)]
     x += [(example(varied(named(t, rng), filler, rng)), unknown) for t in UNKNOWN_FIT for _ in range(3 * each)]
+    x += [(example(varied(t, filler, rng)), unknown) for t in OTHERS for _ in range(each)]
     # Licence words out of their order tell nothing of a family.
     loose = [w for f in FAMILIES for t in TEMPLATES[f] for w in words_of(t)]
     mixed = [rng.choices(loose, k=rng.randint(1, 6)) + rng.choices(filler or loose, k=rng.randint(0, 12)) for _ in range(12 * each)]

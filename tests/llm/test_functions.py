@@ -398,6 +398,33 @@ def test_every_template_is_found_as_a_line(scanner):
         assert families(scanner, line) == [family]
 
 
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software."""
+
+
+@pytest.mark.parametrize("text", [BOOST, ZLIB, "Some words before.\n\nThe Artistic License 2.0\n\nand behind."])
+def test_licences_that_read_like_a_family_are_unknown(scanner, text):
+    assert {c for *_, c, _ in scanner.scan(text)} == {licences.UNKNOWN}
+
+
+def test_words_and_cuts():
+    words, (blank, sentence, line) = licences.words_and_cuts("a b. c\n \nd e.f\ng! h.\n\n\ni")
+    assert words == ["a", "b", "c", "d", "e.f", "g", "h", "i"]
+    assert (sorted(set(blank)), sorted(set(sentence)), sorted(set(line))) == ([3, 7], [2, 6, 7], [3, 5, 7])
+    assert licences.words_and_cuts("") == ([], ([], [], []))
+
+
 def test_licences_side_by_side_all_count(scanner):
     assert families(scanner, "Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["mit", "apache"]
 
@@ -408,8 +435,9 @@ def test_licence_probabilities_are_those_of_single_segments(scanner):
     text = f"{invented(rng, 70)}.\n\nReleased under the MIT License. {invented(rng, 9)}!\n{invented(rng, 30)}"
     words = licences.words_of(text)
     h = licences.Words().hashes(words)
-    starts = np.array([m.start() for m in licences._WORD.finditer(text)])
-    segments = licences.segments_of(text, starts)
+    low, cuts = licences.words_and_cuts(text.lower())
+    assert licences.numbered(low) == words
+    segments = licences.segments_of(len(words), *cuts)
     rows = scanner.rows(h)
     got = scanner.probabilities(rows, segments)
     like = 1 - got[:, -1]
