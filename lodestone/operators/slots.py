@@ -2,7 +2,8 @@
 
 A slot takes a Python callable over batches: ``encode`` (texts to vectors), ``generate`` (prompts to texts),
 ``judge`` (context, question, answer to JSON), ``stem`` (distinct words to stems). A batch that fails is tried again,
-then gives nulls, so that callers can count and retry what failed.
+then gives nulls, so that callers can count and retry what failed. An encoder's batch is halved until only the bad
+texts are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.segments import Segments
+from lodestone.sources.store import settled
+
 BATCH = 100
 RETRIES = 3
 
@@ -40,27 +44,78 @@ def hashed_vectors(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
-def embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]] = hashed_vectors, text: str = "text", out: str = "embedding", batch: int = BATCH) -> DataFrame:
-    """``df`` with vectors; empty texts and failed batches have null."""
-
-    @F.pandas_udf("array<float>")
-    def encoded(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def encoded_each(texts: list[str], encode: Callable[[list[str]], list[list[float]]], retries: int = RETRIES) -> list[tuple[list[float] | None, str | None, int]]:
+    """(vector, error, attempts) of each text. A batch that fails is halved until the bad text stands alone, and that is tried again."""
+    if not texts:
+        return []
+    error = ""
+    for attempt in range(1, (retries if len(texts) == 1 else 1) + 1):
+        try:
+            vectors = encode(texts)
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors of {len(texts)} texts")
+            return [(v, None, attempt) for v in vectors]
+        except Exception as e:  # noqa: BLE001 - a model may fail in any way; the row says how
+            error = f"{type(e).__name__}: {e}"
+    if len(texts) == 1:
+        return [(None, error, retries)]
+    half = len(texts) // 2
+    return encoded_each(texts[:half], encode, retries) + encoded_each(texts[half:], encode, retries)
+
+
+def embed_with_status(df: DataFrame, encode: Callable[[list[str]], list[list[float]]] = hashed_vectors, text: str = "text", out: str = "embedding", batch: int = BATCH) -> DataFrame:
+    """``df`` with vectors, and a struct ``{out}_status`` of error and attempts; empty texts have neither vector nor error."""
+
+    @F.pandas_udf("struct<vector: array<float>, error: string, attempts: int>")
+    def encoded(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in series:
-            result: list = [None] * len(s)
+            result: list = [(None, None, 0)] * len(s)
             full = [i for i, t in enumerate(s) if isinstance(t, str) and t.strip()]
             for k in range(0, len(full), batch):
                 part = full[k : k + batch]
-                for attempt in range(RETRIES):
-                    try:
-                        for i, v in zip(part, encode([s.iloc[i] for i in part])):
-                            result[i] = v
-                        break
-                    except Exception:  # noqa: BLE001 - a model may fail in any way; nulls say which rows did
-                        if attempt == RETRIES - 1:
-                            break
-            yield pd.Series(result, dtype=object)
-
-    return df.withColumn(out, encoded(F.col(text)))
+                for i, done in zip(part, encoded_each([s.iloc[i] for i in part], encode)):
+                    result[i] = done
+            yield pd.DataFrame({"vector": pd.Series([r[0] for r in result], dtype=object), "error": pd.Series([r[1] for r in result], dtype=object), "attempts": pd.Series([r[2] for r in result], dtype="int32")})
+
+    done = df.withColumn("__encoded", encoded(F.col(text)))
+    status = F.struct(F.col("__encoded.error").alias("error"), F.col("__encoded.attempts").alias("attempts"))
+    return done.withColumns({out: F.col("__encoded.vector"), f"{out}_status": status}).drop("__encoded")
+
+
+def embed(df: DataFrame, encode: Callable[[list[str]], list[list[float]]] = hashed_vectors, text: str = "text", out: str = "embedding", batch: int = BATCH) -> DataFrame:
+    """``df`` with vectors; empty texts and texts that the encoder can't take have null."""
+    return embed_with_status(df, encode, text, out, batch).drop(f"{out}_status")
+
+
+def to_retry(done: DataFrame, *keys: str, out: str = "embedding") -> DataFrame:
+    """(keys, attempts, error) of the rows that failed: what a later run takes up again."""
+    failed = F.col(f"{out}_status.error").isNotNull()
+    return done.where(failed).select(*keys, F.col(f"{out}_status.attempts").alias("attempts"), F.col(f"{out}_status.error").alias("error"))
+
+
+def query_key(text: Column) -> Column:
+    return F.md5(F.lower(F.trim(text)))
+
+
+def cached_vectors(queries: DataFrame, cache: Segments, bound: int = 500, encode: Callable[[list[str]], list[list[float]]] = hashed_vectors, text: str = "text", order: str = "query_id") -> DataFrame:
+    """``queries`` with ``key``, ``embedding`` and ``hit``: whether the cache had the key's vector before.
+
+    Keys ignore case and outer blanks. Each key that the cache doesn't have is encoded once and appended; beyond ``bound``
+    keys, those that came first go. The cache is a log with key ``key``; its rows say in which batch and place they came.
+    """
+    spark = queries.sparkSession
+    asked = queries.withColumn("key", query_key(F.col(text)))
+    known, segment = cache.read(spark, "vectors"), cache.next(spark)
+    new = asked.where(F.col("key").isNotNull()).groupBy("key").agg(F.min_by(text, order).alias("__text"), F.min(order).cast("bigint").alias("place"))
+    new = new if known is None else new.join(known.select("key"), "key", "left_anti")
+    new = settled(embed(new, encode, text="__text").select("key", "embedding", F.lit(segment).alias("arrived"), "place"))
+    every = new if known is None else known.unionByName(new)
+    out = asked.join(every.select("key", "embedding", (F.col("arrived") < segment).alias("hit")), "key", "left")
+    out = settled(out.withColumn("hit", F.coalesce("hit", F.lit(False))))
+    kept = settled(every.orderBy(F.desc("arrived"), F.desc("place"), "key").limit(bound).select("key"))
+    gone = None if known is None else known.join(kept, "key", "left_anti")
+    cache.upsert("vectors", new.join(kept, "key", "left_semi"), deleted=gone)
+    return out
 
 
 def generate(prompts: Column, model: Callable[[str], str] | None = None) -> Column:

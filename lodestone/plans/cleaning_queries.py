@@ -37,7 +37,7 @@ def scan_documents(spark, d):
 
 @query(
     "sitemap_urls",
-    "SELECT host, shard, CAST(row_number() OVER (PARTITION BY host, shard ORDER BY page_id) - 1 AS INT) AS pos, trim(url) AS loc, ends_with(trim(url), '.xml') AS is_sitemap FROM (SELECT page_id, url, regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host, CAST(page_id // 100 AS INT) AS shard FROM pages)",
+    "SELECT host, shard, CAST(row_number() OVER (PARTITION BY host, shard ORDER BY page_id) - 1 AS INT) AS pos, trim(url) AS loc, false AS is_sitemap FROM (SELECT page_id, url, regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host, CAST(page_id // 100 AS INT) AS shard FROM pages)",
 )
 def sitemap_urls(spark, d):
     """A sitemap for each host of ``pages``, built and read back."""
@@ -49,6 +49,37 @@ def sitemap_urls(spark, d):
     return I.sitemap_locations(maps.select("host", "shard", xml.alias("xml")))
 
 
+_HOSTS = "h AS (SELECT DISTINCT regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host FROM pages), t AS (SELECT host, regexp_extract(host, '[^.]*$') AS tld FROM h)"
+
+
+@query(
+    "sitemap_expand",
+    f"""WITH RECURSIVE {_HOSTS}, edges AS (
+  SELECT 'http://all/index.xml' AS parent, 'http://all/' || tld || '.xml' AS child, row_number() OVER (ORDER BY tld) AS n FROM (SELECT DISTINCT tld FROM t)
+  UNION ALL SELECT 'http://all/' || tld || '.xml', 'http://' || host || '/map', row_number() OVER (PARTITION BY tld ORDER BY host) FROM t
+  UNION ALL SELECT 'http://' || host || '/map', 'http://all/index.xml', 1 FROM t WHERE false
+), walk AS (SELECT 'http://all/index.xml' AS url, 0 AS level UNION ALL SELECT child, level + 1 FROM walk JOIN edges ON parent = url WHERE n <= 10 AND level < 2),
+p AS (SELECT 'http://' || regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1) || '/map' AS sitemap, trim(url) AS url FROM pages)
+SELECT DISTINCT p.url, level FROM p JOIN walk w ON w.url = p.sitemap""",
+)
+def sitemap_expand(spark, d):
+    """Pages under an index of indexes: one for each domain ending, which lists a sitemap for each of its hosts and the first index again."""
+    host = F.parse_url("url", F.lit("HOST"))
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pages = table(spark, d, "pages").select("page_id", host.alias("host"), escaped.alias("loc"))
+    wrap = lambda tag, inner: F.concat(F.lit(f"<{tag}>"), inner, F.lit(f"</{tag}>"))
+    listed = lambda tag, rows: wrap("urlset" if tag == "url" else "sitemapindex", F.array_join(F.transform(rows, lambda x: F.concat(F.lit(f"<{tag}><loc>"), x, F.lit(f"</loc></{tag}>"))), ""))
+    urls = pages.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "loc"))), lambda x: x["loc"]).alias("l"))
+    maps = urls.select(F.concat(F.lit("http://"), "host", F.lit("/map")).alias("url"), listed("url", F.col("l")).alias("xml"))
+    hosts = urls.select("host", F.regexp_extract("host", "[^.]*$", 0).alias("tld")).groupBy("tld").agg(F.array_sort(F.collect_list("host")).alias("l"))
+    of_tld = F.concat(F.lit("http://all/"), "tld", F.lit(".xml"))
+    cyclic = F.array_append(F.transform("l", lambda x: F.concat(F.lit("http://"), x, F.lit("/map"))), F.lit("http://all/index.xml"))
+    maps = maps.unionByName(hosts.select(of_tld.alias("url"), listed("sitemap", cyclic).alias("xml")))
+    top = hosts.agg(F.array_sort(F.collect_list(of_tld)).alias("l")).select(F.lit("http://all/index.xml").alias("url"), listed("sitemap", F.col("l")).alias("xml"))
+    roots = spark.createDataFrame([("http://all/index.xml",)], "root string")
+    return I.expand_sitemaps(roots, maps.unionByName(top), depth=2).select("url", "level")
+
+
 @query(
     "select_urls",
     rf"""WITH u AS (SELECT page_id AS pos, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS url FROM pages),

@@ -14,14 +14,15 @@ from lodestone.operators import context as X
 from lodestone.operators import observability as O
 from lodestone.operators import registry as G
 from lodestone.operators import retrieval as R
-from lodestone.operators.slots import embed, rewritten
+from lodestone.operators.slots import cached_vectors, embed, embed_with_status, hashed_vectors, rewritten
 from lodestone.plans import retrieval_queries as Q
 from lodestone.plans.common import BLOCKS, HASH, KIND, MD, lit, markdown_docs, query, sql_tokens, sql_word_count, table
 from lodestone.sources.golden import parse_eval_queries
 from lodestone.sources.ingest import pages_to_documents
 from lodestone.sources.segments import Segments
+from lodestone.sources.sinks import markdown_table, read_run, write_run
 from lodestone.sources.store import new_folder
-from lodestone.streaming.ingest import block_counts, chunk_store, ingest_batch, job_progress, stream_ingest, stream_progress
+from lodestone.streaming.ingest import block_counts, chunk_store, ingest_batch, job_progress, progress_table, stream_ingest, stream_progress
 
 # -- chunking -------------------------------------------------------------------------------------------------------
 _LINES = f"lines AS (SELECT doc_id, content, idx - 1 AS idx, {sql_tokens('content')} AS tokens FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -532,4 +533,61 @@ def vector_log(spark, d):
 def stream_job_progress(spark, d):
     target, mark = new_folder(spark, "progress"), new_folder(spark, "mark")
     stream_progress(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema, target, mark, as_job_events).awaitTermination()
-    return spark.read.parquet(target)
+    return progress_table(spark, target)
+
+
+@query(
+    "embed_failures",
+    "SELECT source, count(*) AS n, count(*) FILTER (contains(text, '@')) AS failed, CASE WHEN count(*) FILTER (contains(text, '@')) = 0 THEN 'complete' ELSE 'partial_success' END AS status, coalesce(max(CASE WHEN contains(text, '@') THEN 3 END), 0) AS most_attempts FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]') GROUP BY source",
+)
+def embed_failures(spark, d):
+    """An encoder that refuses any batch with an address in it: only the texts that hold one are left out."""
+
+    def picky(texts):
+        if any("@" in t for t in texts):
+            raise ValueError("address")
+        return hashed_vectors(texts)
+
+    done = embed_with_status(table(spark, d, "documents").where(F.col("text").rlike(r"[^ \t\n\r]")), picky)
+    failed = F.col("embedding").isNull()
+    attempts = F.coalesce(F.max(F.when(failed, F.col("embedding_status.attempts"))), F.lit(0))
+    return done.groupBy("source").agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"), F.when(F.bool_or(failed), "partial_success").otherwise("complete").alias("status"), attempts.alias("most_attempts"))
+
+
+_KEYS = "k AS (SELECT *, md5(lower(trim(text))) AS key, conv_id * 100 + turn AS id FROM conversations WHERE text IS NOT NULL)"
+
+
+@query(
+    "query_vector_cache",
+    f"""WITH {_KEYS}, {Q._vectors_sql("kv", "key", "(SELECT DISTINCT md5(lower(trim(text))) AS key, lower(trim(text)) AS text FROM conversations WHERE text IS NOT NULL)")},
+one AS (SELECT key, min(id) AS place FROM k WHERE role = 'user' GROUP BY key), held AS (SELECT key FROM one ORDER BY place DESC, key LIMIT 500)
+SELECT role, key, count(*) AS n, role <> 'user' AND key IN (SELECT key FROM held) AS hit, CASE WHEN regexp_matches(any_value(text), '[^ \t\n\r]') THEN md5(array_to_string(list_transform(coalesce(any_value(v), list_transform(range(64), lambda x: 0.0)), lambda x: CAST(x AS INT)), ',')) END AS digest
+FROM k LEFT JOIN kv ON kv.id = key GROUP BY role, key""",
+)
+def query_vector_cache(spark, d):
+    """Users' turns as a first batch of queries, the others as a second one: what the cache has, and the vectors."""
+    cache = Segments(new_folder(spark, "query-vectors"), ("key",))
+    turns = table(spark, d, "conversations").where("text is not null").select("role", "text", (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"))
+    done = cached_vectors(turns.where("role = 'user'"), cache).unionByName(cached_vectors(turns.where("role <> 'user'"), cache))
+    digest = F.md5(F.array_join(F.transform("embedding", lambda x: x.cast("int")), ","))
+    return done.groupBy("role", "key").agg(F.count("*").alias("n"), F.bool_or("hit").alias("hit"), F.max(digest).alias("digest"))
+
+
+@query(
+    "report_run",
+    """SELECT 'metrics' AS report, lang AS name, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang
+UNION ALL SELECT 'failures', source, count(*), 0 FROM documents WHERE length(trim(text)) < 50 GROUP BY source
+UNION ALL SELECT 'manifest', 'metrics', count(DISTINCT lang), 0 FROM documents
+UNION ALL SELECT 'manifest', 'failures', count(DISTINCT source), 0 FROM documents WHERE length(trim(text)) < 50
+UNION ALL SELECT 'manifest', 'summary', count(DISTINCT lang) + 4, 0 FROM documents""",
+)
+def report_run(spark, d):
+    """A run's reports written and read back: sizes by language, texts too short to use, and the manifest."""
+    docs, folder = table(spark, d, "documents"), new_folder(spark, "reports")
+    metrics = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    failures = docs.where(F.length(F.trim("text")) < 50).groupBy("source").agg(F.count("*").alias("n"))
+    write_run({"metrics": metrics, "failures": failures}, markdown_table(metrics, "Sizes", "lang"), folder, "1")
+    of = lambda name: read_run(spark, folder, "1", name).withColumn("report", F.lit(name))
+    out = of("metrics").select("report", F.col("lang").alias("name"), "n", "chars")
+    out = out.unionByName(of("failures").select("report", F.col("source").alias("name"), "n", F.lit(0).cast("bigint").alias("chars")))
+    return out.unionByName(read_run(spark, folder, "1", "manifest").select(F.lit("manifest").alias("report"), F.col("report").alias("name"), F.col("n_rows").alias("n"), F.lit(0).cast("bigint").alias("chars")))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.html import markdown_with_structure
 from lodestone.functions.text import markdown_from_html, word_count
+from lodestone.sources.store import settled
 
 #: Extensions of files that aren't pages.
 SKIPPED_EXTENSIONS = ("pdf", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "zip", "tar", "gz", "xml", "json", "csv", "xlsx", "docx", "mp3", "mp4", "avi", "mov", "woff", "woff2", "ttf", "eot")
@@ -45,12 +49,59 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_name").alias("title"), F.col("value").alias("text"))
 
 
+def locations(xml: str | None) -> list[tuple[int, str, bool]]:
+    """(pos, loc, is_sitemap) of one sitemap: an index lists sitemaps, a URL set pages.
+
+    Where neither has entries, any location counts, as a sitemap if it ends in .xml or has sitemap in it. What isn't XML
+    has no locations.
+    """
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return []
+    name = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    index = "sitemapindex" in name(root).lower()
+    entry = "sitemap" if index else "url"
+    of = [next((x for x in e if name(x) == "loc"), None) for e in root.iter() if name(e) == entry]
+    found = [(x.text.strip(), index) for x in of if x is not None and (x.text or "").strip()]
+    if not found:
+        loose = [x.text.strip() for x in root.iter() if name(x) == "loc" and (x.text or "").strip()]
+        found = [(x, x.lower().endswith(".xml") or "sitemap" in x.lower()) for x in loose]
+    return [(k, loc, child) for k, (loc, child) in enumerate(found)]
+
+
 def sitemap_locations(sitemaps: DataFrame, xml: str = "xml") -> DataFrame:
-    """Other columns, ``loc`` and ``is_sitemap`` for each location of url sets and sitemap indexes, in order."""
-    child = F.col(xml).rlike(r"<(\w+:)?sitemapindex")
-    locs = sitemaps.select("*", F.posexplode(F.xpath(F.col(xml), F.lit("//*[local-name()='loc']/text()"))).alias("pos", "raw"), child.alias("__index"))
-    loc = F.trim("raw")
-    return locs.select(*[c for c in sitemaps.columns if c != xml], "pos", loc.alias("loc"), (F.col("__index") | loc.endswith(".xml")).alias("is_sitemap")).where("loc <> ''")
+    """Other columns, ``pos``, ``loc`` and ``is_sitemap`` for each location of url sets and sitemap indexes, in order."""
+
+    @F.pandas_udf("array<struct<pos: int, loc: string, is_sitemap: boolean>>")
+    def read(batch: pd.Series) -> pd.Series:
+        return pd.Series([[{"pos": k, "loc": loc, "is_sitemap": child} for k, loc, child in locations(x)] for x in batch], dtype=object)
+
+    rest = [c for c in sitemaps.columns if c != xml]
+    return sitemaps.select(*rest, F.explode(read(F.col(xml))).alias("__l")).select(*rest, "__l.*")
+
+
+def expand_sitemaps(roots: DataFrame, sitemaps: DataFrame, depth: int = 1, children: int = 10) -> DataFrame:
+    """(root, url, level, sitemap, pos): the pages that the sitemaps under each root (``root``) list, each once, where it is first met.
+
+    ``sitemaps`` (url, xml) are what was fetched; those that weren't list nothing. Level by level, the first ``children``
+    sitemaps of each index join the frontier, up to ``depth`` levels below the root; a sitemap that was visited from the
+    same root isn't again, so cycles end.
+    """
+    frontier = settled(roots.select("root").distinct().select("root", F.col("root").alias("url")))
+    visited, pages = frontier, None
+    for level in range(depth + 1):
+        listed = settled(sitemap_locations(frontier.join(sitemaps.select("url", "xml"), "url").select("root", F.col("url").alias("sitemap"), "xml")))
+        own = listed.where("not is_sitemap").select("root", F.col("loc").alias("url"), F.lit(level).alias("level"), "sitemap", "pos")
+        pages = own if pages is None else pages.unionByName(own)
+        nth = F.row_number().over(W.partitionBy("root", "sitemap").orderBy("pos"))
+        below = listed.where("is_sitemap").withColumn("__n", nth).where(F.col("__n") <= children).select("root", F.col("loc").alias("url")).distinct()
+        frontier = settled(below.join(visited, ["root", "url"], "left_anti"))
+        if level == depth or frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    first = F.min(F.struct("level", "sitemap", "pos")).alias("x")
+    return pages.groupBy("root", "url").agg(first).select("root", "url", "x.*")
 
 
 def robots_sitemaps(robots: Column) -> Column:

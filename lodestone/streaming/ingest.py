@@ -117,9 +117,50 @@ def job_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max("pct").alias("progress_pct"), F.count("*").alias("n_events"))
 
 
-def stream_progress(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Keeps the table of job progress up to date with what is new in a folder of events, and stops."""
-    stream = spark.readStream.schema(schema).parquet(source)
-    progress = job_progress(prepare(stream) if prepare else stream)
-    write = lambda df, _: df.write.mode("overwrite").parquet(target)
-    return progress.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def progress_log(target: str) -> Segments:
+    return Segments(target, ("job_id",))
+
+
+def stream_progress(spark: SparkSession, source: str, schema: str | StructType, target: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None, files_per_batch: int = 100) -> StreamingQuery:
+    """Adds what is new in a folder of events to the log of job progress at ``target``, and stops.
+
+    A batch writes one row for each job that it has events of: their number, the highest progress and the latest status
+    with its place. Such rows merge in any order, so late events need no state, a batch that comes again is known by its
+    commit, and the table is never missing. ``progress_table`` folds them; ``fold_progress`` makes one row of many.
+    """
+    log = progress_log(target)
+
+    def add(df: DataFrame, batch: int) -> None:
+        session = df.sparkSession
+        if log.has(session, checkpoint, batch):
+            return
+        events = prepare(df) if prepare else df
+        rows = events.groupBy("job_id").agg(F.max(F.struct("seq", "status")).alias("last"), F.max("pct").alias("pct"), F.count("*").alias("n"))
+        segment = log.next(session)
+        done = log.write("progress", rows, segment)
+        log.commit(session, segment, {"progress": ddl(done)}, checkpoint, batch)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folded_progress(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("job_id").agg(F.max("last").alias("last"), F.max("pct").alias("pct"), F.sum("n").alias("n"))
+
+
+def progress_table(spark: SparkSession, target: str) -> DataFrame | None:
+    """(job_id, status, progress_pct, n_events) of all jobs as they are now."""
+    rows = progress_log(target).rows(spark, "progress")
+    return None if rows is None else _folded_progress(rows).select("job_id", F.col("last.status").alias("status"), F.col("pct").alias("progress_pct"), F.col("n").alias("n_events"))
+
+
+def fold_progress(spark: SparkSession, target: str, drop: tuple[str, ...] = ()) -> None:
+    """One segment of one row a job; jobs whose latest status is in ``drop`` (such as those long finished) leave the table."""
+    log = progress_log(target)
+    rows = log.rows(spark, "progress")
+    if rows is None:
+        return
+    segment = log.next(spark)
+    log.write("progress", _folded_progress(rows).where(~F.col("last.status").isin(*drop)) if drop else _folded_progress(rows), segment)
+    log.commit(spark, segment, {}, base=segment)
+    log.vacuum(spark)
