@@ -27,8 +27,8 @@ from lodestone.llm.shared import shuffle_partitions, table
 
 SKETCH = 128
 HEX = 8
-#: Sort before all ids, and behind all heads of texts (seven bytes).
-NULL, MOST = -(1 << 70), 1 << 60
+#: Sort before all ids, and behind all hashes of texts.
+NULL, MOST = -(1 << 70), 1 << 63
 
 
 def parse(text: str, phrases: set[str] | None = None) -> tuple[set[str], str]:
@@ -92,33 +92,33 @@ def spliced_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """Fingerprints of every text, of its edited text and of the next text, and their likenesses.
 
     The edited text replaces the last third (floor) of the characters by the first as many of the next document's,
-    in descending order of id (equal ids: descending text; null ids last; after the last comes the first). One
-    shuffle of the texts: rows are dealt into ranges of about equal count, and the first row of a range also goes, as
-    a donor only, to the range before it. Ids with more rows than a range has are cut by the first bytes of their texts.
+    in descending order of id (equal ids: descending hash of the whole text; null ids last; after the last comes the
+    first). One shuffle of the texts: rows are dealt into ranges of about equal count, and the first row of a range also
+    goes, as a donor only, to the range before it. Ids with more rows than a range has are cut by the hashes of their
+    texts, so that only rows that are equal in both stay together.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("head", F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")).withColumn("hash", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     n = 6 * shuffle_partitions(spark)
     ids, total = rows.select("id"), rows.count()
     edges = [(int(e), MOST) for e in ids.where("id is not null").approxQuantile("id", [k / n for k in range(1, n)], 1 / (4 * n))] if n > 1 else []
-    # Fewer than n ids can have over an nth of all rows.
-    hot = ids.groupBy("id").count().where(F.col("count") > max(2, total // n)).select(F.col("id").alias("hot"), "count")
-    cuts = F.percentile_approx("head", F.array(*[F.lit(k / n) for k in range(1, n)])) if n > 1 else F.array()
-    for r in rows.join(F.broadcast(hot), F.col("id").eqNullSafe(F.col("hot"))).groupBy("id").agg(cuts.alias("cuts")).collect():
-        edges += [(NULL if r["id"] is None else r["id"], c) for c in r["cuts"]]
+    # Fewer than n ids can have over an nth of all rows; together they are cut n times at most, at even steps of the hash.
+    hot = ids.groupBy("id").count().where(F.col("count") > max(2, total // n)).collect()
+    for r in hot:
+        parts = -(-n * r["count"] // max(1, total))
+        edges += [(NULL if r["id"] is None else r["id"], -(1 << 63) + (k << 64) // parts) for k in range(1, parts)]
     bounds = sorted({*edges, (NULL, MOST)})
 
-    def place(i: object, head: int) -> int:
+    def place(i: object, hash_: int) -> int:
         """Ranges in descending order; null ids are last of all."""
-        return len(bounds) - bisect_left(bounds, (NULL if pd.isna(i) else int(i), int(head)))
+        return len(bounds) - bisect_left(bounds, (NULL if pd.isna(i) else int(i), int(hash_)))
 
     @F.pandas_udf("bigint")
-    def range_of(id_: pd.Series, head: pd.Series) -> pd.Series:
-        return pd.Series([place(i, h) for i, h in zip(id_.astype("Int64"), head)], dtype="int64")
+    def range_of(id_: pd.Series, hash_: pd.Series) -> pd.Series:
+        return pd.Series([place(i, h) for i, h in zip(id_.astype("Int64"), hash_)], dtype="int64")
 
-    first = F.max(F.struct(F.col("id").isNotNull(), "id", "text", "hash")).alias("x")
-    firsts = rows.withColumn("range", range_of("id", "head")).groupBy("range").agg(first).select("range", "x.id", "x.hash").orderBy("range").collect()
+    first = F.max(F.struct(F.col("id").isNotNull(), "id", "hash")).alias("x")
+    firsts = rows.select("id", "hash").withColumn("range", range_of("id", "hash")).groupBy("range").agg(first).select("range", "x.id", "x.hash").orderBy("range").collect()
     lends: dict[tuple, int] = {}
     for k, r in enumerate(firsts):
         lends[r["id"], r["hash"]] = firsts[k - 1]["range"]  # the first row of a range goes to the range before it
@@ -127,10 +127,10 @@ def spliced_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         for batch in batches:
             own = batch["id"].astype("Int64")
             names = [(None if i is pd.NA else int(i), int(h)) for i, h in zip(own, batch["hash"])]
-            yield pd.DataFrame({"bucket": [place(i, h) for i, h in zip(own, batch["head"])], "donor": False, "id": own, "text": batch["text"]})
+            yield pd.DataFrame({"bucket": [place(i, h) for i, h in zip(own, batch["hash"])], "donor": False, "id": own, "hash": batch["hash"], "text": batch["text"]})
             donor = np.array([x in lends for x in names], bool)
             if donor.any():
-                yield pd.DataFrame({"bucket": [lends[x] for x in names if x in lends], "donor": True, "id": own[donor], "text": batch["text"][donor]})
+                yield pd.DataFrame({"bucket": [lends[x] for x in names if x in lends], "donor": True, "id": own[donor], "hash": batch["hash"][donor], "text": batch["text"][donor]})
 
     def edited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now: list[tuple] = []
@@ -158,8 +158,8 @@ def spliced_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
             now.clear()
 
     schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    ranged = rows.mapInPandas(dealt, "bucket bigint, donor boolean, id bigint, text string")
-    ranged = ranged.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "donor", F.desc_nulls_last("id"), F.desc("text"))
+    ranged = rows.mapInPandas(dealt, "bucket bigint, donor boolean, id bigint, hash bigint, text string")
+    ranged = ranged.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "donor", F.desc_nulls_last("id"), F.desc("hash"))
     return ranged.mapInPandas(edited, schema).withColumnRenamed("id", id_col)
 
 

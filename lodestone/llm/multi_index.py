@@ -16,7 +16,7 @@ together, into blocks of ``QUERY_BLOCK``; a block of rows is sent to the blocks
 task scores one block of rows for one block of queries and keeps the best of each query.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the commonest
-length, take no part; nor do rows with a null id. A query isn't a candidate of its own: rows of its id are left
+length (of equally common ones the shortest), take no part; nor do rows with a null id. A query isn't a candidate of its own: rows of its id are left
 out. Queries of one id count once (the smallest vector). Ties go to the smaller id. An empty table gives an empty
 table. Other columns take no part.
 """
@@ -234,7 +234,8 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
         for s in range(0, len(right), 512):
             part = right.iloc[s : s + 512]
             q = np.stack(part["q"].to_numpy())
-            reach = index.sums(q)[:, cells] <= part["reach"].to_numpy()[:, None] + 1e-9
+            a, b = index.halves(q)
+            reach = a[:, cells // b.shape[1]] + b[:, cells % b.shape[1]] <= part["reach"].to_numpy()[:, None] + 1e-9
             parts_.append(best_of(q, part["query_id"].to_numpy(), x, left["id"].to_numpy(), reach, k))
         a, b, s_ = (np.concatenate(z) for z in zip(*parts_))
         return pd.DataFrame({"query_id": a, "id": b, "score": s_})

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -41,7 +42,9 @@ def edges():
 def test_fingerprints_with_next(spark, rows):
     got = lz.spliced_with_next(docs_of(spark, rows)).collect()
     assert len(got) == len(rows)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    # Rows of one id: by the hash of the whole text, as a signed number.
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
     want = []
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
@@ -328,3 +331,21 @@ def test_licences_of_the_query(spark, tmp_path):
         assert got[i]["spans"] == " ".join(f"{a}:{b}:{c}" for a, b, c, _ in found)
         assert got[i]["licence"] in (known or (["unknown"] if found else ["none"]))
     assert [got[i]["licence"] for i in (1, 2, 3, 4, 6)] == ["mit", "none", "none", "unknown", "none"] and got[5]["families"] == "cc-by,proprietary"
+
+
+def test_hot_ids_with_equal_beginnings_are_dealt_out(spark):
+    """4,000 rows of a null id whose texts begin alike, and a hot id: no task takes them all, and each has a next one."""
+    from pyspark.sql import functions as F
+
+    texts = [f"the same beginning of all {k} " + "x" * (k % 50) for k in range(4_000)]
+    docs = docs_of(spark, [(None, t) for t in texts] + [(9, t) for t in texts[:2_000]])
+    got = lz.spliced_with_next(docs)
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 6_000 and len(sizes) >= 4 and max(sizes) < 3_000
+    rows = got.collect()
+    assert sorted(r["n_chars"] for r in rows) == sorted(len(t) for t in texts + texts[:2_000])
+    hashes = {r["h"]: r["text"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, own in ((9, texts[:2_000]), (None, texts)):
+        order = [hashes[h] for h in sorted((h for h, t in hashes.items() if t in set(own)), reverse=True)]
+        edited = {hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest() for t, n in zip(order, order[1:])}
+        assert edited <= {r["edited_sha256"] for r in rows if r["doc_id"] == i}
