@@ -125,10 +125,22 @@ def ingestion_audit(spark, d):
     return j.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("text_c").alias("text_chunks"), F.sum("text_t").alias("tokens"))
 
 
-@query("sentence_pack")
+def _groups_sql(parts: str, most: int, joint: str) -> str:
+    """Greedy groups of a list of texts, of at most ``most`` characters unless one alone is longer, as a fold."""
+    state = f"list_transform({parts}, lambda part_: {{'done': []::VARCHAR[], 'now': part_}})"
+    fits = f"length(a['now']) + 1 + length(b['now']) <= {most}"
+    fold = f"list_reduce({state}, lambda a, b: CASE WHEN {fits} THEN {{'done': a['done'], 'now': a['now'] || {joint} || b['now']}} ELSE {{'done': list_append(a['done'], a['now']), 'now': b['now']}} END)"
+    return f"CASE WHEN len({parts}) = 0 THEN []::VARCHAR[] ELSE list_append(({fold})['done'], ({fold})['now']) END"
+
+
+def _sentences_sql(expr: str) -> str:
+    return f"list_filter(string_split(regexp_replace({expr}, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda part_: trim(part_) <> '')"
+
+
+@query("sentence_pack", f"WITH s AS (SELECT doc_id, {_sentences_sql('text')} AS parts FROM documents), g AS (SELECT doc_id, {_groups_sql('parts', 400, chr(39) + ' ' + chr(39))} AS l FROM s) SELECT doc_id, unnest(l) AS piece, CAST(generate_subscripts(l, 1) - 1 AS INT) AS idx FROM g")
 def sentence_pack(spark, d):
-    parts = K.sentence_groups(K.sentences(F.col("text")), 400)
-    return table(spark, d, "documents").select("doc_id", F.size(parts).alias("n"), F.array_max(F.transform(parts, lambda x: F.length(x))).alias("longest"))
+    """Sentences of the documents, packed to 400 characters."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(K.sentence_groups(K.sentences(F.col("text")), 400)).alias("idx", "piece"))
 
 
 @query("merge_tiny_chunks")
@@ -464,11 +476,18 @@ def load_eval_queries(spark, d):
     return found.withColumns({c: F.array_join(c, ",") for c in ("acceptable_documents", "acceptable_headings")})
 
 
-@query("split_oversize")
+_OVERSIZE = f"""WITH d AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS parts FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, text, CASE WHEN length(text) > 5000 AND NOT starts_with(text, '#') AND NOT starts_with(text, '```') THEN {_groups_sql('parts', 3000, 'chr(10)')} ELSE [text] END AS l FROM d)),
+s AS (SELECT doc_id, i, piece, length(text) > 5000 AND length(piece) > 4000 AS long, {_sentences_sql('piece')} AS parts FROM l),
+p AS (SELECT doc_id, i, unnest(g) AS content, generate_subscripts(g, 1) AS j FROM (SELECT doc_id, i, CASE WHEN long THEN {_groups_sql('parts', 4000, chr(39) + ' ' + chr(39))} ELSE [piece] END AS g FROM s))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INT) AS idx, content FROM p"""
+
+
+@query("split_oversize", _OVERSIZE)
 def split_oversize(spark, d):
-    """Whole documents as one block each, cut at lines and sentences."""
-    rows = table(spark, d, "documents").select("doc_id", F.lit(0).alias("idx"), F.col("text").alias("content"), F.lit("text").alias("kind"))
-    return K.split_oversize(rows).select("doc_id", "idx", F.length("content").alias("chars"))
+    """Whole documents as one block each, cut at lines and sentences, in the row."""
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(K.cut_blocks(F.array("text"))).alias("idx", "content"))
 
 
 def _page_documents(pages):
