@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import link_texts, normalised_hash, word_count, words
+from lodestone.sources.store import settled
 
 _HELD = "\x01"
 
@@ -52,7 +53,7 @@ def block_metrics(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
     own = words(F.col("content"))
     texts = link_texts(F.col("content"))
     n = F.count("*").over(W.partitionBy(doc))
-    with_words = blocks.withColumns({"__w": own, "__l": texts, "block_type": block_type(F.col("content")), "block_hash": normalised_hash(F.col("content"))})
+    with_words = blocks.withColumns({"__w": own, "__l": texts, "block_type": block_type(F.col("content"))} | ({} if "block_hash" in blocks.columns else {"block_hash": normalised_hash(F.col("content"))}))
     letters = F.aggregate("__l", F.lit(0), lambda a, x: a + F.length(x))
     return with_words.withColumns(
         {
@@ -169,8 +170,9 @@ def clean(docs: DataFrame, doc: str = "doc_id", markdown: str = "markdown", know
     Frequencies of rare blocks, which change nothing, read 0. Blocks in over a tenth of all documents are fewer than ten
     times the distinct blocks of a mean document, so they are sent to every task and no content is shuffled by hash.
     """
-    blocks = parse_blocks(docs, doc, markdown)
-    counts = document_counts(blocks.select(doc, normalised_hash(F.col("content")).alias("block_hash")), doc)
+    # Blocks are written once: markdown is often made by many expressions, which two readers would each compute.
+    blocks = settled(parse_blocks(docs, doc, markdown).withColumn("block_hash", normalised_hash(F.col("content"))), "blocks")
+    counts = document_counts(blocks, doc)
     common = frequencies(counts if known is None else counts.unionByName(known.select("block_hash", "n"))).where(F.col("df") > RARE)
     metrics = block_metrics(blocks, doc).join(F.broadcast(common), "block_hash", "left").withColumn("df", F.coalesce("df", F.lit(0.0)))
     return removal(boilerplate_score(metrics, doc))

@@ -4,7 +4,7 @@ On disk, below one folder, each update adds a segment:
 
 * ``postings``: (term, item, tenant, tf, dl, positions, block), partitioned by a hash of the term and sorted by term
   within files, so that a search opens the partitions of its terms and skips row groups within them;
-* ``blocks``: (term, block, tenant, n, max_tf, min_dl), the dictionary: a block is some 256 items of a segment. It bounds
+* ``blocks``: (term, block, tenant, n, max_tf, min_dl), the dictionary: a block is some 256 items of a tenant. It bounds
   what the term can add to the score of any item of the block, and counts the term's items. Replaced and deleted items
   subtract themselves by rows of negative ``n``, so counts are exact without looking at postings;
 * ``items``: (item, tenant, dl, terms, block): what an item must subtract when it goes;
@@ -44,6 +44,8 @@ BLOCKS = "term string, block int, tenant string, n bigint, max_tf int, min_dl in
 ITEMS = "item {item}, tenant string, dl int, terms array<string>, block int"
 COMMITS = "segment int, base int, items bigint, words bigint, gone bigint"
 EPS = 1e-6
+#: Pairs of a query's clause and a candidate that are sent to every task, some 30 MB.
+MOST_PAIRS = 300_000
 
 
 @dataclass(frozen=True)
@@ -139,12 +141,11 @@ class KeywordIndex:
         if not commits:
             return
         segment = 1 + commits[-1]["segment"]
-        n = max(1, -(-sum(r["items"] for r in commits) // BLOCK_ITEMS))
-        block = F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")
-        postings = self.postings(spark).drop("segment").withColumn("block", block)
-        items = self.items(spark).drop("segment").withColumn("block", block)
-        self._write_postings(postings, segment)
-        self._to(items, "items", segment)
+        n = sum(r["items"] for r in commits)
+        items = self.items(spark).drop("segment", "block")
+        of_tenants = items.select("item", "tenant")
+        self._write_postings(_in_blocks(self.postings(spark).drop("segment", "block"), n, of_tenants).select(*_names(POSTINGS)), segment)
+        self._to(_in_blocks(items, n, of_tenants), "items", segment)
         self._to(_blocks(self._read(spark, "postings", POSTINGS, [segment])), "blocks", segment)
         self._commit(spark, segment, segment, sum(r["items"] for r in commits), sum(r["words"] for r in commits), 0)
 
@@ -173,8 +174,7 @@ class KeywordIndex:
         from lodestone.sources.store import remove
 
         sums = own.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
-        block = F.pmod(F.xxhash64("item"), F.lit(max(1, -(-sums["items"] // BLOCK_ITEMS)))).cast("int")
-        placed = own.withColumns({"dl": F.size("words"), "block": block})
+        placed = _in_blocks(own.withColumn("dl", F.size("words")), sums["items"])
         each = placed.select("item", "tenant", "dl", "block", F.posexplode("words").alias("at", "term"))
         counted = each.groupBy("term", "item", "tenant", "dl", "block").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
         self._write_postings(counted.select("term", "item", "tenant", "tf", "dl", "positions", "block", _bucket(F.col("term")).alias("bucket")), segment)
@@ -226,6 +226,24 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+#: Tenants whose sizes are sent to every task; with more of them blocks are cut by items alone.
+MOST_TENANTS = 100_000
+
+
+def _in_blocks(rows: DataFrame, n: int, items: DataFrame | None = None) -> DataFrame:
+    """``rows`` (item, tenant, ...) with a block, of about ``BLOCK_ITEMS`` items of one tenant; ``n`` items in all."""
+    sizes = settled((rows if items is None else items).groupBy(F.col("tenant").alias("__tenant")).agg(F.ceil(F.count("*") / BLOCK_ITEMS).cast("int").alias("__blocks")))
+    hash_ = F.xxhash64("item")
+    if sizes.count() > MOST_TENANTS:
+        return rows.withColumn("block", F.pmod(hash_, F.lit(max(1, -(-n // BLOCK_ITEMS)))).cast("int"))
+    dealt = rows.join(F.broadcast(sizes), F.col("tenant").eqNullSafe(F.col("__tenant")))
+    return dealt.withColumn("block", F.pmod(hash_, F.col("__blocks")).cast("int")).drop("__tenant", "__blocks")
+
+
 def _blocks(postings: DataFrame) -> DataFrame:
     bounds = postings.groupBy("term", "block", "tenant").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
     return bounds.select("term", "block", "tenant", "n", "max_tf", "min_dl")
@@ -273,8 +291,10 @@ class _Search:
 
     def scored(self, candidates: DataFrame) -> DataFrame:
         """(query_id, item, score, n_matched) of candidates (query_id, item): only their own postings meet."""
-        pairs = candidates.join(self.asked.select("query_id", "clause", "idf"), "query_id")
-        sums = pairs.join(self.hits, ["clause", "item"]).groupBy("query_id", "item")
+        pairs = settled(candidates.join(self.asked.select("query_id", "clause", "idf"), "query_id"))
+        # Few pairs go to the postings; many meet them in a shuffle.
+        pairs = F.broadcast(pairs) if pairs.count() <= MOST_PAIRS else pairs
+        sums = self.hits.join(pairs, ["clause", "item"]).groupBy("query_id", "item")
         return sums.agg(F.round(F.sum(self.part("tf", "dl")), 9).alias("score"), F.count("*").alias("n_matched"))
 
     def every(self) -> DataFrame:
@@ -286,31 +306,50 @@ class _Search:
         full = self.scored(candidates).join(first.select("query_id", "n_clauses"), "query_id").where("n_matched = n_clauses")
         return settled(top_k(full, self.k, item="item").select("query_id", "rank", "item", "score"))
 
-    def candidates(self, rest: DataFrame) -> DataFrame:
-        """(query_id, item): the items that may be among the best ``k`` of the queries in ``rest`` (query_id, clause)."""
+    def needed(self, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For the queries in ``rest`` (query_id, clause): the clauses that an item can't do without, and the blocks that may hold one of the best ``k``."""
         asked = self.asked.join(rest.select("query_id", "clause"), ["query_id", "clause"], "left_semi").where("n > 0")
-        # A score that the k-th best reaches: that of the items which the rarest clauses find.
+        # A score that the k-th best reaches: what the rarest clauses alone give the items that they find.
         before = F.sum("n").over(W.partitionBy("query_id").orderBy("n", "clause").rowsBetween(W.unboundedPreceding, -1))
         seeds = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * self.k)
         partial = self.met(seeds).groupBy("query_id", "item").agg(F.sum(self.part("tf", "dl")).alias("score"))
-        best = self.scored(top_k(partial, 4 * self.k, item="item").select("query_id", "item"))
         kth = F.max(F.when(F.col("rank") == self.k, F.col("score")))
-        least = top_k(best, self.k, item="item").groupBy("query_id").agg(F.coalesce(kth, F.lit(0.0)).alias("least"))
-        # What a block's items can reach, and which clauses an item can't do without.
-        bound = self.part("max_tf", "min_dl")
+        least = settled(top_k(partial, self.k, item="item").groupBy("query_id").agg(F.coalesce(kth, F.lit(0.0)).alias("least")))
         seen = asked.join(self.blocks, "clause").where(F.col("__tenant").isNull() | (F.col("__tenant") == F.col("tenant")))
-        bounds = seen.select("query_id", "clause", "segment", "block", bound.alias("bound")).groupBy("query_id", "segment", "block", "clause").agg(F.max("bound").alias("bound"))
-        reach = bounds.groupBy("query_id", "segment", "block").agg(F.sum("bound").alias("reach"))
-        alive = reach.join(least, "query_id", "left").where(F.col("reach") + EPS >= F.coalesce("least", F.lit(0.0))).select("query_id", "segment", "block")
+        bound = self.part("max_tf", "min_dl")
+        bounds = seen.select("query_id", "clause", F.coalesce("tenant", F.lit("")).alias("of"), "segment", "block", bound.alias("bound")).groupBy("query_id", "of", "segment", "block", "clause").agg(F.max("bound").alias("bound"))
+        reach = bounds.groupBy("query_id", "of", "segment", "block").agg(F.sum("bound").alias("reach"))
+        reaches = lambda of: F.col(of) + EPS >= F.coalesce("least", F.lit(0.0))
+        alive = reach.join(least, "query_id", "left").where(reaches("reach")).select("query_id", "of", "segment", "block")
         most = bounds.groupBy("query_id", "clause").agg(F.max("bound").alias("most")).join(least, "query_id", "left")
         upto = F.sum("most").over(W.partitionBy("query_id").orderBy("most", "clause"))
-        needed = most.withColumn("upto", upto).where(F.col("upto") + EPS >= F.coalesce("least", F.lit(0.0))).select("query_id", "clause")
-        found = self.met(asked.join(needed, ["query_id", "clause"], "left_semi"))
-        return found.join(alive, ["query_id", "segment", "block"], "left_semi").select("query_id", "item").distinct()
+        return settled(most.withColumn("upto", upto).where(reaches("upto")).select("query_id", "clause")), alive
+
+    def candidates(self, rest: DataFrame) -> DataFrame:
+        """(query_id, item): the items that may be among the best ``k`` of the queries in ``rest`` (query_id, clause)."""
+        return self._candidates(*self.needed(rest))
+
+    def _candidates(self, needed: DataFrame, alive: DataFrame) -> DataFrame:
+        return self._alive(self.met(self.asked.join(needed, ["query_id", "clause"], "left_semi")), alive).select("query_id", "item").distinct()
+
+    @staticmethod
+    def _alive(met: DataFrame, alive: DataFrame) -> DataFrame:
+        return met.withColumn("of", F.coalesce("tenant", F.lit(""))).join(alive, ["query_id", "of", "segment", "block"], "left_semi")
 
     def some(self, rest: DataFrame) -> DataFrame:
-        """The best items with some clause."""
-        return top_k(self.scored(self.candidates(rest)), self.k, item="item").select("query_id", "rank", "item", "score")
+        """The best items with some clause.
+
+        Looking up each candidate's clauses pays where few items hold a needed clause; a query whose needed clauses are
+        in so many items that this is more than all its postings is scored from those, in the blocks that are left.
+        """
+        needed, alive = self.needed(rest)
+        cost = self.asked.join(needed.withColumn("needed", F.lit(True)), ["query_id", "clause"], "left").where("n > 0").groupBy("query_id")
+        cost = cost.agg(F.sum("n").alias("all"), (F.sum(F.when(F.col("needed"), F.col("n"))) * F.count("*")).alias("looked_up"))
+        many = settled(cost.where("looked_up >= all").select("query_id"))
+        of_many = self.met(self.asked.join(rest.select("query_id").distinct(), "query_id", "left_semi").join(many, "query_id", "left_semi"))
+        direct = self._alive(of_many, alive).groupBy("query_id", "item").agg(F.round(F.sum(self.part("tf", "dl")), 9).alias("score"))
+        looked_up = self.scored(self._candidates(needed.join(many, "query_id", "left_anti"), alive)).drop("n_matched")
+        return top_k(direct.unionByName(looked_up), self.k, item="item").select("query_id", "rank", "item", "score")
 
 
 def _phrase_hits(phrases: DataFrame, hits: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import WORD
+from lodestone.sources.store import settled
 
 K1, B, IDF_FLOOR, RRF = 1.2, 0.75, 1e-6, 60
 
@@ -101,34 +102,41 @@ MOST_TERMS = 2_000_000
 def bm25(terms: DataFrame, docs: DataFrame, item: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, item, score, n_matched, n_terms): BM25 of every document that holds a query term.
 
-    Only the query terms' postings are counted: documents' words meet the distinct terms where they are read, and
-    are counted by document before anything is shuffled by term. Statistics are over all documents. Terms and texts
-    that were stemmed alike (``slots.stemmed``) are matched by their stems.
+    For one batch of queries over texts that have no index. Only the query terms' postings are counted: documents' words
+    meet the distinct terms where they are read, are counted by document before anything is shuffled, and are written
+    once, with the documents' lengths. Statistics are over all documents. Terms and texts that were stemmed alike
+    (``slots.stemmed``) are matched by their stems.
     """
-    length = F.size(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))
-    sizes = docs.select(item, length.alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
+    stats = docs.select(F.size(found).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
     if wanted.count() <= MOST_TERMS:
         wanted = F.broadcast(wanted)
-    words = docs.select(item, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("term"))
-    # Lengths join the counted hits: carried through the explode they would be computed anew for every word.
-    hits = words.join(wanted, "term", "left_semi").groupBy("term", item).agg(F.count("*").alias("tf"))
+    words = docs.select(item, found.alias("w")).withColumn("dl", F.size("w")).select(item, "dl", F.explode("w").alias("term"))
+    hits = settled(words.join(wanted, "term", "left_semi").groupBy("term", item, "dl").agg(F.count("*").alias("tf")), "hits")
     n = hits.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     weights = n.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl")
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+    asked = settled(terms.join(weights, "term").join(counts, "query_id"), "asked")
+    if asked.count() <= MOST_TERMS:
+        asked = F.broadcast(asked)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = terms.join(weights, "term").join(hits, "term").join(sizes, item).groupBy("query_id", item).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("n_matched"))
-    return met.join(counts, "query_id")
+    sums = hits.join(asked, "term").groupBy("query_id", item)
+    return sums.agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("n_matched"), F.first("n_terms").alias("n_terms"))
 
 
 def bm25_search(scored: DataFrame, k: int = 5, item: str = "chunk_id") -> DataFrame:
-    """Documents that hold all terms; for queries without any, those that hold some (fallback_used)."""
+    """Documents that hold all terms; for queries without any, those that hold some (fallback_used).
+
+    Documents with all terms are ranked before the others, so that tasks keep ``k`` rows of each query before a shuffle;
+    where the first has all terms, those that don't leave.
+    """
     every = F.col("n_matched") == F.col("n_terms")
-    has_all = F.max(every).over(W.partitionBy("query_id"))
-    chosen = scored.withColumn("fallback_used", ~has_all).where(every | F.col("fallback_used"))
-    return top_k(chosen, k, item=item).where("score > 0").select("query_id", "rank", item, "score", "fallback_used")
+    own = W.partitionBy("query_id")
+    ranked = scored.withColumn("__every", every).withColumn("rank", F.row_number().over(own.orderBy(F.desc("__every"), F.desc("score"), item))).where(F.col("rank") <= k)
+    chosen = ranked.withColumn("fallback_used", ~F.max("__every").over(own)).where(F.col("__every") | F.col("fallback_used"))
+    return chosen.where("score > 0").select("query_id", "rank", item, "score", "fallback_used")
 
 
 # -- fusion and reranking -------------------------------------------------------------------------------------------
