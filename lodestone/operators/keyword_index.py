@@ -78,9 +78,9 @@ class KeywordIndex:
         dead = dead.groupBy(F.col("item").alias("__dead")).agg(F.max("segment").alias("__since"))
         return rows.join(dead, (F.col("item") == F.col("__dead")) & (F.col("segment") < F.col("__since")), "left_anti")
 
-    def postings(self, spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
+    def postings(self, spark: SparkSession, wanted: DataFrame | None = None, commits: list | None = None) -> DataFrame:
         """Live postings; of the terms of ``wanted`` (term) only, where given."""
-        commits = self.commits(spark)
+        commits = self.commits(spark) if commits is None else commits
         rows = self._read(spark, "postings", POSTINGS, [r["segment"] for r in commits])
         if wanted is not None:
             wanted = wanted.select("term").distinct()
@@ -88,13 +88,13 @@ class KeywordIndex:
             rows = rows.where(F.col("bucket").isin(of["buckets"])).join(F.broadcast(wanted) if of["n"] <= MOST_TERMS else wanted, "term", "left_semi")
         return self._live(spark, rows, commits)
 
-    def items(self, spark: SparkSession) -> DataFrame:
-        commits = self.commits(spark)
+    def items(self, spark: SparkSession, commits: list | None = None) -> DataFrame:
+        commits = self.commits(spark) if commits is None else commits
         return self._live(spark, self._read(spark, "items", ITEMS, [r["segment"] for r in commits]), commits)
 
-    def dictionary(self, spark: SparkSession) -> DataFrame:
+    def dictionary(self, spark: SparkSession, commits: list | None = None) -> DataFrame:
         """Blocks of all segments; of one (term, segment, block, tenant) only the sum of ``n`` tells how many items are left."""
-        return self._read(spark, "blocks", BLOCKS, [r["segment"] for r in self.commits(spark)])
+        return self._read(spark, "blocks", BLOCKS, [r["segment"] for r in (self.commits(spark) if commits is None else commits)])
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(term, df, cf): in how many live items each term stands, and how often."""
@@ -132,7 +132,7 @@ class KeywordIndex:
         leaving = own.select("item")
         if gone is not None:
             leaving = leaving.unionByName(gone.select(F.col(item).cast(self.item).alias("item")).where("item is not null")).distinct()
-        old = self.items(spark).join(leaving, "item", "left_semi") if commits else None
+        old = self.items(spark, commits).join(leaving, "item", "left_semi") if commits else None
         self._write(spark, own, old, segment, commits[0]["base"] if commits else segment)
 
     def compact(self, spark: SparkSession) -> None:
@@ -142,9 +142,9 @@ class KeywordIndex:
             return
         segment = 1 + commits[-1]["segment"]
         n = sum(r["items"] for r in commits)
-        items = self.items(spark).drop("segment", "block")
+        items = self.items(spark, commits).drop("segment", "block")
         of_tenants = items.select("item", "tenant")
-        self._write_postings(_in_blocks(self.postings(spark).drop("segment", "block"), n, of_tenants).select(*_names(POSTINGS)), segment)
+        self._write_postings(_in_blocks(self.postings(spark, commits=commits).drop("segment", "block"), n, of_tenants).select(*_names(POSTINGS)), segment)
         self._to(_in_blocks(items, n, of_tenants), "items", segment)
         self._to(_blocks(self._read(spark, "postings", POSTINGS, [segment])), "blocks", segment)
         self._commit(spark, segment, segment, sum(r["items"] for r in commits), sum(r["words"] for r in commits), 0)
@@ -215,7 +215,7 @@ class KeywordIndex:
             queries = queries.withColumn("__tenant", F.lit(None).cast("string"))
         clauses = clauses_of(queries, phrases, keep=("__tenant",))
         clauses = settled(clauses.withColumn("words", self.stemmed(F.col("words"))).withColumn("clause", F.array_join("words", " ")).dropDuplicates(["query_id", "clause"]))
-        found = _Search(self, spark, clauses, total, sum(r["words"] for r in commits) / total, k, phrases)
+        found = _Search(self, spark, clauses, commits, k, phrases)
         every = found.every()
         some = found.some(clauses.join(every.select("query_id").distinct(), "query_id", "left_anti"))
         both = every.withColumn("fallback_used", F.lit(False)).unionByName(some.withColumn("fallback_used", F.lit(True)))
@@ -260,13 +260,14 @@ def clauses_of(queries: DataFrame, phrases: bool = True, text: str = "text", kee
 class _Search:
     """One batch of queries over an index. ``clauses``: (query_id, __tenant, words, clause)."""
 
-    def __init__(self, index: KeywordIndex, spark: SparkSession, clauses: DataFrame, total: int, mean: float, k: int, phrases: bool) -> None:
-        self.clauses, self.k, self.total, self.mean = clauses, k, total, mean
+    def __init__(self, index: KeywordIndex, spark: SparkSession, clauses: DataFrame, commits: list, k: int, phrases: bool) -> None:
+        total = sum(r["items"] for r in commits)
+        self.clauses, self.k, self.mean = clauses, k, sum(r["words"] for r in commits) / total
         distinct = clauses.select("clause", "words").distinct()
         single, several = distinct.where(F.size("words") == 1), distinct.where(F.size("words") > 1)
         wanted = clauses.select(F.explode("words").alias("term")).distinct()
-        hits = index.postings(spark, wanted)
-        blocks = index.dictionary(spark).join(wanted, "term", "left_semi").withColumnRenamed("term", "clause")
+        hits = index.postings(spark, wanted, commits)
+        blocks = index.dictionary(spark, commits).join(wanted, "term", "left_semi").withColumnRenamed("term", "clause")
         phrases = phrases and not several.isEmpty()
         own = hits.join(single.select(F.col("clause").alias("term")), "term", "left_semi") if phrases else hits
         self.hits = own.select(F.col("term").alias("clause"), "item", "tenant", "tf", "dl", "segment", "block")
