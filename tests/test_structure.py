@@ -1,8 +1,12 @@
 """Markdown with structure, and the fold of a document's blocks."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import html as H
 from lodestone.functions.html import markdown_with_structure, structured_markdown
 from lodestone.operators import chunking as K
 
@@ -110,3 +114,29 @@ def test_long_blocks_are_cut_in_the_row(spark):
     got, rows = folded(spark, "short\n\n" + "\n".join([line] * 4) + "\n\n```\n" + "x" * 6_000 + "\n```", split=True)
     assert [k for _, k, _, _ in got][0] == "text" and got[-1][1] == "code" and len(got) > 3
     assert all(len(r["content"]) <= 4_000 for r in rows if r["kind"] == "text") and len(rows[-1]["content"]) > 6_000
+
+
+def test_plain_pages_are_split_at_their_tags(monkeypatch):
+    """Pages of plain tags don't go through the parser, and give what it gives; the others do."""
+    rng, plain, read = random.Random(3), 0, H._Writer.feed
+    fed: list[str] = []
+    monkeypatch.setattr(H._Writer, "feed", lambda self, html: (fed.append(html), read(self, html))[1])
+    names = ["p", "h2", "table", "tr", "td", "th", "b", "code", "a", "pre", "ul", "ol", "li", "br", "hr", "style", "title", "textarea", "span", "noscript"]
+    for _ in range(4_000):
+        bits = []
+        for _ in range(rng.randint(1, 20)):
+            n = rng.choice(names)
+            tag = [f"<{n}>", f"<{n} class='language-py'>", f'<{n} href="/x&amp;y">', f"<{n}/>", f"</{n}>", f"</{n}>", f"</{n}>", "<!-- <b> -->", "a < b"]
+            bits.append(rng.choices(tag, [9, 1, 1, 1, 3, 3, 3, 0.1, 0.1])[0] + rng.choice(["", "x", " a\nb ", "&lt;p|"]))
+        html = rng.choice(["", "<table>"]) + "".join(bits)
+        before = len(fed)
+        got = structured_markdown(html)
+        plain += len(fed) == before
+        whole = H._Writer()
+        read(whole, html)
+        whole.close()
+        assert got == whole.markdown(), html
+    assert 400 < plain < 4_000
+    fed.clear()
+    structured_markdown("<h1>t</h1>" + TABLE)
+    assert not fed
