@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.html import markdown_with_structure
 from lodestone.functions.text import token_estimate
 from lodestone.operators import chunking as K
+from lodestone.operators.cleaning import block_array
 from lodestone.plans.common import query, sql_tokens, table
 
 
@@ -74,7 +75,7 @@ SELECT doc_id, CAST(sec_idx AS INT) AS sec_idx, tokens, CASE WHEN has_table OR h
 )
 def structured_chunks(spark, d):
     """The pages' sections as chunks: tables and code stay whole, beside their headings."""
-    packed = K.pack(K.with_tokens(K.section_blocks(_order_markdown(spark, d))))
+    packed = K.pack_sections(K.section_rows(_order_markdown(spark, d), block_array(F.col("markdown"))))
     return packed.select("doc_id", "sec_idx", "tokens", "content_type", F.array_join("code_languages", ",").alias("languages"), F.md5("text").alias("digest"))
 
 

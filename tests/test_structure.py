@@ -140,3 +140,49 @@ def test_plain_pages_are_split_at_their_tags(monkeypatch):
     fed.clear()
     structured_markdown("<h1>t</h1>" + TABLE)
     assert not fed
+
+
+def one_by_one(blocks):
+    """The fold of one document, block by block: (sec_idx, [(idx, first, n, path, char_start)])."""
+    out, stack, columns, kind, at, idx = [(0, [])], [], -1, "", 0, 0
+    for i, (level, title, cols, table, orphan, length) in enumerate(blocks):
+        if level:
+            stack = [x for x in stack if x[0] < level] + [(level, title)]
+            out.append((len(out), []))
+        own = out[-1][1]
+        if orphan and own and kind == "table" and columns == cols:
+            own[-1][2] += 1
+        else:
+            own.append([idx, i, 1, [x[1] for x in stack], at])
+            columns, kind, idx = cols, "table" if table else "", idx + 1
+        at += length + 2
+    return [s for s in out if s[1]]
+
+
+def test_documents_are_folded_together_as_one_by_one():
+    rng = random.Random(4)
+    for _ in range(300):
+        docs = []
+        for _ in range(rng.randint(0, 5)):
+            own = []
+            for _ in range(rng.randint(0, 12)):
+                what = rng.choice(["head", "table", "rows", "rows", "text"])
+                own.append((rng.randint(1, 6) if what == "head" else 0, f"t{rng.random():.3f}" if what == "head" else "", rng.choice([2, 3]), what == "table", what == "rows", rng.randint(0, 9)))
+            docs.append(own if own or rng.random() < 0.5 else None)
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32()]
+        columns = [pa.array([None if d is None else [b[k] for b in d] for d in docs], pa.list_(kind)) for k, kind in enumerate(kinds)]
+        got = K.fold_blocks(*columns).to_pylist()
+        assert [[(s["sec_idx"], [list(b.values()) for b in s["blocks"]]) for s in d] for d in got] == [one_by_one(d or []) for d in docs]
+
+
+def test_chunks_are_merged_without_their_texts(spark):
+    """The fold of chunks gets no texts, only how many lines they have; texts are joined behind it."""
+    head = {"tokens": 3, "content_type": "text", "heading_path": ["A"], "starts_with_heading": True, "lines": 1}
+    body = {"tokens": 790, "content_type": "table", "heading_path": ["A", "B"], "starts_with_heading": False, "lines": 90}
+    assert K.merge_ranges([head, body, body]) == [
+        {"first": 0, "n": 2, "tokens": 793, "content_type": "mixed", "heading_path": ["A", "B"]},
+        {"first": 2, "n": 1, "tokens": 790, "content_type": "table", "heading_path": ["A", "B"]},
+    ]
+    md = "# A\n\n" + "\n\n".join("word " * 400 for _ in range(40)) + "\n\n## B\n\nshort"
+    got = K.chunk_documents(spark.createDataFrame([(1, md), (2, "x")], "doc_id int, markdown string")).orderBy("doc_id", "chunk_index").collect()
+    assert got[-1]["text"] == "x" and got[-2]["text"].endswith("## B\n\nshort") and sum(r["text"].count("word") for r in got) >= 16_000
