@@ -138,11 +138,11 @@ def keyword_index(spark, d):
 
 def sparse(spark, d, k=K):
     """The best ``k`` documents of each passage, by one pass over the documents."""
-    return R.bm25_search(_bm25(spark, d), k)
+    return R.bm25_search(_bm25(spark, d, k), k)
 
 
-def _bm25(spark, d):
-    return R.bm25(R.query_terms(passages(spark, d)), documents(spark, d))
+def _bm25(spark, d, best=None):
+    return R.bm25(R.query_terms(passages(spark, d)), documents(spark, d), best=best)
 
 
 @query("bm25_and", f"WITH {_BM25} SELECT query_id, chunk_id, round(score, 6) AS score FROM a WHERE every")
