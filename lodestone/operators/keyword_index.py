@@ -14,9 +14,11 @@ On disk, below one folder, each update adds a segment:
 A segment without its commit is overwritten by the next update: one that fails and comes again changes nothing.
 ``compact`` writes the live rows of all segments as one. An index has one writer at a time.
 
-Searching never scores what can't win. Items with all clauses of a query are found from its rarest clause. Where none
-has all, the items of the rarest clauses give a score that the k-th best must reach; blocks whose bounds sum to less are
-left out, and in the others only items with a clause that is needed to reach it are scored.
+A search whose queries and items make few pairs never scores what can't win. Items with all clauses of a query are found
+from its rarest clause. Where none has all, the items of the rarest clauses give a score that the k-th best must reach;
+blocks whose bounds sum to less are left out, and in the others only items with a clause that is needed to reach it are
+scored. A search of more pairs (``MOST_PAIRS``) shuffles its postings once, in lists, and scores them by blocks of items,
+which give ``k`` rows a query; pairs are never rows there. Phrases are found the same way.
 
 Defined results: null ids aren't indexed; null and empty texts have no words and are never found, but count as items;
 of rows with one id in a batch one stays, by a hash of text and tenant; queries without a word find nothing.
@@ -24,27 +26,35 @@ of rows with one id in a batch one stays, by a hash of text and tenant; queries
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions.tenants import GLOBAL_TENANTS
 from lodestone.functions.text import WORD, words
-from lodestone.operators.retrieval import B, IDF_FLOOR, K1, MOST_TERMS, top_k
-from lodestone.sources.store import exists, settled
-
-#: Partitions of the postings, and items of a block.
-BUCKETS, BLOCK_ITEMS = 32, 256
+from lodestone.operators import retrieval as R
+from lodestone.operators.retrieval import B, IDF_FLOOR, K1, MOST_TERMS, bm25_search, best_of_blocks, packed, runs, top_k, unpacked
+from lodestone.sources.store import bounded_batches, exists, settled
+
+#: Partitions of the postings, items of a block after compaction, and rows of a batch that share block numbers.
+BUCKETS, BLOCK_ITEMS, BLOCK_ROWS = 32, 256, 5_000
+#: Words from which on a task's batches are turned into postings, and those of a task that writes them.
+INVERTED_WORDS, WRITTEN_WORDS = 2_000_000, 15_000_000
+#: Ids of items that are sent to every task, some 100 MB; more of them meet the rows in a shuffle.
+MOST_IDS = 2_000_000
 POSTINGS = "term string, item {item}, tenant string, tf int, dl int, positions array<int>, block int, bucket int"
 BLOCKS = "term string, block int, tenant string, n bigint, max_tf int, min_dl int"
 ITEMS = "item {item}, tenant string, dl int, terms array<string>, block int"
 COMMITS = "segment int, base int, items bigint, words bigint, gone bigint"
 EPS = 1e-6
-#: Pairs of a query's clause and a candidate that are sent to every task, some 30 MB.
+#: Pairs of a query's clause and an item up to which a search looks items up; those of candidates are sent to every task, some 30 MB.
 MOST_PAIRS = 300_000
 
 
@@ -216,6 +226,9 @@ class KeywordIndex:
         clauses = clauses_of(queries, phrases, keep=("__tenant",))
         clauses = settled(clauses.withColumn("words", self.stemmed(F.col("words"))).withColumn("clause", F.array_join("words", " ")).dropDuplicates(["query_id", "clause"]))
         found = _Search(self, spark, clauses, commits, k, phrases)
+        if found.by_blocks():
+            best = found.best()
+            return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("item").alias("chunk_id"), "score", "fallback_used")
         every = found.every()
         some = found.some(clauses.join(every.select("query_id").distinct(), "query_id", "left_anti"))
         both = every.withColumn("fallback_used", F.lit(False)).unionByName(some.withColumn("fallback_used", F.lit(True)))
@@ -283,6 +296,27 @@ class _Search:
         self.asked = settled(clauses.join(weights, "clause", "left").select("query_id", "__tenant", "clause", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("idf", F.lit(0.0)).alias("idf")))
         self.blocks = blocks.where("n > 0 and block >= 0")
 
+    def by_blocks(self) -> bool:
+        """Whether queries and items make so many pairs that postings meet by blocks of items."""
+        n = self.asked.agg(F.count("*").alias("asked"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).first()
+        return n["pairs"] > MOST_PAIRS and n["asked"] <= R.MOST_ASKED
+
+    def best(self) -> DataFrame:
+        """(query_id, rank, item, score, fallback_used): the best items with all clauses, or with some where none has all.
+
+        Each posting that some query may see is shuffled once, in lists.
+        """
+        counts = self.asked.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+        asked = settled(self.asked.join(counts, "query_id").where("n > 0").select("query_id", "__tenant", F.col("clause").alias("term"), "idf", "n_terms", F.lit(self.mean).alias("avgdl"), "n"), "asked")
+        n = asked.select("term", "n").distinct().agg(F.sum("n")).first()[0]
+        asked, hits = asked.drop("n"), self.hits.withColumnRenamed("clause", "term")
+        if asked.where("__tenant is not null").isEmpty():
+            asked = asked.drop("__tenant")
+        else:
+            seen = asked.select(F.col("term").alias("__term"), "__tenant").distinct()
+            hits = hits.join(F.broadcast(seen), (F.col("term") == F.col("__term")) & (F.col("__tenant").isNull() | (F.col("__tenant") == F.col("tenant"))), "left_semi")
+        return bm25_search(best_of_blocks(hits, asked, n, self.k, "item"), self.k, "item")
+
     def part(self, tf: str, dl: str) -> Column:
         return F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.lit(self.mean)))
 
