@@ -284,9 +284,12 @@ class _Search:
         phrases = phrases and not several.isEmpty()
         own = hits.join(single.select(F.col("clause").alias("term")), "term", "left_semi") if phrases else hits
         self.hits = own.select(F.col("term").alias("clause"), "item", "tenant", "tf", "dl", "segment", "block")
-        counts = blocks.groupBy("clause").agg(F.sum("n").alias("n"))
+        counts = settled(blocks.groupBy("clause").agg(F.sum("n").alias("n")))
         if phrases:
-            in_row = settled(_phrase_hits(several, hits))
+            words_of = several.select(F.explode("words").alias("term")).distinct()
+            n = counts.join(words_of, F.col("clause") == F.col("term"), "left_semi").agg(F.sum("n")).first()[0] or 0
+            words_of = F.broadcast(words_of) if words_of.count() <= MOST_TERMS else words_of
+            in_row = settled(_phrase_hits(several, hits.join(words_of, "term", "left_semi"), n, index.item))
             self.hits = self.hits.unionByName(in_row)
             counts = counts.unionByName(in_row.groupBy("clause").agg(F.count("*").alias("n")))
             bounds = in_row.groupBy("clause", "block", "tenant", "segment").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
@@ -387,13 +390,50 @@ class _Search:
         return top_k(direct.unionByName(looked_up), self.k, item="item").select("query_id", "rank", "item", "score")
 
 
-def _phrase_hits(phrases: DataFrame, hits: DataFrame) -> DataFrame:
+def _phrase_hits(phrases: DataFrame, hits: DataFrame, n: int, kind: str) -> DataFrame:
     """(clause, item, ..., tf): how often the words of each phrase (clause, words) stand in a row.
 
-    Positions of the words, each set back by the word's place, meet in the item.
+    ``hits``: the words' postings, some ``n`` rows. They meet the phrases by blocks of items, each shuffled once, in lists; in
+    a block the places of a phrase's rarest word are looked up among those of its others.
     """
-    each = phrases.select("clause", F.size("words").alias("m"), F.posexplode("words").alias("offset", "term"))
-    met = each.join(hits, "term").select("clause", "m", "item", "tenant", "dl", "segment", "block", F.transform("positions", lambda p: p - F.col("offset")).alias("starts"))
-    all_ = met.groupBy("clause", "m", "item", "tenant", "dl", "segment", "block").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("m"))
-    both = F.aggregate(F.slice("s", 2, 1_000), F.col("s")[0], lambda a, b: F.array_intersect(a, b))
-    return all_.select("clause", "item", "tenant", F.size(both).alias("tf"), "dl", "segment", "block").where("tf > 0")
+    parts = max(1, -(-n // R.POSTING_BLOCK))
+    columns = ("item", "tenant", "tf", "dl", "segment", "of", "positions")
+    held = packed(hits.withColumnRenamed("block", "of").withColumn("block", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")), *columns)
+    sent = phrases.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    names = ["clause", "item", "tenant", "tf", "dl", "segment", "block"]
+
+    def find(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(asked):
+            return pd.DataFrame({c: [] for c in names})
+        code, terms, c = unpacked(own, *columns)
+        at, items = pd.factorize(c["item"])
+        row = np.repeat(np.arange(len(code)), c["tf"])
+        places, of = (at[row].astype(np.int64) << 32) | c["positions"], code[row]
+        order = np.lexsort((places, of))
+        places, ends = places[order], np.cumsum(np.bincount(of, minlength=len(terms)))
+        known = dict(zip(terms, range(len(terms))))
+        found = []
+        for clause, words in zip(asked["clause"], asked["words"]):
+            codes = [known.get(w) for w in words]
+            if None in codes:
+                continue
+            lists = [places[ends[t - 1] if t else 0 : ends[t]] for t in codes]
+            rarest = min(range(len(lists)), key=lambda j: len(lists[j]))
+            # A start before its item's first word has no first word.
+            starts = lists[rarest] - rarest
+            for j, there in enumerate(lists):
+                if j != rarest:
+                    wanted = starts + j
+                    starts = starts[there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted]
+            if len(starts):
+                own_items, tf = np.unique(starts >> 32, return_counts=True)
+                found.append((np.full(len(tf), clause, dtype=object), own_items, tf))
+        if not found:
+            return pd.DataFrame({c: [] for c in names})
+        clause, where, tf = (np.concatenate(x) for x in zip(*found))
+        first = np.empty(len(items), np.int64)
+        first[at[::-1]] = np.arange(len(at))[::-1]
+        one = first[where]
+        return pd.DataFrame({"clause": clause, "item": items[where], "tenant": c["tenant"][one], "tf": tf, "dl": c["dl"][one], "segment": c["segment"][one], "block": c["of"][one]})
+
+    return held.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(find, f"clause string, item {kind}, tenant string, tf int, dl int, segment int, block int")

@@ -57,3 +57,14 @@ def test_searches_shuffle_no_pairs(spark, tmp_path, monkeypatch):
     before = shuffled(spark)
     assert index.search(queries, 3, tenant="tenant").count() == 600
     assert shuffled(spark) - before < 10_000
+
+
+def test_phrases_shuffle_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KI, "MOST_PAIRS", 1_000)
+    index = KeywordIndex(str(tmp_path / "index"))
+    index.update(spark.range(5_000).select(F.col("id").alias("chunk_id"), F.lit("t0").alias("tenant_id"), F.when(F.col("id") % 7 == 0, "the of the").otherwise("of a the").alias("text")), tenant="tenant_id")
+    queries = spark.createDataFrame([(1, "of-the"), (2, "the-of-the"), (3, "of-a the")], "query_id bigint, text string")
+    before = shuffled(spark)
+    found = got(index.search(queries, 2, allow_global=True))
+    assert [(r[0], r[2], r[4]) for r in found] == [(1, 0, False), (1, 7, False), (2, 0, False), (2, 7, False), (3, 1, False), (3, 2, False)]
+    assert shuffled(spark) - before < 2_000
