@@ -2,12 +2,15 @@
 
 On disk, below one folder, each update adds a segment:
 
-* ``postings``: (term, item, tenant, tf, dl, positions, block), partitioned by a hash of the term and sorted by term
-  within files, so that a search opens the partitions of its terms and skips row groups within them;
-* ``blocks``: (term, block, tenant, n, max_tf, min_dl), the dictionary: a block is some 256 items of a tenant. It bounds
-  what the term can add to the score of any item of the block, and counts the term's items. Replaced and deleted items
-  subtract themselves by rows of negative ``n``, so counts are exact without looking at postings;
-* ``items``: (item, tenant, dl, terms, block): what an item must subtract when it goes;
+* ``postings``: (term, item, tenant, tf, dl, positions, block), partitioned by a hash of the term, so that a search opens
+  the partitions of its terms. An update makes them from the items where these are read, some thousand at a time in the
+  order of terms, and shuffles nothing; compaction sorts whole files by term;
+* ``blocks``: (term, block, tenant, n, max_tf, min_dl), the dictionary: a block is items of a tenant that came together,
+  of at most ``BLOCK_ROWS`` rows of all tenants. A row bounds what the term can add to the score of any of its items, and
+  counts them; a block may have several rows for a term. Replaced and deleted items subtract themselves by rows of
+  negative ``n``, so counts are exact without looking at postings;
+* ``items``: (item, tenant, dl, terms, block), the words in order: what postings are made of, and what an item must
+  subtract when it goes;
 * ``tombstones``: (item), whose postings in earlier segments are dead;
 * ``commits``: one row a segment, written last: which segments count, what they add to the number of items and words.
 
@@ -86,6 +89,7 @@ class KeywordIndex:
             return rows
         dead = self._read(spark, "tombstones", "item {item}", [r["segment"] for r in commits])
         dead = dead.groupBy(F.col("item").alias("__dead")).agg(F.max("segment").alias("__since"))
+        dead = F.broadcast(dead) if sum(r["gone"] for r in commits) <= MOST_IDS else dead
         return rows.join(dead, (F.col("item") == F.col("__dead")) & (F.col("segment") < F.col("__since")), "left_anti")
 
     def postings(self, spark: SparkSession, wanted: DataFrame | None = None, commits: list | None = None) -> DataFrame:
@@ -127,22 +131,31 @@ class KeywordIndex:
     def update(self, chunks: DataFrame, gone: DataFrame | None = None, item: str = "chunk_id", text: str = "text", tenant: str | None = None) -> None:
         """Adds ``chunks``, each replacing what the index has under its id, and deletes the ids of ``gone`` (``item``)."""
         spark = chunks.sparkSession
+        bounded_batches(spark)
         commits = self.commits(spark)
         segment = 1 + max((r["segment"] for r in commits), default=0)
         text_ = F.coalesce(F.col(text), F.lit(""))
         own = chunks.select(F.col(item).cast(self.item).alias("item"), (F.col(tenant) if tenant else F.lit(None)).cast("string").alias("tenant"), text_.alias("text")).where("item is not null")
-        own = own.select("item", "tenant", self.stemmed(words(F.col("text"))).alias("words"), F.struct(F.xxhash64("text"), "tenant", F.monotonically_increasing_id()).alias("nth"))
-        own = self._settled(own, "words", segment)
+        at = F.monotonically_increasing_id()  # a task's number and 33 bits of its row's
+        own = own.select("item", "tenant", self.stemmed(words(F.col("text"))).alias("terms"), F.struct(F.xxhash64("text").alias("hash"), "tenant", at.alias("at")).alias("nth"))
+        block = F.pmod(F.shiftright("nth.at", 33), F.lit(1 << 20)) * 1_000 + F.pmod(F.floor(F.col("nth.at").bitwiseAND((1 << 33) - 1) / BLOCK_ROWS), F.lit(1_000))
+        own = own.select("item", "tenant", F.size("terms").alias("dl"), "terms", block.cast("int").alias("block"), "nth")
+        own = self._settled(own, "items", segment)
         # Only ids meet, not texts: of an id's rows one stays.
         last = own.groupBy("item").agg(F.max("nth").alias("nth"), F.count("*").alias("__n")).where("__n > 1")
         again = settled(last.select("item", F.col("nth").alias("__last")))
         if not again.isEmpty():
             own = own.join(again, "item", "left").where(F.col("__last").isNull() | (F.col("nth") == F.col("__last"))).drop("__last")
+            own = self._settled(self._settled(own, "words", segment), "items", segment)
         own = own.drop("nth")
-        leaving = own.select("item")
-        if gone is not None:
-            leaving = leaving.unionByName(gone.select(F.col(item).cast(self.item).alias("item")).where("item is not null")).distinct()
-        old = self.items(spark, commits).join(leaving, "item", "left_semi") if commits else None
+        old = None
+        if commits:
+            leaving = own.select("item")
+            if gone is not None:
+                leaving = leaving.unionByName(gone.select(F.col(item).cast(self.item).alias("item")).where("item is not null")).distinct()
+            leaving = settled(leaving, "leaving")
+            # Many items don't move for few that leave.
+            old = self.items(spark, commits).join(F.broadcast(leaving) if leaving.count() <= MOST_IDS else leaving, "item", "left_semi")
         self._write(spark, own, old, segment, commits[0]["base"] if commits else segment)
 
     def compact(self, spark: SparkSession) -> None:
@@ -180,21 +193,29 @@ class KeywordIndex:
         dealt = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
 
+    def _write_inverted(self, items: DataFrame, n_words: int, segment: int) -> None:
+        """Postings of items, made and written by the tasks that read these: each keeps a file open for every bucket, so nothing is sorted."""
+        spark, name = items.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+        tasks = max(spark.sparkContext.defaultParallelism, -(-n_words // WRITTEN_WORDS))
+        postings = _inverted(items.coalesce(tasks), self.item).select("*", _bucket(F.col("term")).alias("bucket"))
+        before = spark.conf.get(name)
+        spark.conf.set(name, str(2 * BUCKETS))
+        try:
+            postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        finally:
+            spark.conf.set(name, before)
+
     def _write(self, spark: SparkSession, own: DataFrame, old: DataFrame | None, segment: int, base: int) -> None:
         from lodestone.sources.store import remove
 
-        sums = own.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
-        placed = _in_blocks(own.withColumn("dl", F.size("words")), sums["items"])
-        each = placed.select("item", "tenant", "dl", "block", F.posexplode("words").alias("at", "term"))
-        counted = each.groupBy("term", "item", "tenant", "dl", "block").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-        self._write_postings(counted.select("term", "item", "tenant", "tf", "dl", "positions", "block", _bucket(F.col("term")).alias("bucket")), segment)
-        self._to(placed.select("item", "tenant", "dl", F.array_distinct("words").alias("terms"), "block"), "items", segment)
-        blocks, gone = _blocks(self._read(spark, "postings", POSTINGS, [segment])), {"n": 0, "words": 0}
+        sums = own.agg(F.count("*").alias("items"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+        self._write_inverted(own, sums["words"], segment)
+        blocks, gone = _bounds(self._read(spark, "postings", POSTINGS, [segment])), {"n": 0, "words": 0}
         if old is not None:
             old = self._settled(old.drop("segment"), "tombstones", segment)
             gone = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
             if gone["n"]:
-                less = old.select("tenant", F.explode("terms").alias("term")).groupBy("term", "tenant").agg((-F.count("*")).alias("n"))
+                less = old.select("tenant", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term", "tenant").agg((-F.count("*")).alias("n"))
                 blocks = blocks.unionByName(less.select("term", F.lit(-1).alias("block"), "tenant", "n", F.lit(0).alias("max_tf"), F.lit(0).alias("min_dl")))
         self._to(blocks, "blocks", segment)
         remove(spark, f"{self.path}/words/segment={segment}")
@@ -262,6 +283,53 @@ def _blocks(postings: DataFrame) -> DataFrame:
     return bounds.select("term", "block", "tenant", "n", "max_tf", "min_dl")
 
 
+def _inverted(items: DataFrame, kind: str) -> DataFrame:
+    """Postings of items (item, tenant, dl, terms, block), in the order of terms within some rows of a task."""
+
+    def postings(own: pa.RecordBatch) -> pa.RecordBatch:
+        docs, found = own.num_rows, own["terms"].flatten()
+        sizes = pc.list_value_length(own["terms"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        term = found.dictionary_encode()
+        rank = np.empty(len(term.dictionary), np.int64)
+        rank[pc.sort_indices(term.dictionary).to_numpy()] = np.arange(len(rank))
+        doc = np.repeat(np.arange(docs), sizes)
+        at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = rank[term.indices.to_numpy(zero_copy_only=False)] * docs + doc
+        order = np.argsort(key, kind="stable")
+        starts = runs(key[order])
+        first = order[starts[:-1]]
+        of = pa.array(doc[first])
+        columns = {"term": found.take(pa.array(first)), "item": own["item"].take(of), "tenant": own["tenant"].take(of), "tf": pa.array(np.diff(starts), pa.int32()), "dl": own["dl"].take(of)}
+        positions = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(at[order], pa.int32()))
+        return pa.RecordBatch.from_pydict(columns | {"positions": positions, "block": own["block"].take(of)})
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held, n = held + [batch], n + (pc.sum(batch["dl"]).as_py() or 0)
+            if n >= INVERTED_WORDS:
+                yield postings(pa.concat_batches(held))
+                held, n = [], 0
+        if n:
+            yield postings(pa.concat_batches(held))
+
+    return items.select("item", "tenant", "dl", "terms", "block").mapInArrow(invert, POSTINGS.format(item=kind).removesuffix(", bucket int"))
+
+
+def _bounds(postings: DataFrame) -> DataFrame:
+    """As ``_blocks``, with a row for each batch that has some of a block's items: nothing is shuffled."""
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = pa.Table.from_batches([batch]).group_by(["term", "block", "tenant"]).aggregate([([], "count_all"), ("tf", "max"), ("dl", "min")])
+                named = found.select(["term", "block", "tenant", "count_all", "tf_max", "dl_min"]).rename_columns(_names(BLOCKS))
+                yield from named.to_batches()
+
+    return postings.select("term", "block", "tenant", "tf", "dl").mapInArrow(bounds, BLOCKS)
+
+
 def clauses_of(queries: DataFrame, phrases: bool = True, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, words): what each query asks for, after its clean-up; with ``phrases`` words between hyphens stay together."""
     plain = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_\s?&+-]", " ")
