@@ -68,3 +68,20 @@ def test_phrases_shuffle_lists(spark, tmp_path, monkeypatch):
     found = got(index.search(queries, 2, allow_global=True))
     assert [(r[0], r[2], r[4]) for r in found] == [(1, 0, False), (1, 7, False), (2, 0, False), (2, 7, False), (3, 1, False), (3, 2, False)]
     assert shuffled(spark) - before < 2_000
+
+
+def test_updates_shuffle_no_words(spark, tmp_path):
+    index = KeywordIndex(str(tmp_path / "index"))
+    rows = spark.range(500).select(F.col("id").alias("chunk_id"), F.lit("t0").alias("tenant_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.concat(F.lit("w"), (F.col("id") * 7 + k) % 997))).alias("text"))
+    before = shuffled(spark)
+    index.update(rows, tenant="tenant_id")
+    assert shuffled(spark) - before < 2_000  # of 100,000 words
+    assert index.terms(spark).agg(F.sum("cf"), F.sum("df")).first() == (100_000, 100_000)
+
+
+def test_long_items_are_inverted_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(KI, "INVERTED_WORDS", 3)
+    index = KeywordIndex(str(tmp_path / "index"))
+    items = spark.createDataFrame([(1, None, 7, "a b a c a b a".split(), 0), (2, "x", 0, [], 0), (3, "x", 1, ["b"], 0), (4, "x", 2, ["a", "a"], 0)], "item bigint, tenant string, dl int, terms array<string>, block int").coalesce(1)
+    found = KI._inverted(items, "bigint").select("term", "item", "tenant", "tf", "dl", "positions").collect()
+    assert sorted(map(tuple, found), key=lambda r: (r[1], r[0])) == [("a", 1, None, 4, 7, [0, 2, 4, 6]), ("b", 1, None, 2, 7, [1, 5]), ("c", 1, None, 1, 7, [3]), ("b", 3, "x", 1, 1, [0]), ("a", 4, "x", 2, 2, [0, 1])]
