@@ -25,7 +25,7 @@ BATCH = 100
 RETRIES = 3
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)  # some 20 MB of a worker
 def _place(word: str, dim: int) -> tuple[int, int]:
     """A word's place in a vector and its sign, by two bytes of its md5."""
     d = hashlib.md5(word.encode()).digest()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import HTML_RULES, LINK, WORD
 from lodestone.sources.ingest import pages_to_documents
-from lodestone.sources.store import spread
+from lodestone.sources.store import bounded_batches, spread
 
 REGISTRY: dict[str, tuple] = {}
 
@@ -24,7 +24,9 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Unions are told not to keep their sides' partitioning: partitions that adaptive execution
-    coalesced differently on the two sides would be taken for equal ones (Spark 4.1). Texts in few files are dealt out."""
+    coalesced differently on the two sides would be taken for equal ones (Spark 4.1). Texts in few files are dealt out, and
+    batches that go to Python are bounded by bytes."""
+    bounded_batches(spark)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(found) if name in ("documents", "pages") else found

@@ -14,7 +14,7 @@ from lodestone.operators import cleaning, registry
 from lodestone.operators.chunking import chunk_documents, chunk_id
 from lodestone.operators.slots import embed
 from lodestone.sources.segments import Segments, ddl
-from lodestone.sources.store import remove
+from lodestone.sources.store import bounded_batches, remove
 
 
 def chunks_of(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -64,6 +64,7 @@ def ingest_batch(docs: DataFrame, target: str, deleted: DataFrame | None = None,
     Of rows of one document in a batch one stays, by its text's hash. Null tenants and ids are keys like others.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     store = chunk_store(target)
     if stream and store.has(spark, stream, batch):
         return
