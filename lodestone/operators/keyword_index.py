@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,9 @@ from lodestone.sources.store import bounded_batches, exists, settled
 #: Partitions of the postings, items of a block after compaction, and rows of a batch that share block numbers.
 BUCKETS, BLOCK_ITEMS, BLOCK_ROWS = 32, 256, 5_000
 #: Words from which on a task's batches are turned into postings, and those of a task that writes them.
-INVERTED_WORDS, WRITTEN_WORDS = 2_000_000, 15_000_000
+INVERTED_WORDS, WRITTEN_WORDS = 1_000_000, 15_000_000
+#: Postings whose bounds are found together, and rows that a Python worker gives back at once.
+BOUND_ROWS, SENT_ROWS = 500_000, 50_000
 #: Ids of items that are sent to every task, some 100 MB; more of them meet the rows in a shuffle.
 MOST_IDS = 2_000_000
 POSTINGS = "term string, item {item}, tenant string, tf int, dl int, positions array<int>, block int, bucket int"
@@ -182,16 +185,15 @@ class KeywordIndex:
                 remove(spark, f"{self.path}/{name}/segment={n}")
 
     def _settled(self, df: DataFrame, name: str, segment: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
+        self._to(df, name, segment)
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.path}/{name}/segment={segment}")
 
-    def _to(self, df: DataFrame, name: str, segment: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/segment={segment}")
+    def _to(self, df: DataFrame, name: str, segment: int, *partitions: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/segment={segment}", partitionBy=list(partitions) or None)
 
     def _write_postings(self, postings: DataFrame, segment: int) -> None:
         """Rows of one partition come together; a partition of hot terms is dealt out to several tasks."""
-        dealt = postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        self._to(postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term"), "postings", segment, "bucket")
 
     def _write_inverted(self, items: DataFrame, n_words: int, segment: int) -> None:
         """Postings of items, made and written by the tasks that read these: each keeps a file open for every bucket, so nothing is sorted."""
@@ -201,7 +203,7 @@ class KeywordIndex:
         before = spark.conf.get(name)
         spark.conf.set(name, str(2 * BUCKETS))
         try:
-            postings.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+            self._to(postings, "postings", segment, "bucket")
         finally:
             spark.conf.set(name, before)
 
@@ -292,11 +294,12 @@ def _inverted(items: DataFrame, kind: str) -> DataFrame:
         term = found.dictionary_encode()
         rank = np.empty(len(term.dictionary), np.int64)
         rank[pc.sort_indices(term.dictionary).to_numpy()] = np.arange(len(rank))
-        doc = np.repeat(np.arange(docs), sizes)
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        doc = np.repeat(np.arange(docs, dtype=np.int32), sizes)
+        at = np.arange(len(doc), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         key = rank[term.indices.to_numpy(zero_copy_only=False)] * docs + doc
         order = np.argsort(key, kind="stable")
         starts = runs(key[order])
+        del key
         first = order[starts[:-1]]
         of = pa.array(doc[first])
         columns = {"term": found.take(pa.array(first)), "item": own["item"].take(of), "tenant": own["tenant"].take(of), "tf": pa.array(np.diff(starts), pa.int32()), "dl": own["dl"].take(of)}
@@ -309,23 +312,33 @@ def _inverted(items: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             held, n = held + [batch], n + (pc.sum(batch["dl"]).as_py() or 0)
             if n >= INVERTED_WORDS:
-                yield postings(pa.concat_batches(held))
+                yield from _sent(postings(pa.concat_batches(held)))
                 held, n = [], 0
         if n:
-            yield postings(pa.concat_batches(held))
+            yield from _sent(postings(pa.concat_batches(held)))
 
     return items.select("item", "tenant", "dl", "terms", "block").mapInArrow(invert, POSTINGS.format(item=kind).removesuffix(", bucket int"))
 
 
+def _sent(rows: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows in batches that the JVM can hold for every task."""
+    for at in range(0, rows.num_rows, SENT_ROWS):
+        yield from rows.slice(at, SENT_ROWS).to_batches() if isinstance(rows, pa.Table) else [rows.slice(at, SENT_ROWS)]
+
+
 def _bounds(postings: DataFrame) -> DataFrame:
-    """As ``_blocks``, with a row for each batch that has some of a block's items: nothing is shuffled."""
+    """As ``_blocks``, with a row for each ``BOUND_ROWS`` of a task that have some of a block's items: nothing is shuffled."""
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = pa.Table.from_batches([batch]).group_by(["term", "block", "tenant"]).aggregate([([], "count_all"), ("tf", "max"), ("dl", "min")])
-                named = found.select(["term", "block", "tenant", "count_all", "tf_max", "dl_min"]).rename_columns(_names(BLOCKS))
-                yield from named.to_batches()
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held, n = held + [batch], n + batch.num_rows
+            if n >= BOUND_ROWS or n and batch is None:
+                found = pa.Table.from_batches(held).group_by(["term", "block", "tenant"]).aggregate([([], "count_all"), ("tf", "max"), ("dl", "min")])
+                yield from _sent(found.select(["term", "block", "tenant", "count_all", "tf_max", "dl_min"]).rename_columns(_names(BLOCKS)))
+                held, n = [], 0
 
     return postings.select("term", "block", "tenant", "tf", "dl").mapInArrow(bounds, BLOCKS)
 
@@ -348,6 +361,7 @@ class _Search:
         single, several = distinct.where(F.size("words") == 1), distinct.where(F.size("words") > 1)
         wanted = clauses.select(F.explode("words").alias("term")).distinct()
         hits = index.postings(spark, wanted, commits)
+        wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
         blocks = index.dictionary(spark, commits).join(wanted, "term", "left_semi").withColumnRenamed("term", "clause")
         phrases = phrases and not several.isEmpty()
         own = hits.join(single.select(F.col("clause").alias("term")), "term", "left_semi") if phrases else hits

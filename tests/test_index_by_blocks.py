@@ -1,7 +1,10 @@
 """What the stored index shuffles: searches by blocks of items, phrases in rows, updates where the texts are read."""
 
 import random
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,37 @@ def test_long_items_are_inverted_in_parts(spark, tmp_path, monkeypatch):
     items = spark.createDataFrame([(1, None, 7, "a b a c a b a".split(), 0), (2, "x", 0, [], 0), (3, "x", 1, ["b"], 0), (4, "x", 2, ["a", "a"], 0)], "item bigint, tenant string, dl int, terms array<string>, block int").coalesce(1)
     found = KI._inverted(items, "bigint").select("term", "item", "tenant", "tf", "dl", "positions").collect()
     assert sorted(map(tuple, found), key=lambda r: (r[1], r[0])) == [("a", 1, None, 4, 7, [0, 2, 4, 6]), ("b", 1, None, 2, 7, [1, 5]), ("c", 1, None, 1, 7, [3]), ("b", 3, "x", 1, 1, [0]), ("a", 4, "x", 2, 2, [0, 1])]
+
+
+def test_bounds_are_a_row_for_each_block_of_a_term(spark, docs, tmp_path, monkeypatch):
+    """However small the batches that workers get and give, and however few words are inverted at once."""
+    monkeypatch.setattr(KI, "INVERTED_WORDS", 200)
+    monkeypatch.setattr(KI, "SENT_ROWS", 30)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20")
+    try:
+        index = KeywordIndex(str(tmp_path / "index"))
+        index.update(frame(spark, docs).coalesce(1), tenant="tenant_id")
+    finally:
+        spark.conf.set(key, before)
+    rows = lambda df: sorted(map(str, df.select("term", "block", "tenant", "n", "max_tf", "min_dl").collect()))
+    assert rows(index.dictionary(spark)) == rows(KI._blocks(index.postings(spark)))
+
+
+def test_segments_are_compressed(spark, docs, tmp_path):
+    index = KeywordIndex(str(tmp_path / "index"))
+    index.update(frame(spark, docs), tenant="tenant_id")
+    index.compact(spark)
+    for name in ("postings", "blocks", "items"):
+        groups = [pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in Path(tmp_path, "index", name).rglob("*.parquet") if pq.ParquetFile(f).metadata.num_row_groups]
+        assert set(groups) == {"ZSTD"}, name
+
+
+def test_rows_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(KI, "SENT_ROWS", 7)
+    whole = pa.table({"n": list(range(20)), "at": [[k] * (k % 3) for k in range(20)]})
+    for rows in (whole, whole.combine_chunks().to_batches()[0], pa.concat_tables([whole.slice(0, 3), whole.slice(3)])):
+        sent = list(KI._sent(rows))
+        assert max(b.num_rows for b in sent) <= 7 and pa.Table.from_batches(sent).equals(whole)
+    assert list(KI._sent(whole.slice(0, 0))) == []
