@@ -24,7 +24,8 @@ scored. A search of more pairs (``MOST_PAIRS``) shuffles its postings once, in l
 which give ``k`` rows a query; pairs are never rows there. Phrases are found the same way.
 
 Defined results: null ids aren't indexed; null and empty texts have no words and are never found, but count as items;
-of rows with one id in a batch one stays, by a hash of text and tenant; queries without a word find nothing.
+of rows with one id in a batch one stays, by a hash of text and tenant; queries without a word find nothing; a phrase is
+counted from left to right without overlap, so "the the the" holds "the the" once.
 """
 
 from __future__ import annotations
@@ -472,11 +473,21 @@ class _Search:
         return top_k(direct.unionByName(looked_up), self.k, item="item").select("query_id", "rank", "item", "score")
 
 
+def _apart(starts: np.ndarray, n: int) -> np.ndarray:
+    """Of ascending places those taken from left to right, each at least ``n`` behind the one taken before."""
+    taken = np.ones(len(starts), bool)
+    for i in (np.flatnonzero(np.diff(starts) < n) + 1).tolist():
+        if taken[i - 1]:
+            last = starts[i - 1]
+        taken[i] = starts[i] >= last + n
+    return starts[taken]
+
+
 def _phrase_hits(phrases: DataFrame, hits: DataFrame, n: int, kind: str) -> DataFrame:
     """(clause, item, ..., tf): how often the words of each phrase (clause, words) stand in a row.
 
     ``hits``: the words' postings, some ``n`` rows. They meet the phrases by blocks of items, each shuffled once, in lists; in
-    a block the places of a phrase's rarest word are looked up among those of its others.
+    a block the places of a phrase's rarest word are looked up among those of its others. What overlaps counts once.
     """
     parts = max(1, -(-n // R.POSTING_BLOCK))
     columns = ("item", "tenant", "tf", "dl", "segment", "of", "positions")
@@ -508,7 +519,7 @@ def _phrase_hits(phrases: DataFrame, hits: DataFrame, n: int, kind: str) -> Data
                     wanted = starts + j
                     starts = starts[there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted]
             if len(starts):
-                own_items, tf = np.unique(starts >> 32, return_counts=True)
+                own_items, tf = np.unique(_apart(starts, len(words)) >> 32, return_counts=True)
                 found.append((np.full(len(tf), clause, dtype=object), own_items, tf))
         if not found:
             return pd.DataFrame({c: [] for c in names})

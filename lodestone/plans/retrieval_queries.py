@@ -187,14 +187,16 @@ def sparse_topk_tenant(spark, d):
     return keyword_index(spark, d).search(asked, K, tenant="tenant", phrases=False).withColumn("score", F.round("score", 6))
 
 
-#: Passages as queries with two phrases: their first two words and their last three, joined by hyphens, and a single word.
+#: Passages as queries with two phrases: their first two words and their last three, joined by hyphens, and a single word;
+#: those of fewer than four words ask nothing.
 _HYPHENS = f"SELECT item_id AS query_id, w[1] || '-' || w[2] || ' ' || w[4] || ' ' || w[-3] || '-' || w[-2] || '-' || w[-1] AS text FROM (SELECT item_id, {_WORDS_OF} AS w FROM benchmark)"
 
 
 def _hyphenated(spark, d):
     w = T.words(F.col("text"))
-    parts = [F.concat_ws("-", F.try_element_at(w, F.lit(1)), F.try_element_at(w, F.lit(2))), F.try_element_at(w, F.lit(4)), F.concat_ws("-", *[F.try_element_at(w, F.lit(k)) for k in (-3, -2, -1)])]
-    return passages(spark, d).select("query_id", F.concat_ws(" ", *parts).alias("text"))
+    at = lambda k: F.try_element_at(w, F.lit(k))
+    hyphen, blank = F.lit("-"), F.lit(" ")
+    return passages(spark, d).select("query_id", F.concat(at(1), hyphen, at(2), blank, at(4), blank, at(-3), hyphen, at(-2), hyphen, at(-1)).alias("text"))
 
 
 @query(
