@@ -9,8 +9,8 @@ On disk, below one folder, each update adds a segment:
   of at most ``BLOCK_ROWS`` rows of all tenants. A row bounds what the term can add to the score of any of its items, and
   counts them; a block may have several rows for a term. Replaced and deleted items subtract themselves by rows of
   negative ``n``, so counts are exact without looking at postings;
-* ``items``: (item, tenant, dl, terms, block), the words in order: what postings are made of, and what an item must
-  subtract when it goes;
+* ``items``: (item, tenant, dl, terms, block), the words in order, ``dl`` null for null texts: what postings are made of,
+  and what an item must subtract when it goes;
 * ``tombstones``: (item), whose postings in earlier segments are dead;
 * ``commits``: one row a segment, written last: which segments count, what they add to the number of items and words.
 
@@ -59,7 +59,7 @@ MOST_IDS = 2_000_000
 POSTINGS = "term string, item {item}, tenant string, tf int, dl int, positions array<int>, block int, bucket int"
 BLOCKS = "term string, block int, tenant string, n bigint, max_tf int, min_dl int"
 ITEMS = "item {item}, tenant string, dl int, terms array<string>, block int"
-COMMITS = "segment int, base int, items bigint, words bigint, gone bigint"
+COMMITS = "segment int, base int, items bigint, words bigint, gone bigint, texts bigint"
 EPS = 1e-6
 #: Pairs of a query's clause and an item up to which a search looks items up; those of candidates are sent to every task, some 30 MB.
 MOST_PAIRS = 300_000
@@ -67,18 +67,22 @@ MOST_PAIRS = 300_000
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """An index at a path. ``item``: the SQL type of ids. ``stem``: from words to what is indexed, for texts and queries alike."""
+    """An index at a path. ``item``: the SQL type of ids. ``stem``: from words to what is indexed, for texts and queries alike.
+
+    ``nulls``: whether null texts count in the mean length of searches, as empty ones do.
+    """
 
     path: str
     item: str = "bigint"
     stem: Callable[[str], str] | None = None
+    nulls: bool = True
 
     # -- reading --------------------------------------------------------------------------------------------------
     def commits(self, spark: SparkSession) -> list:
         """Rows of the segments that count, in order."""
         if not exists(spark, f"{self.path}/commits"):
             return []
-        rows = spark.read.schema(COMMITS).parquet(f"{self.path}/commits").orderBy("segment").collect()
+        rows = spark.read.schema(COMMITS).parquet(f"{self.path}/commits").withColumn("texts", F.coalesce("texts", "items")).orderBy("segment").collect()
         base = max((r["base"] for r in rows), default=0)
         return [r for r in rows if r["segment"] >= base]
 
@@ -139,11 +143,11 @@ class KeywordIndex:
         commits = self.commits(spark)
         segment = 1 + max((r["segment"] for r in commits), default=0)
         text_ = F.coalesce(F.col(text), F.lit(""))
-        own = chunks.select(F.col(item).cast(self.item).alias("item"), (F.col(tenant) if tenant else F.lit(None)).cast("string").alias("tenant"), text_.alias("text")).where("item is not null")
+        own = chunks.select(F.col(item).cast(self.item).alias("item"), (F.col(tenant) if tenant else F.lit(None)).cast("string").alias("tenant"), text_.alias("text"), F.col(text).isNotNull().alias("given")).where("item is not null")
         at = F.monotonically_increasing_id()  # a task's number and 33 bits of its row's
-        own = own.select("item", "tenant", self.stemmed(words(F.col("text"))).alias("terms"), F.struct(F.xxhash64("text").alias("hash"), "tenant", at.alias("at")).alias("nth"))
+        own = own.select("item", "tenant", "given", self.stemmed(words(F.col("text"))).alias("terms"), F.struct(F.xxhash64("text").alias("hash"), "tenant", at.alias("at")).alias("nth"))
         block = F.pmod(F.shiftright("nth.at", 33), F.lit(1 << 20)) * 1_000 + F.pmod(F.floor(F.col("nth.at").bitwiseAND((1 << 33) - 1) / BLOCK_ROWS), F.lit(1_000))
-        own = own.select("item", "tenant", F.size("terms").alias("dl"), "terms", block.cast("int").alias("block"), "nth")
+        own = own.select("item", "tenant", F.when(F.col("given"), F.size("terms")).alias("dl"), "terms", block.cast("int").alias("block"), "nth")
         own = self._settled(own, "items", segment)
         # Only ids meet, not texts: of an id's rows one stays.
         last = own.groupBy("item").agg(F.max("nth").alias("nth"), F.count("*").alias("__n")).where("__n > 1")
@@ -174,7 +178,7 @@ class KeywordIndex:
         self._write_postings(_in_blocks(self.postings(spark, commits=commits).drop("segment", "block"), n, of_tenants).select(*_names(POSTINGS)), segment)
         self._to(_in_blocks(items, n, of_tenants), "items", segment)
         self._to(_blocks(self._read(spark, "postings", POSTINGS, [segment])), "blocks", segment)
-        self._commit(spark, segment, segment, sum(r["items"] for r in commits), sum(r["words"] for r in commits), 0)
+        self._commit(spark, segment, segment, sum(r["items"] for r in commits), sum(r["words"] for r in commits), 0, sum(r["texts"] for r in commits))
 
     def vacuum(self, spark: SparkSession) -> None:
         """Deletes the segments before the last compaction."""
@@ -211,18 +215,18 @@ class KeywordIndex:
     def _write(self, spark: SparkSession, own: DataFrame, old: DataFrame | None, segment: int, base: int) -> None:
         from lodestone.sources.store import remove
 
-        sums = own.agg(F.count("*").alias("items"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+        sums = own.agg(F.count("*").alias("items"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.count("dl").alias("texts")).first()
         self._write_inverted(own, sums["words"], segment)
-        blocks, gone = _bounds(self._read(spark, "postings", POSTINGS, [segment])), {"n": 0, "words": 0}
+        blocks, gone = _bounds(self._read(spark, "postings", POSTINGS, [segment])), {"n": 0, "words": 0, "texts": 0}
         if old is not None:
             old = self._settled(old.drop("segment"), "tombstones", segment)
-            gone = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
+            gone = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.count("dl").alias("texts")).first()
             if gone["n"]:
                 less = old.select("tenant", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term", "tenant").agg((-F.count("*")).alias("n"))
                 blocks = blocks.unionByName(less.select("term", F.lit(-1).alias("block"), "tenant", "n", F.lit(0).alias("max_tf"), F.lit(0).alias("min_dl")))
         self._to(blocks, "blocks", segment)
         remove(spark, f"{self.path}/words/segment={segment}")
-        self._commit(spark, segment, base, sums["items"] - gone["n"], sums["words"] - gone["words"], gone["n"])
+        self._commit(spark, segment, base, sums["items"] - gone["n"], sums["words"] - gone["words"], gone["n"], sums["texts"] - gone["texts"])
 
     def _commit(self, spark: SparkSession, *row: int) -> None:
         spark.createDataFrame([tuple(map(int, row))], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
@@ -357,7 +361,7 @@ class _Search:
 
     def __init__(self, index: KeywordIndex, spark: SparkSession, clauses: DataFrame, commits: list, k: int, phrases: bool) -> None:
         total = sum(r["items"] for r in commits)
-        self.clauses, self.k, self.mean = clauses, k, sum(r["words"] for r in commits) / total
+        self.clauses, self.k, self.mean = clauses, k, sum(r["words"] for r in commits) / max(1, sum(r["items" if index.nulls else "texts"] for r in commits))
         distinct = clauses.select("clause", "words").distinct()
         single, several = distinct.where(F.size("words") == 1), distinct.where(F.size("words") > 1)
         wanted = clauses.select(F.explode("words").alias("term")).distinct()

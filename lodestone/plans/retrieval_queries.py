@@ -130,7 +130,7 @@ def sparse_topk_stored(spark, d):
 def keyword_index(spark, d):
     """The stored index over a folder's documents: built once, then read as long as their files stay the same."""
     key = files_key(spark, f"{d}/documents.parquet")
-    index = KeywordIndex(f"{shared_folder(spark)}/keyword-index-{key}")
+    index = KeywordIndex(f"{shared_folder(spark)}/keyword-index-{key}", nulls=False)
     if not index.commits(spark):
         index.update(documents(spark, d), tenant="tenant_id")
     return index

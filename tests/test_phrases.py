@@ -15,7 +15,7 @@ PASSAGES = [(0, "the the x to y the z the"), (1, "of a b of a of"), (2, "un deux
 
 def documents():
     rng = random.Random(4)
-    texts = ["the the the", "the the the the to", "of a of a of", "a a a a a a a", "trois", "un deux trois", "the", ""]
+    texts = [None, "the the the", "the the the the to", "of a of a of", "a a a a a a a", "trois", "un deux trois", "the", ""]
     return texts + [" ".join(rng.choices(["the", "to", "of", "a", "z", "b"], weights=[6, 2, 2, 5, 2, 1], k=rng.randrange(4, 60))) for _ in range(150)]
 
 
